@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import mixing, packing, sharding, token_io
+from tensorloom.llm import langid, mixing, packing, secret_scan, sharding, token_io, toxicity
 
 _MODULES = {
     "op1_mix_sources": mixing,
     "op2_rendezvous_shards": sharding,
+    "op3_toxicity_ftrl": toxicity,
     "op4_token_files": token_io,
     "op5_pack_windows": packing,
+    "op6_secret_scan": secret_scan,
+    "op7_language_bayes": langid,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
