@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import langid, mixing, packing, secret_scan, sharding, token_io, toxicity
+from tensorloom.llm import langid, mixing, neardup, packing, secret_scan, sharding, token_io, toxicity
 
 _MODULES = {
     "op1_mix_sources": mixing,
@@ -12,6 +12,7 @@ _MODULES = {
     "op5_pack_windows": packing,
     "op6_secret_scan": secret_scan,
     "op7_language_bayes": langid,
+    "op8_near_duplicates": neardup,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}

@@ -77,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     A bounded sample is learned from: the `max_rows` labelled ids with the smallest hashes, few enough to be broadcast.
     Their features are made where the texts are read; one task runs FTRL over them, in the order of another hash. Only
     weights that are not zero reach the driver. Null ids and labels teach nothing; a repeated label counts once, and 1
-    beats 0. Without any such row the model is empty: every score is 0.5, and predicted is 1.
+    beats 0. Without any such row the model is empty.
     """
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """`docs` with `score` (0 to 1): the logistic of the bias and the weights of a text's distinct word groups.
 
-    Null and empty texts get the bias alone. All rows and columns of `docs` stay; `text` is needed.
+    Null and empty texts get the bias alone; an empty model scores 0 (about 1e-15). All rows and columns of `docs` stay; `text` is needed.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -123,7 +123,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         slots, w = shared.value
         dense = np.zeros((1 << BITS) + 1)
         dense[slots] = w
-        bias, known = dense[-1], dense != 0
+        bias, known = dense[-1] if len(slots) else -35.0, dense != 0
         for batch in slices(batches):
             slot, row = features(batch.column("text"))
             hit = known[slot]
