@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import langid, mixing, neardup, packing, secret_scan, sharding, token_io, toxicity
+from tensorloom.llm import ann, langid, mixing, neardup, packing, quality, secret_scan, sharding, token_io, toxicity
 
 _MODULES = {
     "op1_mix_sources": mixing,
@@ -13,6 +13,8 @@ _MODULES = {
     "op6_secret_scan": secret_scan,
     "op7_language_bayes": langid,
     "op8_near_duplicates": neardup,
+    "op9_anisotropic_search": ann,
+    "op10_quality_rules": quality,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
