@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.llm import mixing, neardup, packing, secret_scan, toxicity
-from tensorloom.llm.common import scratch, table
+from tensorloom.llm.common import checkpointed, scratch, table
 from tensorloom.llm.tokens import default_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,11 +19,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked at a similarity of 0.8 or more; of repeated rows one."""
-    marks = neardup.near_duplicates(docs, neardup.Scheme(percent=80, chunks=14, width=5))
-    gone = marks.where(~F.col("kept")).select("doc_id").distinct()
+    """Keeps the document with the smallest id of each group linked at a similarity of 0.8 or more.
+
+    Of rows that repeat an id, the smallest stays. Rows without an id stay all.
+    """
+    marks = checkpointed(neardup.near_duplicates(docs, neardup.Scheme(percent=80, chunks=14, width=4)))
+    gone = marks.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    again = marks.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    once = kept.join(again, "doc_id", "left_anti")
+    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return once.unionByName(first)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

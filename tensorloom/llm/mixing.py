@@ -54,7 +54,7 @@ def queue(docs: DataFrame, weight=cyclic_weight, share: float = 1.0, seed: str =
     rows. Further columns of `docs` are left out, so that no name can clash.
     """
     slim = checkpointed(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash52(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h"))
+        docs.select(row_key().alias("row_key"), "doc_id", "source", word_count(F.col("text")).alias("size"), hash52(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h"))
     )
     bits = prefix_bits(slim.count())
     slim = slim.withColumn("bucket", F.shiftright("h", 52 - bits))
@@ -73,10 +73,15 @@ def queue(docs: DataFrame, weight=cyclic_weight, share: float = 1.0, seed: str =
     served = F.round("target").cast("long")
     taken = sum((served_in(served, e) for e in range(epochs)), F.lit(0).cast("long"))
     return placed.select(
-        "doc_id", "source", "size", "source_size", "weight", "target", "start", ((F.col("start") + F.col("size")) / F.col("weight")).alias("virtual_finish"), taken.alias("taken"), "h"
+        "doc_id", "source", "size", "source_size", "weight", "target", "start", ((F.col("start") + F.col("size")) / F.col("weight")).alias("virtual_finish"), taken.alias("taken"), "h", "row_key"
     )
 
 
+def row_key() -> Column:
+    """Tells rows apart that have the same id or none; repeats of a row share it."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def served_in(quota: Column, epoch: int) -> Column:
     """Words of a document served in one run of its source's queue."""
     return F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), quota - F.col("start") - F.col("source_size") * epoch))
@@ -84,25 +89,25 @@ def served_in(quota: Column, epoch: int) -> Column:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """`queue()` in the mix's order: sorted by virtual finish time over range partitions."""
-    return queue(docs, **options).repartitionByRange("virtual_finish", "h").sortWithinPartitions("virtual_finish", "h").drop("h")
+    return queue(docs, **options).repartitionByRange("virtual_finish", "h").sortWithinPartitions("virtual_finish", "h").drop("h", "row_key")
 
 
 def mixed_documents(docs: DataFrame, epochs: int = MAX_EPOCHS, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken; the last one of a source is cut after its last word taken.
 
-    Keeps the columns of `docs` (n_chars, where present, follows a cut). doc_id is the key: each of its rows must carry
-    the same text. Texts without words are in no mix and go.
+    Keeps the columns of `docs` (n_chars, where present, follows a cut). Repeats of a row are taken alike, as often as
+    the one that is taken most. Texts without words are in no mix and go.
     """
-    places = queue(docs, epochs=epochs, **options)
     quota = F.round("target").cast("long")
     slots = F.array(*[F.struct(F.lit(e).alias("epoch"), served_in(quota, e).alias("words")) for e in range(epochs)])
-    runs = places.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode(slots).alias("_run")).where("_run.words > 0").dropDuplicates(["_id", "_run"])
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_run.words").cast("int")), "")
-    text = F.when(F.col("_run.words") < F.col("_size"), cut).otherwise(F.col("text"))
-    out = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("text", text)
+    runs = queue(docs, epochs=epochs, **options).select("row_key", F.col("size").alias("_size"), F.explode(slots).alias("_run")).where("_run.words > 0")
+    runs = runs.groupBy(F.col("row_key").alias("_key"), "_size", "_run.epoch").agg(F.max("_run.words").alias("_words")).drop("epoch")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    short = F.col("_words") < F.col("_size")
+    out = docs.withColumn("_row", row_key()).join(runs, F.col("_row") == F.col("_key"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_run.words") < F.col("_size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(short, F.char_length(cut).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.when(short, cut).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

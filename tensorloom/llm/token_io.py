@@ -19,9 +19,9 @@ FRAME_IDS = 1 << 19
 #: Rows of text per shard file, on average.
 SHARD_ROWS = 4096
 #: A pair becomes a rule if it occurs so often in its frame; rounds of replacement at most.
-MIN_COUNT = 24
-ROUNDS = 10
-_BINS = 1 << 18
+MIN_COUNT = 48
+ROUNDS = 8
+_BIN_BITS = 18
 
 FRAME_SCHEMA = (
     "shard int, frame int, shard_ids long, ids_before long, doc_ids binary, doc_nulls binary, doc_lengths binary, doc_symbols binary, symbols binary, rules binary, rule_lengths binary"
@@ -32,9 +32,9 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int =
     """Re-Pair over one frame: (symbols, symbol ends of the documents, rules as an n x 2 array).
 
     A round counts all neighbours, makes a rule of every pair that occurs `min_count` times or more, and replaces its
-    occurrences from left to right; pairs reach over no document's end. It ends when a round saves nothing.
+    occurrences from left to right; pairs reach over no document's end. It ends when a round saves less than half a percent.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
@@ -42,30 +42,34 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int =
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1] << 32) | seq[1:]
-        bins = ((key * np.int64(-7046029254386353131)) >> np.int64(46)) & (_BINS - 1)
-        counts = np.bincount(bins, minlength=_BINS)
-        near = np.flatnonzero((counts[bins] >= min_count) & ~last[:-1])  # the bins' counts bound the pairs' counts
-        pairs, inverse, times = np.unique(key[near], return_inverse=True, return_counts=True)
-        often = times >= min_count
-        number = np.cumsum(often) - 1
-        at, rule = near[often[inverse]], number[inverse[often[inverse]]]
-        if not len(at):
+        bins = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BIN_BITS)
+        often = np.bincount(bins, minlength=1 << _BIN_BITS) >= min_count  # a bin's count bounds its pairs' counts
+        near = np.flatnonzero(often[bins])
+        near = near[~last[near]]
+        key = seq[near].astype(np.int64) << 32 | seq[near + 1]
+        pairs, times = np.unique(key, return_counts=True)
+        pairs = pairs[times >= min_count]
+        if not len(pairs):
             break
+        rule = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        hit = pairs[rule] == key
+        at, rule = near[hit], rule[hit]
         run = np.concatenate(([True], np.diff(at) != 1))  # of occurrences that overlap, every other one stays
         start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - start) % 2 == 0
         at, rule = at[take], rule[take]
-        used, rule = np.unique(rule, return_inverse=True)
-        new = pairs[often][used]
+        used = np.flatnonzero(np.bincount(rule, minlength=len(pairs)))
+        number = np.zeros(len(pairs), np.uint32)
+        number[used] = np.arange(len(used), dtype=np.uint32)
+        new = pairs[used]
         rules.append(np.column_stack((new >> 32, new & 0xFFFFFFFF)))
-        seq[at] = symbol + rule
+        seq[at] = number[rule] + np.uint32(symbol)
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
         symbol += len(new)
-        if len(at) < len(new) * 2 + 16:
+        if len(at) < len(ids) // 200:
             break
     rows = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     stops = np.flatnonzero(last) + 1
@@ -77,29 +81,29 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int =
 
 def rule_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     """How many ids each rule stands for. Rules refer to earlier ones only."""
-    out = np.ones(len(rules), np.int64)
-    done = 0
-    while done < len(rules):  # a generation: all rules whose parts are known
-        stop = done + max(1, int(np.argmax(rules[done:].max(axis=1) >= first_rule + done)) if (rules[done:].max(axis=1) >= first_rule + done).any() else len(rules) - done)
-        part = rules[done:stop]
-        out[done:stop] = np.where(part >= first_rule, out[np.maximum(part - first_rule, 0)], 1).sum(axis=1)
-        done = stop
-    return out
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    """The ids behind a run of symbols: rules are replaced by their parts, generation after generation."""
-    seq = symbols.astype(np.int64)
-    while True:
-        is_rule = seq >= first_rule
-        if not is_rule.any():
-            return seq.astype("<u4")
-        size = np.where(is_rule, 2, 1)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[at] = np.where(is_rule, rules[np.where(is_rule, seq - first_rule, 0), 0] if len(rules) else 0, seq)
-        out[at[is_rule] + 1] = rules[seq[is_rule] - first_rule, 1]
-        seq = out
+    lengths: list[int] = []
+    for a, b in rules.tolist():
+        lengths.append((lengths[a - first_rule] if a >= first_rule else 1) + (lengths[b - first_rule] if b >= first_rule else 1))
+    return np.asarray(lengths, np.int64)
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids behind a run of symbols: each rule is spelled out once, then all symbols are gathered from there."""
+    symbols = symbols.astype(np.int64)
+    if not len(rules) or not (symbols >= first_rule).any():
+        return symbols.astype("<u4")
+    lengths = rule_lengths(rules, first_rule) if lengths is None else lengths
+    spelled: list[list[int]] = []
+    for a, b in rules.tolist():
+        spelled.append((spelled[a - first_rule] if a >= first_rule else [a]) + (spelled[b - first_rule] if b >= first_rule else [b]))
+    source = np.concatenate([*(np.asarray(x, np.uint32) for x in spelled), symbols.astype(np.uint32)])
+    firsts = np.cumsum(lengths) - lengths
+    rule = np.maximum(symbols - first_rule, 0)
+    is_rule = symbols >= first_rule
+    size = np.where(is_rule, lengths[rule], 1)
+    start = np.where(is_rule, firsts[rule], int(lengths.sum()) + np.arange(len(symbols)))
+    shift = start - (np.cumsum(size) - size)
+    return source[np.arange(int(size.sum())) + np.repeat(shift, size)].astype("<u4", copy=False)
 
 
 def _frame(shard: int, number: int, before: int, doc_ids: list, lengths: list[int], parts: list[np.ndarray], first_rule: int) -> dict:
@@ -170,29 +174,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fi
     )
 
 
-def frames(spark: SparkSession, path: str) -> DataFrame:
-    """The frames with `frame_start`: the ids of all shards and frames before. One window row a shard, not a document."""
-    rows = spark.read.parquet(path)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("shard").agg(F.max("shard_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
-    return rows.join(sizes, "shard").withColumn("frame_start", F.col("shard_start") + F.col("ids_before"))
-
-
 def read_tokens(spark: SparkSession, path: str, first_rule: int = 1 << 20, ids: bool = True) -> DataFrame:
-    """Each document read back: doc_id, start, n_tokens, ids_crc32 and, if asked for, its ids."""
+    """Each document read back: doc_id, start, n_tokens, ids_crc32 and, if asked for, its ids.
+
+    A document's start is its place in its shard plus the ids of the shards before; the latter come from one row a shard.
+    """
+    rows = spark.read.parquet(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-                symbols = np.frombuffer(row["symbols"], "<u4")
+                rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
                 lengths = np.frombuffer(row["doc_lengths"], "<i8")
-                whole = expand(symbols, rules, first_rule)
+                whole = expand(np.frombuffer(row["symbols"], "<u4"), rules, first_rule, np.frombuffer(row["rule_lengths"], "<i8"))
                 ends = np.cumsum(lengths)
                 raw = memoryview(whole.tobytes())
                 out = {
+                    "shard": pa.array([row["shard"]] * len(lengths), pa.int32()),
                     "doc_id": pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["doc_nulls"], bool)),
-                    "start": pa.array(row["frame_start"] + ends - lengths),
+                    "place": pa.array(row["ids_before"] + ends - lengths),
                     "n_tokens": pa.array(lengths),
                     "ids_crc32": pa.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.int64()),
                 }
@@ -200,8 +200,11 @@ def read_tokens(spark: SparkSession, path: str, first_rule: int = 1 << 20, ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(whole.astype(np.int64)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return frames(spark, path).select("rules", "symbols", "doc_lengths", "doc_ids", "doc_nulls", "frame_start").mapInArrow(decode, kinds)
+    kinds = "shard int, doc_id long, place long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
+    read = rows.select("shard", "ids_before", "rules", "rule_lengths", "symbols", "doc_lengths", "doc_ids", "doc_nulls").mapInArrow(decode, kinds)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("shard").agg(F.max("shard_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
+    return read.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int, first_rule: int = 1 << 20) -> list[np.ndarray]:
