@@ -1 +1 @@
-"""."""
+"""Functions of columns: complex arithmetic, derivatives, text."""

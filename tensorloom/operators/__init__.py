@@ -1 +1 @@
-"""."""
+"""Operators on long-form tensors."""

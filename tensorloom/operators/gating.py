@@ -4,40 +4,45 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the reach of the closed phase bins.
 PHASE_REACH = 3.141592
 
 
-def _with_mean(df: DataFrame, value: str) -> DataFrame:
-    """The signal's mean in every row: one row, broadcast."""
-    return df.crossJoin(F.broadcast(df.agg(F.avg(value).alias("_mean"))))
+def _mean(df: DataFrame, value: str) -> Column:
+    """The signal's mean, as a scalar subquery."""
+    return df.agg(F.avg(value)).scalar()
+
+
+def _frame(at: Column, frames: int) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(frames - 1), F.floor(at))).cast("int")
 
 
 def gate_by_value(df: DataFrame, value: str, frames: int, name: str = "frame") -> DataFrame:
-    """Frames of equal length from 5 % of twice the mean up to twice the mean; what lies below is in frame 0, the rest goes."""
-    upper, start = 2 * F.col("_mean"), 0.05 * 2 * F.col("_mean")
-    at = F.floor((F.col(value) - start) / ((upper - start) / frames))
-    gated = _with_mean(df, value).where(F.col(value) < upper)
-    return gated.withColumn(name, F.greatest(F.lit(0), F.least(F.lit(frames - 1), at)).cast("int")).drop("_mean")
+    """Frames of equal length from 5 % of twice the mean up to twice the mean; what lies below is in frame 0, the rest goes.
+
+    Null values are in no frame and go.
+    """
+    upper = 2 * _mean(df, value)
+    start = 0.05 * upper
+    return df.where(F.col(value) < upper).withColumn(name, _frame((F.col(value) - start) / ((upper - start) / frames), frames))
 
 
 def gate_open_end(df: DataFrame, value: str, frames: int, name: str = "frame") -> DataFrame:
-    """Frames of 2 mean / frames: the first is one and a half long, the last has no end."""
-    length = 2 * F.col("_mean") / frames
-    at = F.floor(F.col(value) / length - 0.5)
-    return _with_mean(df, value).withColumn(name, F.greatest(F.lit(0), F.least(F.lit(frames - 1), at)).cast("int")).drop("_mean")
+    """Frames of 2 mean / frames: the first is one and a half long, the last has no end. Null values go."""
+    length = 2 * _mean(df, value) / frames
+    return df.where(F.col(value).isNotNull()).withColumn(name, _frame(F.col(value) / length - 0.5, frames))
 
 
 def gate_closed_bins(df: DataFrame, phase: str, frames: int, name: str = "frame") -> DataFrame:
     """Bins closed at both ends between -3.141592 and 3.141592: a sample on an inner edge is in two frames."""
     length = 2 * PHASE_REACH / frames
     at = (F.col(phase) + PHASE_REACH) / length
-    low = F.greatest(F.lit(0), F.ceil(at) - 1)
-    high = F.least(F.lit(frames - 1), F.floor(at))
-    return df.where(F.abs(phase) <= PHASE_REACH).withColumn(name, F.explode(F.sequence(low, high)).cast("int"))
+    low = F.greatest(F.lit(0), F.ceil(at) - 1).cast("int")
+    high = F.least(F.lit(frames - 1), F.floor(at)).cast("int")
+    return df.where(F.abs(phase) <= PHASE_REACH).withColumn(name, F.explode(F.sequence(low, high)))
 
 
 def analytic_phase(signal: np.ndarray, low: float) -> np.ndarray:
@@ -55,7 +60,7 @@ def analytic_phase(signal: np.ndarray, low: float) -> np.ndarray:
     return np.angle(np.fft.ifft(spectrum * turn))
 
 
-def respiratory_phase(df: DataFrame, series: str, time: str, value: str, low: float = 0.1) -> DataFrame:
+def respiratory_phase(df: DataFrame, series: str, time: str, value: str, low: float = 0.1, tie: str | None = None) -> DataFrame:
     """`df` with `phase`: each series, in time order, filtered and turned into its analytic phase.
 
     A series is one task's group, as the filter needs all of it; a series is one recording and bounded by its length.
@@ -63,7 +68,7 @@ def respiratory_phase(df: DataFrame, series: str, time: str, value: str, low: fl
     schema = df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
+        pdf = pdf.sort_values([time, tie] if tie else time, kind="stable")
         return pdf.assign(phase=analytic_phase(pdf[value].to_numpy(float), low))
 
     return df.groupBy(series).applyInPandas(run, f"{schema}, phase double")

@@ -59,6 +59,25 @@ def downsample(df: DataFrame, steps: dict[str, int]) -> DataFrame:
     return df
 
 
+def permute(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Axes exchanged: each axis takes the name that `names` gives it."""
+    return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
+
+
+def zoom_linear(df: DataFrame, axis: str, old: int, new: int, value: str, *keys: str) -> DataFrame:
+    """From `old` places to `new` ones with both ends kept, on the lines between neighbours.
+
+    A new place j lies at j (old - 1) / (new - 1): each old place sends its share to the new places less than one away,
+    and these are summed, so that nothing is compared and no series is held whole.
+    """
+    step = (old - 1) / max(1, new - 1)
+    lo = F.greatest(F.lit(0), F.ceil((F.col(axis) - 1) / step)).cast("int")
+    hi = F.least(F.lit(new - 1), F.floor((F.col(axis) + 1) / step)).cast("int")
+    sent = df.select(*keys, F.explode(F.sequence(lo, hi)).alias("_to"), F.col(axis).alias("_at"), F.col(value).alias("_v"))
+    part = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_to") * step - F.col("_at")))
+    return sent.groupBy(*keys, F.col("_to").alias(axis)).agg(F.sum(F.col("_v") * part).alias(value))
+
+
 def with_blocks(df: DataFrame, axes: tuple[str, ...], size: int, stride: int, shift: tuple[int, ...], extent: tuple[int, ...]) -> DataFrame:
     """Each cell with the block it is in (`block_<axis>`), for blocks at n stride + shift; null outside all blocks.
 

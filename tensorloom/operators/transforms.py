@@ -48,33 +48,56 @@ def _phase(modes: tuple[str, ...], freqs: tuple[str, ...]) -> Column:
     return sum((F.col(m) * F.col(k) for m, k in zip(modes, freqs, strict=True)), F.lit(0.0))
 
 
-def nufft2(modes: DataFrame, freqs: DataFrame, axes: tuple[str, ...] = ("n",), ks: tuple[str, ...] = ("k",), key: str = "s", sign: int = -1) -> DataFrame:
-    """Type 2: the modes' sum at each frequency, exactly. The modes, a fixed grid, are the small side."""
-    z = cplx() * cis(_phase(axes, ks) * sign)
+Sizes = dict[str, int]  # axis -> number of modes, centred: -(n // 2) .. n - n // 2 - 1
+
+
+def on_modes(df: DataFrame, sizes: Sizes) -> DataFrame:
+    """Every row once for each mode of a fixed grid."""
+    for axis, n in sizes.items():
+        df = df.withColumn(axis, F.explode(F.sequence(F.lit(-(n // 2)), F.lit(n - n // 2 - 1))))
+    return df
+
+
+def nufft2(modes: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s", sign: int = -1) -> DataFrame:
+    """Type 2: the modes' sum at each frequency (k<axis>), exactly.
+
+    Each frequency lists the modes it needs and meets their values by an equal join on the mode, which Spark broadcasts
+    if the grid is small; sums are partial before the shuffle by frequency. Columns that both sides have are batch keys;
+    other columns of the modes (coils, say) are kept.
+    """
+    ks, axes = [f"k{a}" for a in sizes], list(sizes)
+    same = [c for c in modes.columns if c in freqs.columns and c not in ("re", "im")]
     batch = [c for c in modes.columns if c not in (*axes, "re", "im")]
-    both = freqs.select(key, *ks).join(F.broadcast(modes), how="cross").select(*batch, key, z.re.alias("re"), z.im.alias("im"))
+    z = cplx() * cis(_phase(tuple(axes), tuple(ks)) * sign)
+    both = on_modes(freqs.select(key, *same, *ks), sizes).join(modes, [*same, *axes]).select(*batch, key, z.re.alias("re"), z.im.alias("im"))
     return both.groupBy(*batch, key).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-def nufft1(samples: DataFrame, grid: DataFrame, axes: tuple[str, ...] = ("n",), ks: tuple[str, ...] = ("k",), sign: int = 1) -> DataFrame:
-    """Type 1: each mode's sum over the samples, exactly; sums over a task's samples come before the shuffle."""
-    z = cplx() * cis(_phase(axes, ks) * sign)
-    batch = [c for c in samples.columns if c not in (*ks, "s", "re", "im")]
-    both = samples.join(F.broadcast(grid.select(*axes)), how="cross").select(*batch, *axes, z.re.alias("re"), z.im.alias("im"))
-    return both.groupBy(*batch, *axes).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+def nufft1(samples: DataFrame, sizes: Sizes, key: str = "s", sign: int = 1) -> DataFrame:
+    """Type 1: each mode's sum over the samples (key, batch..., k<axis>, re, im), exactly; no join, and sums over a task's samples come before the shuffle."""
+    ks, axes = [f"k{a}" for a in sizes], list(sizes)
+    z = cplx() * cis(_phase(tuple(axes), tuple(ks)) * sign)
+    batch = [c for c in samples.columns if c not in (*ks, key, "re", "im")]
+    return on_modes(samples, sizes).select(*batch, *axes, z.re.alias("re"), z.im.alias("im")).groupBy(*batch, *axes).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-def nufft_normal(modes: DataFrame, freqs: DataFrame, axes: tuple[str, ...] = ("n",), ks: tuple[str, ...] = ("k",), between=None) -> DataFrame:
+def nufft_normal(modes: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s", between=None) -> DataFrame:
     """Type 1 of type 2, with a change of the samples in between if wanted."""
-    samples = nufft2(modes, freqs, axes, ks).join(freqs.select("s", *ks), "s")
-    return nufft1(between(samples) if between else samples, modes, axes, ks)
+    same = [c for c in modes.columns if c in freqs.columns and c not in ("re", "im")]
+    samples = nufft2(modes, freqs, sizes, key).join(freqs.select(key, *same, *[f"k{a}" for a in sizes]), [key, *same])
+    return nufft1(between(samples) if between else samples, sizes, key)
+
+
+def nufft_normal_adjoint(samples: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s") -> DataFrame:
+    """Type 2 of type 1."""
+    return nufft2(nufft1(samples, sizes, key), freqs, sizes, key)
 
 
 def toeplitz_kernel(freqs: DataFrame, n: int, weight: Column | None = None) -> DataFrame:
     """(d, mre, mim): the sum over frequencies of w e^(i k d) for the differences d of modes, -(n - 1) .. n - 1."""
     w = F.lit(1.0) if weight is None else weight
     rows = freqs.withColumn("d", F.explode(F.sequence(F.lit(1 - n), F.lit(n - 1))))
-    z = cis(F.col("k") * F.col("d")).scale(w)
+    z = cis(F.col("kn") * F.col("d")).scale(w)
     return rows.groupBy("d").agg(F.sum(z.re).alias("mre"), F.sum(z.im).alias("mim"))
 
 
@@ -161,8 +184,19 @@ def kb_nufft(modes: DataFrame, coords: DataFrame, n: int, oversampling: float =
     return out.withColumns({c: F.col(c) / (width * math.sqrt(n)) * 2 for c in ("re", "im")})
 
 
-def direct_dft(points: DataFrame, targets: DataFrame, sign: int = 1) -> DataFrame:
-    """Type 3: values at points p, summed at frequencies w with e^(i w p). The points are broadcast if Spark finds them small."""
+def direct_dft(points: DataFrame, targets: DataFrame, sign: int = 1, blocks: int = 16) -> DataFrame:
+    """Type 3: values at points p, summed at frequencies w with e^(i w p).
+
+    All pairs are what it asks for. Points are dealt to blocks, targets are sent to every block, and an equal join on the
+    block makes the products; partial sums per task come before the shuffle by target.
+    """
     z = cplx() * cis(F.col("w") * F.col("p") * sign)
-    both = targets.join(points, how="cross").select("t", z.re.alias("re"), z.im.alias("im"))
+    dealt = points.select("p", "re", "im", F.pmod(F.xxhash64("p", "re", "im"), F.lit(blocks)).cast("int").alias("_b"))
+    asked = targets.select("t", "w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    both = asked.join(dealt, "_b").select("t", z.re.alias("re"), z.im.alias("im"))
     return both.groupBy("t").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+def direct_dft_adjoint(values: DataFrame, targets: DataFrame, sign: int = 1, blocks: int = 16) -> DataFrame:
+    """From frequencies (w, re, im) back to points (t, w: the point) with e^(-i w p)."""
+    return direct_dft(values.withColumnRenamed("w", "p"), targets, -sign, blocks)

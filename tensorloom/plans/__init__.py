@@ -1 +1 @@
-"""."""
+"""The query catalogue."""

@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tensorloom.plans import algebra, iterative, linear, models, timing
+
+_PARTS = (algebra, timing, linear, iterative, models)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.C.queries.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.C.oracles.items()}

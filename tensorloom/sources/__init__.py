@@ -1 +1 @@
-"""."""
+"""Scans, generators, sinks and shared storage."""
