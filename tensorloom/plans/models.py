@@ -118,7 +118,7 @@ def polyfit_quadratic(spark, sf_dir):
 
 
 @C.query(
-    f"""WITH p AS (SELECT p_partkey AS k, p_size + 10.0 AS a, (p_partkey % 7) / 2.0 AS b, (p_partkey % 5) / 3.0 AS c, p_retailprice / 1000 AS y0, 1.0 AS y1, p_size / 10.0 AS y2 FROM part),
+    f"""WITH p AS (SELECT p_partkey AS k, p_size + 10.0 AS a, (p_partkey % 7) / 2.0 AS b, (p_partkey % 5) / 3.0 AS c, sqrt(p_retailprice) AS y0, 1.0 AS y1, p_size / 10.0 AS y2 FROM part),
     d AS (SELECT *, a * (a * a - b * b) - b * (b * a - b * c) + c * (b * b - a * c) AS det FROM p)
     SELECT k, {rnd('(y0 * (a * a - b * b) - b * (y1 * a - b * y2) + c * (y1 * b - a * y2)) / det', 7)} AS x0,
     {rnd('(a * (y1 * a - b * y2) - y0 * (b * a - b * c) + c * (b * y2 - y1 * c)) / det', 7)} AS x1,
@@ -128,7 +128,7 @@ def ldl_solve(spark, sf_dir):
     """A symmetric system of three unknowns for each part."""
     k = F.col("k")
     a, b, c = F.col("p_size") + 10.0, (k % 7) / 2.0, (k % 5) / 3.0
-    x = fitting.ldl_solve([[a], [b, a], [c, b, a]], [F.col("p_retailprice") / 1000, F.lit(1.0), F.col("p_size") / 10.0])
+    x = fitting.ldl_solve([[a], [b, a], [c, b, a]], [F.sqrt("p_retailprice"), F.lit(1.0), F.col("p_size") / 10.0])
     return rounded(table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "k"), "k", digits=7, **{f"x{i}": v for i, v in enumerate(x)})
 
 
