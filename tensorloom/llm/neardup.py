@@ -19,7 +19,9 @@ from tensorloom.llm.graph import components
 #: Documents whose ids are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 2048
+#: Shingles of a block's members together, on average.
+BLOCK_SHINGLES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -135,17 +137,23 @@ def within_distance(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFr
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity: 100 * common >= percent * union."""
-    pairs = checkpointed(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _full_sets(ids: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(rep, shingles): the whole sets of the documents in `ids` (rep), as bytes of ascending hashes."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"), scheme.words)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep").mapInArrow(make, "rep long, shingles binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity: 100 * common >= percent * union."""
+    pairs = checkpointed(pairs)
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, scheme)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,48 +173,122 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
                 good.append(100 * common >= scheme.percent * (n - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").mapInArrow(make, "id long, shingles binary")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct()
 
 
-def unsettled(members: DataFrame, comps: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs within the signature distance that share a bucket but, so far, no component.
+def _ahead(code: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member outside the largest component (`code`) the later members of other components, and all of the largest.
 
-    Buckets with the same members count once. A bucket is cut into blocks of about BLOCK members; each pair of blocks
-    is one group, compared in numpy, so that no task holds a large bucket.
+    In a group of two blocks only members of different blocks meet.
+    """
+    big = np.bincount(code).argmax()
+    mixed = block.min() != block.max()
+    for k in np.flatnonzero(code != big):
+        other = code == big
+        other[k + 1 :] |= code[k + 1 :] != code[k]
+        if mixed:
+            other &= block != block[k]
+        yield k, np.flatnonzero(other)
+
+
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """`rows` (group, rep, comp, blocks) sent to the pairs (p, q) of blocks of their group that they take part in."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(group, F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "comp", "block")
+
+
+def candidates(members: DataFrame, comps: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) within the signature distance that join what is near in the buckets, across components.
+
+    Each member that has such a partner is in a link, and members that are near each other are connected by links, but
+    only as many links as a spanning tree needs and one for each member are given: their number follows the members',
+    not the pairs'. Buckets with the same members count once. A bucket is cut into blocks of about BLOCK members; each
+    pair of blocks is one group, compared in numpy, so that no task holds a large bucket.
     """
     rows = members.join(comps, members.rep == comps.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64(F.lit("s"), "rep").cast("decimal(38,0)")).alias("s")).where("lo < hi")
     buckets = buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    i = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", i).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "comp", "block").join(reps.select("rep", "sig"), "rep")
+    rows = _dealt(rows.join(buckets, "key"), "key").join(reps.select("rep", "sig"), "rep")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(-1, scheme.values)
-        rep, comp, block = (pdf[c].to_numpy() for c in ("rep", "comp", "block"))
-        mixed = pdf["p"].iloc[0] != pdf["q"].iloc[0]
-        found = []
-        for k in range(len(pdf) - 1):
-            rest = slice(k + 1, None)
-            near = (comp[rest] != comp[k]) & ((block[rest] != block[k]) | (not mixed))
-            near[near] = (sig[rest][near] != sig[k]).sum(axis=1) <= scheme.distance
-            found.append(np.column_stack((np.full(near.sum(), rep[k]), rep[rest][near])))
+        rep, found = pdf["rep"].to_numpy(), []
+        label = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
+        seen = np.zeros(len(pdf), bool)
+        for k, other in _ahead(label.copy(), pdf["block"].to_numpy()):
+            near = other[(sig[other] != sig[k]).sum(axis=1) <= scheme.distance]
+            if not len(near):
+                continue
+            firsts = near[np.unique(label[near], return_index=True)[1]]
+            ends = np.union1d(firsts[label[firsts] != label[k]], near[~seen[near]])
+            if not len(ends) and not seen[k]:
+                ends = near[:1]
+            found.append(np.column_stack((np.full(len(ends), rep[k]), rep[ends])))
+            seen[near] = seen[k] = True
+            label[np.isin(label, label[near])] = label[k]
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return rows.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long").distinct()
 
 
+def settled(near: DataFrame, links: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Confirmed links (a, b) across components among the members of the candidate links `near`.
+
+    The candidates' own components (with those that are known) are groups; a group is cut into blocks of about BLOCK
+    members or BLOCK_SHINGLES shingles, and each pair of blocks compares all pairs that are within the signature
+    distance and not yet connected, on full sets, where they are. A task gives a spanning tree of the links that it finds.
+    """
+    groups = components(links.unionByName(near)).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    ids = checkpointed(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    known = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    rows = ids.join(groups, "rep").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(classes.select("rep", "sig", "n_shingles"), "rep")
+    rows = checkpointed(rows)
+    sizes = rows.groupBy("group").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES).alias("x")).select("group", F.ceil("x").cast("int").alias("blocks"))
+    dealt = _dealt(rows.join(sizes, "group"), "group").join(rows.select("rep", "sig"), "rep").join(_full_sets(ids, docs, scheme), "rep")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(-1, scheme.values)
+        rep, found = pdf["rep"].to_numpy(), []
+        label = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
+        size = np.asarray([len(x) // 8 for x in pdf["shingles"]], np.int64)
+        start = np.cumsum(size) - size
+        values, column = np.unique(np.frombuffer(b"".join(pdf["shingles"]), np.uint64), return_inverse=True)
+        mark = np.zeros(len(values), np.int64)
+        for k, other in _ahead(label.copy(), pdf["block"].to_numpy()):
+            other = other[(label[other] != label[k]) & (100 * np.minimum(size[other], size[k]) >= scheme.percent * np.maximum(size[other], size[k]))]
+            other = other[(sig[other] != sig[k]).sum(axis=1) <= scheme.distance]
+            if not len(other):
+                continue
+            own = column[start[k] : start[k] + size[k]]
+            mark[own] = 1
+            common = np.empty(len(other), np.int64)
+            for at in range(0, len(other), 512):
+                part = other[at : at + 512]
+                ends = np.cumsum(size[part])
+                flat = np.arange(ends[-1]) + np.repeat(start[part] - (ends - size[part]), size[part])
+                common[at : at + 512] = np.add.reduceat(mark[column[flat]], ends - size[part])
+            mark[own] = 0
+            linked = other[100 * common >= scheme.percent * (size[k] + size[other] - common)]
+            firsts = linked[np.unique(label[linked], return_index=True)[1]]
+            found.append(np.column_stack((np.full(len(firsts), rep[k]), rep[firsts])))
+            label[np.isin(label, label[linked])] = label[k]
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy("group", "p", "q").applyInPandas(verify, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of `docs`.
 
     1. Equal sets become one class, represented by the smallest id, so that copies cost one signature join.
     2. The chunks' keys are buckets. Each bucket's smallest member is paired with the others: as many pairs as members.
     3. Pairs within the signature distance are confirmed on full sets; links make components.
-    4. In buckets that still hold more than one component, pairs across components are compared as well and confirmed.
+    4. Buckets that still hold more than one component give groups of members that are near across components; all
+       pairs of a group are compared on full sets where they are, and only a spanning tree of links leaves a task.
 
     So every pair within the signature distance is confirmed, or known to be of one component. Links hold between ids: a
     repeated id is one node. Null and empty texts have no shingles and stay alone. Rows without an id are linked by equal
@@ -214,7 +296,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     rows = checkpointed(signed(docs, scheme))
-    classes = checkpointed(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    classes = checkpointed(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
     reps = classes.where("rep is not null").select("rep", "sig")
     keyed = chunk_keys(reps, scheme)
     shared = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("key", "head")
@@ -222,8 +304,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     star = members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     links = checkpointed(confirmed(within_distance(star, reps, scheme), docs, scheme))
     comps = checkpointed(components(links))
-    more = unsettled(members.select("key", "rep"), comps, reps, scheme).join(star, ["a", "b"], "left_anti")
-    comps = checkpointed(components(links.unionByName(confirmed(more, docs, scheme))))
+    near = checkpointed(candidates(members.select("key", "rep"), comps, reps, scheme))
+    comps = checkpointed(components(links.unionByName(settled(near, links, comps, classes, docs, scheme))))
     named = classes.join(comps, classes.rep == comps.node, "left").select(F.col("set_id").alias("_set"), F.coalesce("component", "rep").alias("_component"))
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return rows.join(named, rows.set_id == named._set, "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
