@@ -89,9 +89,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """`docs` with lang_pred and score, the posterior probability of that language.
 
     A null text, one without a letter, and any text if nothing was learned, is `und` with score 0. Ties go to the language first in order.
-    All rows and columns of `docs` stay; `text` is needed.
+    All rows and columns of `docs` stay, but for those of these names; `text` is needed. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
     out = with_schema(docs, lang_pred="string", score="double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,10 +104,9 @@ def mixed_documents(docs: DataFrame, epochs: int = MAX_EPOCHS, **options) -> Dat
     runs = runs.groupBy(F.col("row_key").alias("_key"), "_size", "_run.epoch").agg(F.max("_run.words").alias("_words")).drop("epoch")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
     short = F.col("_words") < F.col("_size")
-    out = docs.withColumn("_row", row_key()).join(runs, F.col("_row") == F.col("_key"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(short, F.char_length(cut).cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.when(short, cut).otherwise(F.col("text"))).select(*docs.columns)
+    rows = docs.select(row_key().alias("_row"), F.struct(*docs.columns).alias("_doc"), "text").join(runs, F.col("_row") == F.col("_key"))
+    new = {"text": F.when(short, cut).otherwise(F.col("text")), "n_chars": F.when(short, F.char_length(cut).cast("long")).otherwise(F.col("_doc.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return rows.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

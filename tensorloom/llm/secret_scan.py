@@ -180,8 +180,10 @@ def scan(docs: DataFrame, rules=RULES, redacted: bool = False) -> DataFrame:
 
     A block of rows, as a task reads it, gets an inverted index of the rules' trigrams over whole texts; a rule's
     pattern runs on its candidates alone, or on every text where no trigram is mandatory (hex). Null and empty texts
-    have no span. All rows stay; nothing is shuffled.
+    have no span. All rows and columns of `docs` stay, but for
+    those of these names; nothing is shuffled; an empty table gives no rows.
     """
+    docs = docs.drop("n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted")
     out = with_schema(docs, n_assign="long", n_access="long", n_hex="long", base_sha256="string", spans="string")
     if redacted:
         out = out.add("redacted", "string")

@@ -113,10 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """`docs` with `score` (0 to 1): the logistic of the bias and the weights of a text's distinct word groups.
 
-    Null and empty texts get the bias alone; an empty model scores 0 (about 1e-15). All rows and columns of `docs` stay; `text` is needed.
+    Null and empty texts get the bias alone; an empty model scores 0 (about 1e-15). All rows and columns of `docs` stay, but for one
+    named score; `text` is needed. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("score")
     out = with_schema(docs, score="double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
