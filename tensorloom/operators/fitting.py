@@ -81,7 +81,7 @@ class Damping:
     rounds: int = 60
 
 
-def modified_cholesky_solve(h: np.ndarray, g: np.ndarray, floor: float = 1e-8) -> np.ndarray:
+def safeguarded_solve(h: np.ndarray, g: np.ndarray, floor: float = 1e-8) -> np.ndarray:
     """Steps -H^-1 g for a batch of symmetric H (n x k x k), H made positive definite by raising small eigenvalues."""
     w, v = np.linalg.eigh(h)
     top = np.maximum(np.abs(w).max(axis=1, keepdims=True), 1e-300)
@@ -120,7 +120,7 @@ def damped_newton(model: Callable[..., Dual], names: list[str], p: np.ndarray, c
         ok = np.isfinite(damped).all(axis=(1, 2)) & np.isfinite(g).all(axis=1)
         step = np.zeros_like(p)
         if ok.any():
-            step[ok] = modified_cholesky_solve(damped[ok], g[ok])
+            step[ok] = safeguarded_solve(damped[ok], g[ok])
         step[~np.isfinite(step)] = 0
         new = np.clip(p + step, lower, upper)
         step = new - p
@@ -170,6 +170,13 @@ def fit(df: DataFrame, model: Callable[..., Dual], names: list[str], data: str,
     return df.select(key, data, *consts, *given).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {kinds}, objective double")
 
 
+def objective_surface(df: DataFrame, objective: Callable[..., Column], grids: dict[str, list[float]], key: str) -> DataFrame:
+    """(key, names..., objective) at every point of a grid of parameters."""
+    for name, values in grids.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    return df.select(key, *grids, objective(**{n: F.col(n) for n in grids}).alias("objective"))
+
+
 def random_search(df: DataFrame, objective: Callable[..., Column], lower: dict[str, float], upper: dict[str, float], draws: int, key: str, seed: int = 0) -> DataFrame:
     """(key, names..., objective): of `draws` hash draws from the box, the one with the smallest objective (ties: the smallest parameters)."""
     names = list(lower)

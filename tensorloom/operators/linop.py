@@ -100,6 +100,15 @@ def diagonal(d: DataFrame) -> Linop:
     return Linop(times(False), times(True))
 
 
+def along(op: Linop, axis: str) -> Linop:
+    """An operator on i applied along another index column; the others are batch keys."""
+
+    def turned(f: Map) -> Map:
+        return lambda x: f(x.withColumnRenamed(axis, "i")).withColumnRenamed("i", axis)
+
+    return Linop(turned(op.forward), turned(op.backward) if op.backward else None)
+
+
 def translation(b: DataFrame, op: Linop = identity, sign: float = 1.0) -> Linop:
     """op(x) + sign b; not linear, so without an adjoint."""
     return Linop(lambda x: plus(op(x), scale(sign)(b)))

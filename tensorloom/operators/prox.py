@@ -85,6 +85,13 @@ def l2_regularised(p: Prox, rho: float, a: DataFrame | None = None) -> Prox:
     return run
 
 
+def block_low_rank(lam: float, axes: tuple[str, ...], rows: list[str], extent: tuple[int, ...], size: int, shift: tuple[int, ...] | None = None) -> Prox:
+    """Of lam times the nuclear norms of disjoint blocks: their singular values less lam alpha."""
+    from tensorloom.operators.blocks import svt_pass
+
+    return lambda x, alpha: svt_pass(x, axes, rows, size, size, shift or (0,) * len(axes), extent, lam * alpha)
+
+
 def l1_dct(transform: Linop, lam: float) -> Prox:
     """Soft thresholds in the (orthonormal) cosine domain."""
     return unitary(soft(lam), transform)

@@ -24,6 +24,15 @@ def crop_samples(samples: DataFrame, extent: tuple[float, float, float], crop: f
     return inside.withColumns({a: F.greatest(F.lit(-top), F.least(F.lit(top), F.col(a) * (post * math.pi / x))) for a, x in zip(AXES, half, strict=True)})
 
 
+def crop_samples_to_largest(samples: DataFrame, extent: tuple[float, float, float], crop: float = 1.0) -> DataFrame:
+    """The same selection; what is left is scaled so that the largest coordinate of any axis comes to pi."""
+    inside = samples
+    for a, n in zip(AXES, extent, strict=True):
+        inside = inside.where(F.abs(a) < 0.5 * n * crop)
+    largest = inside.agg(F.max(F.greatest(*[F.abs(a) for a in AXES]))).scalar()
+    return inside.withColumns({a: F.col(a) * (math.pi / F.nullif(largest, F.lit(0.0))) for a in AXES})
+
+
 def center_weights(samples: DataFrame, extent: tuple[float, float, float], width: float) -> DataFrame:
     """Samples within `width` grid cells of the centre on all axes; coordinates in radians."""
     for a, n in zip(AXES, extent, strict=True):

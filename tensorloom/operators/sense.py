@@ -127,6 +127,25 @@ def low_resolution_maps(samples: DataFrame, sizes: Sizes, width: float, key: str
     return out.select("coil", *axes, (F.col("re") / F.col("rss")).alias("sre"), (F.col("im") / F.col("rss")).alias("sim"))
 
 
+def estimate_maps(samples: DataFrame, image: DataFrame, freqs: DataFrame, sizes: Sizes, rounds: int, lam: float, key: str = "s") -> DataFrame:
+    """Coil maps (coil, mode..., sre, sim) that explain the samples of a known image: conjugate gradients on the regularised
+    normal equations, all coils at once (they share no unknowns, so one step length serves a block-diagonal system)."""
+    from tensorloom.operators.linop import plus, scale
+    from tensorloom.operators.prox import scaled
+    from tensorloom.operators.solvers import conjugate_gradient
+
+    axes = list(sizes)
+    known = image.select(*axes, F.col("re").alias("_re"), F.col("im").alias("_im"))
+    z = cplx() * cplx("_").conj()
+    b = checkpointed(nufft1(samples, sizes, key).join(known, axes).select("coil", *axes, z.re.alias("re"), z.im.alias("im")))
+
+    def normal_of(x: DataFrame) -> DataFrame:
+        maps = x.withColumnsRenamed({"re": "sre", "im": "sim"})
+        return plus(coil_map_normal(maps, image, freqs, sizes, key), scale(lam)(x))
+
+    return conjugate_gradient(normal_of, b, scaled(b, 0.0), rounds).withColumnsRenamed({"re": "sre", "im": "sim"})
+
+
 def compress_coils(samples: DataFrame, target: int, key: str = "s", share: float = 1.0) -> DataFrame:
     """(coil, key, re, im) on the `target` strongest virtual coils.
 

@@ -63,6 +63,11 @@ class Tensor:
         """NaN and infinities replaced."""
         return self.map(lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(fill)).otherwise(v))
 
+    def require_finite(self) -> Tensor:
+        """The same tensor; reading a NaN or an infinity from it raises."""
+        bad = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
+        return self.map(lambda v: F.when(bad(v), F.raise_error(F.lit("a value is not finite")).cast("double")).otherwise(v))
+
     def reciprocal(self) -> Tensor:
         """1 / x, with 1 in the place of 0."""
         return self.map(lambda v: 1.0 / F.when(v == 0, F.lit(1.0)).otherwise(v))

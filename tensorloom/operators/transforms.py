@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import cis, cplx
-from tensorloom.operators.linop import Linop, contract, matrix
+from tensorloom.operators.linop import Linop, along, contract, identity, matrix
+
+
+Sizes = dict[str, int]  # axis -> number of cells or modes; modes are centred: -(n // 2) .. n - n // 2 - 1
 
 
 def dft_matrix(spark: SparkSession, n: int, sign: int = -1, centred: bool = False, ortho: bool = False) -> DataFrame:
@@ -25,6 +28,14 @@ def fft(spark: SparkSession, n: int, centred: bool = True, ortho: bool = True) -
     return matrix(dft_matrix(spark, n, -1, centred, ortho))
 
 
+def fft_nd(spark: SparkSession, sizes: Sizes, centred: bool = True, ortho: bool = True) -> Linop:
+    """The transform along several index columns, one after the other; its adjoint is its inverse where orthonormal."""
+    out = identity
+    for axis, n in sizes.items():
+        out = along(fft(spark, n, centred, ortho), axis) @ out
+    return out
+
+
 def ifft(x: DataFrame, n: int, centred: bool = False) -> DataFrame:
     """The inverse of the plain transform."""
     y = contract(dft_matrix(x.sparkSession, n, 1, centred), x, "row", "col", *[c for c in x.columns if c not in ("i", "re", "im")])
@@ -48,9 +59,6 @@ def _phase(modes: tuple[str, ...], freqs: tuple[str, ...]) -> Column:
     return sum((F.col(m) * F.col(k) for m, k in zip(modes, freqs, strict=True)), F.lit(0.0))
 
 
-Sizes = dict[str, int]  # axis -> number of modes, centred: -(n // 2) .. n - n // 2 - 1
-
-
 def on_modes(df: DataFrame, sizes: Sizes) -> DataFrame:
     """Every row once for each mode of a fixed grid."""
     for axis, n in sizes.items():
@@ -184,6 +192,15 @@ def kb_nufft(modes: DataFrame, coords: DataFrame, n: int, oversampling: float =
     return out.withColumns({c: F.col(c) / (width * math.sqrt(n)) * 2 for c in ("re", "im")})
 
 
+def kb_nufft_adjoint(samples: DataFrame, n: int, oversampling: float = 1.25, width: float = 4.0) -> DataFrame:
+    """The adjoint of `kb_nufft`: grid, transform back, crop, apodise; samples are (s, kx, re, im), the modes count from 0."""
+    beta, m = kernel_shape(oversampling, width), math.ceil(oversampling * n)
+    at = samples.withColumn("kx", F.col("kx") * (m / n) + m // 2)
+    cells = gridding(at, {"x": m}, width, beta).withColumnRenamed("x", "i")
+    modes = fft(samples.sparkSession, m, centred=True, ortho=False).H(cells).select((F.col("i") - m // 2 + n // 2).alias("x"), "re", "im").where((F.col("x") >= 0) & (F.col("x") < n))
+    return apodise(modes, {"x": n}, width, beta, oversampling).withColumns({c: F.col(c) / (width * math.sqrt(n)) * 2 for c in ("re", "im")})
+
+
 def direct_dft(points: DataFrame, targets: DataFrame, sign: int = 1, blocks: int = 16) -> DataFrame:
     """Type 3: values at points p, summed at frequencies w with e^(i w p).
 

@@ -29,6 +29,18 @@ def load_raw(spark: SparkSession, path: str, coords: bool = True, kdata: bool =
     return spark.read.format(fmt).load(path).select(*names)
 
 
+def load_maps(spark: SparkSession, path: str, zoom: dict[str, tuple[int, int]] | None = None, fmt: str = "parquet") -> DataFrame:
+    """Coil maps (coil, axes..., re, im); an axis named in `zoom` goes from its old to its new number of places, on lines between neighbours."""
+    from tensorloom.operators.reshape import zoom_linear
+
+    maps = import_tensor(spark, path, fmt)
+    for axis, (old, new) in (zoom or {}).items():
+        keys = [c for c in maps.columns if c not in ("re", "im", axis)]
+        parts = [zoom_linear(maps, axis, old, new, v, *keys) for v in ("re", "im")]
+        maps = parts[0].join(parts[1], [*keys, axis])
+    return maps
+
+
 def load_keyed(spark: SparkSession, path: str, pattern: str = r"_f(\d+)_e(\d+)") -> DataFrame:
     """Files named by frame and encode; both become columns."""
     name = F.input_file_name()

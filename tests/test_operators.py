@@ -263,3 +263,52 @@ def test_batched_solves(spark, rng):
         want |= {(b, i): x for i, x in enumerate(np.linalg.solve(m, y))}
     out = solvers.batched_conjugate_gradient(spark.createDataFrame(rows, "k int, row int, col int, v double"), spark.createDataFrame(rhs, "k int, i int, b double"), "k", 4, 1e-12)
     assert all(math.isclose(r.x, want[r.k, r.i], rel_tol=1e-6) for r in out.collect())
+
+
+def test_transforms_in_two_dimensions(spark, rng):
+    z = rng.normal(size=(4, 6)) + 1j * rng.normal(size=(4, 6))
+    df = spark.createDataFrame([(y, x, float(z[y, x].real), float(z[y, x].imag)) for y in range(4) for x in range(6)], "y int, x int, re double, im double")
+    f = transforms.fft_nd(spark, {"y": 4, "x": 6}, centred=False)
+    assert np.allclose(array(f(df), "y", "x").reshape(4, 6), np.fft.fft2(z, norm="ortho"))
+    assert np.allclose(array(f.N(df), "y", "x").reshape(4, 6), z)
+
+
+def test_windowed_transform_has_its_adjoint(spark, rng):
+    z, y = (rng.normal(size=n) + 1j * rng.normal(size=n) for n in (16, 10))
+    coords = spark.createDataFrame([(s, float(k)) for s, k in enumerate(rng.uniform(-7, 7, 10))], "s int, kx double")
+    modes = vector(spark, z).withColumnRenamed("i", "x")
+    forward = array(transforms.kb_nufft(modes, coords, 16), "s")
+    back = array(transforms.kb_nufft_adjoint(coords.join(vector(spark, y).withColumnRenamed("i", "s"), "s"), 16), "x")
+    assert np.isclose(np.vdot(forward, y), np.vdot(z, back))
+
+
+def test_map_estimation_explains_the_samples(spark, rng):
+    n, coils = 8, 2
+    image = spark.createDataFrame([(i - 4, float(v), 0.5) for i, v in enumerate(rng.uniform(1, 2, n))], "n int, re double, im double")
+    maps = spark.createDataFrame([(c, i - 4, float(rng.normal()), float(rng.normal())) for c in range(coils) for i in range(n)], "coil int, n int, sre double, sim double")
+    freqs = spark.createDataFrame([(s, -math.pi + 2 * math.pi * s / 24) for s in range(24)], "s int, kn double")
+    samples = sense.forward(image, maps, freqs, {"n": n}).join(freqs, "s")
+    found = sense.estimate_maps(samples, image, freqs, {"n": n}, 12, 1e-6)
+    want = {(r.coil, r.n): complex(r.sre, r.sim) for r in maps.collect()}
+    assert all(abs(complex(r.sre, r.sim) - want[r.coil, r.n]) < 1e-3 for r in found.collect())
+
+
+def test_reconstruction_recovers_the_truth(spark, sf_dir):
+    from tensorloom.plans.reconstruction import framed_reconstruction
+
+    errors = framed_reconstruction(spark, sf_dir).collect()
+    assert len(errors) == 3 and all(r.relative_error < 0.1 for r in errors)
+
+
+def test_values_that_are_not_finite_raise(spark):
+    t = Tensor(spark.createDataFrame([(0, 1.0), (1, float("inf"))], "i int, re double"), ("i",))
+    with pytest.raises(Exception, match="not finite"):
+        t.require_finite().df.collect()
+
+
+def test_surface_and_largest(spark):
+    df = spark.createDataFrame([(1, 2.0)], "k int, t double")
+    got = sorted(map(tuple, fitting.objective_surface(df, lambda a, b: (a - F.col("t")) ** 2 + b, {"a": [1, 2], "b": [0, 3]}, "k").collect()))
+    assert got == [(1, 1.0, 0.0, 1.0), (1, 1.0, 3.0, 4.0), (1, 2.0, 0.0, 0.0), (1, 2.0, 3.0, 3.0)]
+    cut = selection.crop_samples_to_largest(spark.createDataFrame([(1.0, 0.5, 0.0), (9.0, 0.0, 0.0)], "kx double, ky double, kz double"), (4.0, 4.0, 4.0))
+    assert [(r.kx, r.ky) for r in cut.collect()] == [(math.pi, math.pi / 2)]

@@ -40,3 +40,9 @@ def test_generators(spark):
     assert generators.spokes(spark, 5, 8, (8, 8, 8)).count() > 20
     assert generators.cartesian(spark, (4, 4, 4), keep=0.25).count() == 16
     assert generators.mid_random(spark, 10).where("abs(kx) <= 3.1416").count() == 10
+
+
+def test_maps_with_zoom(spark, tmp_path):
+    spark.createDataFrame([(c, i, float(i), 1.0) for c in range(2) for i in range(3)], "coil int, x int, re double, im double").write.parquet(str(tmp_path / "maps"))
+    got = sorted(map(tuple, readers.load_maps(spark, str(tmp_path / "maps"), {"x": (3, 5)}).where("coil = 0").select("x", "re", "im").collect()))
+    assert got == [(i, i / 2, 1.0) for i in range(5)]
