@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or (where it is unset, as on one machine) a temporary folder."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tensorloom_dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tensorloom_dir", None)
     if not base:
         base = sc._tensorloom_dir = tempfile.mkdtemp(prefix="tensorloom-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base)
-    return base
+    return base.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
