@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorloom.sources.storage import checkpointed, shared_dir
+
 #: The six ASCII white-space bytes that end a word, and the word pattern built on them.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -26,24 +27,6 @@ CHUNK_BYTES = 4 << 20
 BUCKET_ROWS = 4096
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests, one machine) a temporary one."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(sc, "_tensorloom_dir", None) or tempfile.mkdtemp(prefix="tensorloom-")
-        sc._tensorloom_dir = base
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
