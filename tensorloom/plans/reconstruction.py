@@ -16,7 +16,7 @@ from tensorloom.sources.storage import checkpointed
 C = Catalogue()
 
 
-def lipschitz(maps: DataFrame, image: DataFrame, freqs: DataFrame, sizes: Sizes, rounds: int = 8) -> float:
+def lipschitz(maps: DataFrame, image: DataFrame, freqs: DataFrame, sizes: Sizes, rounds: int = 4) -> float:
     """The largest eigenvalue of the normal operator over all frames, by power iteration."""
     return solvers.power_iteration(lambda x: sense.normal(x, maps, freqs, sizes), image, rounds)[0]
 
@@ -25,10 +25,10 @@ def reconstruct(samples: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Si
     """(frame, mode..., re, im): least squares per frame with a proximal regulariser over all frames together.
 
     samples: (frame, coil, s, k<axis>, re, im); freqs: (frame, s, k<axis>). The frame is one more key in each join and
-    sum, so all frames are solved in one job and frames of different lengths need no padding. The step is 1 / L.
+    sum, so all frames are solved in one job and frames of different lengths need no padding. The step is 1 / L, with a tenth to spare for the power iteration's few rounds.
     """
     start = checkpointed(sense.adjoint(samples, maps, sizes))
-    step = 1 / (1.02 * lipschitz(maps, start, freqs, sizes))
+    step = 1 / (1.1 * lipschitz(maps, start, freqs, sizes))
     descend = lambda x: prox.combine(sense.normal(x, maps, freqs, sizes), start, 1.0, -1.0)
     return solvers.gradient_descent(descend, prox.scaled(start, step), step, rounds, regulariser, accelerated)
 
@@ -50,7 +50,7 @@ def _inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame,
 def framed_reconstruction(spark, sf_dir):
     """Gate, sample, reconstruct with a low-rank prior: relative error of each frame against the known truth (tested to be small)."""
     truth, maps, freqs, samples, sizes = _inputs(spark, sf_dir)
-    image = reconstruct(samples, maps, freqs, sizes, prox.block_low_rank(1e-4, ("n",), ["frame"], (17,), 16, (-8,)), rounds=12)
+    image = reconstruct(samples, maps, freqs, sizes, prox.block_low_rank(1e-4, ("n",), ["frame"], (17,), 16, (-8,)), rounds=5)
     known = truth.select("frame", "n", F.col("re").alias("tre"), F.col("im").alias("tim"))
     error = image.join(known, ["frame", "n"]).groupBy("frame").agg(F.sqrt(F.sum((cplx() - cplx("t")).abs2()) / F.sum(cplx("t").abs2())).alias("e"))
     return rounded(error, "frame", digits=2, relative_error=F.col("e"))
