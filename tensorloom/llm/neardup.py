@@ -204,11 +204,12 @@ def candidates(members: DataFrame, comps: DataFrame, reps: DataFrame, scheme: Sc
 
     Each member that has such a partner is in a link, and members that are near each other are connected by links, but
     only as many links as a spanning tree needs and one for each member are given: their number follows the members',
-    not the pairs'. Buckets with the same members count once. A bucket is cut into blocks of about BLOCK members; each
-    pair of blocks is one group, compared in numpy, so that no task holds a large bucket.
+    not the pairs'. Buckets with the same members count once, and those of two members not at all: their pair is the one
+    with the head. A bucket is cut into blocks of about BLOCK members; each pair of blocks is one group, compared in
+    numpy, so that no task holds a large bucket.
     """
     rows = members.join(comps, members.rep == comps.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64(F.lit("s"), "rep").cast("decimal(38,0)")).alias("s")).where("lo < hi")
+    buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64(F.lit("s"), "rep").cast("decimal(38,0)")).alias("s")).where("lo < hi and n > 2")
     buckets = buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = _dealt(rows.join(buckets, "key"), "key").join(reps.select("rep", "sig"), "rep")
 
