@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import Cplx, cplx
 from tensorloom.operators.linop import Linop, diagonal
-from tensorloom.operators.transforms import Sizes, fft, interpolate, gridding, nufft1, nufft2
+from tensorloom.operators.transforms import Sizes, fft, interpolate, gridding, nufft1, nufft2, toeplitz_kernel
 from tensorloom.sources.storage import checkpointed
 
 Change = Callable[[DataFrame], DataFrame]
@@ -49,6 +49,20 @@ def normal(image: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, ke
     return adjoint(between(samples) if between else samples, maps, sizes, key)
 
 
+def normal_matrix(maps: DataFrame, freqs: DataFrame, n: int, key: str = "s") -> DataFrame:
+    """(batch..., n, m, mre, mim): `normal` on one axis of n modes, written out; the frequencies' other columns are batches.
+
+    The sum over the coils of conj(map at n) times map at m, times the Toeplitz kernel at n - m: exact, and the
+    frequencies are summed once, whatever the number of images that it is applied to.
+    """
+    batch = tuple(c for c in freqs.columns if c not in (key, "kn"))
+    other = maps.select("coil", F.col("n").alias("m"), F.col("sre").alias("_re"), F.col("sim").alias("_im"))
+    z = cplx("s").conj() * cplx("_")
+    gram = maps.join(other, "coil").groupBy("n", "m").agg(F.sum(z.re).alias("gre"), F.sum(z.im).alias("gim")).withColumn("d", F.col("n") - F.col("m"))
+    e = cplx("g") * cplx("m")
+    return gram.join(toeplitz_kernel(freqs, n, batch=batch), "d").select(*batch, "n", "m", e.re.alias("mre"), e.im.alias("mim"))
+
+
 def normal_adjoint(samples: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s") -> DataFrame:
     return forward(adjoint(samples, maps, sizes, key), maps, freqs, sizes, key)
 

@@ -101,12 +101,12 @@ def nufft_normal_adjoint(samples: DataFrame, freqs: DataFrame, sizes: Sizes, key
     return nufft2(nufft1(samples, sizes, key), freqs, sizes, key)
 
 
-def toeplitz_kernel(freqs: DataFrame, n: int, weight: Column | None = None) -> DataFrame:
-    """(d, mre, mim): the sum over frequencies of w e^(i k d) for the differences d of modes, -(n - 1) .. n - 1."""
+def toeplitz_kernel(freqs: DataFrame, n: int, weight: Column | None = None, batch: tuple[str, ...] = ()) -> DataFrame:
+    """(batch..., d, mre, mim): the sum over frequencies of w e^(i k d) for the differences d of modes, -(n - 1) .. n - 1."""
     w = F.lit(1.0) if weight is None else weight
     rows = freqs.withColumn("d", F.explode(F.sequence(F.lit(1 - n), F.lit(n - 1))))
     z = cis(F.col("kn") * F.col("d")).scale(w)
-    return rows.groupBy("d").agg(F.sum(z.re).alias("mre"), F.sum(z.im).alias("mim"))
+    return rows.groupBy(*batch, "d").agg(F.sum(z.re).alias("mre"), F.sum(z.im).alias("mim"))
 
 
 def toeplitz_normal(modes: DataFrame, kernel: DataFrame, n: int) -> DataFrame:

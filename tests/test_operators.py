@@ -300,6 +300,29 @@ def test_reconstruction_recovers_the_truth(spark, sf_dir):
     assert len(errors) == 3 and all(r.relative_error < 0.4 for r in errors)
 
 
+def test_reconstruction_converges_on_whole_tables(spark, sf_dir):
+    from tensorloom.plans import reconstruction
+
+    truth, maps, freqs, _, sizes = reconstruction._inputs(spark, sf_dir)
+    upper = 2 * spark.read.parquet(f"{sf_dir}/events.parquet").agg({"value": "avg"}).first()[0]
+    assert freqs.count() == spark.read.parquet(f"{sf_dir}/events.parquet").where(f"value < {upper}").count()
+    assert sizes == {"n": 32} and maps.count() == 320 and truth.count() == 96
+    errors = reconstruction.framed_reconstruction(spark, sf_dir).collect()
+    assert len(errors) == 3 and all(r.relative_error < 0.1 for r in errors)
+
+
+def test_normal_matrix_is_the_normal_operator(spark, rng):
+    n, maps = 6, spark.createDataFrame([(c, i - 3, float(rng.normal()), float(rng.normal())) for c in range(2) for i in range(6)], "coil int, n int, sre double, sim double")
+    freqs = spark.createDataFrame([(f, s, float(rng.uniform(-3, 3))) for f in range(2) for s in range(5 + f)], "frame int, s int, kn double")
+    image = spark.createDataFrame([(f, i - 3, float(rng.normal()), float(rng.normal())) for f in range(2) for i in range(n)], "frame int, n int, re double, im double")
+    x = {(r.frame, r.n): complex(r.re, r.im) for r in image.collect()}
+    got = dict.fromkeys(x, 0)
+    for r in sense.normal_matrix(maps, freqs, n).collect():
+        got[r.frame, r.n] += complex(r.mre, r.mim) * x[r.frame, r.m]
+    want = {(r.frame, r.n): complex(r.re, r.im) for r in sense.normal(image, maps, freqs, {"n": n}).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_values_that_are_not_finite_raise(spark):
     t = Tensor(spark.createDataFrame([(0, 1.0), (1, float("inf"))], "i int, re double"), ("i",))
     with pytest.raises(Exception, match="not finite"):
