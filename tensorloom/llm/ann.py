@@ -18,8 +18,12 @@ MAX_ROWS = 8192
 #: Vectors and queries in a block, on average: one task scans one block of codes for one block of queries.
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 2048
-#: Candidates of each block that are ranked exactly, per neighbour asked for.
+#: Candidates of each block that are ranked exactly at first, per neighbour asked for.
 RERANK = 20
+#: What a bound is raised by, for the single-precision sums of the tables.
+SLACK = 1e-4
+#: Pairs of a query and a row that are ranked exactly at a time.
+PAIRS = 65536
 
 
 @dataclass(frozen=True)
@@ -112,19 +116,27 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Codebooks | None:
     return Codebooks(np.frombuffer(got[0]["words"]).reshape(got[0]["parts"], 16, got[0]["width"]), got[0]["eta"]) if got else None
 
 
+def residual(unit: np.ndarray, codes: np.ndarray, book: Codebooks) -> np.ndarray:
+    """The norms of the unit vectors less their codewords: no table score is further from the exact cosine."""
+    coded = book.words[np.arange(codes.shape[1]), codes]
+    return np.sqrt(((book.pad(unit) - coded) ** 2).sum(axis=(1, 2)))
+
+
 def index(rows: DataFrame, book: Codebooks) -> DataFrame:
-    """Each row with its code: two parts' four bits in a byte."""
+    """Each row with its code (two parts' four bits in a byte) and the norm of its residual."""
     shared = rows.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes = shared.value.encode(_unit(_matrix(batch.column("v"))))
+                unit = _unit(_matrix(batch.column("v")))
+                codes = shared.value.encode(unit)
+                off = pa.array(residual(unit, codes, shared.value))
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary())], names=[*batch.schema.names, "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary()), off], names=[*batch.schema.names, "code", "off"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, code binary")
+    return rows.mapInArrow(run, "vec_id long, v array<double>, code binary, off double")
 
 
 def _best(score: np.ndarray, k: int) -> np.ndarray:
@@ -137,7 +149,10 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
 
 
 def scan(codes: pd.DataFrame, queries: pd.DataFrame, book: Codebooks, k: int, rerank: int) -> pd.DataFrame:
-    """The k nearest rows of a block for each of a block of queries, by exact cosine among the best of the table scan.
+    """The k nearest rows of a block for each of a block of queries, by exact cosine.
+
+    The best `k * rerank` of the table scan are ranked first; with the k-th of their cosines, every row follows whose
+    table score plus the norm of its residual reaches that, so that no nearer row is left out.
 
     Equal vectors have equal codes: of each vector a block keeps the k + 1 smallest ids, which are all that can be among
     the k nearest of a query that is one of them.
@@ -149,7 +164,7 @@ def scan(codes: pd.DataFrame, queries: pd.DataFrame, book: Codebooks, k: int, re
     keep = (few.groupby(few).cumcount() <= k).to_numpy()
     codes, v = codes[keep], v[keep]
     ids = codes["vec_id"].to_numpy()
-    norm = np.sqrt((v**2).sum(axis=1))
+    norm, off = np.sqrt((v**2).sum(axis=1)), codes["off"].to_numpy()
     packed = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(ids), -1)
     queries = queries.drop_duplicates("vec_id")
     found = []
@@ -163,13 +178,19 @@ def scan(codes: pd.DataFrame, queries: pd.DataFrame, book: Codebooks, k: int, re
         for m in range(packed.shape[1]):
             approx += pairs[:, m].take(packed[:, m], axis=1)
         approx[ids[None] == qid[:, None]] = -np.inf
+        length = np.sqrt((q**2).sum(axis=1))
         top = _best(approx, k * rerank)
-        exact = np.einsum("qcd,qd->qc", v[top], q) / (norm[top] * np.sqrt((q**2).sum(axis=1))[:, None])
-        exact[ids[top] == qid[:, None]] = -np.inf
-        order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-        found.append(pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "vec_id": ids[np.take_along_axis(top, order, 1)].ravel(), "score": np.take_along_axis(exact, order, 1).ravel()}))
-    out = pd.concat(found)
-    return out[out["score"] > -np.inf]
+        first = np.einsum("qcd,qd->qc", v[top], q) / (norm[top] * length[:, None])
+        first[ids[top] == qid[:, None]] = -np.inf
+        kth = np.sort(first, axis=1)[:, -min(k, first.shape[1])]
+        ask, row = np.nonzero((approx + off[None] >= kth[:, None] - SLACK) & np.isfinite(approx))
+        exact = np.concatenate([np.einsum("pd,pd->p", v[row[i : i + PAIRS]], q[ask[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)] or [np.zeros(0)])
+        exact = exact / (norm[row] * length[ask])
+        order = np.lexsort((ids[row], -exact, ask))
+        place = np.arange(len(order)) - np.searchsorted(ask[order], ask[order])
+        order = order[place < k]
+        found.append(pd.DataFrame({"query_id": qid[ask[order]], "vec_id": ids[row[order]], "score": exact[order]}))
+    return pd.concat(found)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, rerank: int = RERANK) -> DataFrame:
@@ -177,8 +198,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, rerank: int = RERANK) -> D
 
     Every row is indexed. Rows are dealt to blocks of about BLOCK_ROWS by a hash of the id, queries to blocks of about
     BLOCK_QUERIES; each pair of blocks is one group, so the work is spread whatever the number of either, and nothing
-    but the codebooks is broadcast. A block ranks its best `k * rerank` rows exactly and gives its k nearest; the k
-    nearest of those follow. A repeated id counts once; vectors that take no part are left out, as queries too.
+    but the codebooks is broadcast. A block gives its k nearest, exactly (see `scan`); the k nearest of those
+    follow. A repeated id counts once; vectors that take no part are left out, as queries too.
     """
     rows = checkpointed(usable(vectors))
     book = train(rows)
@@ -189,7 +210,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, rerank: int = RERANK) -> D
     q_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
     q_block = F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(q_blocks)).cast("int")
-    coded = index(rows, book).select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), "vec_id", "v", "code")
+    coded = index(rows, book).select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), "vec_id", "v", "code", "off")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), q_block.alias("q_block"), "vec_id", "v")
     shared = vectors.sparkSession.sparkContext.broadcast(book)
 

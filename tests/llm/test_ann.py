@@ -63,6 +63,20 @@ def test_ties_copies_and_vectors_that_take_no_part(spark):
     assert share == 1 and [r[0] for r in got[0]] == [20, 21, 22, 23, 24] and set(got) == {0, 50, 100}
 
 
+def test_full_block_with_a_third_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(ann.BLOCK_ROWS, 64))
+    near = np.arange(len(v)) % 3 == 0
+    v[near] = v[0] + 1e-3 * rng.normal(size=(near.sum(), 64))
+    v, ids = v.astype(np.float32).astype(float), np.arange(len(v))
+    asked = ids[ids % 50 == 0]
+    share, got = recall(ann.nearest(frame(spark, ids, v), ann.F.col("vec_id") % 50 == 0), exact(ids, v, asked))
+    hits = {bool(near[q]): [] for q in asked}
+    for q, best in exact(ids, v, asked).items():
+        hits[bool(near[q])].append(len({i for i, _ in best} & {r[0] for r in got[q]}) / 5)
+    assert share == 1, {k: np.mean(x) for k, x in hits.items()}
+
+
 def test_few_rows(spark):
     v = np.eye(3)
     share, got = recall(ann.nearest(frame(spark, [0, 1, 2], v), ann.F.col("vec_id") == 0), {0: [(1, 0.0), (2, 0.0)]})
