@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.cplx import cplx
 from tensorloom.operators.reshape import with_blocks
 from tensorloom.sources.storage import checkpointed
 
@@ -41,10 +42,40 @@ def _thresholded(columns: list[str], rows: list[str], amount: float, soft: bool)
     return run
 
 
-def svt_pass(cube: DataFrame, axes: tuple[str, ...], rows: list[str], size: int, stride: int, shift: tuple[int, ...], extent: tuple[int, ...], amount: float, soft: bool = True) -> DataFrame:
+def _tall(marked: DataFrame, columns: list[str], block: list[str], rows: list[str], amount: float, soft: bool) -> DataFrame:
+    """`_thresholded` for any number of `rows`: no task holds a block, only the Gram matrix of its other side.
+
+    The Gram matrices are grouped sums; their eigenvectors make a small matrix for each block that the rows are
+    multiplied by. Every row has all cells of its block.
+    """
+    cols = [c for c in columns if c not in ("re", "im", *rows)]
+    to = [f"_to_{c}" for c in cols]
+    right = marked.select(*block, *rows, *[F.col(c).alias(t) for c, t in zip(cols, to, strict=True)], F.col("re").alias("_re"), F.col("im").alias("_im"))
+    z = cplx().conj() * cplx("_")
+    gram = marked.join(right, [*block, *rows]).groupBy(*block, *cols, *to).agg(F.sum(z.re).alias("re"), F.sum(z.im).alias("im"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, r, c = _matrix(pdf, cols, to)
+        s2, v = np.linalg.eigh((g + g.conj().T) / 2)
+        s = np.sqrt(np.maximum(s2, 0))
+        if soft:
+            keep = np.where(s > amount, 1 - amount / np.where(s > 0, s, 1), 0) if amount > 0 else np.ones(len(s))
+        else:
+            keep = (np.arange(len(s))[::-1] < int(amount + 0.5)).astype(float)
+        w = ((v * keep) @ v.conj().T)[r, c]
+        return pdf[[*block, *cols, *to]].assign(mre=w.real, mim=w.imag)
+
+    kinds = ", ".join(f"{n} {gram.schema[n].dataType.simpleString()}" for n in (*block, *cols, *to))
+    weights = gram.groupBy(*block).applyInPandas(run, f"{kinds}, mre double, mim double")
+    e = cplx() * cplx("m")
+    out = marked.join(weights, [*block, *cols]).groupBy(*block, *rows, *to).agg(F.sum(e.re).alias("re"), F.sum(e.im).alias("im"))
+    return out.withColumnsRenamed(dict(zip(to, cols, strict=True))).select(*columns)
+
+
+def svt_pass(cube: DataFrame, axes: tuple[str, ...], rows: list[str], size: int, stride: int, shift: tuple[int, ...], extent: tuple[int, ...], amount: float, soft: bool = True, tall: bool = False) -> DataFrame:
     """One pass over disjoint blocks: each is a matrix of `rows` by all its other keys. Cells in no block pass through.
 
-    A block has size^axes cells for each of the other keys: one small group.
+    A block has size^axes cells for each of the other keys: one small group, or (tall) any number of `rows`.
     """
     if stride < size:
         raise ValueError("blocks of one pass must not overlap")
@@ -54,16 +85,19 @@ def svt_pass(cube: DataFrame, axes: tuple[str, ...], rows: list[str], size: int,
     for b in block:
         inside = inside & F.col(b).isNotNull()
 
-    done = marked.where(inside).groupBy(*block).applyInPandas(_thresholded(cube.columns, rows, amount, soft), cube.schema)
+    if tall:
+        done = _tall(marked.where(inside), cube.columns, block, rows, amount, soft)
+    else:
+        done = marked.where(inside).groupBy(*block).applyInPandas(_thresholded(cube.columns, rows, amount, soft), cube.schema)
     return done.unionByName(marked.where(~inside).select(*cube.columns))
 
 
-def svt(cube: DataFrame, axes: tuple[str, ...], rows: list[str], extent: tuple[int, ...], size: int = 16, stride: int = 16, rounds: int = 4, amount: float = 0.01, soft: bool = True, seed: int = 0) -> DataFrame:
+def svt(cube: DataFrame, axes: tuple[str, ...], rows: list[str], extent: tuple[int, ...], size: int = 16, stride: int = 16, rounds: int = 4, amount: float = 0.01, soft: bool = True, seed: int = 0, tall: bool = False) -> DataFrame:
     """Several passes, the first unshifted, the later ones shifted by a seeded draw from 0 to the block size on each axis."""
     rng = np.random.default_rng(seed)
     for k in range(rounds):
         shift = tuple(int(x) for x in (rng.integers(0, size + 1, len(axes)) if k else np.zeros(len(axes))))
-        cube = checkpointed(svt_pass(cube, axes, rows, size, stride, shift, extent, amount, soft))
+        cube = checkpointed(svt_pass(cube, axes, rows, size, stride, shift, extent, amount, soft, tall))
     return cube
 
 
@@ -78,7 +112,7 @@ def random_corners(spark, n: int, size: int, extent: tuple[int, ...], seed: int
     return kept
 
 
-def svt_at(cube: DataFrame, axes: tuple[str, ...], rows: list[str], corners: list[tuple[int, ...]], size: int, amount: float, soft: bool = True) -> DataFrame:
+def svt_at(cube: DataFrame, axes: tuple[str, ...], rows: list[str], corners: list[tuple[int, ...]], size: int, amount: float, soft: bool = True, tall: bool = False) -> DataFrame:
     """Thresholds the blocks at disjoint corners; the corners are a small table that meets the cells by an equal join."""
     spark = cube.sparkSession
     cells = [(k, *at) for k, at in enumerate(corners)]
@@ -86,7 +120,8 @@ def svt_at(cube: DataFrame, axes: tuple[str, ...], rows: list[str], corners: lis
     for a in axes:
         table = table.withColumn(a, F.explode(F.sequence(F.col(f"_{a}"), F.col(f"_{a}") + size - 1)))
     marked = cube.join(table.select("_block", *axes), list(axes), "left")
-    done = marked.where("_block is not null").groupBy("_block").applyInPandas(_thresholded(cube.columns, rows, amount, soft), cube.schema)
+    inside = marked.where("_block is not null")
+    done = _tall(inside, cube.columns, ["_block"], rows, amount, soft) if tall else inside.groupBy("_block").applyInPandas(_thresholded(cube.columns, rows, amount, soft), cube.schema)
     return done.unionByName(marked.where("_block is null").select(*cube.columns))
 
 

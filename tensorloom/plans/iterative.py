@@ -204,14 +204,19 @@ def batched_conjugate_gradient(spark, sf_dir):
     return rounded(solvers.batched_conjugate_gradient(m, b, "label", 3), "label", "i", x=F.col("x"))
 
 
-# blocks: the vectors of a label are frames of an 8 x 8 image
-def _cube(spark, sf_dir) -> DataFrame:
-    t = complex_vectors(spark, sf_dir).df.where("vec_id < 40")
+# blocks: each vector is a frame of a 4 x 8 image
+def _frames(spark, sf_dir) -> DataFrame:
+    t = complex_vectors(spark, sf_dir).df
     return t.select(F.col("vec_id").alias("frame"), F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "re", "im")
 
 
+def _cube(spark, sf_dir) -> DataFrame:
+    """The first frames: for the tests of the operators, not for the queries."""
+    return _frames(spark, sf_dir).where("frame < 40")
+
+
 def _svt(spark, sf_dir, amount: float, soft: bool) -> DataFrame:
-    cube = blocks.svt(_cube(spark, sf_dir), ("y", "x"), ["frame"], (5, 9), size=4, stride=4, rounds=1, amount=amount, soft=soft)
+    cube = blocks.svt(_frames(spark, sf_dir), ("y", "x"), ["frame"], (5, 9), size=4, stride=4, rounds=1, amount=amount, soft=soft, tall=True)
     return rounded(cube, "frame", "y", "x", re=F.col("re"), im=F.col("im"))
 
 
@@ -231,7 +236,7 @@ def svt_hard_blocks(spark, sf_dir):
 def svt_random_blocks(spark, sf_dir):
     """Random blocks, those that overlap an earlier one left out; tested against numpy."""
     corners = blocks.random_corners(spark, 10, 3, (4, 8), seed=3)
-    return rounded(blocks.svt_at(_cube(spark, sf_dir), ("y", "x"), ["frame"], corners, 3, 0.1), "frame", "y", "x", re=F.col("re"), im=F.col("im"))
+    return rounded(blocks.svt_at(_frames(spark, sf_dir), ("y", "x"), ["frame"], corners, 3, 0.1, tall=True), "frame", "y", "x", re=F.col("re"), im=F.col("im"))
 
 
 @C.query()

@@ -323,6 +323,23 @@ def test_normal_matrix_is_the_normal_operator(spark, rng):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_block_thresholds_take_every_frame(spark, sf_dir):
+    def rows(df):
+        return array(df, "frame", "y", "x").reshape(-1, 4, 8)
+
+    whole = rows(iterative._frames(spark, sf_dir))
+    assert len(whole) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    for query, amount, soft in ((iterative.svt_soft_blocks, 0.1, True), (iterative.svt_hard_blocks, 2.0, False)):
+        got = rows(query(spark, sf_dir))
+        for x in (0, 4):
+            want = blocks.threshold(whole[:, :, x : x + 4].reshape(len(whole), 16), amount, soft)
+            assert np.allclose(got[:, :, x : x + 4].reshape(len(whole), 16), want, atol=1e-4)
+    got = rows(iterative.svt_random_blocks(spark, sf_dir))
+    for y, x in blocks.random_corners(spark, 10, 3, (4, 8), seed=3):
+        want = blocks.threshold(whole[:, y : y + 3, x : x + 3].reshape(len(whole), 9), 0.1, True)
+        assert np.allclose(got[:, y : y + 3, x : x + 3].reshape(len(whole), 9), want, atol=1e-4)
+
+
 def test_values_that_are_not_finite_raise(spark):
     t = Tensor(spark.createDataFrame([(0, 1.0), (1, float("inf"))], "i int, re double"), ("i",))
     with pytest.raises(Exception, match="not finite"):
