@@ -17,6 +17,9 @@ from tensorloom.llm.tokens import default_path, piece_tokenizer
 WINDOW = 4096
 #: Ids waiting in open windows of a task, after which these are closed as at the end of the input.
 OPEN_IDS = 4 << 20
+#: Pieces, and ids in them, that a task puts out at a time.
+OUT_PIECES = 4096
+OUT_IDS = 1 << 18
 
 Piece = tuple[int, int, int]  # document, start in it, length
 
@@ -24,9 +27,9 @@ Piece = tuple[int, int, int]  # document, start in it, length
 class SumOfSquares:
     """Open windows by level; a document goes to the level at which the sum of squared counts grows least.
 
-    `count[h]` is how many open windows are filled to h. Putting s ids into a window of level h changes the sum of squares
-    by 2 (count[h + s] - count[h]) + 2, where a full window and an empty one count as nothing; ties go to the fullest
-    window.
+    `count[h]` is how many open windows are filled to h. Putting s ids into a window of level h takes 2 count[h] - 1 off the
+    sum of squares (nothing where h is 0: a new window) and adds 2 count[h + s] + 1 (nothing where that fills the window);
+    ties go to the fullest window.
     """
 
     def __init__(self, window: int = WINDOW):
@@ -38,9 +41,9 @@ class SumOfSquares:
     def place(self, doc: int, start: int, size: int) -> list[Piece] | None:
         """Puts a piece into a window; gives the window back if that fills it."""
         top = self.window - size
-        grows = self.count[size : self.window + 1].copy()  # level after, for each level before from 0 to top
+        grows = 2 * self.count[size : self.window + 1] + 1  # by the level after, for each level before from 0 to top
         grows[-1] = 0
-        grows[1:] -= self.count[1 : top + 1]
+        grows[1:] += 1 - 2 * self.count[1 : top + 1]
         grows[1:][self.count[1 : top + 1] == 0] = np.iinfo(np.int64).max
         level = top - int(np.argmin(grows[::-1]))
         pieces = self.open[level].pop() if level else []
@@ -88,11 +91,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 2,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, base = piece_tokenizer(tokenizer), TaskContext.get().partitionId() << 32
-        bins, held, names, number = SumOfSquares(window), {}, {}, 0
+        bins, held, names, number, pending = SumOfSquares(window), {}, {}, 0, 0
         rows: list[tuple] = []
 
         def emit(pieces: list[Piece]) -> None:
-            nonlocal number
+            nonlocal number, pending
             at = 0
             for key, start, size in pieces:
                 part = held[key][0][start : start + size]
@@ -102,10 +105,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 2,
                 if not held[key][2]:
                     del held[key], names[key]
             number += 1
+            pending += at
 
         def out() -> pa.RecordBatch:
+            nonlocal pending
             cols = list(zip(*rows, strict=True))
             rows.clear()
+            pending = 0
             arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.list_(pa.int64()))] * ids
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * ids)
 
@@ -118,17 +124,22 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 2,
                 whole = len(doc) // window * window
                 for start in range(0, whole, window):
                     emit([(key, start, window)])
+                    if pending >= OUT_IDS:
+                        yield out()
                 if whole < len(doc) and (full := bins.place(key, whole, len(doc) - whole)):
                     emit(full)
                 if bins.ids > OPEN_IDS:
                     for pieces in bins.close():
                         emit(pieces)
-                if len(rows) >= 4096:
+                        if pending >= OUT_IDS:
+                            yield out()
+                if pending >= OUT_IDS or len(rows) >= OUT_PIECES:
                     yield out()
-            if rows:
-                yield out()
+        tok.forget()
         for pieces in bins.close():
             emit(pieces)
+            if pending >= OUT_IDS:
+                yield out()
         if rows:
             yield out()
 
