@@ -21,7 +21,7 @@ WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: Bytes of text that a task turns into numpy arrays at once; a longer text is taken alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Rows that share one prefix-sum bucket, on average.
 BUCKET_ROWS = 4096

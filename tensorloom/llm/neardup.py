@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import checkpointed, lower_ascii, mix, ngram_hashes, slices, utf8, word_hashes
@@ -123,8 +123,8 @@ def chunk_keys(reps: DataFrame, scheme: Scheme) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def within_distance(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most `scheme.distance` values."""
+def within_distance(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in at most `scheme.distance` values and whose sizes allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,49 +132,36 @@ def within_distance(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFr
                 apart = (_signatures(batch.column("sa"), scheme.values) != _signatures(batch.column("sb"), scheme.values)).sum(axis=1)
                 yield batch.select(["a", "b"]).filter(pa.array(apart <= scheme.distance))
 
-    sigs = reps.select("rep", "sig")
-    both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    end = lambda e: classes.select(F.col("rep").alias(e), F.col("sig").alias(f"s{e}"), F.col("n_shingles").alias(f"n{e}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").where(100 * F.least("na", "nb") >= scheme.percent * F.greatest("na", "nb"))
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _full_sets(ids: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(rep, shingles): the whole sets of the documents in `ids` (rep), as bytes of ascending hashes."""
+def _full_sets(ids: DataFrame, docs: DataFrame, scheme: Scheme, arrays: bool = False) -> DataFrame:
+    """(rep, shingles): the whole sets of the documents in `ids` (rep), as ascending hashes: their bytes, or an array of longs."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [s.tobytes() for s in shingle_sets(batch.column("text"), scheme.words)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            sets = [s.view(np.int64) if arrays else s.tobytes() for s in shingle_sets(batch.column("text"), scheme.words)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.list_(pa.int64()) if arrays else pa.binary())], names=["rep", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep").mapInArrow(make, "rep long, shingles binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep")
+    return found.mapInArrow(make, "rep long, shingles " + ("array<long>" if arrays else "binary"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity: 100 * common >= percent * union."""
-    pairs = checkpointed(pairs)
-    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, scheme)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good, before, last = [], None, None
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x = x.as_buffer()
-                if last is None or x != last:
-                    last, before = x, np.frombuffer(x, np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                n = len(before) + len(y)
-                small = min(len(before), len(y))
-                if 100 * small < scheme.percent * (n - small):  # the sizes alone forbid it
-                    good.append(False)
-                    continue
-                at = np.searchsorted(before, y)
-                common = int((before[np.minimum(at, len(before) - 1)] == y).sum())
-                good.append(100 * common >= scheme.percent * (n - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    """The pairs whose full shingle sets reach the similarity: 100 * common >= percent * union.
 
+    Pairs whose sizes alone forbid it go before the sets are sent; the sets meet row by row on the JVM, so that no batch of
+    long sets is ever held.
+    """
+    pairs = checkpointed(pairs)
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, scheme, arrays=True)
     both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct()
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * common >= scheme.percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
 def _ahead(code: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -193,12 +180,22 @@ def _ahead(code: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarra
 
 
 def _dealt(rows: DataFrame, group: str) -> DataFrame:
-    """`rows` (group, rep, comp, blocks) sent to the pairs (p, q) of blocks of their group that they take part in."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """`rows` (group, rep, comp, top, major, minor) sent to the pairs (p, q) of blocks of their group that they take part in.
+
+    Members of the group's largest component `top` have the first `major` blocks and need not meet each other: they are
+    sent to the `minor` other blocks only. The others meet all blocks.
+    """
+    of_top = F.col("comp").eqNullSafe(F.col("top"))
+    deal = F.xxhash64("rep")
+    rows = rows.withColumn("block", F.when(of_top, F.pmod(deal, "major")).otherwise(F.col("major") + F.pmod(deal, "minor")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(of_top, F.col("major")).otherwise(F.lit(0)), F.col("major") + F.col("minor") - 1)))
     return rows.select(group, F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "comp", "block")
 
 
+def _blocks(load: Column) -> Column:
+    return F.ceil(load).cast("int")
+
+
 def candidates(members: DataFrame, comps: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (a, b) within the signature distance that join what is near in the buckets, across components.
 
@@ -206,11 +203,14 @@ def candidates(members: DataFrame, comps: DataFrame, reps: DataFrame, scheme: Sc
     only as many links as a spanning tree needs and one for each member are given: their number follows the members',
     not the pairs'. Buckets with the same members count once, and those of two members not at all: their pair is the one
     with the head. A bucket is cut into blocks of about BLOCK members; each pair of blocks is one group, compared in
-    numpy, so that no task holds a large bucket.
+    numpy, so that no task holds a large bucket; two blocks of the bucket's largest component need not meet.
     """
     rows = members.join(comps, members.rep == comps.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64(F.lit("s"), "rep").cast("decimal(38,0)")).alias("s")).where("lo < hi and n > 2")
-    buckets = buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    buckets = checkpointed(buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n"))
+    tops = rows.join(buckets.where(F.col("n") > BLOCK), "key").groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("t"))
+    first = F.coalesce(F.col("t.count"), F.lit(0))
+    buckets = buckets.join(tops, "key", "left").select("key", F.col("t.comp").alias("top"), _blocks(first / BLOCK).alias("major"), _blocks((F.col("n") - first) / BLOCK).alias("minor"))
     rows = _dealt(rows.join(buckets, "key"), "key").join(reps.select("rep", "sig"), "rep")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -239,15 +239,25 @@ def settled(near: DataFrame, links: DataFrame, comps: DataFrame, classes: DataFr
     """Confirmed links (a, b) across components among the members of the candidate links `near`.
 
     The candidates' own components (with those that are known) are groups; a group is cut into blocks of about BLOCK
-    members or BLOCK_SHINGLES shingles, and each pair of blocks compares all pairs that are within the signature
-    distance and not yet connected, on full sets, where they are. A task gives a spanning tree of the links that it finds.
+    members or BLOCK_SHINGLES shingles (those of its largest component apart, which need not meet each other), and each
+    pair of blocks compares all pairs that are within the signature distance and not yet connected, on full sets, where
+    they are. A task gives a spanning tree of the links that it finds.
     """
     groups = components(links.unionByName(near)).select(F.col("node").alias("rep"), F.col("component").alias("group"))
     ids = checkpointed(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     known = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     rows = ids.join(groups, "rep").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(classes.select("rep", "sig", "n_shingles"), "rep")
     rows = checkpointed(rows)
-    sizes = rows.groupBy("group").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES).alias("x")).select("group", F.ceil("x").cast("int").alias("blocks"))
+    load = lambda n, s: F.greatest(n / BLOCK, s / BLOCK_SHINGLES)
+    sizes = rows.groupBy("group", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).withColumn("x", load(F.col("n"), F.col("s")))
+    sizes = sizes.groupBy("group").agg(F.max(F.struct("x", "comp", "n", "s")).alias("t"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("comps")).where("comps > 1")
+    small = load(F.col("n"), F.col("s")) <= 1
+    sizes = sizes.select(
+        "group",
+        F.when(~small, F.col("t.comp")).alias("top"),
+        F.when(small, 0).otherwise(_blocks(F.col("t.x"))).alias("major"),
+        F.when(small, 1).otherwise(_blocks(load(F.col("n") - F.col("t.n"), F.col("s") - F.col("t.s")))).alias("minor"),
+    )
     dealt = _dealt(rows.join(sizes, "group"), "group").join(rows.select("rep", "sig"), "rep").join(_full_sets(ids, docs, scheme), "rep")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -256,8 +266,13 @@ def settled(near: DataFrame, links: DataFrame, comps: DataFrame, classes: DataFr
         label = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
         size = np.asarray([len(x) // 8 for x in pdf["shingles"]], np.int64)
         start = np.cumsum(size) - size
-        values, column = np.unique(np.frombuffer(b"".join(pdf["shingles"]), np.uint64), return_inverse=True)
-        mark = np.zeros(len(values), np.int64)
+        flat = np.frombuffer(b"".join(pdf.pop("shingles")), np.uint64)
+        values = np.unique(flat)
+        column = np.empty(len(flat), np.int32)
+        for at in range(0, len(flat), 1 << 16):
+            column[at : at + (1 << 16)] = np.searchsorted(values, flat[at : at + (1 << 16)])
+        mark = np.zeros(len(values), np.int32)
+        del flat, values
         for k, other in _ahead(label.copy(), pdf["block"].to_numpy()):
             other = other[(label[other] != label[k]) & (100 * np.minimum(size[other], size[k]) >= scheme.percent * np.maximum(size[other], size[k]))]
             other = other[(sig[other] != sig[k]).sum(axis=1) <= scheme.distance]
@@ -266,11 +281,11 @@ def settled(near: DataFrame, links: DataFrame, comps: DataFrame, classes: DataFr
             own = column[start[k] : start[k] + size[k]]
             mark[own] = 1
             common = np.empty(len(other), np.int64)
-            for at in range(0, len(other), 512):
-                part = other[at : at + 512]
+            for at in range(0, len(other), 256):
+                part = other[at : at + 256]
                 ends = np.cumsum(size[part])
-                flat = np.arange(ends[-1]) + np.repeat(start[part] - (ends - size[part]), size[part])
-                common[at : at + 512] = np.add.reduceat(mark[column[flat]], ends - size[part])
+                place = np.arange(ends[-1]) + np.repeat(start[part] - (ends - size[part]), size[part])
+                common[at : at + 256] = np.add.reduceat(mark[column[place]], ends - size[part])
             mark[own] = 0
             linked = other[100 * common >= scheme.percent * (size[k] + size[other] - common)]
             firsts = linked[np.unique(label[linked], return_index=True)[1]]
@@ -303,7 +318,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("key", "head")
     members = checkpointed(keyed.join(shared, "key"))
     star = members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = checkpointed(confirmed(within_distance(star, reps, scheme), docs, scheme))
+    links = checkpointed(confirmed(within_distance(star, classes, scheme), docs, scheme))
     comps = checkpointed(components(links))
     near = checkpointed(candidates(members.select("key", "rep"), comps, reps, scheme))
     comps = checkpointed(components(links.unionByName(settled(near, links, comps, classes, docs, scheme))))

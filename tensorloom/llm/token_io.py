@@ -159,6 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fi
                 held += len(ids) + 1
                 if held >= FRAME_IDS:
                     yield flush()
+        tok.forget()
         if doc_ids:
             yield flush()
 

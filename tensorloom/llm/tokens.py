@@ -14,7 +14,7 @@ CACHE_PIECES = 400_000
 CACHE_CHARS = 48
 
 #: Unicode's white space but for the space and the line feed.
-_RARE_WHITE = re.compile("[\t\x0b-\r\x85\xa0  -     　]")
+_RARE_WHITE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -53,6 +53,11 @@ class PieceTokenizer(dict):
         self.model = self.tok.model
         self.drops_white = not self.tok.encode("\n", add_special_tokens=False).ids
 
+    def forget(self) -> None:
+        """Drops the remembered pieces: a worker process outlives its task, and other tasks need the memory."""
+        self.clear()
+        self.older = {}
+
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
