@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +23,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that a task turns into numpy arrays at once; a longer text is taken alone.
 CHUNK_BYTES = 1 << 20
 
-#: Rows that share one prefix-sum bucket, on average.
-BUCKET_ROWS = 4096
+#: Rows of a range partition of a running sum, on average.
+BUCKET_ROWS = 16384
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -50,9 +50,27 @@ def hash52(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def prefix_bits(rows: int) -> int:
-    """How many leading bits of a 52-bit hash make buckets of about BUCKET_ROWS rows."""
-    return max(0, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)))
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` kept in the shared folder, each row with a number of its own (`rid`): equal rows can be told apart."""
+    return checkpointed(df.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def running(df: DataFrame, rows: int, order: list[str], size: Column, *group: str, name: str = "before") -> DataFrame:
+    """`df` (of about `rows` rows) with the sum of `size` over the rows before, in the order of `order` within `group`.
+
+    `order` ends in what tells all rows of a group apart. Range partitions in the global order come first, of about
+    BUCKET_ROWS rows, or more if that were more partitions than the session shuffles into; sums run within each of them, and
+    over one row for each partition and group. So a group of any size is spread over many tasks, and so are rows that only
+    the last column of the order tells apart. The groups must not be null.
+    """
+    spark = df.sparkSession
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / BUCKET_ROWS)))
+    ranged = checkpointed(df.repartitionByRange(parts, *group, *order).withColumns({"_part": F.spark_partition_id(), "_size": size.cast("long")}))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy("_part", *group).agg(F.sum("_size").alias("_sum")).select("_part", *group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn(name, F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    return summed.join(firsts, ["_part", *group]).withColumn(name, F.col(name) + F.col("_first")).drop("_part", "_size", "_first")
 
 
 def with_schema(df: DataFrame, **types: str) -> T.StructType:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import WORD, checkpointed, hash52, prefix_bits, word_count
+from tensorloom.llm.common import WORD, checkpointed, hash52, numbered, running, word_count
 
 #: A document is used at most so often.
 MAX_EPOCHS = 3
@@ -17,7 +17,7 @@ def cyclic_weight(rank: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weight=cyclic_weight, share: float = 1.0, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per source its size, weight and target.
+    """Per source its rank, size, weight, target, and `budget`, the words of the whole mix.
 
     The virtual time at which the queues have served `share` of all words is the largest of the levels
     (budget - what the sources before have at most) / weight of the rest, sources taken in the order in which they
@@ -36,77 +36,90 @@ def source_targets(sized: DataFrame, weight=cyclic_weight, share: float = 1.0, e
         .withColumn("budget", F.sum("source_size").over(every) * F.lit(float(share)))
         .withColumn("level", (F.col("budget") - before) / left)
         .withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.max("level").over(every)))
-        .select("source", "source_size", "weight", "target")
+        .select("source", "rank", "source_size", "weight", "target", F.floor("budget").alias("budget"))
     )
 
 
-def queue(docs: DataFrame, weight=cyclic_weight, share: float = 1.0, seed: str = "mix", epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Each document's place in its source's shuffled queue.
+def shuffled(seed: str) -> Column:
+    """A row's place in its source's queue: a hash of its id, source and text, so that only equal rows tie."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "source", "text")]
+    return hash52(F.concat_ws(":", F.lit(seed), *parts))
 
-    Gives doc_id, source, size, source_size, weight, target, `start` (words of the source before it),
-    `virtual_finish` (words of the source up to its end, divided by the weight) and `taken`: the words that are served
-    before the queues together have served the whole budget, each source's queue running up to `epochs` times. The
-    document that is in service at that moment counts with the part that was served.
 
-    The order within a source is a hash of the id. Word sums run in two steps, over hash buckets of a few thousand rows
-    and then over the buckets, so that a source of any size is spread over many tasks. Null texts have size 0 and take
-    nothing; a null source is a source of its own, last in order; repeated rows each count; an empty table gives no
-    rows. Further columns of `docs` are left out, so that no name can clash.
+def packets(placed: DataFrame, epochs: int) -> DataFrame:
+    """(rid, run, rank, words, virtual_finish) of what the queues have begun to serve when the budget is spent.
+
+    Each run of a source's queue serves its documents again. A packet is a document, finished at (words of the source up
+    to its end, all runs) / weight. The one document in service at a source's target is two packets: the words finished by
+    then, and the word in hand; packets not begun by then come after the whole budget.
     """
-    slim = checkpointed(
-        docs.select(row_key().alias("row_key"), "doc_id", "source", word_count(F.col("text")).alias("size"), hash52(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h"))
-    )
-    bits = prefix_bits(slim.count())
-    slim = slim.withColumn("bucket", F.shiftright("h", 52 - bits))
-    targets = source_targets(slim, weight, share, epochs)
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    buckets = (
-        sums.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("bucket_start", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-        .select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "bucket_start", "source_size", "weight", "target")
-    )
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slim.join(buckets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))).withColumn(
-        "start", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    )
-    served = F.round("target").cast("long")
-    taken = sum((served_in(served, e) for e in range(epochs)), F.lit(0).cast("long"))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "weight", "target", "start", ((F.col("start") + F.col("size")) / F.col("weight")).alias("virtual_finish"), taken.alias("taken"), "h", "row_key"
+    done = F.floor("target")
+    before = lambda run: F.col("start") + F.col("source_size") * run
+    head = lambda run: F.greatest(F.lit(0), F.least(F.col("size"), done - before(run)))
+    in_hand = lambda run: ((before(run) <= done) & (done < before(run) + F.col("size")) & (F.col("target") > done)).cast("long")
+    parts = [F.struct(F.lit(run).alias("run"), w.alias("words"), ((before(run) + end) / F.col("weight")).alias("virtual_finish")) for run in range(epochs) for w, end in ((head(run), head(run)), (in_hand(run), head(run) + 1))]
+    return placed.select("rid", "rank", F.explode(F.filter(F.array(*parts), lambda p: p["words"] > 0)).alias("_p")).select("rid", "rank", "_p.*")
+
+
+def queue(docs: DataFrame, weight=cyclic_weight, share: float = 1.0, seed: str = "mix", epochs: int = MAX_EPOCHS, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """Each document's place in its source's shuffled queue, and what the mix takes of it.
+
+    Gives rid, doc_id, source, size, source_size, weight, target, h, `start` (words of the source before it),
+    `virtual_finish` (words of the source up to its end, divided by the weight, in the first run), `runs` (the words taken
+    in each of `epochs` runs of the queue) and `taken`, their sum, beside the columns of `docs` in `carry`.
+
+    The packets of all queues are sorted by virtual finish time over range partitions (ties: by the source's rank); the
+    words before each come from a running sum in two steps, and the mix ends where they reach the budget: `share` of all
+    words. Each source's words are within one of its target. The order within a source is a hash of the row, and equal rows
+    are told apart by a number, so that a source, an id or a row that holds most of the table is spread over many tasks.
+    Null texts have size 0 and take nothing; a null source is a source of its own, last in order; repeated rows each
+    count; an empty table gives no rows. Further columns of `docs` are left out, so that no name can clash.
+    """
+    slim = numbered(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffled(seed).alias("h"), *carry))
+    targets = source_targets(slim, weight, share, epochs).withColumnRenamed("source", "_source")
+    known = slim.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    n = slim.count()
+    placed = checkpointed(running(known, n, ["h", "rid"], F.col("size"), "rank", name="start"))
+    budget = placed.agg(F.max("budget").alias("budget"))
+    served = running(packets(placed, epochs), n, ["virtual_finish", "rank"], F.col("words"))
+    words = F.least(F.col("words"), F.greatest(F.lit(0).cast("long"), budget.scalar() - F.col("before")))
+    taken = served.withColumn("_w", words).where("_w > 0").groupBy("rid").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("run") == e, F.col("_w"))), F.lit(0)) for e in range(epochs)]).alias("_runs"))
+    runs = F.coalesce("_runs", F.array_repeat(F.lit(0).cast("long"), epochs))
+    return (
+        placed.join(taken, "rid", "left")
+        .withColumn("runs", runs)
+        .withColumns({"virtual_finish": (F.col("start") + F.col("size")) / F.col("weight"), "taken": sum((F.col("runs")[e] for e in range(epochs)), F.lit(0).cast("long"))})
+        .drop("_runs", "rank", "budget")
     )
 
 
-def row_key() -> Column:
-    """Tells rows apart that have the same id or none; repeats of a row share it."""
-    return F.xxhash64("doc_id", "source", "text")
-
-
-def served_in(quota: Column, epoch: int) -> Column:
-    """Words of a document served in one run of its source's queue."""
-    return F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), quota - F.col("start") - F.col("source_size") * epoch))
-
-
 def mix(docs: DataFrame, **options) -> DataFrame:
     """`queue()` in the mix's order: sorted by virtual finish time over range partitions."""
-    return queue(docs, **options).repartitionByRange("virtual_finish", "h").sortWithinPartitions("virtual_finish", "h").drop("h", "row_key")
+    return queue(docs, **options).repartitionByRange("virtual_finish", "h").sortWithinPartitions("virtual_finish", "h").drop("h", "rid", "runs")
 
 
 def mixed_documents(docs: DataFrame, epochs: int = MAX_EPOCHS, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken; the last one of a source is cut after its last word taken.
 
-    Keeps the columns of `docs` (n_chars, where present, follows a cut). Repeats of a row are taken alike, as often as
-    the one that is taken most. Texts without words are in no mix and go.
+    Keeps the columns of `docs` (n_chars, where present, follows a cut). Each of several equal rows is taken for itself:
+    their takes are counted, and one of them is repeated so often. Texts without words are in no mix and go.
     """
-    quota = F.round("target").cast("long")
-    slots = F.array(*[F.struct(F.lit(e).alias("epoch"), served_in(quota, e).alias("words")) for e in range(epochs)])
-    runs = queue(docs, epochs=epochs, **options).select("row_key", F.col("size").alias("_size"), F.explode(slots).alias("_run")).where("_run.words > 0")
-    runs = runs.groupBy(F.col("row_key").alias("_key"), "_size", "_run.epoch").agg(F.max("_run.words").alias("_words")).drop("epoch")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    plain = [F.col(c) for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    keys = [F.xxhash64(F.lit(k), *plain).alias(f"_k{k}") for k in (0, 1)]
+    names = ["_k0", "_k1"]
+    queued = checkpointed(queue(docs, epochs=epochs, carry=tuple(keys), **options).select(*names, "rid", F.col("size").alias("_size"), "runs"))
+    again = checkpointed(queued.groupBy(*names).count().where("count > 1").select(*names))
+    takes = queued.select(*names, "rid", "_size", F.explode("runs").alias("_words")).where("_words > 0")
+    rows = docs.select(*keys, F.struct(*docs.columns).alias("_doc"))
+    once = rows.join(again, names, "left_anti").join(takes.drop("rid"), names)
+    one = rows.join(again, names, "left_semi").groupBy(*names).agg(F.first("_doc").alias("_doc"))
+    dealt = takes.join(again, names, "left_semi").groupBy(*names, "_size", "_words", F.pmod("rid", F.lit(256)).alias("_deal")).agg(F.count("*").cast("int").alias("_n"))
+    often = one.join(dealt, names).repartition("_k0", "_words", "_deal").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    every = once.select("_doc", "_size", "_words").unionByName(often.select("_doc", "_size", "_words"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
     short = F.col("_words") < F.col("_size")
-    rows = docs.select(row_key().alias("_row"), F.struct(*docs.columns).alias("_doc"), "text").join(runs, F.col("_row") == F.col("_key"))
-    new = {"text": F.when(short, cut).otherwise(F.col("text")), "n_chars": F.when(short, F.char_length(cut).cast("long")).otherwise(F.col("_doc.n_chars") if "n_chars" in docs.columns else F.lit(None))}
-    return rows.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
+    new = {"text": F.when(short, cut).otherwise(F.col("_doc.text")), "n_chars": F.when(short, F.char_length(cut).cast("long")).otherwise(F.col("_doc.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return every.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -116,8 +129,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS h
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(source, 'null') || ':' || coalesce(text, 'null')), 1, 13) AS BIGINT) AS h
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source COLLATE C ASC NULLS LAST) AS rank FROM sources),
@@ -127,15 +140,21 @@ levels AS (
              - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed),
-targets AS (SELECT source, source_size, weight, least(CAST(cap AS DOUBLE), weight * max(level) OVER ()) AS target FROM levels),
-placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, s.source, t.weight,
-         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       least(size, greatest(0, CAST(round(target) AS BIGINT) - start))
-       + least(size, greatest(0, CAST(round(target) AS BIGINT) - start - source_size))
-       + least(size, greatest(0, CAST(round(target) AS BIGINT) - start - 2 * source_size)) AS taken,
-       source, (start + size) / weight AS virtual_finish
-FROM placed
+targets AS (SELECT source, rank, source_size, weight, least(CAST(cap AS DOUBLE), weight * max(level) OVER ()) AS target FROM levels),
+placed AS MATERIALIZED (
+  SELECT s.rid, s.doc_id, s.size, t.source_size, t.target, s.source, t.rank, t.weight, CAST(floor(t.target) AS BIGINT) AS done,
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY t.rank ORDER BY s.h, s.rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+serving AS (
+  SELECT *, start + run * source_size AS begins, greatest(0, least(size, done - (start + run * source_size))) AS head
+  FROM placed, (SELECT unnest(range(3)) AS run)),
+packets AS (
+  SELECT rid, rank, head AS words, (begins + head) / weight AS finish FROM serving WHERE head > 0
+  UNION ALL SELECT rid, rank, 1, (begins + head + 1) / weight FROM serving WHERE begins <= done AND done < begins + size AND target > done),
+served AS (
+  SELECT rid, words, coalesce(sum(words) OVER (ORDER BY finish, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM packets),
+taken AS (
+  SELECT rid, CAST(sum(least(words, greatest(0, (SELECT sum(size) FROM sized) - before))) AS BIGINT) AS taken FROM served GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, source, (start + size) / weight AS virtual_finish
+FROM placed LEFT JOIN taken USING (rid)
 """

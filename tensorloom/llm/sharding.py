@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import checkpointed, hash52, prefix_bits
+from tensorloom.llm.common import hash52, numbered, running
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -25,13 +25,13 @@ def shard(docs: DataFrame, shards: int = 16, weights: Sequence[float] | None = N
     """doc_id, size, text_crc32, shard, the slot within the shard and the shard if there were one more.
 
     Slots number a shard's rows from 0 without gaps in the order of a hash of the key (ties: the key, the text's checksum, the
-    size). They are made in two steps, within hash buckets of a few thousand rows and over the buckets, so that no task
-    sees a whole shard. Null texts have no bytes: size 1, checksum 0. Rows with equal keys share a shard; repeated rows
+    size, the row's own number). They are a running count over range partitions, so that no task sees a whole shard, nor
+    all rows of a key that is null or comes again. Null texts have no bytes: size 1, checksum 0. Rows with equal keys share a shard; repeated rows
     each have a slot. Further columns are left out.
     """
     weights = list(weights or [1.0] * shards)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = checkpointed(
+    rows = numbered(
         docs.select(
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
@@ -41,13 +41,8 @@ def shard(docs: DataFrame, shards: int = 16, weights: Sequence[float] | None = N
             hash52(F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("h"),
         )
     )
-    rows = rows.withColumn("bucket", F.shiftright("h", 52 - prefix_bits(rows.count())))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "text_crc32", "size")
-    return rows.join(firsts, ["shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.row_number().over(inside) - 1).cast("long").alias("slot"), "grown_shard"
-    )
+    slots = running(rows, rows.count(), ["h", "doc_id", "text_crc32", "size", "rid"], F.lit(1), "shard", name="slot")
+    return slots.select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -103,3 +105,38 @@ def test_weighted_shards(spark):
     out = sharding.shard(docs, 3, [1.0, 1.0, 2.0])
     n = {r["shard"]: r["count"] for r in out.groupBy("shard").count().collect()}
     assert 0.43 < n[2] / 4000 < 0.57
+
+
+def test_equal_rows_are_each_taken_for_themselves(spark, tmp_path, monkeypatch):
+    """Most of the table is one row without an id, again and again: the mix still meets its targets, and shards have slots."""
+    import tensorloom.llm.common as common
+
+    monkeypatch.setattr(common, "BUCKET_ROWS", 64)
+    rows = many(300, random.Random(5)) + [(None, "one and the same row", "en", "hot", 20, 1, 0.0, "")] * 600
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(mixing.query(spark, str(tmp_path)), mixing.ORACLE, str(tmp_path)) == []
+    target = {r["source"]: r["target"] for r in mixing.query(spark, str(tmp_path)).collect()}
+    have = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        have[r["source"]] += words(r["text"])
+    assert all(abs(have[s] - x) <= 1 for s, x in target.items())
+    slots = defaultdict(list)
+    for r in sharding.shard(docs, 4).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shard_is_the_clock_that_rings_first(spark):
+    docs = spark.createDataFrame(many(500, random.Random(3)) + awkward(), SCHEMA)
+    weights = [1.0, 0.5, 2.0, 1.0, 3.0]
+
+    def plain(key, weights):
+        def rings(i):
+            h = int(hashlib.md5(f"{i}:{'null' if key is None else key}".encode()).hexdigest()[:13], 16)
+            return -math.log((h + 0.5) / 2**52) / weights[i]
+
+        return min(range(len(weights)), key=rings)
+
+    for r in sharding.shard(docs, 5, weights).collect():
+        assert r["shard"] == plain(r["doc_id"], weights) and r["grown_shard"] == plain(r["doc_id"], [*weights, 1.0])
