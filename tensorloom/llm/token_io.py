@@ -18,59 +18,73 @@ from tensorloom.llm.tokens import default_path, piece_tokenizer
 FRAME_IDS = 1 << 19
 #: Rows of text per shard file, on average.
 SHARD_ROWS = 4096
-#: A pair becomes a rule if it occurs so often in its frame; rounds of replacement at most.
-MIN_COUNT = 48
-ROUNDS = 8
+#: How often a pair must be replaced to pay for its rule: that has two symbols and a length of 8 bytes, four symbols in all.
+MIN_COUNT = 5
 _BIN_BITS = 18
 
 FRAME_SCHEMA = (
-    "shard int, frame int, shard_ids long, ids_before long, doc_ids binary, doc_nulls binary, doc_lengths binary, doc_symbols binary, symbols binary, rules binary, rule_lengths binary"
+    "shard int, frame int, first_id long, last_id long, shard_ids long, ids_before long, doc_ids binary, doc_nulls binary, doc_lengths binary, doc_symbols binary, symbols binary, rules binary, rule_lengths binary"
 )
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int = MIN_COUNT, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _replaced(seq: np.ndarray, last: np.ndarray, near: np.ndarray, level: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, pair of each place): what a round replaces, of the neighbours that start at `near`.
+
+    The pairs that occur `level` times or more compete for the places where they overlap: the more frequent one has it
+    (ties: the smaller pair), and of a run of one symbol every other place is taken. A pair left with fewer than
+    `min_count` places waits for a later round.
+    """
+    key = seq[near].astype(np.int64) << 32 | seq[near + 1]
+    pairs, times = np.unique(key, return_counts=True)
+    pairs, times = pairs[times >= level], times[times >= level]
+    if not len(pairs):
+        return pairs, near[:0], near[:0]
+    pair = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+    hit = pairs[pair] == key
+    at, pair = near[hit], pair[hit]
+    rank = np.empty(len(pairs), np.int64)
+    rank[np.lexsort((-pairs, times))] = np.arange(len(pairs))
+    mine = rank[pair]
+    joined = np.diff(at) == 1
+    same = joined & (np.diff(pair) == 0)
+    start = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(at)), 0))
+    take = (np.arange(len(at)) - start) % 2 == 0
+    take[1:] &= ~joined | same | (mine[1:] > mine[:-1])
+    take[:-1] &= ~joined | same | (mine[:-1] > mine[1:])
+    pays = np.bincount(pair[take], minlength=len(pairs)) >= min_count
+    take &= pays[pair]
+    return pairs[pays], at[take], (np.cumsum(pays) - 1)[pair[take]]
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one frame: (symbols, symbol ends of the documents, rules as an n x 2 array).
 
-    A round counts all neighbours, makes a rule of every pair that occurs `min_count` times or more, and replaces its
-    occurrences from left to right; pairs reach over no document's end. It ends when a round saves less than half a percent.
+    The most frequent pairs become rules first: a round takes those within half of the largest count (see `_replaced`),
+    the next one starts from what is left. It ends when no pair could be replaced `min_count` times. Pairs reach over no
+    document's end.
     """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
-    symbol = first_rule
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    symbol, level = first_rule, len(seq)
+    while len(seq) > 1:
         bins = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BIN_BITS)
-        often = np.bincount(bins, minlength=1 << _BIN_BITS) >= min_count  # a bin's count bounds its pairs' counts
-        near = np.flatnonzero(often[bins])
-        near = near[~last[near]]
-        key = seq[near].astype(np.int64) << 32 | seq[near + 1]
-        pairs, times = np.unique(key, return_counts=True)
-        pairs = pairs[times >= min_count]
-        if not len(pairs):
-            break
-        rule = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        hit = pairs[rule] == key
-        at, rule = near[hit], rule[hit]
-        run = np.concatenate(([True], np.diff(at) != 1))  # of occurrences that overlap, every other one stays
-        start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - start) % 2 == 0
-        at, rule = at[take], rule[take]
-        used = np.flatnonzero(np.bincount(rule, minlength=len(pairs)))
-        number = np.zeros(len(pairs), np.uint32)
-        number[used] = np.arange(len(used), dtype=np.uint32)
-        new = pairs[used]
+        count = np.bincount(bins, minlength=1 << _BIN_BITS)  # a bin's count bounds its pairs' counts
+        level = max(min_count, min(level, int(count.max())) // 2)
+        near = np.flatnonzero((count >= level)[bins] & ~last[:-1])
+        new, at, rule = _replaced(seq, last, near, level, min_count)
+        if not len(new):
+            if level == min_count:
+                break
+            continue
         rules.append(np.column_stack((new >> 32, new & 0xFFFFFFFF)))
-        seq[at] = number[rule] + np.uint32(symbol)
+        seq[at] = rule + symbol
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
         symbol += len(new)
-        if len(at) < len(ids) // 200:
-            break
     rows = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     stops = np.flatnonzero(last) + 1
     out = np.zeros(len(ends), np.int64)
@@ -93,11 +107,19 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, lengths: np.
     if not len(rules) or not (symbols >= first_rule).any():
         return symbols.astype("<u4")
     lengths = rule_lengths(rules, first_rule) if lengths is None else lengths
-    spelled: list[list[int]] = []
-    for a, b in rules.tolist():
-        spelled.append((spelled[a - first_rule] if a >= first_rule else [a]) + (spelled[b - first_rule] if b >= first_rule else [b]))
-    source = np.concatenate([*(np.asarray(x, np.uint32) for x in spelled), symbols.astype(np.uint32)])
     firsts = np.cumsum(lengths) - lengths
+    source = np.empty(int(lengths.sum()) + len(symbols), np.uint32)
+    source[int(lengths.sum()) :] = symbols
+    spans = list(zip(firsts.tolist(), (firsts + lengths).tolist(), strict=True))
+    for (start, stop), pair in zip(spans, rules.tolist(), strict=True):
+        for x in pair:
+            if x < first_rule:
+                source[start] = x
+                start += 1
+            else:
+                lo, hi = spans[x - first_rule]
+                source[start : start + hi - lo] = source[lo:hi]
+                start += hi - lo
     rule = np.maximum(symbols - first_rule, 0)
     is_rule = symbols >= first_rule
     size = np.where(is_rule, lengths[rule], 1)
@@ -106,6 +128,26 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, lengths: np.
     return source[np.arange(int(size.sum())) + np.repeat(shift, size)].astype("<u4", copy=False)
 
 
+def expand_part(symbols: np.ndarray, rules: np.ndarray, first_rule: int, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """The ids from `start` to `stop` behind a run of symbols: the rules' lengths tell what to pass over, unspelled."""
+    size = np.where(symbols >= first_rule, lengths[np.maximum(symbols.astype(np.int64) - first_rule, 0)], 1) if len(rules) else np.ones(len(symbols), np.int64)
+    ends = np.cumsum(size)
+    lo, hi = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
+    todo, out = symbols[lo:hi][::-1].tolist(), []
+    at = int(ends[lo - 1]) if lo else 0
+    while todo and at < stop:
+        s = todo.pop()
+        n = int(lengths[s - first_rule]) if s >= first_rule else 1
+        if at + n <= start:
+            at += n
+        elif s < first_rule:
+            out.append(s)
+            at += 1
+        else:
+            todo += (int(rules[s - first_rule, 1]), int(rules[s - first_rule, 0]))
+    return np.asarray(out, "<u4")
+
+
 def _frame(shard: int, number: int, before: int, doc_ids: list, lengths: list[int], parts: list[np.ndarray], first_rule: int) -> dict:
     ids = np.concatenate(parts)
     ends = np.cumsum(np.asarray(lengths, np.int64))
@@ -113,6 +155,8 @@ def _frame(shard: int, number: int, before: int, doc_ids: list, lengths: list[in
     return {
         "shard": shard,
         "frame": number,
+        "first_id": min((x for x in doc_ids if x is not None), default=None),
+        "last_id": max((x for x in doc_ids if x is not None), default=None),
         "shard_ids": before + len(ids),
         "ids_before": before,
         "doc_ids": np.asarray([x or 0 for x in doc_ids], "<i8").tobytes(),
@@ -208,19 +252,25 @@ def read_tokens(spark: SparkSession, path: str, first_rule: int = 1 << 20, ids:
     return read.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
-def read_document(spark: SparkSession, path: str, doc_id: int, first_rule: int = 1 << 20) -> list[np.ndarray]:
-    """Random access: the ids of one document (each, if the id comes again), from its own symbols alone."""
+def read_document(spark: SparkSession, path: str, doc_id: int, start: int = 0, stop: int | None = None, first_rule: int = 1 << 20) -> list[np.ndarray]:
+    """Random access: the ids from `start` to `stop` (the end) of one document (each, if the id comes again).
+
+    Only frames whose first and last ids enclose `doc_id` are read (the store's statistics skip the others), and only
+    what lies between the two places is spelled out.
+    """
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 at = np.flatnonzero((np.frombuffer(row["doc_ids"], "<i8") == doc_id) & ~np.frombuffer(row["doc_nulls"], bool))
-                ends = np.concatenate(([0], np.frombuffer(row["doc_symbols"], "<i8")))
-                rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-                found = [expand(np.frombuffer(row["symbols"], "<u4")[ends[i] : ends[i + 1]], rules, first_rule).tobytes() for i in at]
+                ends, size = np.concatenate(([0], np.frombuffer(row["doc_symbols"], "<i8"))), np.frombuffer(row["doc_lengths"], "<i8")
+                rules, lengths = np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["rule_lengths"], "<i8")
+                symbols = np.frombuffer(row["symbols"], "<u4")
+                found = [expand_part(symbols[ends[i] : ends[i + 1]], rules, first_rule, lengths, start, size[i] if stop is None else min(stop, size[i])).tobytes() for i in at]
                 yield pa.RecordBatch.from_pydict({"ids": pa.array(found, pa.binary())})
 
-    rows = spark.read.parquet(path).select("rules", "symbols", "doc_symbols", "doc_ids", "doc_nulls").mapInArrow(pick, "ids binary").collect()
+    frames = spark.read.parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    rows = frames.select("rules", "rule_lengths", "symbols", "doc_symbols", "doc_lengths", "doc_ids", "doc_nulls").mapInArrow(pick, "ids binary").collect()
     return [np.frombuffer(r["ids"], "<u4") for r in rows]
 
 

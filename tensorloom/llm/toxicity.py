@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,8 @@ from tensorloom.llm.common import held_out, lower_ascii, ngram_hashes, slices, t
 
 #: Labelled rows to learn from at most (those with the smallest hashes of their ids).
 MAX_ROWS = 16_000
+#: Distinct features of all these rows at most (4 bytes each in the task that learns): rows after that are left out.
+MAX_FEATURES = 1 << 25
 #: Slots of the hashed features, and the score from which a document counts as toxic.
 BITS = 20
 THRESHOLD = 0.3
@@ -74,10 +75,11 @@ def distinct_features(batch: pa.RecordBatch) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights) learned from the labelled rows outside the held-out fold; the bias has slot 2 ** BITS.
 
-    A bounded sample is learned from: the `max_rows` labelled ids with the smallest hashes, few enough to be broadcast.
-    Their features are made where the texts are read; one task runs FTRL over them, in the order of another hash. Only
-    weights that are not zero reach the driver. Null ids and labels teach nothing; a repeated label counts once, and 1
-    beats 0. Without any such row the model is empty.
+    A bounded sample is learned from: the `max_rows` labelled ids with the smallest hashes, few enough to be broadcast, one
+    row each (of rows that repeat an id, the one whose text has the smallest hash). Their features are made in many tasks;
+    one task reads them as a stream, in the order of another hash, keeps them up to MAX_FEATURES and runs FTRL over them.
+    Only weights that are not zero reach the driver. Null ids and labels teach nothing; a repeated label counts once, and
+    1 beats 0. Without any such row the model is empty.
     """
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -86,7 +88,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(sample), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).where(F.col("doc_id").isNotNull()).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -94,17 +98,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             slots = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("y"), slots], names=["at", "y", "slots"])
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        w = fit(pdf["slots"].tolist(), pdf["y"].to_numpy(float))
-        i = np.flatnonzero(w)
-        return pd.DataFrame({"slot": i, "w": w[i]})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, y, held = [], [], 0
+        for batch in batches:
+            for slots, label in zip(batch.column("slots"), batch.column("y").to_pylist(), strict=True):
+                held += len(slots.values)
+                if held <= MAX_FEATURES:
+                    found.append(slots.values.to_numpy().copy())
+                    y.append(label)
+        if found:
+            w = fit(found, np.asarray(y, float))
+            i = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(w[i])], names=["slot", "w"])
 
     fitted = (
         rows.select(F.xxhash64(F.lit("order"), "doc_id").alias("at"), "y", "text")
         .mapInArrow(extract, "at long, y int, slots array<int>")
-        .groupBy()
-        .applyInPandas(learn, "slot long, w double")
+        .repartition(1)
+        .sortWithinPartitions("at")
+        .mapInArrow(learn, "slot long, w double")
         .toPandas()
     )
     return fitted["slot"].to_numpy(np.int64), fitted["w"].to_numpy(float)

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -54,6 +54,52 @@ def test_files_round_trip(spark, tmp_path, monkeypatch, frame):
     assert token_io.read_document(spark, path, -1) == []
 
 
+def test_parts_of_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_io, "FRAME_IDS", 2000)
+    rows = many(200, random.Random(8))
+    path = str(tmp_path / "out")
+    token_io.write_tokens(spark.createDataFrame(rows, SCHEMA), path, BYTE, shard_rows=80)
+    for d, t, *_ in rows[::37]:
+        want = encoded(BYTE, t) + [0]
+        for start, stop in ((0, 1), (3, 9), (len(want) - 2, None), (0, None), (5, 5), (0, 10**6)):
+            (got,) = token_io.read_document(spark, path, d, start, stop)
+            assert got.tolist() == want[max(0, start) : stop]
+
+
+def plain_repair(seq, min_count):
+    """One pair after the other, the most frequent first; (symbols, rules)."""
+    rules = []
+    while True:
+        count, before = Counter(), None
+        for p in zip(seq, seq[1:]):
+            before = None if p == before else p  # of a run of one symbol every other pair counts
+            count[p] += before is not None
+        if not count or max(count.values()) < min_count:
+            return seq, rules
+        best = min(p for p in count if count[p] == max(count.values()))
+        out, i = [], 0
+        while i < len(seq):
+            both = tuple(seq[i : i + 2]) == best
+            out.append((1 << 20) + len(rules) if both else seq[i])
+            i += 1 + both
+        rules.append(best)
+        seq = out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repair_against_the_plain_one(seed):
+    """As small as by single pairs (within 5 %), and no pair is left that would pay."""
+    rng = random.Random(seed)
+    words = [[rng.randrange(60) for _ in range(rng.randint(1, 7))] for _ in range(40)]
+    seq = [x for _ in range(700) for x in words[min(rng.randrange(40), rng.randrange(40))]]
+    ids = np.asarray(seq, "<u4")
+    symbols, _, rules = token_io.repair(ids, np.asarray([len(ids)]), 1 << 20)
+    assert (token_io.expand(symbols, rules, 1 << 20) == ids).all()
+    want, grammar = plain_repair(seq, token_io.MIN_COUNT)
+    assert len(symbols) + 4 * len(rules) <= 1.05 * (len(want) + 4 * len(grammar))
+    assert plain_repair(symbols.tolist(), token_io.MIN_COUNT)[1] == []
+
+
 def test_repair_compresses_and_expands():
     rng = np.random.default_rng(1)
     for ids in (np.tile([5, 6, 7, 8], 500), np.full(1001, 3), rng.integers(0, 4, 3000), np.asarray([1]), np.zeros(0, int)):
