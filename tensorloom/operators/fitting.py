@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -53,17 +54,22 @@ def ldl_solve(a: list[list[Column]], b: list[Column]) -> list[Column]:
 
 
 def polyfit(df: DataFrame, x: str, y: str, degree: int, *groups: str) -> DataFrame:
-    """(groups, c0, c1, ...) per group, by the normal equations: one pass of sums of powers, about the group's own origin.
+    """(groups, c0, c1, ...) per group, by the normal equations: sums of powers about the group's mean, expanded back.
 
+    The means come from a pass of their own, and meet the rows by a join on the group. Rows with a null or non-finite x or y go.
     Groups with fewer distinct x than coefficients have no answer: null.
     """
-    powers = [F.sum(F.pow(F.col(x), F.lit(float(k)))).alias(f"_p{k}") for k in range(2 * degree + 1)]
-    moments = [F.sum(F.pow(F.col(x), F.lit(float(k))) * F.col(y)).alias(f"_m{k}") for k in range(degree + 1)]
-    whole = F.count_distinct(x).alias("_n")
-    sums = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups).agg(*powers, *moments, whole)
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    rows = df.where(finite(x) & finite(y)).select(F.struct(*groups).alias("_g") if groups else F.lit(0).alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    means = rows.groupBy("_g").agg(F.avg("_x").alias("_mean"))
+    rows = rows.join(means, "_g").withColumn("_x", F.col("_x") - F.col("_mean"))
+    powers = [F.sum(F.pow(F.col("_x"), F.lit(float(k)))).alias(f"_p{k}") for k in range(2 * degree + 1)]
+    moments = [F.sum(F.pow(F.col("_x"), F.lit(float(k))) * F.col("_y")).alias(f"_m{k}") for k in range(degree + 1)]
+    sums = rows.groupBy("_g", "_mean").agg(*powers, *moments, F.count_distinct("_x").alias("_n"))
     solved = ldl_solve([[F.col(f"_p{i + j}") for j in range(i + 1)] for i in range(degree + 1)], [F.col(f"_m{k}") for k in range(degree + 1)])
-    enough = F.col("_n") > degree
-    return sums.select(*groups, *[F.when(enough, c).alias(f"c{k}") for k, c in enumerate(solved)])
+    sums = sums.select("_g", "_n", "_mean", *[c.alias(f"_c{k}") for k, c in enumerate(solved)])
+    back = [sum((F.col(f"_c{k}") * (math.comb(k, j) * F.pow(-F.col("_mean"), F.lit(float(k - j)))) for k in range(j, degree + 1)), F.lit(0.0)) for j in range(degree + 1)]
+    return sums.select(*[F.col(f"_g.{g}").alias(g) for g in groups], *[F.when(F.col("_n") > degree, c).alias(f"c{k}") for k, c in enumerate(back)])
 
 
 # non-linear fits: one row is one problem, its data in arrays
@@ -79,6 +85,7 @@ class Damping:
     shrink: float = 0.5
     grow: float = 4.0
     rounds: int = 60
+    tol: float = 1e-8
 
 
 def safeguarded_solve(h: np.ndarray, g: np.ndarray, floor: float = 1e-8) -> np.ndarray:
@@ -108,34 +115,45 @@ def _objective(model: Callable[..., Dual], names: list[str], p: np.ndarray, cons
 def damped_newton(model: Callable[..., Dual], names: list[str], p: np.ndarray, consts: dict[str, np.ndarray], data: np.ndarray, lower: np.ndarray, upper: np.ndarray, rule: Damping = Damping()) -> tuple[np.ndarray, np.ndarray]:
     """(parameters, objective) of a batch, from the starts `p`: Hessian plus damping, steps kept if they gain what they promise.
 
-    Steps that are not finite count as zero; parameters are clamped to the box; a problem whose projected gradient vanishes rests.
+    Steps that are not finite count as zero; parameters are clamped to the box. A problem rests, and is computed no more,
+    once its projected gradient promises less than `tol` of half the squared data, or a kept step moves its parameters by
+    less than `tol`; the others go on for `rounds` at most.
     """
     p = np.clip(p, lower, upper)
-    lam = np.full(len(p), rule.start)
-    f, g, h = _objective(model, names, p, consts, data)
+    value = np.empty(len(p))
+    live = np.arange(len(p))
+    own, y, lam = dict(consts), data, np.full(len(p), rule.start)
+    f, g, h = _objective(model, names, p, own, y)
+    at, size = p.copy(), 0.5 * (y * y).sum(axis=1) + 1e-300
     eye = np.eye(p.shape[1])
     for _ in range(rule.rounds):
         scale = np.maximum(np.abs(np.einsum("nii->ni", h)), 1e-12)
         damped = h + lam[:, None, None] * scale[:, :, None] * eye
         ok = np.isfinite(damped).all(axis=(1, 2)) & np.isfinite(g).all(axis=1)
-        step = np.zeros_like(p)
+        step = np.zeros_like(at)
         if ok.any():
             step[ok] = safeguarded_solve(damped[ok], g[ok])
         step[~np.isfinite(step)] = 0
-        new = np.clip(p + step, lower, upper)
-        step = new - p
-        f_new, g_new, h_new = _objective(model, names, new, consts, data)
+        new = np.clip(at + step, lower, upper)
+        step = new - at
+        f_new, g_new, h_new = _objective(model, names, new, own, y)
         promised = -(g * step).sum(axis=1) - 0.5 * np.einsum("ni,nij,nj->n", step, h, step)
         with np.errstate(all="ignore"):
             ratio = (f - f_new) / np.where(promised > 0, promised, np.inf)
         keep = np.isfinite(f_new) & (f_new < f) & ((ratio > rule.accept) | (promised <= 0))
+        still = keep & (np.abs(step) <= rule.tol * (np.abs(at) + rule.tol)).all(axis=1)
         lam = np.where(keep & (ratio > rule.good), lam * rule.shrink, np.where(keep, lam, lam * rule.grow)).clip(1e-12, 1e12)
-        p, f = np.where(keep[:, None], new, p), np.where(keep, f_new, f)
+        at, f = np.where(keep[:, None], new, at), np.where(keep, f_new, f)
         g, h = np.where(keep[:, None], g_new, g), np.where(keep[:, None, None], h_new, h)
-        projected = np.where((p <= lower) & (g > 0), 0, np.where((p >= upper) & (g < 0), 0, g))
-        if (np.abs(projected).max(axis=1) < 1e-12).all():
+        projected = np.where((at <= lower) & (g > 0), 0, np.where((at >= upper) & (g < 0), 0, g))
+        rests = still | ((np.abs(projected) * (np.abs(at) + 1e-3)).max(axis=1) <= rule.tol * rule.tol * size) | (lam >= 1e12)
+        p[live[rests]], value[live[rests]] = at[rests], f[rests]
+        live, lam, at, f, g, h, y, size = (x[~rests] for x in (live, lam, at, f, g, h, y, size))
+        own = {n: c[~rests] for n, c in own.items()}
+        if not len(live):
             break
-    return p, f
+    p[live], value[live] = at, f
+    return p, value
 
 
 def fit(df: DataFrame, model: Callable[..., Dual], names: list[str], data: str, consts: list[str], start: dict[str, float | str], lower: dict[str, float], upper: dict[str, float], key: str, restarts: int = 1, seed: int = 0, rule: Damping = Damping()) -> DataFrame:

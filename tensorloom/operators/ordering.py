@@ -22,6 +22,21 @@ def argsort(df: DataFrame, *by: str, name: str = "position") -> DataFrame:
     return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
+def positions(df: DataFrame, within: tuple[str, ...], *by: str, name: str = "position") -> DataFrame:
+    """`df` with each row's place (from 0) in the order of `by`, which should end in a unique column, in its group `within`.
+
+    As `argsort`: places within range partitions, and before each the rows of its group in earlier partitions, of which
+    one count a partition and group is summed. So a group of any size is spread over many tasks. Null is a group.
+    """
+    group = F.struct(*within) if within else F.lit(0)
+    rows = checkpointed(df.repartitionByRange(*within, *by).withColumns({"_part": F.spark_partition_id(), "_group": group}))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part", "_group").count().select("_part", "_group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part", "_group").orderBy(*by)
+    placed = rows.withColumn("_place", F.row_number().over(inside) - 1).join(starts, ["_part", "_group"])
+    return placed.withColumn(name, (F.col("_start") + F.col("_place")).cast("long")).drop("_part", "_group", "_start", "_place")
+
+
 def apply_permutation(values: DataFrame, permutation: DataFrame) -> DataFrame:
     """Gather: values (position, v...) at permutation (position, source)."""
     return permutation.join(values.withColumnRenamed("position", "source"), "source")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.operators.ordering import positions
+
 
 def stack(parts: list[DataFrame], name: str = "child") -> DataFrame:
     """Parts under a new leading index."""
@@ -15,8 +17,7 @@ def stack(parts: list[DataFrame], name: str = "child") -> DataFrame:
 
 def concat_frames(df: DataFrame, enc: str, frame: str, sample: str, name: str = "s") -> DataFrame:
     """The frames' samples one after the other, per encode."""
-    w = Window.partitionBy(enc).orderBy(frame, sample)
-    return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    return positions(df, (enc,), frame, sample, name=name)
 
 
 def flatten_index(df: DataFrame, outer: str, inner: str, length: int, name: str) -> DataFrame:

@@ -77,3 +77,23 @@ def blocks_overlap(a: str, b: str, axes: tuple[str, ...], size: int) -> Column:
     for x in axes:
         out = out & (F.abs(F.col(f"{a}.{x}") - F.col(f"{b}.{x}")) < size)
     return out
+
+
+def overlapping_blocks(df: DataFrame, axes: tuple[str, ...], size: int) -> DataFrame:
+    """(a<axis>..., b<axis>..., pairs): for each two places at which blocks of equal size start and share a cell, the pairs of blocks.
+
+    Blocks at one place are counted before they meet. Places meet in the coarse cells (of the block's size) that their
+    blocks touch, and a pair counts in the first cell that both touch, on all axes: an equal join, whatever the place.
+    """
+    places = df.groupBy(*axes).agg(F.count("*").alias("n"))
+    for x in axes:
+        first = F.floor(F.col(x) / size)
+        places = places.withColumn(f"_first_{x}", first).withColumn(f"_cell_{x}", F.explode(F.array_distinct(F.array(first, F.floor((F.col(x) + size - 1) / size)))))
+    cells = [f"_cell_{x}" for x in axes]
+    a, b = (places.select(*cells, *[F.col(x).alias(f"{e}{x}") for x in axes], *[F.col(f"_first_{x}").alias(f"_{e}{x}") for x in axes], F.col("n").alias(f"_{e}n")) for e in "ab")
+    met = a.join(b, cells)
+    for x in axes:
+        met = met.where((F.col(f"_cell_{x}") == F.greatest(f"_a{x}", f"_b{x}")) & (F.abs(F.col(f"a{x}") - F.col(f"b{x}")) < size))
+    left, right = F.struct(*[F.col(f"a{x}") for x in axes]), F.struct(*[F.col(f"b{x}").alias(f"a{x}") for x in axes])
+    pairs = F.when(left == right, F.expr("_an * (_an - 1) div 2")).otherwise(F.col("_an") * F.col("_bn"))
+    return met.where(left <= right).select(*[f"a{x}" for x in axes], *[f"b{x}" for x in axes], pairs.cast("long").alias("pairs"))

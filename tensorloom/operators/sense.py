@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.functions.cplx import Cplx, cplx
+from tensorloom.functions.cplx import Cplx, cis, cplx
 from tensorloom.operators.linop import Linop, diagonal
-from tensorloom.operators.transforms import Sizes, fft, interpolate, gridding, nufft1, nufft2, toeplitz_kernel
+from tensorloom.operators.transforms import Sizes, fft, fft_nd, gridding, interpolate, nufft1, nufft2, nufft_normal, toeplitz_apply, toeplitz_kernel
 from tensorloom.sources.storage import checkpointed
 
 Change = Callable[[DataFrame], DataFrame]
@@ -49,18 +50,18 @@ def normal(image: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, ke
     return adjoint(between(samples) if between else samples, maps, sizes, key)
 
 
-def normal_matrix(maps: DataFrame, freqs: DataFrame, n: int, key: str = "s") -> DataFrame:
+def normal_matrix(maps: DataFrame, freqs: DataFrame, n: int, key: str = "s", weight: str | None = None) -> DataFrame:
     """(batch..., n, m, mre, mim): `normal` on one axis of n modes, written out; the frequencies' other columns are batches.
 
     The sum over the coils of conj(map at n) times map at m, times the Toeplitz kernel at n - m: exact, and the
     frequencies are summed once, whatever the number of images that it is applied to.
     """
-    batch = tuple(c for c in freqs.columns if c not in (key, "kn"))
+    batch = tuple(c for c in freqs.columns if c not in (key, "kn", weight))
     other = maps.select("coil", F.col("n").alias("m"), F.col("sre").alias("_re"), F.col("sim").alias("_im"))
     z = cplx("s").conj() * cplx("_")
     gram = maps.join(other, "coil").groupBy("n", "m").agg(F.sum(z.re).alias("gre"), F.sum(z.im).alias("gim")).withColumn("d", F.col("n") - F.col("m"))
     e = cplx("g") * cplx("m")
-    return gram.join(toeplitz_kernel(freqs, n, batch=batch), "d").select(*batch, "n", "m", e.re.alias("mre"), e.im.alias("mim"))
+    return gram.join(toeplitz_kernel(freqs, n, F.col(weight) if weight else None, batch), "d").select(*batch, "n", "m", e.re.alias("mre"), e.im.alias("mim"))
 
 
 def normal_adjoint(samples: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s") -> DataFrame:
@@ -98,6 +99,43 @@ def circulant(spark, d: DataFrame, n: int) -> Linop:
     return f.H @ diagonal(d) @ f
 
 
+def circulant_build(maps: DataFrame, freqs: DataFrame, n: int, weight: Column | None = None) -> DataFrame:
+    """(i, mre, mim): the inverse of the diagonal of F A F^H, A being the coil-weighted normal operator on one axis: what
+    `circulant` applies. Where that is zero, 1. Frequencies are (s, kn); weights count as in the normal operator."""
+    w = F.lit(1.0) if weight is None else weight
+    a = normal_matrix(maps, freqs.withColumn("_w", w), n, weight="_w")
+    z = cplx("m") * cis((F.col("n") - F.col("m")) * F.col("i") * (-2 * math.pi / n))
+    at = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
+    sums = a.select("n", "m", "mre", "mim", at).groupBy("i").agg((F.sum(z.re) / n).alias("d"))
+    return sums.select("i", F.coalesce(1 / F.nullif(F.col("d"), F.lit(0.0)), F.lit(1.0)).alias("mre"), F.lit(0.0).alias("mim"))
+
+
+def kspace_preconditioner(maps: DataFrame, freqs: DataFrame, n: int, key: str = "s", weight: Column | None = None) -> DataFrame:
+    """(coil, key, p): the diagonal weights of samples that make A A^H, on one axis, nearest to the identity.
+
+    1 / p at the sample k of coil i is the sum over all samples k' (with their weights) and coils j of
+    |sum over n of s_i(n) conj(s_j(n)) e^(i (k' - k) n)|^2, divided by |s_i|^2: the correlations of map products at each lag d,
+    times the frequencies' kernel at d, summed at k. Nothing is summed over pairs of samples. Where 1 / p is zero, p is 1.
+    """
+    other = maps.select(F.col("coil").alias("_j"), "n", F.col("sre").alias("_re"), F.col("sim").alias("_im"))
+    z = cplx("s") * cplx("_").conj()
+    pair = maps.join(other, "n").select("coil", "_j", "n", z.re.alias("pre"), z.im.alias("pim"))
+    second = pair.select("coil", "_j", F.col("n").alias("m"), F.col("pre").alias("qre"), F.col("pim").alias("qim"))
+    c = cplx("p") * cplx("q").conj()
+    lags = pair.join(second, ["coil", "_j"]).groupBy("coil", (F.col("n") - F.col("m")).cast("int").alias("d")).agg(F.sum(c.re).alias("cre"), F.sum(c.im).alias("cim"))
+    e = cplx("c") * cplx("m")
+    terms = lags.join(toeplitz_kernel(freqs, n, weight), "d").select("coil", "d", e.re.alias("re"), e.im.alias("im"))
+    power = maps.groupBy("coil").agg(F.sum(cplx("s").abs2()).alias("_power"))
+    at = freqs.select(key, "kn").withColumn("d", F.explode(F.sequence(F.lit(1 - n), F.lit(n - 1)))).join(terms, "d")
+    inverse = at.groupBy("coil", key).agg(F.sum((cplx() * cis(-F.col("kn") * F.col("d"))).re).alias("_q")).join(power, "coil")
+    return inverse.select("coil", key, F.coalesce(1 / F.nullif(F.abs(F.col("_q") / F.col("_power")), F.lit(0.0)), F.lit(1.0)).alias("p"))
+
+
+def toeplitz_normal(image: DataFrame, maps: DataFrame, spectrum: DataFrame, sizes: Sizes) -> DataFrame:
+    """`normal` by the frequencies' kernel on the doubled grid (`toeplitz_spectrum`), which all images and coils share."""
+    return combined(toeplitz_apply(weighted(image, maps, sizes), spectrum, sizes), maps, sizes)
+
+
 def density_weights(coords: DataFrame, sizes: Sizes, width: float, beta: float, rounds: int, key: str = "s") -> DataFrame:
     """(key, w): w divided by |G^H G w|, again and again, from w = 1; G is the window's gridding. Where that is zero, w stays.
 
@@ -120,27 +158,58 @@ def gridding_reconstruction(samples: DataFrame, maps: DataFrame, weights: DataFr
     return out.withColumns({c: F.col(c) / F.col("_p") for c in ("re", "im")}).drop("_p")
 
 
-def tukey(r: Column, alpha: float = 0.5) -> Column:
-    """A flat top with cosine flanks; 0 from |r| = 1."""
-    import math
+def tukey(i: Column, n: int, taper: float = 0.95) -> Column:
+    """The window's value at place i of n: a flat top between cosine flanks that take the share `taper` of it, zero at both ends."""
+    t = i / float(max(1, n - 1))
+    edge = F.least(t, 1 - t)
+    return F.when(edge >= taper / 2, F.lit(1.0)).otherwise(0.5 * (1 - F.cos(edge * (2 * math.pi / taper))))
 
-    flank = 0.5 * (1 + F.cos(math.pi * (F.abs(r) - (1 - alpha)) / alpha))
-    return F.when(F.abs(r) >= 1, F.lit(0.0)).when(F.abs(r) <= 1 - alpha, F.lit(1.0)).otherwise(flank)
 
+def low_resolution_maps(samples: DataFrame, sizes: Sizes, weight: str | None = None, taper: float = 0.95, exponent: float = 3.0, key: str = "s", floor: float = 1e-5) -> DataFrame:
+    """Coil maps (coil, mode..., sre, sim): density-weighted type 1, the image's transform times a Tukey window on each axis
+    (raised to `exponent`), back, divided by the root of the sum of squares and its floor.
 
-def low_resolution_maps(samples: DataFrame, sizes: Sizes, width: float, key: str = "s", floor: float = 1e-5) -> DataFrame:
-    """Coil maps (coil, mode..., sre, sim): windowed samples, type 1, divided by the root of the sum of squares and its floor."""
+    samples: (coil, s, k<axis>, re, im) and the column `weight`.
+    """
     from tensorloom.operators.reductions import rss
 
-    axes, window = list(sizes), F.lit(1.0)
-    for a in axes:
-        window = window * F.pow(tukey(F.col(f"k{a}") / width), 3)
-    z = cplx().scale(window)
-    images = nufft1(samples.withColumns({"re": z.re, "im": z.im}), sizes, key)
-    out = images.join(rss(images, *axes, floor=floor), axes)
+    axes = list(sizes)
+    z = cplx().scale(F.col(weight)) if weight else cplx()
+    plain = samples.withColumns({"re": z.re, "im": z.im}).drop(*[weight] * bool(weight))
+    images = nufft1(plain, sizes, key).withColumns({a: (F.col(a) + n // 2).cast("int") for a, n in sizes.items()})
+    f = fft_nd(samples.sparkSession, sizes)
+    window = F.lit(1.0)
+    for a, n in sizes.items():
+        window = window * F.pow(tukey(F.col(a), n, taper), F.lit(exponent))
+    smooth = checkpointed(f.H(f(images).withColumns({c: F.col(c) * window for c in ("re", "im")})).withColumns({a: F.col(a) - n // 2 for a, n in sizes.items()}))
+    out = smooth.join(rss(smooth, *axes, floor=floor), axes)
     return out.select("coil", *axes, (F.col("re") / F.col("rss")).alias("sre"), (F.col("im") / F.col("rss")).alias("sim"))
 
 
+def alternate_maps(samples: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, rounds: int, inner: int = 10, key: str = "s", radius: float = math.inf, decay: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(image, maps) from samples alone, in turns: the image by conjugate gradients on the maps' normal equations, then the
+    maps as each coil's own image divided by the magnitude of that image.
+
+    The coils' images are solved for once, all together, from samples that fade beyond `radius` (radians) of the centre.
+    """
+    from tensorloom.operators.prox import scaled
+    from tensorloom.operators.selection import radius_decay
+    from tensorloom.operators.solvers import conjugate_gradient
+
+    axes = list(sizes)
+    fade = radius_decay(F.sqrt(sum((F.col(f"k{a}") * F.col(f"k{a}") for a in axes), F.lit(0.0))), radius, decay) if math.isfinite(radius) else F.lit(1.0)
+    right = checkpointed(nufft1(samples.withColumns({c: F.col(c) * fade for c in ("re", "im")}), sizes, key))
+    coils = checkpointed(conjugate_gradient(lambda x: nufft_normal(x, freqs, sizes, key), right, scaled(right, 0.0), inner))
+    image = None
+    for _ in range(rounds):
+        b = checkpointed(adjoint(samples, maps, sizes, key))
+        image = conjugate_gradient(lambda x, m=maps: normal(x, m, freqs, sizes, key), b, scaled(b, 0.0) if image is None else image, inner)
+        size = image.select(*axes, cplx().abs().alias("_m"))
+        largest = size.agg(F.max("_m")).scalar()
+        maps = checkpointed(coils.join(size, axes).select("coil", *axes, *[(F.col(c) / (F.col("_m") + largest * 1e-5)).alias(f"s{c}") for c in ("re", "im")]))
+    return image, maps
+
+
 def estimate_maps(samples: DataFrame, image: DataFrame, freqs: DataFrame, sizes: Sizes, rounds: int, lam: float, key: str = "s") -> DataFrame:
     """Coil maps (coil, mode..., sre, sim) that explain the samples of a known image: conjugate gradients on the regularised
     normal equations, all coils at once (they share no unknowns, so one step length serves a block-diagonal system)."""

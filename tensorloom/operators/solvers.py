@@ -47,8 +47,11 @@ def power_iteration(a: Map, x: DataFrame, rounds: int, after: After = None) -> t
     return size, x
 
 
-def conjugate_gradient(a: Map, b: DataFrame, x: DataFrame, rounds: int, tol: float = 0.0, precondition: Map = identity, after: After = None) -> DataFrame:
-    """Solves A x = b for a positive definite A; stops at sqrt(r . z) <= tol, and raises if p . A p is not positive."""
+def conjugate_gradient(a: Map, b: DataFrame, x: DataFrame, rounds: int, tol: float = 0.0, precondition: Map = identity, after: After = None, prox: Map | None = None) -> DataFrame:
+    """Solves A x = b for a positive definite A; stops at sqrt(r . z) <= tol, and raises if p . A p is not positive.
+
+    With `prox`, each round's x goes through it, and the residual is that of the x that comes out.
+    """
     r = checkpointed(combine(b, a(x), 1.0, -1.0))
     z = precondition(r)
     p, rz = z, dot(r, z)
@@ -60,8 +63,9 @@ def conjugate_gradient(a: Map, b: DataFrame, x: DataFrame, rounds: int, tol: flo
         if pap <= 0:
             raise ArithmeticError(f"the operator is not positive definite: p . A p = {pap}")
         step = rz / pap
-        x = _told(checkpointed(combine(x, p, 1.0, step)), k, after)
-        r = checkpointed(combine(r, ap, 1.0, -step))
+        x = combine(x, p, 1.0, step)
+        x = _told(checkpointed(prox(x) if prox else x), k, after)
+        r = checkpointed(combine(b, a(x), 1.0, -1.0) if prox else combine(r, ap, 1.0, -step))
         z = precondition(r)
         before, rz = rz, dot(r, z)
         p = checkpointed(combine(z, p, 1.0, rz / before))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import cis, cplx
-from tensorloom.operators.linop import Linop, along, contract, identity, matrix
-
+from tensorloom.operators.linop import Linop, contract, matrix
 
 Sizes = dict[str, int]  # axis -> number of cells or modes; modes are centred: -(n // 2) .. n - n // 2 - 1
 
@@ -28,12 +31,53 @@ def fft(spark: SparkSession, n: int, centred: bool = True, ortho: bool = True) -
     return matrix(dft_matrix(spark, n, -1, centred, ortho))
 
 
+#: Complex numbers that a task transforms at a time.
+LINE_NUMBERS = 1 << 20
+
+
+def fft_lines(x: DataFrame, axis: str, n: int, sign: int = -1, centred: bool = True, ortho: bool = True) -> DataFrame:
+    """The transform along `axis` (0 .. n - 1; absent places are zero) of each line of (keys..., axis, re, im), in n log n.
+
+    A line, which is what the other keys share, becomes one row of arrays; batches of rows are transformed in numpy, and
+    the n results of each come back as rows. Not orthonormal: the plain sum in both directions.
+    """
+    keys = [c for c in x.columns if c not in (axis, "re", "im")]
+    lines = x.groupBy(*keys).agg(F.collect_list(F.struct(F.col(axis).cast("int").alias("i"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))).alias("_line"))
+    kinds = "".join(f"`{c}` {x.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, LINE_NUMBERS // n)):
+                batch = whole.slice(at, max(1, LINE_NUMBERS // n))
+                line = batch.column("_line")
+                cells = line.flatten()
+                row = np.repeat(np.arange(len(line)), pc.list_value_length(line).to_numpy(zero_copy_only=False))
+                m = np.zeros((len(line), n), complex)
+                m[row, cells.field("i").to_numpy()] = cells.field("re").to_numpy() + 1j * cells.field("im").to_numpy()
+                m = np.fft.ifftshift(m, axes=1) if centred else m
+                m = np.fft.fft(m, axis=1, norm="ortho" if ortho else "backward") if sign < 0 else np.fft.ifft(m, axis=1, norm="ortho" if ortho else "forward")
+                m = np.fft.fftshift(m, axes=1) if centred else m
+                ends = pa.array(np.arange(len(line) + 1) * n, pa.int32())
+                arrays = [pa.ListArray.from_arrays(ends, pa.array(part.ravel())) for part in (m.real, m.imag)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *arrays], names=[*keys, "_re", "_im"])
+
+    done = lines.mapInArrow(run, f"{kinds}_re array<double>, _im array<double>")
+    return done.select(*keys, F.posexplode(F.arrays_zip("_re", "_im")).alias(axis, "_z")).select(*keys, axis, F.col("_z._re").alias("re"), F.col("_z._im").alias("im"))
+
+
 def fft_nd(spark: SparkSession, sizes: Sizes, centred: bool = True, ortho: bool = True) -> Linop:
     """The transform along several index columns, one after the other; its adjoint is its inverse where orthonormal."""
-    out = identity
-    for axis, n in sizes.items():
-        out = along(fft(spark, n, centred, ortho), axis) @ out
-    return out
+
+    def through(sign: int):
+        def run(x: DataFrame) -> DataFrame:
+            columns = x.columns
+            for axis, n in sizes.items():
+                x = fft_lines(x, axis, n, sign, centred, ortho)
+            return x.select(*columns)
+
+        return run
+
+    return Linop(through(-1), through(1))
 
 
 def ifft(x: DataFrame, n: int, centred: bool = False) -> DataFrame:
@@ -110,14 +154,48 @@ def toeplitz_kernel(freqs: DataFrame, n: int, weight: Column | None = None, batc
 
 
 def toeplitz_normal(modes: DataFrame, kernel: DataFrame, n: int) -> DataFrame:
-    """The normal operator as a convolution: a sum over the frequencies once, whatever the number of modes vectors."""
+    """The normal operator as a convolution: a sum over the frequencies once, whatever the number of modes vectors.
+
+    Columns that modes and kernel share are batch keys: each batch has its own kernel. On one axis, by products; on grids,
+    `toeplitz_spectrum` and `toeplitz_apply` do the same with transforms.
+    """
     batch = [c for c in modes.columns if c not in ("n", "re", "im")]
+    same = [c for c in batch if c in kernel.columns]
     z = cplx("m") * cplx()
     lo, hi = -(n // 2), n - n // 2 - 1
-    rows = modes.withColumn("out", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("d", F.col("out") - F.col("n")).join(F.broadcast(kernel), "d")
+    rows = modes.withColumn("out", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("d", F.col("out") - F.col("n")).join(kernel, [*same, "d"])
     return rows.select(*batch, F.col("out").alias("n"), z.re.alias("re"), z.im.alias("im")).groupBy(*batch, "n").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
+def toeplitz_spectrum(freqs: DataFrame, sizes: Sizes, weight: Column | None = None, oversampling: float = 2.0, width: float = 6.0) -> DataFrame:
+    """(batch..., axis..., mre, mim) on the grid of twice the modes: the transform of the sum over frequencies of w e^(i k d).
+
+    Frequencies are (s, k<axis>, batch...) in radians. The lags d, -n .. n - 1 on each axis, come from the gridded type 1.
+    """
+    double = {a: 2 * n for a, n in sizes.items()}
+    ks = [f"k{a}" for a in sizes]
+    batch = [c for c in freqs.columns if c not in ("s", *ks)]
+    w = F.lit(1.0) if weight is None else weight
+    ones = freqs.select("s", *batch, *[(F.col(f"k{a}") * (n / (2 * math.pi))).alias(f"k{a}") for a, n in double.items()], (w * math.sqrt(math.prod(double.values()))).alias("re"), F.lit(0.0).alias("im"))
+    lags = kb_nufft_adjoint(ones, double, oversampling, width)
+    return fft_nd(freqs.sparkSession, double, ortho=False)(lags).withColumnsRenamed({"re": "mre", "im": "mim"})
+
+
+def toeplitz_apply(modes: DataFrame, spectrum: DataFrame, sizes: Sizes) -> DataFrame:
+    """The normal operator on centred modes: pad to twice the size, transform, multiply, transform back, crop."""
+    double = {a: 2 * n for a, n in sizes.items()}
+    axes = list(sizes)
+    same = [c for c in modes.columns if c in spectrum.columns and c not in axes]
+    f = fft_nd(modes.sparkSession, double, ortho=True)
+    padded = modes.withColumns({a: (F.col(a) + n).cast("int") for a, n in sizes.items()})
+    z = cplx("m") * cplx()
+    product = f(padded).join(spectrum, [*same, *axes]).select(*[c for c in modes.columns if c not in ("re", "im")], z.re.alias("re"), z.im.alias("im"))
+    back = f.H(product)
+    for a, n in sizes.items():
+        back = back.withColumn(a, F.col(a) - n).where((F.col(a) >= -(n // 2)) & (F.col(a) < n - n // 2))
+    return back
+
+
 # The published polynomial approximation of the modified Bessel function I0, below and above 3.75.
 _I0_LOW = (1.0, 3.5156229, 3.0899424, 1.2067492, 0.2659732, 0.0360768, 0.0045813)
 _I0_HIGH = (0.39894228, 0.01328592, 0.00225319, -0.00157565, 0.00916281, -0.02057706, 0.02635537, -0.01647633, 0.00392377)
@@ -164,49 +242,77 @@ def gridding(samples: DataFrame, sizes: dict[str, int], width: float, beta: floa
 
 
 def interpolate(grid: DataFrame, coords: DataFrame, sizes: dict[str, int], width: float, beta: float, key: str = "s") -> DataFrame:
-    """The adjoint of gridding: each sample's weighted sum of its cells."""
-    rows = spread(coords.select(key, *[f"k{a}" for a in sizes]), sizes, width, beta).join(grid, list(sizes))
-    return rows.groupBy(key).agg(F.sum(F.col("re") * F.col("weight")).alias("re"), F.sum(F.col("im") * F.col("weight")).alias("im"))
+    """The adjoint of gridding: each sample's weighted sum of its cells. Columns that both sides have are batch keys; others of the grid are kept."""
+    ks = [f"k{a}" for a in sizes]
+    batch = [c for c in grid.columns if c not in (*sizes, "re", "im")]
+    same = [c for c in batch if c in coords.columns]
+    rows = spread(coords.select(key, *same, *ks), sizes, width, beta).join(grid, [*same, *sizes])
+    return rows.groupBy(*batch, key).agg(F.sum(F.col("re") * F.col("weight")).alias("re"), F.sum(F.col("im") * F.col("weight")).alias("im"))
 
 
 def apodise(grid: DataFrame, sizes: dict[str, int], width: float, beta: float, oversampling: float = 1.25) -> DataFrame:
-    """Divides out the kernel's transform: a / sinh(a) on each axis, a = sqrt(beta^2 - (pi width x / (oversampling n))^2)."""
+    """Divides out the kernel's transform: a / sinh(a) on each axis, a = sqrt(beta^2 - (pi width x / grid size)^2)."""
     factor = F.lit(1.0)
     for axis, n in sizes.items():
-        a = F.sqrt(F.greatest(F.lit(1e-12), beta**2 - F.pow(math.pi * width * (F.col(axis) - n // 2) / (oversampling * n), 2)))
+        a = F.sqrt(F.greatest(F.lit(1e-12), beta**2 - F.pow(math.pi * width * (F.col(axis) - n // 2) / math.ceil(oversampling * n), 2)))
         factor = factor * a / F.sinh(a)
     return grid.withColumns({"re": F.col("re") * factor, "im": F.col("im") * factor})
 
 
-def kb_nufft(modes: DataFrame, coords: DataFrame, n: int, oversampling: float = 1.25, width: float = 4.0) -> DataFrame:
-    """Type 2 in one dimension by a Kaiser-Bessel window: apodise, pad, transform, interpolate; divided by sqrt(n).
-
-    Modes (x from 0, re, im) are centred; coordinates are in cycles per field of view, -n/2 .. n/2.
-    """
-    beta, m = kernel_shape(oversampling, width), math.ceil(oversampling * n)
-    shaped = apodise(modes, {"x": n}, width, beta, oversampling)
-    padded = shaped.select((F.col("x") - n // 2 + m // 2).cast("int").alias("i"), "re", "im")
-    spectrum = fft(modes.sparkSession, m, centred=True, ortho=False)(padded).withColumnRenamed("i", "x")
-    at = coords.withColumn("kx", F.col("kx") * (m / n) + m // 2)
-    out = interpolate(spectrum, at, {"x": m}, width, beta)
-    return out.withColumns({c: F.col(c) / (width * math.sqrt(n)) * 2 for c in ("re", "im")})
-
+def _grids(sizes: Sizes | int, oversampling: float) -> tuple[Sizes, Sizes]:
+    sizes = {"x": sizes} if isinstance(sizes, int) else sizes
+    return sizes, {a: math.ceil(oversampling * n) for a, n in sizes.items()}
 
-def kb_nufft_adjoint(samples: DataFrame, n: int, oversampling: float = 1.25, width: float = 4.0) -> DataFrame:
-    """The adjoint of `kb_nufft`: grid, transform back, crop, apodise; samples are (s, kx, re, im), the modes count from 0."""
-    beta, m = kernel_shape(oversampling, width), math.ceil(oversampling * n)
-    at = samples.withColumn("kx", F.col("kx") * (m / n) + m // 2)
-    cells = gridding(at, {"x": m}, width, beta).withColumnRenamed("x", "i")
-    modes = fft(samples.sparkSession, m, centred=True, ortho=False).H(cells).select((F.col("i") - m // 2 + n // 2).alias("x"), "re", "im").where((F.col("x") >= 0) & (F.col("x") < n))
-    return apodise(modes, {"x": n}, width, beta, oversampling).withColumns({c: F.col(c) / (width * math.sqrt(n)) * 2 for c in ("re", "im")})
 
+def kb_nufft(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s") -> DataFrame:
+    """Type 2 on a grid of one to three axes by a Kaiser-Bessel window: apodise, pad, transform, interpolate; divided by the root of the modes' number.
 
-def direct_dft(points: DataFrame, targets: DataFrame, sign: int = 1, blocks: int = 16) -> DataFrame:
+    Modes (axis from 0, re, im, batch...) are centred; coordinates k<axis> are in cycles per field of view, -n/2 .. n/2.
+    A sample touches (width + 1)^axes cells, whatever the number of modes. The relative error is about 1e-2 at 1.25 and 4
+    (the usual choice), and below 1e-3 at 2 and 6. An int is the size of the axis x.
+    """
+    sizes, grid = _grids(sizes, oversampling)
+    beta = kernel_shape(oversampling, width)
+    shaped = apodise(modes, sizes, width, beta, oversampling).withColumns({a: (F.col(a) - n // 2 + grid[a] // 2).cast("int") for a, n in sizes.items()})
+    spectrum = fft_nd(modes.sparkSession, grid, centred=True, ortho=False)(shaped)
+    at = coords.withColumns({f"k{a}": F.col(f"k{a}") * (grid[a] / n) + grid[a] // 2 for a, n in sizes.items()})
+    norm = width ** len(sizes) * math.sqrt(math.prod(sizes.values()))
+    return interpolate(spectrum, at, grid, width, beta, key).withColumns({c: F.col(c) / norm for c in ("re", "im")})
+
+
+def kb_nufft_adjoint(samples: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s") -> DataFrame:
+    """The adjoint of `kb_nufft`: grid, transform back, crop, apodise; samples are (s, k<axis>, re, im, batch...), the modes count from 0."""
+    sizes, grid = _grids(sizes, oversampling)
+    beta = kernel_shape(oversampling, width)
+    ks = [f"k{a}" for a in sizes]
+    batch = [c for c in samples.columns if c not in (key, *ks, "re", "im")]
+    at = samples.withColumns({f"k{a}": F.col(f"k{a}") * (grid[a] / n) + grid[a] // 2 for a, n in sizes.items()})
+    modes = fft_nd(samples.sparkSession, grid, centred=True, ortho=False).H(gridding(at, grid, width, beta, *batch))
+    for a, n in sizes.items():
+        modes = modes.withColumn(a, F.col(a) - grid[a] // 2 + n // 2).where((F.col(a) >= 0) & (F.col(a) < n))
+    norm = width ** len(sizes) * math.sqrt(math.prod(sizes.values()))
+    return apodise(modes, sizes, width, beta, oversampling).withColumns({c: F.col(c) / norm for c in ("re", "im")})
+
+
+def kb_nufft_normal(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s") -> DataFrame:
+    """The adjoint of the windowed transform of the modes."""
+    sizes, _ = _grids(sizes, oversampling)
+    there = kb_nufft(modes, coords, sizes, oversampling, width, key)
+    same = [c for c in there.columns if c in coords.columns and c not in ("re", "im")]
+    return kb_nufft_adjoint(there.join(coords.select(*same, *[f"k{a}" for a in sizes]), same), sizes, oversampling, width, key)
+
+
+#: Points that one block of a direct sum holds, on average.
+BLOCK_POINTS = 4096
+
+
+def direct_dft(points: DataFrame, targets: DataFrame, sign: int = 1, blocks: int | None = None) -> DataFrame:
     """Type 3: values at points p, summed at frequencies w with e^(i w p).
 
-    All pairs are what it asks for. Points are dealt to blocks, targets are sent to every block, and an equal join on the
-    block makes the products; partial sums per task come before the shuffle by target.
+    All pairs are what it asks for. Points are dealt to blocks of about BLOCK_POINTS, targets are sent to every block, and
+    an equal join on the block makes the products; partial sums per task come before the shuffle by target.
     """
+    blocks = blocks or max(16, -(-points.count() // BLOCK_POINTS))
     z = cplx() * cis(F.col("w") * F.col("p") * sign)
     dealt = points.select("p", "re", "im", F.pmod(F.xxhash64("p", "re", "im"), F.lit(blocks)).cast("int").alias("_b"))
     asked = targets.select("t", "w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
@@ -214,6 +320,6 @@ def direct_dft(points: DataFrame, targets: DataFrame, sign: int = 1, blocks: int
     return both.groupBy("t").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-def direct_dft_adjoint(values: DataFrame, targets: DataFrame, sign: int = 1, blocks: int = 16) -> DataFrame:
+def direct_dft_adjoint(values: DataFrame, targets: DataFrame, sign: int = 1, blocks: int | None = None) -> DataFrame:
     """From frequencies (w, re, im) back to points (t, w: the point) with e^(-i w p)."""
     return direct_dft(values.withColumnRenamed("w", "p"), targets, -sign, blocks)

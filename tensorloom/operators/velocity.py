@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.functions.cplx import Cplx, cis, cplx
+from tensorloom.functions.cplx import cis, cplx
 
 #: The five encodes' directions, the first being the reference.
 DIRECTIONS = ((0, 0, 0), (-1, -1, -1), (1, 1, -1), (1, -1, 1), (-1, 1, 1))
@@ -26,48 +27,58 @@ def encode(df: DataFrame, venc: float, *keys: str) -> DataFrame:
     return rows.select(*keys, "enc", z.re.alias("re"), z.im.alias("im"))
 
 
+def _wide(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, _re<e>, _im<e>, _n, mag): the encodes side by side, their number and mean magnitude, in one grouped pass."""
+    pick = lambda e, c: F.max(F.when(F.col("enc") == e, F.col(c)))
+    return df.groupBy(*keys).agg(*[pick(e, c).alias(f"_{c}{e}") for e in range(5) for c in ("re", "im")], F.count("*").alias("_n"), F.avg(cplx().abs()).alias("mag"))
+
+
+def _linear(venc: float) -> dict[str, Column]:
+    first = cplx(re="_re0", im="_im0").conj()
+    phase = [(first * cplx(re=f"_re{e}", im=f"_im{e}")).angle() for e in range(1, 5)]
+    k = factor(venc)
+    return {n: sum((phase[e - 1] * DIRECTIONS[e][axis] for e in range(1, 5)), F.lit(0.0)) / (4 * k) for axis, n in enumerate(("vx", "vy", "vz"))}
+
+
 def decode_linear(df: DataFrame, venc: float, *keys: str) -> DataFrame:
     """(keys, mag, vx, vy, vz) from the five encodes: phases against the first, times E^T / (4 k^2) (E's columns are orthogonal).
 
     mag is the mean magnitude. A missing encode leaves null velocities.
     """
-    pick = lambda e, c: F.max(F.when(F.col("enc") == e, F.col(c)))
-    wide = df.groupBy(*keys).agg(*[pick(e, c).alias(f"_{c}{e}") for e in range(5) for c in ("re", "im")], F.avg(cplx().abs()).alias("mag"))
-    first = cplx(re="_re0", im="_im0").conj()
-    phase = [(first * cplx(re=f"_re{e}", im=f"_im{e}")).angle() for e in range(1, 5)]
-    k = factor(venc)
-    v = [sum((phase[e - 1] * DIRECTIONS[e][axis] for e in range(1, 5)), F.lit(0.0)) / (4 * k) for axis in range(3)]
-    return wide.select(*keys, "mag", *[x.alias(n) for x, n in zip(v, ("vx", "vy", "vz"), strict=True)])
+    return _wide(df, keys).select(*keys, "mag", *[v.alias(n) for n, v in _linear(venc).items()])
 
 
 def decode_nonlinear(df: DataFrame, venc: float, key: str) -> DataFrame:
     """(key, mag, vx, vy, vz, objective): the five complex encodes, fitted as mag e^(i k E v), from the linear decoding.
 
-    The first encode's phase is taken off all encodes. A voxel without all five encodes has nulls.
+    The first encode's phase is taken off all encodes. A voxel without all five encodes has nulls; one with more rows than
+    that has no meaning and goes.
     """
     from tensorloom.operators.fitting import fit
 
-    wide = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("enc", "re", "im"))).alias("_e")).where(F.size("_e") <= len(DIRECTIONS))
-    first = Cplx(F.col("_e")[0]["re"], F.col("_e")[0]["im"])
-    size = first.abs()
-    turned = lambda e: Cplx(e["re"], e["im"]) * first.conj()
-    parts = F.concat(F.transform("_e", lambda e: turned(e).re / size), F.transform("_e", lambda e: turned(e).im / size))
-    data = F.when((F.size("_e") == len(DIRECTIONS)) & (size > 0), parts)
-    axis = lambda a: F.array(*[F.lit(float(d[a])) for d in DIRECTIONS * 2])
-    rows = wide.select(key, data.alias("_d"), *[axis(a).alias(n) for a, n in enumerate(("ex", "ey", "ez"))], F.array(*[F.lit(x) for x in (0.0,) * 5 + (math.pi / 2,) * 5]).alias("off"))
-    rows = rows.join(decode_linear(df, venc, key).select(key, *[F.col(n).alias(f"_{n}") for n in ("mag", "vx", "vy", "vz")]), key)
-    k = factor(venc)
-    low = {"mag": 0.0} | dict.fromkeys(("vx", "vy", "vz"), -2 * venc)
-    high = {"mag": 1e9} | dict.fromkeys(("vx", "vy", "vz"), 2 * venc)
-    model = _signal(k)
-    return fit(rows, model, ["mag", "vx", "vy", "vz"], "_d", ["ex", "ey", "ez", "off"], {n: f"_{n}" for n in ("mag", "vx", "vy", "vz")}, low, high, key)
+    encodes = [cplx(re=f"_re{e}", im=f"_im{e}") for e in range(5)]
+    size = encodes[0].abs()
+    turned = [z * encodes[0].conj() for z in encodes]
+    whole = (F.col("_n") == 5) & (size > 0) & F.lit(True)
+    for z in encodes:
+        whole = whole & z.re.isNotNull() & z.im.isNotNull()
+    data = F.when(whole, F.array(*[z.re / size for z in turned], *[z.im / size for z in turned]))
+    rows = _wide(df, (key,)).where("_n <= 5").select(key, data.alias("_d"), F.col("mag").alias("_mag"), *[v.alias(f"_{n}") for n, v in _linear(venc).items()])
+    names = ["mag", "vx", "vy", "vz"]
+    low = {"mag": 0.0} | dict.fromkeys(names[1:], -2 * venc)
+    high = {"mag": 1e9} | dict.fromkeys(names[1:], 2 * venc)
+    return fit(rows, _signal(factor(venc)), names, "_d", [], {n: f"_{n}" for n in names}, low, high, key)
 
 
 def _signal(k: float):
-    def model(mag, vx, vy, vz, ex, ey, ez, off):
+    """The real parts of the five encodes, then their imaginary parts (a quarter turn behind)."""
+    ex, ey, ez = (np.asarray([[d[axis] for d in DIRECTIONS * 2]], float) * k for axis in range(3))
+    off = np.asarray([[0.0] * 5 + [math.pi / 2] * 5])
+
+    def model(mag, vx, vy, vz):
         from tensorloom.functions.dual import cos
 
-        return mag * cos((vx * ex + vy * ey + vz * ez) * k - off)
+        return mag * cos(vx * ex + vy * ey + vz * ez - off)
 
     return model
 

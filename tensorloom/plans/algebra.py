@@ -168,14 +168,14 @@ def bernoulli_mask(spark, sf_dir):
 
 
 @C.query(
-    """WITH b AS (SELECT c_custkey AS id, c_nationkey AS x, c_custkey % 7 AS y FROM customer WHERE c_custkey < 400)
-    SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.id < b.id AND a.x // 3 = b.x // 3 AND abs(a.x - b.x) < 3 AND abs(a.y - b.y) < 3"""
+    """WITH b AS (SELECT c_nationkey AS x, c_custkey % 7 AS y, count(*) AS n FROM customer GROUP BY 1, 2)
+    SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, CAST(CASE WHEN a.x = b.x AND a.y = b.y THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS BIGINT) AS pairs
+    FROM b a JOIN b ON (a.x, a.y) <= (b.x, b.y) AND abs(a.x - b.x) < 3 AND abs(a.y - b.y) < 3"""
 )
 def blocks_overlap(spark, sf_dir):
-    at = table(spark, sf_dir, "customer").where("c_custkey < 400").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("x"), (F.col("c_custkey") % 7).alias("y"), F.floor(F.col("c_nationkey") / 3).alias("cell"))
-    a, b = at.alias("a"), at.alias("b")
-    near = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")))
-    return near.where(selection.blocks_overlap("a", "b", ("x", "y"), 3)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    """How many pairs of customers' blocks share a cell, for each pair of places."""
+    at = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("x"), (F.col("c_custkey") % 7).alias("y"))
+    return selection.overlapping_blocks(at, ("x", "y"), 3)
 
 
 # reductions over trees: the children are the line items of a return flag

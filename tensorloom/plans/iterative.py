@@ -182,7 +182,7 @@ def admm(spark, sf_dir):
 
 
 @C.query(
-    """WITH e AS (SELECT label, vec_id, unnest(range(4)) AS i, CAST(unnest(embedding[1:4]) AS DOUBLE) AS v FROM embeddings),
+    """WITH e AS (SELECT label, vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
     m AS MATERIALIZED (SELECT a.label, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN 1 ELSE 0 END AS v FROM e a JOIN e b USING (label, vec_id) GROUP BY 1, 2, 3),
     s0 AS MATERIALIZED (SELECT label, i, 0.0::DOUBLE AS x, sum(v) AS r, sum(v) AS p FROM e GROUP BY 1, 2),
     """
@@ -195,8 +195,8 @@ def admm(spark, sf_dir):
     + f" SELECT label, CAST(i AS INTEGER) AS i, {rnd('x')} AS x FROM s3"
 )
 def batched_conjugate_gradient(spark, sf_dir):
-    """A system of four unknowns for each label."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 4).alias("e"))
+    """A system of 64 unknowns for each label."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("e"))
     pairs = e.select("label", F.posexplode("e").alias("row", "v"), "e").select("label", "row", "v", F.posexplode("e").alias("col", "w"))
     one = F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0)
     m = pairs.groupBy("label", "row", "col").agg(F.sum(F.col("v").cast("double") * F.col("w").cast("double")).alias("v")).withColumn("v", F.col("v") + one)
@@ -232,6 +232,13 @@ def svt_hard_blocks(spark, sf_dir):
     return _svt(spark, sf_dir, 2.0, False)
 
 
+@C.query()
+def svt_shifted_passes(spark, sf_dir):
+    """Four passes, the later ones shifted, over all frames; tested against numpy."""
+    cube = blocks.svt(_frames(spark, sf_dir), ("y", "x"), ["frame"], (5, 9), size=2, stride=2, rounds=4, amount=0.1, seed=5, tall=True)
+    return rounded(cube, "frame", "y", "x", re=F.col("re"), im=F.col("im"))
+
+
 @C.query()
 def svt_random_blocks(spark, sf_dir):
     """Random blocks, those that overlap an earlier one left out; tested against numpy."""

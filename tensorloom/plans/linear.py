@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.operators import linop, sense, transforms
-from tensorloom.plans.shared import CENT, PI, Catalogue, complex_vectors, rnd, rounded, table
+from tensorloom.plans.shared import CENT, PI, Catalogue, complex_vectors, rnd, rounded, samples, table
 
 C = Catalogue()
 
-#: 32 complex entries each of the first 40 vectors stand for dense vectors to transform.
+#: The 32 complex entries of each vector stand for dense vectors to transform.
 X = f"{CENT}, x AS (SELECT vec_id, i, re, im FROM cent)"
-#: Samples at 200 frequencies: the orders with small numbers.
-FREQS = f"freqs AS (SELECT o_orderkey AS s, (o_orderkey * 37 % 199) / 199.0 * 2 * {PI} - {PI} AS kn, o_totalprice / 100000 AS re, o_custkey / 1000.0 AS im FROM orders WHERE o_orderkey < 200)"
+#: Each order is a sample at a frequency, and belongs to one of the vectors.
+FREQS = f"freqs AS (SELECT o_orderkey % (SELECT count(*) FROM embeddings) AS vec_id, o_orderkey AS s, (o_orderkey * 37 % 199) / 199.0 * 2 * {PI} - {PI} AS kn, o_totalprice / 100000 AS re, o_custkey / 1000.0 AS im FROM orders)"
 
 
 def _x(spark, sf_dir) -> DataFrame:
@@ -21,11 +21,18 @@ def _x(spark, sf_dir) -> DataFrame:
 
 
 def _freqs(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 200")
+    """Of all orders, for all vectors alike."""
+    o = table(spark, sf_dir, "orders")
     kn = (F.col("o_orderkey") * 37 % 199) / 199.0 * 2 * float(PI) - float(PI)
     return o.select(F.col("o_orderkey").alias("s"), kn.alias("kn"), (F.col("o_totalprice") / 100000).alias("re"), (F.col("o_custkey") / 1000.0).alias("im"))
 
 
+def _own_freqs(spark, sf_dir) -> DataFrame:
+    """Each order belongs to one vector."""
+    n = table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
+    return _freqs(spark, sf_dir).withColumn("vec_id", F.pmod("s", n))
+
+
 def _out(df: DataFrame, *keys: str, digits: int = 3) -> DataFrame:
     return rounded(df, *keys, digits=digits, re=F.col("re"), im=F.col("im"))
 
@@ -147,19 +154,19 @@ def dct3(spark, sf_dir):
     return _out(transforms.dct(spark, 32).H(_x(spark, sf_dir)), "vec_id", "i")
 
 
-_SMALL = "modes AS (SELECT vec_id, i - 16 AS n, re, im FROM x WHERE vec_id < 8)"
+_MODES = "modes AS (SELECT vec_id, i - 16 AS n, re, im FROM x)"
 
 
 def _modes(spark, sf_dir) -> DataFrame:
-    return _x(spark, sf_dir).where("vec_id < 8").select("vec_id", (F.col("i") - 16).alias("n"), "re", "im")
+    return _x(spark, sf_dir).select("vec_id", (F.col("i") - 16).alias("n"), "re", "im")
 
 
-_NUFFT2 = "y AS (SELECT vec_id, f.s, f.kn, sum(m.re * cos(kn * n) + m.im * sin(kn * n)) AS re, sum(m.im * cos(kn * n) - m.re * sin(kn * n)) AS im FROM freqs f, modes m GROUP BY vec_id, f.s, f.kn)"
+_NUFFT2 = "y AS (SELECT vec_id, f.s, f.kn, sum(m.re * cos(kn * n) + m.im * sin(kn * n)) AS re, sum(m.im * cos(kn * n) - m.re * sin(kn * n)) AS im FROM freqs f JOIN modes m USING (vec_id) GROUP BY vec_id, f.s, f.kn)"
 
 
-@C.query(f"WITH {X}, {_SMALL}, {FREQS}, {_NUFFT2} SELECT vec_id, s, {rnd('re', 3)} AS re, {rnd('im', 3)} AS im FROM y")
+@C.query(f"WITH {X}, {_MODES}, {FREQS}, {_NUFFT2} SELECT vec_id, s, {rnd('re', 3)} AS re, {rnd('im', 3)} AS im FROM y")
 def nufft2_direct(spark, sf_dir):
-    return _out(transforms.nufft2(_modes(spark, sf_dir), _freqs(spark, sf_dir).select("s", "kn"), {"n": 32}), "vec_id", "s")
+    return _out(transforms.nufft2(_modes(spark, sf_dir), _own_freqs(spark, sf_dir).select("vec_id", "s", "kn"), {"n": 32}), "vec_id", "s")
 
 
 @C.query(
@@ -170,19 +177,19 @@ def nufft1_direct(spark, sf_dir):
     return _out(transforms.nufft1(_freqs(spark, sf_dir), {"n": 32}), "n")
 
 
-_NORMAL = f"""WITH {X}, {_SMALL}, {FREQS}, {_NUFFT2}, g AS (SELECT unnest(range(-16, 16)) AS n)
+_NORMAL = f"""WITH {X}, {_MODES}, {FREQS}, {_NUFFT2}, g AS (SELECT unnest(range(-16, 16)) AS n)
  SELECT vec_id, CAST(n AS INTEGER) AS n, {rnd('sum(re * cos(kn * n) - im * sin(kn * n))', 2)} AS re, {rnd('sum(re * sin(kn * n) + im * cos(kn * n))', 2)} AS im FROM y, g GROUP BY vec_id, n"""
 
 
 @C.query(_NORMAL)
 def nufft_normal(spark, sf_dir):
-    return _out(transforms.nufft_normal(_modes(spark, sf_dir), _freqs(spark, sf_dir).select("s", "kn"), {"n": 32}), "vec_id", "n", digits=2)
+    return _out(transforms.nufft_normal(_modes(spark, sf_dir), _own_freqs(spark, sf_dir).select("vec_id", "s", "kn"), {"n": 32}), "vec_id", "n", digits=2)
 
 
 @C.query(_NORMAL)
 def toeplitz_normal(spark, sf_dir):
-    """The same result by a convolution."""
-    return _out(transforms.toeplitz_normal(_modes(spark, sf_dir), transforms.toeplitz_kernel(_freqs(spark, sf_dir), 32), 32), "vec_id", "n", digits=2)
+    """The same result by a convolution, with a kernel for each vector."""
+    return _out(transforms.toeplitz_normal(_modes(spark, sf_dir), transforms.toeplitz_kernel(_own_freqs(spark, sf_dir), 32, batch=("vec_id",)), 32), "vec_id", "n", digits=2)
 
 
 _BETA = transforms.kernel_shape()
@@ -246,16 +253,54 @@ def direct_dft(spark, sf_dir):
 
 @C.query()
 def kb_nufft(spark, sf_dir):
-    """The windowed type 2; tested against the direct one."""
-    modes = _modes(spark, sf_dir).where("vec_id = 0").select((F.col("n") + 16).alias("x"), "re", "im")
-    coords = _freqs(spark, sf_dir).select("s", (F.col("kn") * 32 / (2 * float(PI))).alias("kx"))
-    return _out(transforms.kb_nufft(modes, coords, 32), "s")
+    """The windowed type 2 of all vectors; tested against the direct one."""
+    modes = _modes(spark, sf_dir).select("vec_id", (F.col("n") + 16).alias("x"), "re", "im")
+    return _out(transforms.kb_nufft(modes, _cycles(spark, sf_dir), 32, 2.0, 6.0), "vec_id", "s", digits=6)
+
+
+def _cycles(spark, sf_dir) -> DataFrame:
+    return _own_freqs(spark, sf_dir).select("vec_id", "s", (F.col("kn") * 32 / (2 * float(PI))).alias("kx"))
+
+
+@C.query()
+def kb_nufft_normal(spark, sf_dir):
+    """The windowed normal operator of all vectors; tested against the direct one."""
+    modes = _modes(spark, sf_dir).select("vec_id", (F.col("n") + 16).alias("x"), "re", "im")
+    return _out(transforms.kb_nufft_normal(modes, _cycles(spark, sf_dir), 32, 2.0, 6.0), "vec_id", "x", digits=6)
+
+
+@C.query()
+def kb_nufft_3d(spark, sf_dir):
+    """Each vector as an image of 4 x 4 x 2 modes, at the coordinates of all line items dealt to it; tested against the direct sum."""
+    modes, coords = _boxes(spark, sf_dir)
+    return _out(transforms.kb_nufft(modes, coords, BOX, 2.0, 6.0), "vec_id", "s", digits=6)
 
 
-# coils: labels' mean vectors are the maps, the first vectors the images
-_SENSE = f"""{X}, maps AS (SELECT label AS coil, i - 16 AS n, avg(re) AS sre, avg(im) AS sim FROM cent GROUP BY label, i), {_SMALL.replace('modes', 'image')}, {FREQS},
+@C.query()
+def toeplitz_grid_normal(spark, sf_dir):
+    """The normal operator in three dimensions on the doubled grid, one kernel for all images; tested against the direct sums."""
+    modes, _ = _boxes(spark, sf_dir)
+    centred = modes.withColumns({a: F.col(a) - n // 2 for a, n in BOX.items()})
+    spectrum = transforms.toeplitz_spectrum(samples(spark, sf_dir).select("s", "kx", "ky", "kz"), BOX)
+    return _out(transforms.toeplitz_apply(centred, spectrum, BOX), "vec_id", "x", "y", "z", digits=6)
+
+
+#: The axes of a vector's 32 complex entries as a small volume.
+BOX = {"x": 4, "y": 4, "z": 2}
+
+
+def _boxes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(modes, coordinates in cycles): each line item is a sample of one vector."""
+    at = _x(spark, sf_dir).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("x"), (F.floor(F.col("i") / 2) % 4).cast("int").alias("y"), (F.col("i") % 2).cast("int").alias("z"), "re", "im")
+    n = table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
+    cycles = [(F.col(f"k{a}") * (m / (2 * float(PI)))).alias(f"k{a}") for a, m in BOX.items()]
+    return at, samples(spark, sf_dir).select("s", F.pmod("s", n).alias("vec_id"), *cycles)
+
+
+# coils: labels' mean vectors are the maps, all vectors the images
+_SENSE = f"""{X}, maps AS (SELECT label AS coil, i - 16 AS n, avg(re) AS sre, avg(im) AS sim FROM cent GROUP BY label, i), {_MODES.replace('modes', 'image')}, {FREQS},
  prod AS (SELECT vec_id, coil, n, re * sre - im * sim AS re, re * sim + im * sre AS im FROM image JOIN maps USING (n)),
- y AS (SELECT vec_id, coil, f.s, f.kn, sum(m.re * cos(kn * n) + m.im * sin(kn * n)) AS re, sum(m.im * cos(kn * n) - m.re * sin(kn * n)) AS im FROM freqs f, prod m GROUP BY vec_id, coil, f.s, f.kn),
+ y AS (SELECT vec_id, coil, f.s, f.kn, sum(m.re * cos(kn * n) + m.im * sin(kn * n)) AS re, sum(m.im * cos(kn * n) - m.re * sin(kn * n)) AS im FROM freqs f JOIN prod m USING (vec_id) GROUP BY vec_id, coil, f.s, f.kn),
  g AS (SELECT unnest(range(-16, 16)) AS n)"""
 _BACK = """b AS (SELECT vec_id, coil, n, sum(re * cos(kn * n) - im * sin(kn * n)) AS re, sum(re * sin(kn * n) + im * cos(kn * n)) AS im FROM y2, g GROUP BY vec_id, coil, n)"""
 _COMBINED = f"SELECT vec_id, CAST(n AS INTEGER) AS n, {rnd('sum(re * sre + im * sim)', 2)} AS re, {rnd('sum(im * sre - re * sim)', 2)} AS im FROM b JOIN maps USING (coil, n) GROUP BY vec_id, n"
@@ -266,32 +311,37 @@ def _sense(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return _modes(spark, sf_dir), maps, _freqs(spark, sf_dir).select("s", "kn")
 
 
+def _own_sense(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each image with samples of its own: batches of unequal lengths."""
+    return *_sense(spark, sf_dir)[:2], _own_freqs(spark, sf_dir).select("vec_id", "s", "kn")
+
+
 @C.query(f"WITH {_SENSE} SELECT vec_id, coil, s, {rnd('re', 3)} AS re, {rnd('im', 3)} AS im FROM y")
 def sense_forward(spark, sf_dir):
-    image, maps, freqs = _sense(spark, sf_dir)
+    image, maps, freqs = _own_sense(spark, sf_dir)
     return _out(sense.forward(image, maps, freqs, {"n": 32}), "vec_id", "coil", "s")
 
 
 @C.query(
-    f"""WITH {_SENSE}, y2 AS (SELECT vec_id, coil, s, kn, f.re, f.im FROM freqs f, (SELECT DISTINCT vec_id, coil FROM prod) c), {_BACK} {_COMBINED}"""
+    f"""WITH {_SENSE}, y2 AS (SELECT vec_id, coil, s, kn, f.re, f.im FROM freqs f, (SELECT DISTINCT coil FROM maps) c), {_BACK} {_COMBINED}"""
 )
 def sense_adjoint(spark, sf_dir):
-    """The same samples for every image and coil, combined."""
-    image, maps, _ = _sense(spark, sf_dir)
-    each = image.select("vec_id").distinct().withColumn("k", F.lit(1)).join(maps.select("coil").distinct().withColumn("k", F.lit(1)), "k")
-    samples = each.join(_freqs(spark, sf_dir).withColumn("k", F.lit(1)), "k").drop("k")
-    return _out(sense.adjoint(samples, maps, {"n": 32}), "vec_id", "n", digits=2)
+    """An image's samples, the same for every coil, combined."""
+    _, maps, _ = _own_sense(spark, sf_dir)
+    coils = maps.select("coil").distinct().withColumn("k", F.lit(1))
+    every = _own_freqs(spark, sf_dir).withColumn("k", F.lit(1)).join(coils, "k").drop("k")
+    return _out(sense.adjoint(every, maps, {"n": 32}), "vec_id", "n", digits=2)
 
 
 @C.query(f"WITH {_SENSE}, y2 AS (SELECT * FROM y), {_BACK} {_COMBINED}")
 def sense_normal(spark, sf_dir):
-    image, maps, freqs = _sense(spark, sf_dir)
+    image, maps, freqs = _own_sense(spark, sf_dir)
     return _out(sense.normal(image, maps, freqs, {"n": 32}), "vec_id", "n", digits=2)
 
 
-@C.query(f"WITH {_SENSE}, y2 AS (SELECT vec_id, coil, s, kn, (y.re - f.re) * (s % 3) AS re, (y.im - f.im) * (s % 3) AS im FROM y JOIN freqs f USING (s, kn)), {_BACK} {_COMBINED}")
+@C.query(f"WITH {_SENSE}, y2 AS (SELECT vec_id, coil, s, kn, (y.re - f.re) * (s % 3) AS re, (y.im - f.im) * (s % 3) AS im FROM y JOIN freqs f USING (vec_id, s, kn)), {_BACK} {_COMBINED}")
 def sense_residual_weighted(spark, sf_dir):
-    image, maps, freqs = _sense(spark, sf_dir)
+    image, maps, freqs = _own_sense(spark, sf_dir)
     data = _freqs(spark, sf_dir).select("s", "re", "im", (F.col("s") % 3).cast("double").alias("w"))
     return _out(sense.normal(image, maps, freqs, {"n": 32}, between=sense.residual(data, "w", "s")), "vec_id", "n", digits=2)
 
@@ -332,8 +382,59 @@ def coil_compress(spark, sf_dir):
     return _out(sense.compress_coils(t, 4), "coil", "s")
 
 
-@C.query()
+#: The mean vector as the image, all orders as its samples.
+_ONE = f"""{X}, maps AS MATERIALIZED (SELECT label AS coil, i - 16 AS n, avg(re) AS sre, avg(im) AS sim FROM cent GROUP BY label, i), image AS (SELECT i - 16 AS n, avg(re) AS re, avg(im) AS im FROM x GROUP BY i), {FREQS},
+ prod AS MATERIALIZED (SELECT coil, n, re * sre - im * sim AS re, re * sim + im * sre AS im FROM image JOIN maps USING (n)), g AS (SELECT unnest(range(-16, 16)) AS n)"""
+_TUKEY = "pow(CASE WHEN least(k / 31.0, 1 - k / 31.0) >= 0.475 THEN 1.0 ELSE 0.5 * (1 - cos(least(k / 31.0, 1 - k / 31.0) * (2 * {pi} / 0.95))) END, 3)".format(pi=PI)
+
+
+def _one(spark, sf_dir) -> DataFrame:
+    from tensorloom.sources.readers import mean_image
+
+    return mean_image(_modes(spark, sf_dir), over=("vec_id",))
+
+
+@C.query(
+    f"""WITH {_ONE},
+    y AS (SELECT coil, f.s, f.kn, (f.s % 3 + 1) / 3.0 * sum(m.re * cos(kn * n) + m.im * sin(kn * n)) AS re, (f.s % 3 + 1) / 3.0 * sum(m.im * cos(kn * n) - m.re * sin(kn * n)) AS im FROM freqs f, prod m GROUP BY coil, f.s, f.kn),
+    b AS MATERIALIZED (SELECT coil, n, sum(re * cos(kn * n) - im * sin(kn * n)) AS re, sum(re * sin(kn * n) + im * cos(kn * n)) AS im FROM y, g GROUP BY coil, n),
+    f AS MATERIALIZED (SELECT coil, k, {_TUKEY} / 32 * sum(re * cos(2 * {PI} * (k - 16) * n / 32) + im * sin(2 * {PI} * (k - 16) * n / 32)) AS re,
+      {_TUKEY} / 32 * sum(im * cos(2 * {PI} * (k - 16) * n / 32) - re * sin(2 * {PI} * (k - 16) * n / 32)) AS im FROM b, (SELECT unnest(range(32)) AS k) GROUP BY coil, k),
+    i AS MATERIALIZED (SELECT coil, g.n, sum(re * cos(2 * {PI} * (k - 16) * g.n / 32) - im * sin(2 * {PI} * (k - 16) * g.n / 32)) AS re, sum(re * sin(2 * {PI} * (k - 16) * g.n / 32) + im * cos(2 * {PI} * (k - 16) * g.n / 32)) AS im FROM f, g GROUP BY coil, g.n),
+    r AS MATERIALIZED (SELECT n, sqrt(sum(re * re + im * im)) AS r FROM i GROUP BY n)
+    SELECT coil, CAST(n AS INTEGER) AS n, {rnd('re / (r + 1e-5 * (SELECT max(r) FROM r))', 3)} AS sre, {rnd('im / (r + 1e-5 * (SELECT max(r) FROM r))', 3)} AS sim FROM i JOIN r USING (n)"""
+)
 def low_resolution_maps(spark, sf_dir):
-    image, maps, freqs = _sense(spark, sf_dir)
-    samples = sense.forward(image.where("vec_id = 0").drop("vec_id"), maps, freqs, {"n": 32}).join(freqs, "s")
-    return rounded(sense.low_resolution_maps(samples, {"n": 32}, 1.5), "coil", "n", digits=3, sre=F.col("sre"), sim=F.col("sim"))
+    """From the mean vector's samples at all orders' frequencies, weighted."""
+    _, maps, freqs = _sense(spark, sf_dir)
+    y = sense.forward(_one(spark, sf_dir), maps, freqs, {"n": 32}).join(freqs, "s").withColumn("w", (F.col("s") % 3 + 1) / 3.0)
+    return rounded(sense.low_resolution_maps(y, {"n": 32}, "w"), "coil", "n", digits=3, sre=F.col("sre"), sim=F.col("sim"))
+
+
+_KERNEL = "kern AS MATERIALIZED (SELECT d, sum(cos(kn * d)) AS mre, sum(sin(kn * d)) AS mim FROM freqs, (SELECT unnest(range(-31, 32)) AS d) GROUP BY d)"
+
+
+@C.query(
+    f"""WITH {_ONE}, {_KERNEL},
+    gram AS (SELECT a.n - b.n AS d, sum(a.sre * b.sre + a.sim * b.sim) AS gre, sum(a.sre * b.sim - a.sim * b.sre) AS gim FROM maps a JOIN maps b USING (coil) GROUP BY a.n, b.n)
+    SELECT CAST(i AS INTEGER) AS i, {rnd(f'1e4 * 32 / sum((gre * mre - gim * mim) * cos(2 * {PI} * i * d / 32) + (gre * mim + gim * mre) * sin(2 * {PI} * i * d / 32))', 3)} AS v
+    FROM gram JOIN kern USING (d), (SELECT unnest(range(32)) AS i) GROUP BY i"""
+)
+def circulant_build(spark, sf_dir):
+    """The circulant preconditioner of the labels' maps at all orders' frequencies."""
+    _, maps, freqs = _sense(spark, sf_dir)
+    return rounded(sense.circulant_build(maps, freqs, 32), "i", digits=3, v=F.col("mre") * 1e4)
+
+
+@C.query(
+    f"""WITH {_ONE}, {_KERNEL},
+    pair AS MATERIALIZED (SELECT a.coil, b.coil AS j, a.n, a.sre * b.sre + a.sim * b.sim AS pre, a.sim * b.sre - a.sre * b.sim AS pim FROM maps a JOIN maps b USING (n)),
+    lags AS (SELECT p.coil, p.n - q.n AS d, sum(p.pre * q.pre + p.pim * q.pim) AS cre, sum(p.pim * q.pre - p.pre * q.pim) AS cim FROM pair p JOIN pair q USING (coil, j) GROUP BY 1, 2),
+    term AS MATERIALIZED (SELECT coil, d, cre * mre - cim * mim AS re, cre * mim + cim * mre AS im FROM lags JOIN kern USING (d)),
+    power AS (SELECT coil, sum(sre * sre + sim * sim) AS p FROM maps GROUP BY coil)
+    SELECT coil, s, {rnd('1e6 * any_value(p) / abs(sum(term.re * cos(kn * d) + term.im * sin(kn * d)))', 3)} AS v FROM term JOIN power USING (coil), freqs GROUP BY coil, s"""
+)
+def kspace_preconditioner(spark, sf_dir):
+    """Weights of all orders' samples for the labels' maps."""
+    _, maps, freqs = _sense(spark, sf_dir)
+    return rounded(sense.kspace_preconditioner(maps, freqs, 32), "coil", "s", digits=3, v=F.col("p") * 1e6)

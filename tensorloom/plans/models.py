@@ -154,6 +154,16 @@ def lm_fit(spark, sf_dir):
     return rounded(found, "p_partkey", digits=3, **{n: F.col(n) for n in ("s0", "f", "d1", "d2")})
 
 
+@C.query(
+    f"""WITH g AS (SELECT * FROM (SELECT unnest([0.5, 1.0, 1.5]) AS a) x, (SELECT unnest([-1.0, 0.0, 2.0]) AS b) y)
+    SELECT p_partkey, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, {rnd('pow(a - p_size / 50.0, 2) + b * b', 5)} AS objective FROM part, g"""
+)
+def objective_surface(spark, sf_dir):
+    """A quadratic objective of each part at nine points of a grid."""
+    out = fitting.objective_surface(table(spark, sf_dir, "part"), lambda a, b: (a - F.col("p_size") / 50.0) ** 2 + b * b, {"a": [0.5, 1.0, 1.5], "b": [-1.0, 0.0, 2.0]}, "p_partkey")
+    return rounded(out, "p_partkey", "a", "b", digits=5, objective=F.col("objective"))
+
+
 @C.query()
 def random_search(spark, sf_dir):
     """The best of 64 draws for each signal; tested against the same draws in numpy."""
@@ -191,7 +201,7 @@ def velocity_decode_nonlinear(spark, sf_dir):
 
 
 # text, arrays, maps
-def _text(name: str, make, sql: str, source: str = "benchmark", key: str = "item_id") -> None:
+def _text(name: str, make, sql: str, source: str = "documents", key: str = "doc_id") -> None:
     C.add(f"str_{name}", lambda spark, sf_dir: table(spark, sf_dir, source).select(key, make(F.col("text")).alias("v")), f"SELECT {key}, {sql} AS v FROM {source}")
 
 
@@ -200,9 +210,9 @@ _text("no_white_space", text.without_white_space, "regexp_replace(text, '[ \\t\\
 _text("replace_all", lambda t: F.replace(t, F.lit("th"), F.lit("#")), "replace(text, 'th', '#')")
 _text("remove_all", lambda t: F.replace(t, F.lit("th"), F.lit("")), "replace(text, 'th', '')")
 _text("padded", lambda t: text.padded(t, 200), "CASE WHEN length(text) >= 200 THEN substr(text, 1, 200) ELSE rpad(text, 201, ' ') END")
-_text("indented", lambda t: text.indented(t, ">> "), "replace(text, chr(10), chr(10) || '>> ')", "documents", "doc_id")
-_text("md5_slice", lambda t: text.md5_slice(t, 8), "substr(md5(text), 2, 8)", "documents", "doc_id")
-_text("repeated", lambda t: text.repeated(F.substring(t, 1, 5), "-", 3), "substr(text, 1, 5) || repeat('-', 3)")
+_text("indented", lambda t: text.indented(t, ">> "), "replace(text, chr(10), chr(10) || '>> ')")
+_text("md5_slice", lambda t: text.md5_slice(t, 8), "substr(md5(text), 2, 8)")
+_text("repeated", lambda t: text.repeated(t, "-", 3), "text || repeat('-', 3)")
 
 
 @C.query("SELECT doc_id, CAST(line AS INTEGER) AS line, lines[line] AS text FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))")

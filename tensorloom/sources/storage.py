@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (where it is unset, as on one machine) a temporary folder."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder on a single machine, and an error on a cluster."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tensorloom_dir", None)
+    if not base and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = sc._tensorloom_dir = tempfile.mkdtemp(prefix="tensorloom-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -80,30 +80,138 @@ def test_closed_bins_share_their_edges(spark):
     assert got == [(0, 1), (0, 2), (1, 3), (2, 0), (4, 2)]
 
 
-def test_respiratory_phase(spark, sf_dir):
+def breathing(n, every=40):
+    t = np.arange(n)
+    return 3 * np.cos(2 * np.pi * t / every + 0.7) + 20 * t / n + 5 * np.sin(2 * np.pi * t / n), np.angle(np.exp(1j * (2 * np.pi * t / every + 0.7)))
+
+
+def off(a, b):
+    return np.abs(np.angle(np.exp(1j * (a - b))))
+
+
+@pytest.mark.parametrize("causal", [False, True])
+def test_respiratory_phase_loses_the_drift(causal):
+    """A drift that is larger than the oscillation: the oscillation's phase comes out."""
+    signal, phase = breathing(4000)
+    got = gating.analytic_phase(signal, 0.003, causal)
+    assert np.median(off(got, phase)[400:-400]) < (0.2 if causal else 0.02)
+
+
+def test_respiratory_phase_of_series(spark, sf_dir):
+    """Each series is filtered forward and backward as the formula says; a long one in chunks is near the whole one."""
     rows = timing.signal(spark, sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double").alias("t"), "value")
-    got = {r.event_id: r.phase for r in gating.respiratory_phase(rows, "user_id", "t", "value", tie="event_id").collect()}
+    got = {r.event_id: r.phase for r in gating.respiratory_phase(rows, "user_id", "t", "value", low=0.1, tie="event_id").collect()}
     pdf = rows.toPandas().sort_values(["t", "event_id"])
+    assert len(got) == len(pdf)
     for _, part in pdf.groupby("user_id"):
-        v = part["value"].to_numpy()
+        v = part["value"].to_numpy() - part["value"].mean()
         n, f = len(v), np.fft.fftfreq(len(v))
-        s = np.fft.fft(v - v.mean()) / (1 + (np.abs(f) / 0.1) ** 4)
-        s[f < 0] = 0
-        s[(f > 0) & (np.abs(f) < 0.5)] *= 2
-        if n % 2 == 0:
-            s[n // 2] = np.fft.fft(v - v.mean())[n // 2] / (1 + 5.0**4)
         if n > 1:
-            want = np.angle(np.fft.ifft(s))
-            assert np.allclose(np.exp(1j * want), np.exp(1j * np.asarray([got[i] for i in part["event_id"]])), atol=1e-6)
-
-
-def test_windowed_transform_is_near_the_direct_one(spark, sf_dir):
-    modes = linear._modes(spark, sf_dir).where("vec_id = 0").drop("vec_id")
-    freqs = linear._freqs(spark, sf_dir)
-    direct = array(transforms.nufft2(modes, freqs.select("s", "kn"), {"n": 32}), "s")
-    near = array(linear.kb_nufft(spark, sf_dir), "s")
-    scale = np.vdot(near, direct) / np.vdot(near, near)
-    assert np.linalg.norm(scale * near - direct) < 0.01 * np.linalg.norm(direct)
+            s = np.fft.fft(v) * (1 - 1 / (1 + (f / 0.1) ** 4))
+            s[f < 0] *= np.where(f[f < 0] == -0.5, 1, 0)
+            s[(f > 0) & (f < 0.5)] *= 2
+            assert off(np.angle(np.fft.ifft(s)), np.asarray([got[i] for i in part["event_id"]])).max() < 1e-6
+    signal, phase = breathing(3000)
+    long = spark.createDataFrame([(1, float(k), float(v)) for k, v in enumerate(signal)], "u int, t double, v double")
+    out = np.asarray([r.phase for r in gating.respiratory_phase(long, "u", "t", "v", 0.003, chunk=1000, margin=400).orderBy("t").collect()])
+    assert len(out) == 3000 and off(out, phase)[400:-400].max() < 0.05
+
+
+def test_windowed_transforms_are_near_the_direct_ones(spark, sf_dir):
+    modes, freqs = linear._modes(spark, sf_dir), linear._own_freqs(spark, sf_dir).select("vec_id", "s", "kn")
+    direct = array(transforms.nufft2(modes, freqs, {"n": 32}), "vec_id", "s") / math.sqrt(32)
+    near = array(linear.kb_nufft(spark, sf_dir), "vec_id", "s")
+    assert np.linalg.norm(near - direct) < 1e-3 * np.linalg.norm(direct)
+    normal = array(transforms.nufft_normal(modes, freqs, {"n": 32}), "vec_id", "n") / 32
+    near = {(r.vec_id, r.x - 16): complex(r.re, r.im) for r in linear.kb_nufft_normal(spark, sf_dir).collect()}
+    assert np.linalg.norm(np.asarray([v for _, v in sorted(near.items())]) - normal) < 1e-3 * np.linalg.norm(normal)
+
+
+def test_windowed_transforms_in_three_dimensions(spark, sf_dir):
+    modes, coords = linear._boxes(spark, sf_dir)
+    sizes = linear.BOX
+    shifted = modes.withColumns({a: F.col(a) - n // 2 for a, n in sizes.items()})
+    radians = coords.withColumns({f"k{a}": F.col(f"k{a}") * (2 * math.pi / n) for a, n in sizes.items()})
+    direct = array(transforms.nufft2(shifted, radians, sizes), "vec_id", "s") / math.sqrt(32)
+    near = array(linear.kb_nufft_3d(spark, sf_dir), "vec_id", "s")
+    assert len(near) == len(direct) and np.linalg.norm(near - direct) < 1e-3 * np.linalg.norm(direct)
+
+
+def test_toeplitz_on_a_grid(spark, rng):
+    sizes, maps = {"x": 8, "y": 6}, None
+    freqs = spark.createDataFrame([(s, *map(float, rng.uniform(-math.pi, math.pi, 2))) for s in range(40)], "s int, kx double, ky double")
+    cells = [(i - 4, j - 3) for i in range(8) for j in range(6)]
+    image = spark.createDataFrame([(*c, *map(float, rng.normal(size=2))) for c in cells], "x int, y int, re double, im double")
+    maps = spark.createDataFrame([(k, *c, *map(float, rng.normal(size=2))) for k in range(2) for c in cells], "coil int, x int, y int, sre double, sim double")
+    spectrum = transforms.toeplitz_spectrum(freqs, sizes)
+    for want, got in (
+        (transforms.nufft_normal(image, freqs, sizes), transforms.toeplitz_apply(image, spectrum, sizes)),
+        (sense.normal(image, maps, freqs, sizes), sense.toeplitz_normal(image, maps, spectrum, sizes)),
+    ):
+        want, got = array(want, "x", "y"), array(got, "x", "y")
+        assert np.linalg.norm(want - got) < 1e-3 * np.linalg.norm(want)
+
+
+def test_preconditioners(spark, rng):
+    n, points = 8, rng.uniform(-math.pi, math.pi, 25)
+    maps = rng.normal(size=(2, n)) + 1j * rng.normal(size=(2, n))
+    table = spark.createDataFrame([(c, i - 4, float(maps[c, i].real), float(maps[c, i].imag)) for c in range(2) for i in range(n)], "coil int, n int, sre double, sim double")
+    freqs = spark.createDataFrame([(s, float(k)) for s, k in enumerate(points)], "s int, kn double")
+    e = np.exp(-1j * np.outer(points, np.arange(n) - 4))
+    a = sum(np.diag(m.conj()) @ e.conj().T @ e @ np.diag(m) for m in maps)
+    f = np.exp(-2j * np.pi * np.outer(np.arange(n), np.arange(n) - 4) / n) / math.sqrt(n)
+    got = {r.i: r.mre for r in sense.circulant_build(table, freqs, n).collect()}
+    assert np.allclose([got[i] for i in range(n)], 1 / np.diag(f @ a @ f.conj().T).real)
+    for r in sense.kspace_preconditioner(table, freqs, n).collect():
+        total = sum(abs((e[r.s] * maps[r.coil] * m.conj() * e[t].conj()).sum()) ** 2 for t in range(25) for m in maps)
+        assert np.isclose(r.p, (np.abs(maps[r.coil]) ** 2).sum() / total)
+
+
+def test_alternating_maps_explain_the_samples(spark, rng):
+    n = 8
+    image = np.asarray(rng.uniform(1, 2, n))
+    maps = np.asarray([np.ones(n), 1 + 0.5j * np.cos(np.arange(n) / 3)])
+    maps = maps / np.sqrt((np.abs(maps) ** 2).sum(axis=0))
+    table = lambda m: spark.createDataFrame([(c, i - 4, float(np.real(m[c][i])), float(np.imag(m[c][i]))) for c in range(2) for i in range(n)], "coil int, n int, sre double, sim double")
+    freqs = spark.createDataFrame([(s, -math.pi + 2 * math.pi * s / 24) for s in range(24)], "s int, kn double")
+    one = spark.createDataFrame([(i - 4, float(v), 0.0) for i, v in enumerate(image)], "n int, re double, im double")
+    samples = sense.forward(one, table(maps), freqs, {"n": n}).join(freqs, "s").select("coil", "s", "kn", "re", "im")
+    start = table([np.full(n, 0.7), np.full(n, 0.7 + 0.1j)])
+    found, new = sense.alternate_maps(samples, start, freqs, {"n": n}, 2, 6)
+    again = array(sense.forward(found, new, freqs, {"n": n}), "coil", "s")
+    want = array(samples.select("coil", "s", "re", "im"), "coil", "s")
+    first = array(sense.forward(found, start, freqs, {"n": n}), "coil", "s")
+    assert np.linalg.norm(again - want) < 0.2 * np.linalg.norm(want) < np.linalg.norm(first - want) * 10
+
+
+def test_conjugate_gradient_with_a_prox(spark, rng):
+    """Each round's x is thresholded, and the residual is that of what comes out."""
+    m = rng.normal(size=(6, 6))
+    m, b = m @ m.T + 6 * np.eye(6), rng.normal(size=6)
+    got = array(solvers.conjugate_gradient(operator(spark, m), vector(spark, b), prox.scaled(vector(spark, b), 0.0), 4, prox=lambda x: prox.soft(0.01)(x, 1.0)))
+    x, r = np.zeros(6), b.copy()
+    p = r.copy()
+    for _ in range(4):
+        step = (r @ r) / (p @ m @ p)
+        x = x + step * p
+        x = np.sign(x) * np.maximum(np.abs(x) - 0.01, 0)
+        new = b - m @ x
+        p = new + (new @ new) / (r @ r) * p
+        r = new
+    assert np.allclose(got, x)
+
+
+def test_shifted_passes_take_every_frame(spark, sf_dir):
+    want = array(iterative._frames(spark, sf_dir), "frame", "y", "x").reshape(-1, 4, 8)
+    rng = np.random.default_rng(5)
+    for k in range(4):
+        shift = rng.integers(0, 3, 2) if k else (0, 0)
+        for y in range(shift[0], 4 - 1, 2):
+            for x in range(shift[1], 8 - 1, 2):
+                part = want[:, y : y + 2, x : x + 2].reshape(len(want), 4)
+                want[:, y : y + 2, x : x + 2] = blocks.threshold(part, 0.1, True).reshape(len(want), 2, 2)
+    got = array(iterative.svt_shifted_passes(spark, sf_dir), "frame", "y", "x").reshape(-1, 4, 8)
+    assert np.allclose(got, want, atol=1e-4)
 
 
 def test_transform_identities(spark, rng):
