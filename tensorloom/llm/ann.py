@@ -18,6 +18,10 @@ MAX_ROWS = 8192
 #: Vectors and queries in a block, on average: one task scans one block of codes for one block of queries.
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 2048
+#: Cells of the coarse partition at most (fewer for tables of fewer blocks): as many as the sample can place well.
+MAX_CELLS = 256
+#: Share of the sample's nearest neighbours that must lie in the cells that a query visits; this fixes their number.
+CELL_RECALL = 0.99
 #: Candidates of each block that are ranked exactly at first, per neighbour asked for.
 RERANK = 20
 #: What a bound is raised by, for the single-precision sums of the tables.
@@ -86,9 +90,56 @@ def fit(unit: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int =
     return Codebooks(words, eta)
 
 
+def cells(unit: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """n centres of unit length by spherical k-means; an empty cell takes the vector that is furthest from its own."""
+    rng = np.random.default_rng(11)
+    centres = unit[rng.choice(len(unit), n, replace=len(unit) < n)]
+    for _ in range(rounds):
+        score = unit @ centres.T
+        own = score.argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, unit)
+        empty = np.bincount(own, minlength=n) == 0
+        sums[empty] = unit[np.argsort(score.max(axis=1), kind="stable")[: empty.sum()]]
+        length = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+    return centres
+
+
+def probes(unit: np.ndarray, centres: np.ndarray, k: int = 5, asked: int = 1024) -> int:
+    """How many cells, the nearest first, hold CELL_RECALL of the k nearest neighbours within the sample.
+
+    The whole table is denser than the sample, so its neighbours are nearer and rather in the first cells. Where the
+    vectors have no structure, this comes to nearly all cells, and the search to one of all pairs.
+    """
+    own = (unit @ centres.T).argmax(axis=1)
+    places = []
+    for at in range(0, min(asked, len(unit)), 128):
+        part = unit[at : min(at + 128, asked)]
+        score = part @ unit.T
+        score[np.arange(len(part)), at + np.arange(len(part))] = -np.inf
+        near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(unit) - 1)]
+        place = np.argsort(np.argsort(-(part @ centres.T), axis=1, kind="stable"), axis=1)
+        places.append(np.take_along_axis(place, own[near], 1).ravel())
+    found = np.sort(np.concatenate(places))
+    return int(found[min(len(found) - 1, int(np.ceil(CELL_RECALL * len(found))))]) + 1 if len(found) else len(centres)
+
+
+@dataclass(frozen=True)
+class Model:
+    """What is broadcast: codebooks, the cells' centres, and the number of cells that a query visits."""
+
+    book: Codebooks
+    centres: np.ndarray
+    probes: int
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (doubles) of the rows that take part: no null, zero or non-finite vectors, of the commonest length."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id and v of the rows that take part: no null, zero or non-finite vectors, of the commonest length.
+
+    Vectors of floats stay so while they are moved (the cosines are in double precision).
+    """
+    v = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
@@ -104,16 +155,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
-def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Codebooks | None:
-    """Fits on a bounded sample, in one task; the codebooks (16 codewords for each pair of dimensions) reach the driver."""
+def train(rows: DataFrame, count: int, max_rows: int = MAX_ROWS) -> Model | None:
+    """Fits on a bounded sample, in one task; the codebooks (16 codewords for each pair of dimensions) and at most MAX_CELLS
+    centres reach the driver. A table has one cell for each BLOCK_ROWS of its `count` rows."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_rows)
+    n = max(1, min(MAX_CELLS, count // BLOCK_ROWS, max_rows // 32))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = fit(_unit(np.stack(pdf.sort_values("vec_id")["v"].to_numpy())))
-        return pd.DataFrame({"words": [book.words.tobytes()], "parts": [book.words.shape[0]], "width": [book.words.shape[2]], "eta": [book.eta]})
+        unit = _unit(np.stack(pdf.sort_values("vec_id")["v"].to_numpy()).astype(float))
+        book, centres = fit(unit), cells(unit, n)
+        return pd.DataFrame({"words": [book.words.tobytes()], "parts": [book.words.shape[0]], "width": [book.words.shape[2]], "eta": [book.eta], "centres": [centres.tobytes()], "probes": [probes(unit, centres)]})
 
-    got = sample.groupBy().applyInPandas(run, "words binary, parts int, width int, eta double").collect()
-    return Codebooks(np.frombuffer(got[0]["words"]).reshape(got[0]["parts"], 16, got[0]["width"]), got[0]["eta"]) if got else None
+    got = sample.groupBy().applyInPandas(run, "words binary, parts int, width int, eta double, centres binary, probes int").collect()
+    if not got:
+        return None
+    (r,) = got
+    return Model(Codebooks(np.frombuffer(r["words"]).reshape(r["parts"], 16, r["width"]), r["eta"]), np.frombuffer(r["centres"]).reshape(n, -1), r["probes"])
 
 
 def residual(unit: np.ndarray, codes: np.ndarray, book: Codebooks) -> np.ndarray:
@@ -122,21 +179,26 @@ def residual(unit: np.ndarray, codes: np.ndarray, book: Codebooks) -> np.ndarray
     return np.sqrt(((book.pad(unit) - coded) ** 2).sum(axis=(1, 2)))
 
 
-def index(rows: DataFrame, book: Codebooks) -> DataFrame:
-    """Each row with its code (two parts' four bits in a byte) and the norm of its residual."""
-    shared = rows.sparkSession.sparkContext.broadcast(book)
+def index(rows: DataFrame, model: Model) -> DataFrame:
+    """Each row with its code (two parts' four bits in a byte), the norm of its residual, its cell and the cells that it would visit as a query."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch, m = whole.slice(at, BLOCK_ROWS), shared.value
                 unit = _unit(_matrix(batch.column("v")))
-                codes = shared.value.encode(unit)
-                off = pa.array(residual(unit, codes, shared.value))
+                codes = m.book.encode(unit)
+                off = pa.array(residual(unit, codes, m.book))
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary()), off], names=[*batch.schema.names, "code", "off"])
+                near = np.argsort(-(unit @ m.centres.T), axis=1, kind="stable")[:, : m.probes].astype(np.int32)
+                visits = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary()), off, pa.array(near[:, 0].copy()), visits], names=[*batch.schema.names, "code", "off", "cell", "visits"]
+                )
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, code binary, off double")
+    return rows.mapInArrow(run, f"vec_id long, v {rows.schema['v'].dataType.simpleString()}, code binary, off double, cell int, visits array<int>")
 
 
 def _best(score: np.ndarray, k: int) -> np.ndarray:
@@ -159,7 +221,7 @@ def scan(codes: pd.DataFrame, queries: pd.DataFrame, book: Codebooks, k: int, re
     """
     codes = codes.sort_values("vec_id").reset_index(drop=True)
     codes = codes.drop_duplicates("vec_id")
-    v = np.stack(codes["v"].to_numpy())
+    v = np.stack(codes["v"].to_numpy()).astype(float)
     few = pd.Series([x.tobytes() for x in v], index=codes.index)
     keep = (few.groupby(few).cumcount() <= k).to_numpy()
     codes, v = codes[keep], v[keep]
@@ -170,7 +232,7 @@ def scan(codes: pd.DataFrame, queries: pd.DataFrame, book: Codebooks, k: int, re
     found = []
     for at in range(0, len(queries), 64):
         part = queries.iloc[at : at + 64]
-        q, qid = np.stack(part["v"].to_numpy()), part["vec_id"].to_numpy()
+        q, qid = np.stack(part["v"].to_numpy()).astype(float), part["vec_id"].to_numpy()
         lut = np.einsum("npd,pcd->npc", book.pad(_unit(q)), book.words).astype(np.float32)
         lut = np.pad(lut, ((0, 0), (0, lut.shape[1] % 2), (0, 0)))
         pairs = (lut[:, 1::2, :, None] + lut[:, ::2, None, :]).reshape(len(q), packed.shape[1], 256)  # high and low four bits
@@ -194,32 +256,37 @@ def scan(codes: pd.DataFrame, queries: pd.DataFrame, book: Codebooks, k: int, re
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest rows of each row for which `is_query` holds.
-
-    Every row is indexed. Rows are dealt to blocks of about BLOCK_ROWS by a hash of the id, queries to blocks of about
-    BLOCK_QUERIES; each pair of blocks is one group, so the work is spread whatever the number of either, and nothing
-    but the codebooks is broadcast. A block gives its k nearest, exactly (see `scan`); the k nearest of those
-    follow. A repeated id counts once; vectors that take no part are left out, as queries too.
+    """query_id, rank, vec_id and score: the k nearest rows found of each row for which `is_query` holds.
+
+    Every row is indexed, in the cell of its nearest centre; a query visits as many cells as the sample's neighbours need
+    (see `probes`), so it meets the part of the table that is near it. A cell is cut into blocks of about BLOCK_ROWS by a
+    hash of the id, its visitors into blocks of about BLOCK_QUERIES, and each pair of blocks is one group: the work is
+    spread however full a cell is. A row moves once for each block of its cell's visitors. Nothing but the model is
+    broadcast, and only the counts of at most MAX_CELLS cells reach the driver. A block gives its k nearest, exactly (see
+    `scan`); the k nearest of those follow. A repeated id counts once; vectors that take no part are left out, as queries too.
     """
     rows = checkpointed(usable(vectors))
-    book = train(rows)
-    if book is None:
+    model = train(rows, rows.count())
+    if model is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    queries = rows.where(is_query)
-    n_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    q_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    q_block = F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(q_blocks)).cast("int")
-    coded = index(rows, book).select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), "vec_id", "v", "code", "off")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), q_block.alias("q_block"), "vec_id", "v")
-    shared = vectors.sparkSession.sparkContext.broadcast(book)
+    spark = vectors.sparkSession
+    coded = checkpointed(index(rows, model))
+    asked = coded.where(is_query).select("vec_id", "v", F.explode("visits").alias("cell"))
+    sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    visitors = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("q_blocks"))
+    plan = spark.createDataFrame(sizes.join(visitors, "cell").collect(), "cell int, blocks int, q_blocks int")  # a row a cell
+    block, q_block = F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"), F.pmod(F.xxhash64(F.lit("query"), "vec_id"), "q_blocks").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    coded = coded.join(F.broadcast(plan), "cell").select("cell", block.alias("block"), every("q_blocks").alias("q_block"), "vec_id", "v", "code", "off")
+    asked = asked.join(F.broadcast(plan), "cell").select(F.col("cell").alias("to_cell"), every("blocks").alias("to_block"), q_block.alias("from_block"), F.col("vec_id").alias("asked_id"), F.col("v").alias("asked_v"))
+    shared = spark.sparkContext.broadcast(model.book)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return scan(left, right, shared.value, k, rerank)
+        return scan(left, right.rename(columns={"asked_id": "vec_id", "asked_v": "v"}), shared.value, k, rerank)
 
-    found = coded.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInPandas(run, "query_id long, vec_id long, score double")
+    found = coded.groupBy("cell", "block", "q_block").cogroup(asked.groupBy("to_cell", "to_block", "from_block")).applyInPandas(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

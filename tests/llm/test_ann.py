@@ -98,3 +98,15 @@ def test_codes_lower_the_anisotropic_loss():
 
     nearest = ((book.pad(x)[:, :, None] - book.words[None]) ** 2).sum(axis=3).argmin(axis=2)
     assert (loss(book.encode(x)) <= loss(nearest) + 1e-9).all() and book.eta > 1
+
+
+def test_clustered_vectors_visit_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.15 * rng.normal(size=(3000, 24))
+    v, ids = v.astype(np.float32).astype(float), np.arange(3000)
+    df = frame(spark, ids, v)
+    model = ann.train(ann.usable(df), 3000)
+    assert len(model.centres) == 30 and model.probes <= 10
+    share, _ = recall(ann.nearest(df, ann.F.col("vec_id") % 50 == 0), exact(ids, v, ids[ids % 50 == 0]))
+    assert share >= 0.95
