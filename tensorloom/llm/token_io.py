@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ FRAME_SCHEMA = (
 )
 
 
-def _replaced(seq: np.ndarray, last: np.ndarray, near: np.ndarray, level: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs, places, pair of each place): what a round replaces, of the neighbours that start at `near`.
+def _replaced(seq: np.ndarray, last: np.ndarray, near: np.ndarray, level: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, pair of each place, places left over): what a round replaces, of the neighbours that start at `near`.
 
     The pairs that occur `level` times or more compete for the places where they overlap: the more frequent one has it
     (ties: the smaller pair), and of a run of one symbol every other place is taken. A pair left with fewer than
@@ -38,7 +39,7 @@ def _replaced(seq: np.ndarray, last: np.ndarray, near: np.ndarray, level: int, m
     pairs, times = np.unique(key, return_counts=True)
     pairs, times = pairs[times >= level], times[times >= level]
     if not len(pairs):
-        return pairs, near[:0], near[:0]
+        return pairs, near[:0], near[:0], near[:0]
     pair = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
     hit = pairs[pair] == key
     at, pair = near[hit], pair[hit]
@@ -53,7 +54,7 @@ def _replaced(seq: np.ndarray, last: np.ndarray, near: np.ndarray, level: int, m
     take[:-1] &= ~joined | same | (mine[:-1] > mine[1:])
     pays = np.bincount(pair[take], minlength=len(pairs)) >= min_count
     take &= pays[pair]
-    return pairs[pays], at[take], (np.cumsum(pays) - 1)[pair[take]]
+    return pairs[pays], at[take], (np.cumsum(pays) - 1)[pair[take]], at[~take]
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,13 +68,16 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int =
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
-    symbol, level = first_rule, len(seq)
+    symbol, level, near = first_rule, len(seq), None
     while len(seq) > 1:
-        bins = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BIN_BITS)
-        count = np.bincount(bins, minlength=1 << _BIN_BITS)  # a bin's count bounds its pairs' counts
-        level = max(min_count, min(level, int(count.max())) // 2)
-        near = np.flatnonzero((count >= level)[bins] & ~last[:-1])
-        new, at, rule = _replaced(seq, last, near, level, min_count)
+        if near is None:
+            bins = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BIN_BITS)
+            count = np.bincount(bins, minlength=1 << _BIN_BITS)  # a bin's count bounds its pairs' counts
+            level = max(min_count, min(level, int(count.max())) // 2)
+            near = np.flatnonzero((count >= level)[bins])
+            near = near[~last[near]]
+        new, at, rule, left = _replaced(seq, last, near, level, min_count)
+        near = None
         if not len(new):
             if level == min_count:
                 break
@@ -83,7 +87,13 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int =
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        if level == min_count:  # only pairs with a new symbol, and those that lost places, can have become rules
+            moved = at - np.arange(len(at))
+            left = left[keep[left]]
+            near = np.unique(np.concatenate((moved[moved > 0] - 1, moved, left - np.searchsorted(at, left))))
         seq, last = seq[keep], last[keep]
+        if near is not None:
+            near = near[~last[near]]
         symbol += len(new)
     rows = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     stops = np.flatnonzero(last) + 1
@@ -107,25 +117,18 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, lengths: np.
     if not len(rules) or not (symbols >= first_rule).any():
         return symbols.astype("<u4")
     lengths = rule_lengths(rules, first_rule) if lengths is None else lengths
+    spelled: list[list[int]] = []
+    for a, b in rules.tolist():
+        spelled.append((spelled[a - first_rule] if a >= first_rule else [a]) + (spelled[b - first_rule] if b >= first_rule else [b]))
+    known = int(lengths.sum())
+    source = np.concatenate((np.fromiter(chain.from_iterable(spelled), np.uint32, known), symbols.astype(np.uint32)))
     firsts = np.cumsum(lengths) - lengths
-    source = np.empty(int(lengths.sum()) + len(symbols), np.uint32)
-    source[int(lengths.sum()) :] = symbols
-    spans = list(zip(firsts.tolist(), (firsts + lengths).tolist(), strict=True))
-    for (start, stop), pair in zip(spans, rules.tolist(), strict=True):
-        for x in pair:
-            if x < first_rule:
-                source[start] = x
-                start += 1
-            else:
-                lo, hi = spans[x - first_rule]
-                source[start : start + hi - lo] = source[lo:hi]
-                start += hi - lo
     rule = np.maximum(symbols - first_rule, 0)
     is_rule = symbols >= first_rule
     size = np.where(is_rule, lengths[rule], 1)
-    start = np.where(is_rule, firsts[rule], int(lengths.sum()) + np.arange(len(symbols)))
-    shift = start - (np.cumsum(size) - size)
-    return source[np.arange(int(size.sum())) + np.repeat(shift, size)].astype("<u4", copy=False)
+    start = np.where(is_rule, firsts[rule], known + np.arange(len(symbols)))
+    shift = (start - (np.cumsum(size) - size)).astype(np.int32)
+    return source[np.arange(int(size.sum()), dtype=np.int32) + np.repeat(shift, size)].astype("<u4", copy=False)
 
 
 def expand_part(symbols: np.ndarray, rules: np.ndarray, first_rule: int, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
@@ -203,7 +206,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fi
                 held += len(ids) + 1
                 if held >= FRAME_IDS:
                     yield flush()
-        tok.forget()
         if doc_ids:
             yield flush()
 
