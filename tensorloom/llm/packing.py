@@ -117,8 +117,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 2,
 
         key = 0
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                doc = np.append(tok.encode(text or ""), np.uint32(end_id)).astype("<u4")
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), tok.encode_all(batch.column("text").fill_null("").to_pylist()), strict=True):
+                doc = np.append(found, np.uint32(end_id)).astype("<u4")
                 key += 1
                 held[key], names[key] = [doc, len(doc), len(doc)], doc_id
                 whole = len(doc) // window * window

@@ -198,8 +198,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fi
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = tok.encode(text)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.encode_all(batch.column("text").to_pylist()), strict=True):
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) + 1)
                 parts += (ids, end)
