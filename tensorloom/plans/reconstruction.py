@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import cplx
-from tensorloom.operators import gating, prox, sense, solvers
+from tensorloom.operators import gating, prox, resample, sense, solvers
 from tensorloom.operators.blocks import threshold
 from tensorloom.operators.transforms import Sizes
-from tensorloom.plans.shared import Catalogue, complex_vectors, rounded, signal
+from tensorloom.plans.shared import PI, Catalogue, complex_vectors, rounded, samples, signal, vectors
 from tensorloom.sources.storage import checkpointed
 
 C = Catalogue()
@@ -98,3 +98,28 @@ def framed_reconstruction(spark, sf_dir):
     known = truth.select("frame", "n", F.col("re").alias("tre"), F.col("im").alias("tim"))
     error = image.join(known, ["frame", "n"]).groupBy("frame").agg(F.sqrt(F.sum((cplx() - cplx("t")).abs2()) / F.sum(cplx("t").abs2())).alias("e"))
     return rounded(error, "frame", digits=2, relative_error=F.col("e"))
+
+
+#: A label's mean vector as a small velocity image: four channels of 4 x 4 voxels.
+SLICE = {"x": 4, "y": 4}
+
+
+def resampling_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, maps, coordinates): labels are frames, with one more between each two; line items are samples, orders are spokes."""
+    at = {"x": F.floor(F.col("i") / 4) % 4, "y": F.col("i") % 4}
+    cells = vectors(spark, sf_dir).df.groupBy(F.col("label").alias("frame"), *[c.cast("int").alias(a) for a, c in at.items()], F.floor(F.col("i") / 16).alias("channel"))
+    images = cells.agg(F.avg("re").alias("v")).groupBy("frame", *SLICE).agg(*[F.max(F.when(F.col("channel") == k, F.col("v"))).alias(c) for k, c in enumerate(resample.CHANNELS)])
+    grid = spark.range(32).select((F.col("id") % 2).cast("int").alias("coil"), (F.floor(F.col("id") / 2) % 4).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y"))
+    maps = grid.withColumns({"re": 1 + F.col("coil") * F.col("x") / 4.0, "im": (F.col("y") - F.col("coil")) / 8.0})
+    order = F.floor(F.col("s") / 8)
+    cycles = [(F.col(f"k{a}") * (n / (2 * float(PI)))).alias(f"k{a}") for a, n in SLICE.items()]
+    coords = samples(spark, sf_dir).select((order % 19).cast("int").alias("frame"), (order % 5).cast("int").alias("enc"), order.alias("spoke"), (F.col("s") % 8).alias("s"), *cycles)
+    return images, maps, coords
+
+
+@C.query()
+def full_resampling(spark, sf_dir):
+    """What two coils measure of the labels' mean images at all line items; tested against the direct sum in numpy."""
+    images, maps, coords = resampling_inputs(spark, sf_dir)
+    out = resample.full_resampling(images, maps, coords, SLICE, 0.5, between=1)
+    return rounded(out, "frame", "coil", "enc", "spoke", "s", digits=6, kx=F.col("kx"), ky=F.col("ky"), re=F.col("re"), im=F.col("im"))

@@ -227,3 +227,18 @@ def grid_coordinates(spark, sf_dir):
     from tensorloom.sources.generators import grid_coords
 
     return rounded(grid_coords(spark, 12, 2), "x", "y", digits=6, kx=F.col("kx"), ky=F.col("ky"))
+
+
+@C.query(
+    f"""WITH a AS (SELECT o_orderkey AS spoke, {PI} * ((o_orderkey * 37 % 199) / 199.0) AS xa, 2 * {PI} * ((o_custkey * 11 % 211) / 211.0) AS za, CAST(unnest(range(8)) AS INTEGER) AS s FROM orders),
+    l AS (SELECT *, {PI} * (s * ((4 / 3.0) / 7) - 1 / 3.0) AS z FROM a),
+    k AS (SELECT spoke, s, 1.5 * (z * sin(xa) * sin(za)) AS kx, 1.5 * (-z * sin(xa) * cos(za)) AS ky, 1.5 * (z * cos(xa)) AS kz FROM l)
+    SELECT spoke, s, {rnd('kx', 6)} AS kx, {rnd('ky', 6)} AS ky, {rnd('kz', 6)} AS kz FROM k WHERE abs(kx) < {PI} AND abs(ky) < {PI} AND abs(kz) < {PI}"""
+)
+def vipr_spokes(spark, sf_dir):
+    """A tilted and turned line for each order, stretched and cropped to the period."""
+    from tensorloom.sources.generators import vipr_spokes as lines
+
+    pi = float(PI)
+    angles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spoke"), (pi * ((F.col("o_orderkey") * 37 % 199) / 199.0)).alias("xangle"), (2 * pi * ((F.col("o_custkey") * 11 % 211) / 211.0)).alias("zangle"))
+    return rounded(lines(angles, 8, noise=0.0, crop=1.5), "spoke", "s", digits=6, kx=F.col("kx"), ky=F.col("ky"), kz=F.col("kz"))

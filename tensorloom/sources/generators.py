@@ -53,7 +53,7 @@ def grid_coords(spark: SparkSession, n: int, ndim: int) -> DataFrame:
     return at.withColumns({f"k{a}": -math.pi + F.col(a) * (2 * math.pi / n) for a in names})
 
 
-def spokes(spark: SparkSession, n_spokes: int, n_samples: int, imsize: tuple[int, int, int], noise: float = 0.0, seed: int = 0) -> DataFrame:
+def spokes(spark: SparkSession, n_spokes: int, n_samples: int, noise: float = 0.0, seed: int = 0) -> DataFrame:
     """Radial lines through the centre, evenly turned (golden ratio); samples outside the period are dropped."""
     df = grid_index(spark, (n_spokes, n_samples), ("spoke", "s"))
     z = (2 * F.col("spoke") + 1) / n_spokes - 1
@@ -78,3 +78,34 @@ def mid_random(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """Samples denser towards the centre: a cubed uniform on each axis."""
     u = [F.shiftrightunsigned(F.xxhash64(F.lit(seed + k), "id"), 11) / float(1 << 52) - 1.0 for k in range(3)]
     return spark.range(n).select(F.col("id").alias("s"), *[(math.pi * F.pow(x, 3)).alias(a) for x, a in zip(u, ("kx", "ky", "kz"), strict=True)])
+
+
+def _uniform(seed: int, *keys: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / float(1 << 53)
+
+
+def _normal(seed: int, *keys: str) -> Column:
+    """A standard normal number from a hash of the keys (Box and Muller)."""
+    return F.sqrt(-2 * F.log(1 - _uniform(seed, *keys))) * F.cos(2 * math.pi * _uniform(seed + 1, *keys))
+
+
+def random_angles(spark: SparkSession, n_spokes: int, turns: float = 1.0, seed: int = 0) -> DataFrame:
+    """(spoke, xangle, zangle): tilts below pi and turns below 2 pi `turns`."""
+    return spark.range(n_spokes).select(F.col("id").alias("spoke"), (math.pi * _uniform(seed, "id")).alias("xangle"), (2 * math.pi * turns * _uniform(seed + 1, "id")).alias("zangle"))
+
+
+def vipr_spokes(angles: DataFrame, n_samples: int, noise: float = 0.005, crop: float = 1.0, seed: int = 0) -> DataFrame:
+    """(spoke, s, kx, ky, kz): lines from -pi / 3 to pi along z, tilted about x, then turned about z, one for each row of angles.
+
+    Every coordinate is shaken by `noise` before that. With a crop other than 1 the lines are stretched by it, and samples
+    outside the period go. A null angle gives null coordinates, which a crop drops.
+    """
+    gap = (4 / 3) / max(1, n_samples - 1)
+    df = angles.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    x, y, z = (_normal(seed + 2 * k, "spoke", "s") * noise if noise else F.lit(0.0) for k in range(3))
+    z = z + math.pi * (F.col("s") * gap - 1 / 3)
+    cx, sx, cz, sz = F.cos("xangle"), F.sin("xangle"), F.cos("zangle"), F.sin("zangle")
+    y, z = y * cx - z * sx, y * sx + z * cx
+    x, y = x * cz - y * sz, x * sz + y * cz
+    out = df.select("spoke", "s", *[(c * crop).alias(n) for c, n in ((x, "kx"), (y, "ky"), (z, "kz"))])
+    return out if crop == 1 else out.where(reduce(lambda a, b: a & b, [F.abs(n) < math.pi for n in ("kx", "ky", "kz")]))
