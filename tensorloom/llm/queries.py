@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import ann, langid, mixing, neardup, packing, quality, secret_scan, sharding, token_io, toxicity
+from tensorloom.llm import ann, collocations, decontamination, langid, mixing, neardup, packing, quality, ranked_search, secret_scan, sharding, token_io, toxicity
 
 _MODULES = {
     "op1_mix_sources": mixing,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_near_duplicates": neardup,
     "op9_anisotropic_search": ann,
     "op10_quality_rules": quality,
+    "op11_ranked_search": ranked_search,
+    "op12_collocations": collocations,
+    "op13_decontamination": decontamination,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
