@@ -7,10 +7,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import checkpointed, slices, table
+from tensorloom.llm.common import checkpointed, mix, slices, table, utf8
 from tensorloom.llm.terms import byte_set, words
 
 #: Words of the longest phrase, and occurrences of the rarest one.
@@ -31,8 +32,11 @@ LANGUAGES = 1 << 16
 #: Parts in which a language's phrases are ranked before the best of each part meet.
 PARTS = 64
 
+#: Fragments that a task mines at a time, if no route has more.
+CHUNK_ROWS = 1 << 17
+
 #: Bytes of text whose fragments are counted together before they are shuffled.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _BREAKS = byte_set(b".,;:!?\n\x0b\x0c\r")
 _SOLID = byte_set(b" \t.,;:!?\n\x0b\x0c\r", invert=True)
@@ -81,32 +85,40 @@ def frequencies(frequent: DataFrame, limit: int = DICTIONARY, rows: int = PIVOT_
 
 
 def fragments_of(langs: list[str], column: pa.Array, known: Frequencies, longest: int = LONGEST) -> pa.Table:
-    """lang, pivot, parts, place, fragment, n: for each word, the text around it in which it is the rarest word.
+    """lang, pivot, parts, fragment, n: for each word, the text around it in which it is the rarest word.
 
     To the left stand words more frequent than it, to the right these and the word itself, each at most `longest` - 1, within
     the piece. So of the phrases that a fragment holds around its pivot, each has the pivot as its rarest word, at its first
     place; and each occurrence of a phrase is in exactly one fragment. A word outside of the dictionary is rarer than all
     within; among themselves they are ordered by their bytes. Fragments of one word are left out, equal ones counted.
+
+    pivot: a number of its own for each word of the dictionary, a hash of language and word for others. In the fragment a tab
+    stands before the pivot, a space before the other words.
     """
     found = words(column, _SOLID, _BREAKS)
     names = found.vocabulary.to_pylist()
     n = len(found.ids)
-    order = np.empty(len(names), np.int64)
-    order[np.argsort(np.array([x.encode() for x in names], object), kind="stable") if len(names) else []] = np.arange(len(names))
     row = found.rows()
-    rank, parts = np.full(n, -1), np.ones(n, np.int64)
     lang_names = sorted(set(langs))
-    lang_of = np.array([lang_names.index(x) for x in langs], np.int64)[row] if n else np.zeros(0, np.int64)
+    lang_of = np.array([lang_names.index(x) for x in langs], np.int32)[row] if n else np.zeros(0, np.int32)
+    rank, parts, pivot = np.full(n, -1), np.ones(n, np.int64), np.zeros(n, np.int64)
+    order = np.zeros(0, np.int64)
+    if not known.whole:
+        order = np.empty(len(names), np.int64)
+        order[sorted(range(len(names)), key=lambda i: names[i].encode())] = np.arange(len(names))
     for k, lang in enumerate(lang_names):
         own = known.rank.get(lang, {})
         each = [own.get(x) for x in names]
         ranks = np.array([-1 if e is None else e[0] for e in each], np.int64)
+        numbers = ranks
         if not known.whole:
-            ranks = np.where(ranks < 0, DICTIONARY + 1 + order + max(map(len, known.rank.values()), default=0), ranks)
+            numbers = np.array([xxhash.xxh3_64_intdigest(f"{lang}\t{x}") >> 1 | 1 << 62 if e is None else e[0] for x, e in zip(names, each, strict=True)], np.int64)
+            ranks = np.where(ranks < 0, (1 << 40) + order, ranks)
         here = lang_of == k
-        rank[here] = ranks[found.ids[here]]
-        parts[here] = np.array([known.rest if e is None else e[1] for e in each], np.int64)[found.ids[here]]
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        ids = found.ids[here]
+        rank[here], pivot[here] = ranks[ids], numbers[ids]
+        parts[here] = np.array([known.rest if e is None else e[1] for e in each], np.int64)[ids]
+    left, right = np.zeros(n, np.int8), np.zeros(n, np.int8)
     for side, step in ((left, -1), (right, 1)):
         going = rank >= 0
         for d in range(1, min(longest, n)):
@@ -116,64 +128,144 @@ def fragments_of(langs: list[str], column: pa.Array, known: Frequencies, longest
             going &= there
             side += going
     at = np.flatnonzero(left + right > 0)
-    size = np.diff(np.frombuffer(found.vocabulary.buffers()[1], np.int64)[: len(names) + 1]) if names else np.zeros(0, np.int64)
-    spelled, begin = _spelled(found.vocabulary, size, found.ids)
-    lo, hi = begin[at - left[at]], begin[at + right[at]] + size[found.ids[at + right[at]]]
-    texts = _cut(spelled, lo, hi)
-    pivots = found.vocabulary.take(pa.array(found.ids[at]))
-    whole = pa.table({"lang": pa.array(lang_names, pa.string()).take(pa.array(lang_of[at])), "pivot": pivots.cast(pa.string()), "parts": pa.array(parts[at], pa.int64()), "place": pa.array(left[at], pa.int32()), "fragment": texts})
-    return whole.group_by(["lang", "pivot", "parts", "place", "fragment"]).aggregate([([], "count_all")]).rename_columns([*whole.column_names, "n"])
+    spelled, begin = _spelled(found.vocabulary, found.ids)
+    lo, hi = begin[at - left[at]], begin[at + right[at] + 1]
+    texts = _cut(spelled, lo, hi, begin[at] - lo)
+    whole = pa.table({"lang": pa.array(lang_of[at]), "pivot": pa.array(pivot[at]), "parts": pa.array(parts[at]), "fragment": texts})
+    counted = whole.group_by(whole.column_names).aggregate([([], "count_all")]).rename_columns([*whole.column_names, "n"])
+    return counted.set_column(0, "lang", pa.array(lang_names, pa.string()).take(counted.column("lang").combine_chunks()))
 
 
-def _spelled(vocabulary: pa.Array, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All words, each with a space after it, as bytes; and where each begins."""
+def _spelled(vocabulary: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words, each after a space, as bytes; and where each space is (one more at the end)."""
     if not len(ids):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(vocabulary.buffers()[1], np.int64)[: len(vocabulary) + 1]
     data = np.frombuffer(vocabulary.buffers()[2], np.uint8)
-    long = size[ids]
+    long = np.diff(offsets)[ids]
     begin = np.concatenate(([0], np.cumsum(long + 1)))
     out = np.full(int(begin[-1]), 32, np.uint8)
     inside = np.ones(len(out), bool)
-    inside[begin[1:] - 1] = False
-    out[inside] = data[np.repeat(offsets[ids] - (begin[:-1] - np.arange(len(ids))), long) + np.arange(int(long.sum()))]
+    inside[begin[:-1]] = False
+    out[inside] = data[_places(offsets[ids], long)]
     return out, begin
 
 
-def _cut(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
-    """The strings data[lo:hi]."""
-    at = np.concatenate(([0], np.cumsum(hi - lo)))
-    gathered = data[np.repeat(lo - at[:-1], hi - lo) + np.arange(int(at[-1]))]
-    return pa.LargeStringArray.from_buffers(len(lo), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(gathered))).cast(pa.string())
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    at = np.cumsum(size) - size
+    return np.repeat(first - at, size) + np.arange(int(size.sum()))
+
+
+def _cut(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, tab: np.ndarray | None = None) -> pa.Array:
+    """The strings data[lo:hi], with a tab at the place `tab` of each if given."""
+    at = np.concatenate(([0], np.cumsum(hi - lo))).astype(np.int64)
+    gathered = data[_places(lo, hi - lo)]
+    if tab is not None:
+        gathered[at[:-1] + tab] = 9
+    return pa.LargeStringArray.from_buffers(len(lo), pa.py_buffer(at), pa.py_buffer(gathered)).cast(pa.string())
 
 
 def fragments(texts: DataFrame, known: Frequencies, longest: int = LONGEST) -> DataFrame:
+    """(route, lang, fragment, n): the route is a hash of the pivot and of its part, and odd where the pivot has several.
+
+    A pivot's fragments are dealt to its parts in turns, so that a part has as many rows as any other, whatever is alike.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in slices(batches, limit=SLICE_BYTES):
-            yield from fragments_of(batch.column("lang").to_pylist(), batch.column("text"), shared.value, longest).combine_chunks().to_batches()
+            t = fragments_of(batch.column("lang").to_pylist(), batch.column("text"), shared.value, longest)
+            pivot, parts = (np.asarray(t.column(c)).astype(np.uint64) for c in ("pivot", "parts"))
+            part = (np.arange(len(t), dtype=np.uint64) + np.uint64(turn)) % parts
+            route = (mix(mix(pivot) + part) >> np.uint64(2)).astype(np.int64) * 2 + (parts > 1)
+            turn += len(t)
+            out = pa.table({"route": pa.array(route), "lang": t.column("lang"), "fragment": t.column("fragment"), "n": t.column("n")})
+            yield from out.combine_chunks().to_batches()
 
-    return texts.mapInArrow(run, "lang string, pivot string, parts long, place int, fragment string, n long")
+    return texts.mapInArrow(run, "route long, lang string, fragment string, n long")
+
+
+def mine(routes: np.ndarray, langs: pa.Array, column: pa.Array, n: np.ndarray, support: int = SUPPORT, longest: int = LONGEST) -> pa.RecordBatch:
+    """(lang, phrase, n): the phrases around the pivots of whole routes, those of a whole pivot only if they are frequent.
+
+    Phrases grow from the pivot by a word to the left or right. One can only be frequent if what it grew from is, on both
+    sides, so each step goes on with the fragments that passed. A phrase's number comes from that of the shorter one and the
+    new word, so equal numbers are equal phrases.
+    """
+    found = words(column, byte_set(b" \t", invert=True), byte_set(b"\t"))
+    bounds = found.bounds
+    first = np.concatenate((found.piece[:1] >= 0, (np.diff(found.piece) > 0) & (np.diff(found.rows()) == 0)))
+    data, offsets = utf8(column)
+    first[bounds[:-1]] = data[offsets[:-1]] == 9  # the pivot is the first word
+    place = np.flatnonzero(first)
+    left, right = place - bounds[:-1], bounds[1:] - 1 - place
+    split = routes % 2 == 1
+    _, route = np.unique(routes, return_inverse=True)
+    span = max(len(found.vocabulary), 1)
+    number = {(0, 0): route.astype(np.int64)}
+    alive = {(0, 0): np.ones(len(place), bool)}
+    spelled, begin = _spelled(found.vocabulary, found.ids)
+    outs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    for size in range(1, longest):
+        for a in range(size + 1):
+            b = size - a
+            ok = (left >= a) & (right >= b)
+            for less in ((a - 1, b), (a, b - 1)):
+                if min(less) >= 0:
+                    ok &= alive[less]
+            at = np.flatnonzero(ok)
+            word, shorter = (found.ids[place[at] - a], (a - 1, b)) if a else (found.ids[place[at] + b], (a, b - 1))
+            _, one, which = np.unique(number[shorter][at] * span + word, return_index=True, return_inverse=True)
+            total = np.bincount(which, n[at], len(one)).astype(np.int64)
+            good = (total >= support) | split[at[one]]
+            number[a, b] = np.zeros(len(place), np.int64)
+            number[a, b][at] = which
+            alive[a, b] = np.zeros(len(place), bool)
+            alive[a, b][at] = good[which]
+            example = at[one[good]]
+            outs.append((begin[place[example] - a] + 1, begin[place[example] + b + 1], total[good], example))
+    lo, hi, total, example = (np.concatenate(x) for x in zip(*outs, strict=True))
+    return pa.RecordBatch.from_arrays([langs.take(pa.array(example)), _cut(spelled, lo, hi), pa.array(total)], names=["lang", "phrase", "n"])
 
 
 def mined(pieces: DataFrame, support: int = SUPPORT, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, a): the phrases of two words or more that occur `support` times, from the fragments.
 
-    Fragments go to the partition of their pivot, or of one of its parts; there the phrases around the pivot are counted
-    without a further shuffle. What a pivot in one part has counted is whole, and too rare phrases end there; the counts
-    of a split pivot are added up.
+    Fragments go to the partition of their route, where they come sorted by it; a task mines about CHUNK_ROWS of them at a
+    time, whole routes only. A route has the fragments of a pivot, or of one of its parts, of about PIVOT_ROWS rows. What a
+    whole pivot has counted is final, and too rare phrases end there; the counts of a split pivot are added up.
     """
-    word = F.split("fragment", " ")
-    starts = F.sequence(F.lit(0), F.least(F.col("place"), F.size(word) - 2))
-    ends = lambda a: F.sequence(F.greatest(F.col("place"), a + 1), F.least(F.size("_words") - 1, a + longest - 1))
-    phrase = lambda a, b: F.array_join(F.slice("_words", a + 1, b - a + 1), " ")
-    routed = pieces.withColumn("part", F.pmod(F.xxhash64("fragment", "place"), F.col("parts"))).repartition("lang", "pivot", "part")
-    phrases = routed.withColumns({"_words": word, "_starts": starts}).select("lang", "pivot", "part", "parts", "n", F.explode(F.flatten(F.transform("_starts", lambda a: F.transform(ends(a), lambda b: phrase(a, b))))).alias("phrase"))
-    own = phrases.groupBy("lang", "pivot", "part", "parts", "phrase").agg(F.sum("n").alias("n")).where((F.col("parts") > 1) | (F.col("n") >= support))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _whole_routes(batches):
+            yield mine(np.asarray(chunk.column("route")), chunk.column("lang"), chunk.column("fragment"), np.asarray(chunk.column("n")), support, longest)
+
+    own = pieces.repartition("route").sortWithinPartitions("route").mapInArrow(run, "lang string, phrase string, n long")
     return own.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
 
 
+def _whole_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by route, put together to about CHUNK_ROWS rows and cut between routes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK_ROWS:
+            routes = np.concatenate([np.asarray(b.column("route")) for b in held])
+            last = int(np.searchsorted(routes, routes[-1]))  # where the last route begins
+            if last:
+                whole = pa.concat_batches(held)
+                yield whole.slice(0, last)
+                held, size = [whole.slice(last)], len(routes) - last
+    if held:
+        yield pa.concat_batches(held)
+
+
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, n, score of each phrase of two words or more: by the cut with the lowest score, the first of ties.
 

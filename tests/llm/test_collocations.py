@@ -67,9 +67,11 @@ def test_each_occurrence_is_in_one_fragment():
     text = "a b a c a b a d, a a a a a a b"
     known = col.Frequencies({"en": {"a": (0, 1), "b": (1, 1), "c": (2, 1)}}, True, 1)
     made = Counter()
+    ranks = {"a": 0, "b": 1, "c": 2}
     for r in col.fragments_of(["en"], pa.array([text]), known).to_pylist():
-        w, at = r["fragment"].split(" "), r["place"]
-        assert w[at] == r["pivot"] and r["pivot"] not in w[:at]
+        before, _, after = r["fragment"].partition("\t")
+        w, at = (before + " " + after).split(), len(before.split())
+        assert ranks[w[at]] == r["pivot"] and w[at] not in w[:at]
         for i in range(at + 1):
             for j in range(max(at, i + 1), min(len(w), i + 5)):
                 made[tuple(w[i : j + 1])] += r["n"]
