@@ -24,7 +24,7 @@ TOP = 2000
 DICTIONARY = 1 << 17
 
 #: Fragments of a pivot that are mined together; a more frequent pivot is split.
-PIVOT_ROWS = 1 << 16
+PIVOT_ROWS = 1 << 18
 
 #: Languages whose word counts are broadcast.
 LANGUAGES = 1 << 16
@@ -35,6 +35,12 @@ PARTS = 64
 #: Fragments that a task mines at a time, if no route has more.
 CHUNK_ROWS = 1 << 17
 
+#: The digits of a rank's code: no blanks, and no capital letters.
+_DIGITS = np.array([*range(33, 65), *range(91, 127)], np.uint8)
+
+#: Stands before a word that is spelled out, as it has no rank.
+_SPELLED = 2
+
 #: Bytes of text whose fragments are counted together before they are shuffled.
 SLICE_BYTES = 2 << 20
 
@@ -45,10 +51,11 @@ _SOLID = byte_set(b" \t.,;:!?\n\x0b\x0c\r", invert=True)
 class Frequencies(NamedTuple):
     """rank: per language a word's place in the order of falling frequency, and in how many parts its fragments are mined.
 
-    whole: no word outside is frequent, so that any other ends a fragment.
+    names: the word of each rank. whole: no word outside is frequent, so that any other ends a fragment.
     """
 
     rank: dict[str, dict[str, tuple[int, int]]]
+    names: list[str]
     whole: bool
     rest: int  # parts of a word outside
 
@@ -81,7 +88,7 @@ def frequencies(frequent: DataFrame, limit: int = DICTIONARY, rows: int = PIVOT_
     rank: dict[str, dict[str, tuple[int, int]]] = {}
     for k, r in enumerate(some[:limit]):
         rank.setdefault(r.lang, {})[r.word] = (k, -(-r.n // rows))
-    return Frequencies(rank, len(some) <= limit, 1 if len(some) <= limit else -(-some[limit].n // rows))
+    return Frequencies(rank, [r.word for r in some[:limit]], len(some) <= limit, 1 if len(some) <= limit else -(-some[limit].n // rows))
 
 
 def fragments_of(langs: list[str], column: pa.Array, known: Frequencies, longest: int = LONGEST) -> pa.Table:
@@ -93,7 +100,7 @@ def fragments_of(langs: list[str], column: pa.Array, known: Frequencies, longest
     within; among themselves they are ordered by their bytes. Fragments of one word are left out, equal ones counted.
 
     pivot: a number of its own for each word of the dictionary, a hash of language and word for others. In the fragment a tab
-    stands before the pivot, a space before the other words.
+    stands before the pivot, a space before the other words; words of the dictionary are given by their ranks.
     """
     found = words(column, _SOLID, _BREAKS)
     names = found.vocabulary.to_pylist()
@@ -128,7 +135,7 @@ def fragments_of(langs: list[str], column: pa.Array, known: Frequencies, longest
             going &= there
             side += going
     at = np.flatnonzero(left + right > 0)
-    spelled, begin = _spelled(found.vocabulary, found.ids)
+    spelled, begin = _coded(found.vocabulary, found.ids, np.where(rank < 1 << 40, rank, -1))
     lo, hi = begin[at - left[at]], begin[at + right[at] + 1]
     texts = _cut(spelled, lo, hi, begin[at] - lo)
     whole = pa.table({"lang": pa.array(lang_of[at]), "pivot": pa.array(pivot[at]), "parts": pa.array(parts[at]), "fragment": texts})
@@ -136,21 +143,34 @@ def fragments_of(langs: list[str], column: pa.Array, known: Frequencies, longest
     return counted.set_column(0, "lang", pa.array(lang_names, pa.string()).take(counted.column("lang").combine_chunks()))
 
 
-def _spelled(vocabulary: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All words, each after a space, as bytes; and where each space is (one more at the end)."""
-    if not len(ids):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(vocabulary.buffers()[1], np.int64)[: len(vocabulary) + 1]
-    data = np.frombuffer(vocabulary.buffers()[2], np.uint8)
-    long = np.diff(offsets)[ids]
-    begin = np.concatenate(([0], np.cumsum(long + 1)))
+def _coded(vocabulary: pa.Array, ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words, each after a space, as bytes: the digits of its rank, the low ones first, or the word; and where each space is."""
+    base = len(_DIGITS)
+    offsets = np.frombuffer(vocabulary.buffers()[1], np.int64)[: len(vocabulary) + 1] if len(vocabulary) else np.zeros(1, np.int64)
+    known = rank >= 0
+    size = np.ones(len(ids), np.int64)
+    for k in range(1, 4):
+        size += rank >= base**k
+    size[~known] = 1 + np.diff(offsets)[ids[~known]]
+    begin = np.concatenate(([0], np.cumsum(size + 1)))
     out = np.full(int(begin[-1]), 32, np.uint8)
-    inside = np.ones(len(out), bool)
-    inside[begin[:-1]] = False
-    out[inside] = data[_places(offsets[ids], long)]
+    for k in range(4):
+        some = np.flatnonzero(known & (size > k))
+        out[begin[some] + 1 + k] = _DIGITS[rank[some] // base**k % base]
+    rest = np.flatnonzero(~known)
+    if len(rest):
+        out[begin[rest] + 1] = _SPELLED
+        out[_places(begin[rest] + 2, size[rest] - 1)] = np.frombuffer(vocabulary.buffers()[2], np.uint8)[_places(offsets[ids[rest]], size[rest] - 1)]
     return out, begin
 
 
+def _decoded(token: str, names: list[str]) -> str:
+    if ord(token[0]) == _SPELLED:
+        return token[1:]
+    base = len(_DIGITS)
+    return names[sum(int(np.searchsorted(_DIGITS, ord(c))) * base**k for k, c in enumerate(token))]
+
+
 def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
     at = np.cumsum(size) - size
@@ -179,15 +199,15 @@ def fragments(texts: DataFrame, known: Frequencies, longest: int = LONGEST) -> D
             t = fragments_of(batch.column("lang").to_pylist(), batch.column("text"), shared.value, longest)
             pivot, parts = (np.asarray(t.column(c)).astype(np.uint64) for c in ("pivot", "parts"))
             part = (np.arange(len(t), dtype=np.uint64) + np.uint64(turn)) % parts
-            route = (mix(mix(pivot) + part) >> np.uint64(2)).astype(np.int64) * 2 + (parts > 1)
+            route = (mix(mix(pivot) + part) >> np.uint64(34)).astype(np.int32) * 2 + (parts > 1)
             turn += len(t)
-            out = pa.table({"route": pa.array(route), "lang": t.column("lang"), "fragment": t.column("fragment"), "n": t.column("n")})
-            yield from out.combine_chunks().to_batches()
+            out = pa.table({"route": pa.array(route.astype(np.int32)), "lang": t.column("lang"), "fragment": t.column("fragment"), "n": t.column("n").cast(pa.int32())})
+            yield from out.take(pa.array(np.argsort(route, kind="stable"))).combine_chunks().to_batches()  # like rows together: they compress well
 
-    return texts.mapInArrow(run, "route long, lang string, fragment string, n long")
+    return texts.mapInArrow(run, "route int, lang string, fragment string, n int")
 
 
-def mine(routes: np.ndarray, langs: pa.Array, column: pa.Array, n: np.ndarray, support: int = SUPPORT, longest: int = LONGEST) -> pa.RecordBatch:
+def mine(routes: np.ndarray, langs: pa.Array, column: pa.Array, n: np.ndarray, names: list[str], support: int = SUPPORT, longest: int = LONGEST) -> pa.RecordBatch:
     """(lang, phrase, n): the phrases around the pivots of whole routes, those of a whole pivot only if they are frequent.
 
     Phrases grow from the pivot by a word to the left or right. One can only be frequent if what it grew from is, on both
@@ -202,11 +222,11 @@ def mine(routes: np.ndarray, langs: pa.Array, column: pa.Array, n: np.ndarray, s
     place = np.flatnonzero(first)
     left, right = place - bounds[:-1], bounds[1:] - 1 - place
     split = routes % 2 == 1
-    _, route = np.unique(routes, return_inverse=True)
     span = max(len(found.vocabulary), 1)
-    number = {(0, 0): route.astype(np.int64)}
+    coded = langs.dictionary_encode()
+    _, route = np.unique(routes.astype(np.int64) * len(coded.dictionary) + np.asarray(coded.indices), return_inverse=True)
+    number = {(0, 0): route * span + found.ids[place]}
     alive = {(0, 0): np.ones(len(place), bool)}
-    spelled, begin = _spelled(found.vocabulary, found.ids)
     outs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for size in range(1, longest):
         for a in range(size + 1):
@@ -225,12 +245,29 @@ def mine(routes: np.ndarray, langs: pa.Array, column: pa.Array, n: np.ndarray, s
             alive[a, b] = np.zeros(len(place), bool)
             alive[a, b][at] = good[which]
             example = at[one[good]]
-            outs.append((begin[place[example] - a] + 1, begin[place[example] + b + 1], total[good], example))
-    lo, hi, total, example = (np.concatenate(x) for x in zip(*outs, strict=True))
-    return pa.RecordBatch.from_arrays([langs.take(pa.array(example)), _cut(spelled, lo, hi), pa.array(total)], names=["lang", "phrase", "n"])
+            outs.append((place[example] - a, np.full(len(example), size + 1), total[good], example))
+    first_word, size, total, example = (np.concatenate(x) for x in zip(*outs, strict=True))
+    own = found.ids[_places(first_word, size)]
+    vocabulary = pa.array([_decoded(x, names) for x in found.vocabulary.to_pylist()], pa.large_string())
+    spelled, begin = _spelled(vocabulary, own)
+    ends = np.cumsum(size)
+    phrases = _cut(spelled, begin[ends - size] + 1, begin[ends])
+    return pa.RecordBatch.from_arrays([langs.take(pa.array(example)), phrases, pa.array(total)], names=["lang", "phrase", "n"])
 
 
-def mined(pieces: DataFrame, support: int = SUPPORT, longest: int = LONGEST) -> DataFrame:
+def _spelled(vocabulary: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, each after a space, as bytes; and where each space is (one more at the end)."""
+    if not len(ids):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(vocabulary.buffers()[1], np.int64)[: len(vocabulary) + 1]
+    long = np.diff(offsets)[ids]
+    begin = np.concatenate(([0], np.cumsum(long + 1)))
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    out[_places(begin[:-1] + 1, long)] = np.frombuffer(vocabulary.buffers()[2], np.uint8)[_places(offsets[ids], long)]
+    return out, begin
+
+
+def mined(pieces: DataFrame, known: Frequencies, support: int = SUPPORT, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, a): the phrases of two words or more that occur `support` times, from the fragments.
 
     Fragments go to the partition of their route, where they come sorted by it; a task mines about CHUNK_ROWS of them at a
@@ -238,9 +275,11 @@ def mined(pieces: DataFrame, support: int = SUPPORT, longest: int = LONGEST) ->
     whole pivot has counted is final, and too rare phrases end there; the counts of a split pivot are added up.
     """
 
+    names = pieces.sparkSession.sparkContext.broadcast(known.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _whole_routes(batches):
-            yield mine(np.asarray(chunk.column("route")), chunk.column("lang"), chunk.column("fragment"), np.asarray(chunk.column("n")), support, longest)
+            yield mine(np.asarray(chunk.column("route")), chunk.column("lang"), chunk.column("fragment"), np.asarray(chunk.column("n")), names.value, support, longest)
 
     own = pieces.repartition("route").sortWithinPartitions("route").mapInArrow(run, "lang string, phrase string, n long")
     return own.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
@@ -313,7 +352,8 @@ def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     counted = checkpointed(word_counts(texts).where(F.col("word").isNull() | (F.col("n") >= support)))
     totals = checkpointed(counted.where(F.col("word").isNull()).select("lang", "n"))
     frequent = counted.where(F.col("word").isNotNull())
-    phrases = mined(fragments(texts, frequencies(frequent, dictionary, rows), longest), support, longest)
+    known = frequencies(frequent, dictionary, rows)
+    phrases = mined(fragments(texts, known, longest), known, support, longest)
     counts = checkpointed(phrases.unionByName(frequent.select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))))
     few = totals.count() <= LANGUAGES
     found = scored(counts, F.broadcast(totals) if few else totals).join(contained(counts).hint("merge"), ["lang", "phrase"], "left")

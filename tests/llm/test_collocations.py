@@ -4,6 +4,7 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -65,12 +66,12 @@ def test_equals_counting_every_phrase(spark, dictionary, rows):
 
 def test_each_occurrence_is_in_one_fragment():
     text = "a b a c a b a d, a a a a a a b"
-    known = col.Frequencies({"en": {"a": (0, 1), "b": (1, 1), "c": (2, 1)}}, True, 1)
+    known = col.Frequencies({"en": {"a": (0, 1), "b": (1, 1), "c": (2, 1)}}, ["a", "b", "c"], True, 1)
     made = Counter()
     ranks = {"a": 0, "b": 1, "c": 2}
     for r in col.fragments_of(["en"], pa.array([text]), known).to_pylist():
         before, _, after = r["fragment"].partition("\t")
-        w, at = (before + " " + after).split(), len(before.split())
+        w, at = [col._decoded(x, known.names) for x in (before + " " + after).split()], len(before.split())
         assert ranks[w[at]] == r["pivot"] and w[at] not in w[:at]
         for i in range(at + 1):
             for j in range(max(at, i + 1), min(len(w), i + 5)):
@@ -81,6 +82,13 @@ def test_each_occurrence_is_in_one_fragment():
     assert made == want
 
 
+def test_codes_of_ranks_come_back():
+    rank = np.array([0, 67, 68, 4623, 4624, 131071, -1, 5])
+    data, begin = col._coded(pa.array(["ab", "漢"], pa.large_string()), np.array([0, 0, 0, 0, 0, 0, 1, 1]), rank)
+    tokens = data.tobytes().decode().split()
+    assert [col._decoded(t, [str(i) for i in range(1 << 17)]) for t in tokens] == ["0", "67", "68", "4623", "4624", "131071", "漢", "5"] and len(begin) == 9
+
+
 def test_products_beyond_64_bits(spark):
     big = 4_000_000_000_000
     counts = spark.createDataFrame([("en", "x y", big), ("en", "x", big + 1), ("en", "y", big + 3)], "lang string, phrase string, a long")
