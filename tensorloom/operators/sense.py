@@ -141,7 +141,8 @@ def density_weights(coords: DataFrame, sizes: Sizes, width: float, beta: float,
 
     Each round grids and interpolates; its weights are kept in the shared folder.
     """
-    w = coords.select(key, *[f"k{a}" for a in sizes], F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    coords = checkpointed(coords.select(key, *[f"k{a}" for a in sizes]))
+    w = coords.withColumns({"re": F.lit(1.0), "im": F.lit(0.0)})
     for _ in range(rounds):
         there = interpolate(gridding(w, sizes, width, beta), coords, sizes, width, beta, key).select(key, F.nullif(cplx().abs(), F.lit(0.0)).alias("_d"))
         w = checkpointed(w.join(there, key).withColumn("re", F.coalesce(F.col("re") / F.col("_d"), F.col("re"))).drop("_d"))
