@@ -136,17 +136,18 @@ def toeplitz_normal(image: DataFrame, maps: DataFrame, spectrum: DataFrame, size
     return combined(toeplitz_apply(weighted(image, maps, sizes), spectrum, sizes), maps, sizes)
 
 
-def density_weights(coords: DataFrame, sizes: Sizes, width: float, beta: float, rounds: int, key: str = "s") -> DataFrame:
-    """(key, w): w divided by |G^H G w|, again and again, from w = 1; G is the window's gridding. Where that is zero, w stays.
+def density_weights(coords: DataFrame, sizes: Sizes, width: float, beta: float, rounds: int, key: str = "s", *batch: str) -> DataFrame:
+    """(batch..., key, w): w divided by |G^H G w|, again and again, from w = 1; G is the window's gridding. Where that is zero, w stays.
 
-    Each round grids and interpolates; its weights are kept in the shared folder.
+    Each round grids and interpolates; its weights are kept in the shared folder. Each batch has a grid of its own.
     """
-    coords = checkpointed(coords.select(key, *[f"k{a}" for a in sizes]))
+    own = [*batch, key]
+    coords = checkpointed(coords.select(*own, *[f"k{a}" for a in sizes]))
     w = coords.withColumns({"re": F.lit(1.0), "im": F.lit(0.0)})
     for _ in range(rounds):
-        there = interpolate(gridding(w, sizes, width, beta), coords, sizes, width, beta, key).select(key, F.nullif(cplx().abs(), F.lit(0.0)).alias("_d"))
-        w = checkpointed(w.join(there, key).withColumn("re", F.coalesce(F.col("re") / F.col("_d"), F.col("re"))).drop("_d"))
-    return w.select(key, F.col("re").alias("w"))
+        there = interpolate(gridding(w, sizes, width, beta, *batch), coords, sizes, width, beta, key).select(*own, F.nullif(cplx().abs(), F.lit(0.0)).alias("_d"))
+        w = checkpointed(w.join(there, own).withColumn("re", F.coalesce(F.col("re") / F.col("_d"), F.col("re"))).drop("_d"))
+    return w.select(*own, F.col("re").alias("w"))
 
 
 def gridding_reconstruction(samples: DataFrame, maps: DataFrame, weights: DataFrame, sizes: Sizes, key: str = "s") -> DataFrame:

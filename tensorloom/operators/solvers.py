@@ -101,6 +101,18 @@ def primal_dual(k: Linop, prox_f: Prox, prox_g_conjugate: Prox, x: DataFrame, y:
     return x
 
 
+def primal_dual_gradient(gradient: Map, k: Linop, prox_g_conjugate: Prox, x: DataFrame, y: DataFrame, tau: float, sigma: float, rounds: int, tol: float = 0.0, after: After = None) -> DataFrame:
+    """min f(x) + g(K x) for a smooth f, by its gradient and a dual variable; 1 / tau - sigma |K|^2 >= L / 2. Stops when x moves by `tol` of its norm."""
+    for n in range(rounds):
+        new = checkpointed(combine(combine(x, gradient(x), 1.0, -tau), k.H(y), 1.0, -tau))
+        y = checkpointed(prox_g_conjugate(combine(y, k(combine(new, x, 2.0, -1.0)), 1.0, sigma), sigma))
+        moved = tol and norm(combine(new, x, 1.0, -1.0)) <= tol * norm(new)
+        x = _told(new, n, after)
+        if moved:
+            break
+    return x
+
+
 def admm(solve_x: Callable[[DataFrame], DataFrame], prox_z: Prox, z: DataFrame, rho: float, rounds: int, after: After = None) -> DataFrame:
     """min f(x) + g(z) with x = z: x from solve_x(z - u), z from the prox of g, u the running sum of x - z."""
     u = scaled(z, 0.0)

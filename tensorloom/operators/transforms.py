@@ -196,14 +196,20 @@ def toeplitz_spectrum(freqs: DataFrame, sizes: Sizes, weight: Column | None = No
     return fft_nd(freqs.sparkSession, double, ortho=False)(lags).withColumnsRenamed({"re": "mre", "im": "mim"})
 
 
+def toeplitz_blocks(spectrum: DataFrame, sizes: Sizes) -> DataFrame:
+    """The spectrum as blocks of arrays, for many applications."""
+    return volumes.blocks(spectrum.withColumnsRenamed({"mre": "re", "mim": "im"}), {a: 2 * n for a, n in sizes.items()}, side=1)
+
+
 def toeplitz_apply(modes: DataFrame, spectrum: DataFrame, sizes: Sizes) -> DataFrame:
     """The normal operator on centred modes: pad to twice the size, transform, multiply, transform back, crop.
 
-    Volumes stay blocks of arrays in between; the spectrum's blocks meet them by an equal join on the block.
+    Volumes stay blocks of arrays in between; the spectrum's blocks (made here, if it comes as rows) meet them by an equal
+    join on the block.
     """
     double = {a: 2 * n for a, n in sizes.items()}
     padded = modes.withColumns({a: (F.col(a) + n).cast("int") for a, n in sizes.items()})
-    kernel = volumes.blocks(spectrum.withColumnsRenamed({"mre": "re", "mim": "im"}), double, side=1)
+    kernel = spectrum if "_re" in spectrum.columns else toeplitz_blocks(spectrum, sizes)
     product = volumes.multiplied(volumes.transform(volumes.blocks(padded, double), double, 0), kernel)
     back = volumes.rows(volumes.transform(product, double, 1, sign=1), double, 0)
     for a, n in sizes.items():

@@ -4,100 +4,69 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import cplx
-from tensorloom.operators import gating, prox, resample, sense, solvers
-from tensorloom.operators.blocks import threshold
-from tensorloom.operators.transforms import Sizes
+from tensorloom.operators import framed, gating, resample
 from tensorloom.plans.shared import PI, Catalogue, complex_vectors, rounded, samples, signal, vectors
 from tensorloom.sources.storage import checkpointed
 
 C = Catalogue()
 
 
-#: Modes of the grid: all complex entries of a vector.
-MODES = 32
+#: The axes of a vector's complex entries as a small volume, and the number of frames.
+BOX = {"x": 4, "y": 4, "z": 2}
 FRAMES = 3
 
 
-def lipschitz(maps: DataFrame, image: DataFrame, freqs: DataFrame, sizes: Sizes, rounds: int = 8) -> float:
-    """The largest eigenvalue of the normal operator over all frames, by power iteration."""
-    return solvers.power_iteration(lambda x: sense.normal(x, maps, freqs, sizes), image, rounds)[0]
-
-
-def reconstruct(samples: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, regulariser: prox.Prox = prox.zero, rounds: int = 10, accelerated: bool = True) -> DataFrame:
-    """(frame, mode..., re, im): least squares per frame with a proximal regulariser over all frames together.
-
-    samples: (frame, coil, s, k<axis>, re, im); freqs: (frame, s, k<axis>). The frame is one more key in each join and
-    sum, so all frames are solved in one job and frames of different lengths need no padding. The step is 1 / L.
-    """
-    start = checkpointed(sense.adjoint(samples, maps, sizes))
-    step = 1 / (1.02 * lipschitz(maps, start, freqs, sizes))
-    descend = lambda x: prox.combine(sense.normal(x, maps, freqs, sizes), start, 1.0, -1.0)
-    return solvers.gradient_descent(descend, prox.scaled(start, step), step, rounds, regulariser, accelerated)
-
-
-def descend_low_rank(m: np.ndarray, b: np.ndarray, lam: float, tol: float, rounds: int) -> np.ndarray:
-    """FISTA for 1/2 <x, M x> - <b, x> for each frame plus lam times the nuclear norm of all frames; until x moves by `tol` of its norm."""
-    step = 1 / np.linalg.eigvalsh(m)[:, -1].max()
-    x, z, t = b * step, b * step, 1.0
-    for _ in range(rounds):
-        new = threshold(z - step * (np.einsum("fnm,fm->fn", m, z) - b), lam * step, True)
-        t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        moved, z, x, t = np.linalg.norm(new - x), new + (t - 1) / t_next * (new - x), new, t_next
-        if moved <= tol * np.linalg.norm(new):
-            return x
-    raise ArithmeticError(f"no convergence in {rounds} rounds")
-
-
-def reconstruct_low_rank(samples: DataFrame, maps: DataFrame, freqs: DataFrame, n: int, lam: float, tol: float = 1e-7, rounds: int = 20_000) -> DataFrame:
-    """(frame, n, re, im): `reconstruct` on the one axis n with a low-rank prior over all frames, run until it has converged.
-
-    The samples are summed once, to the adjoint image and the normal operator's matrix of each frame. These have
-    frames x n x (n + 1) numbers whatever the number of samples; one task descends on them.
-    """
-    start = sense.adjoint(samples, maps, {"n": n})
-    matrix = sense.normal_matrix(maps, freqs, n).withColumnsRenamed({"mre": "re", "mim": "im"})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames, f = np.unique(pdf["frame"].to_numpy(), return_inverse=True)
-        row, value = pdf["n"].to_numpy() + n // 2, pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        known = pdf["m"].isna().to_numpy()
-        m, b = np.zeros((len(frames), n, n), complex), np.zeros((len(frames), n), complex)
-        b[f[known], row[known]] = value[known]
-        m[f[~known], row[~known], pdf["m"].to_numpy()[~known].astype(int) + n // 2] = value[~known]
-        x = descend_low_rank(m, b, lam, tol, rounds).ravel()
-        return pd.DataFrame({"frame": np.repeat(frames, n), "n": np.tile(np.arange(n) - n // 2, len(frames)), "re": x.real, "im": x.imag})
-
-    return start.unionByName(matrix, allowMissingColumns=True).groupBy().applyInPandas(run, "frame int, n int, re double, im double")
-
-
-def _inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Sizes]:
-    """(truth, maps, freqs, samples): gates of all events give each frame's sample times; a frame's truth is the mean of the
-    vectors dealt to it by their ids, and each label's mean vector, plus one, is a coil."""
-    sizes = {"n": MODES}
-    every = complex_vectors(spark, sf_dir).df.withColumn("n", F.col("i") - MODES // 2)
-    truth = checkpointed(every.groupBy(F.pmod("vec_id", F.lit(FRAMES)).cast("int").alias("frame"), "n").agg(F.avg("re").alias("re"), F.avg("im").alias("im")))
-    means = every.groupBy(F.col("label").alias("coil"), "n").agg(F.avg("re").alias("sre"), F.avg("im").alias("sim"))
-    maps = checkpointed(means.withColumn("sre", F.col("sre") + 1.0))
+def _inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(truth, maps, freqs, samples): gates of all events give each frame's samples, so frames are of unequal lengths; a frame's
+    truth is the mean of the vectors dealt to it by their ids, as a volume, and each label's mean vector, plus one, is a coil."""
+    at = [F.floor(F.col("i") / 8) - 2, F.floor(F.col("i") / 2) % 4 - 2, F.col("i") % 2 - 1]
+    cells = [c.cast("int").alias(a) for a, c in zip(BOX, at, strict=True)]
+    every = complex_vectors(spark, sf_dir).df.select("vec_id", "label", *cells, "re", "im")
+    truth = checkpointed(every.groupBy(F.pmod("vec_id", F.lit(FRAMES)).cast("int").alias("frame"), *BOX).agg(F.avg("re").alias("re"), F.avg("im").alias("im")))
+    maps = checkpointed(every.groupBy(F.col("label").alias("coil"), *BOX).agg((F.avg("re") + 1.0).alias("sre"), F.avg("im").alias("sim")))
     gated = gating.gate_by_value(signal(spark, sf_dir), "value", FRAMES)
-    freqs = gated.select("frame", F.col("event_id").alias("s"), ((F.col("event_id") * 0.6180339887) % 1.0 * 2 * math.pi - math.pi).alias("kn"))
-    samples = sense.forward(truth, maps, freqs, sizes).join(freqs, ["frame", "s"])
-    return truth, maps, freqs, samples, sizes
+    steps = (0.8191725134, 0.6710436067, 0.5497004779)  # fixed values: powers of the inverse of the root of x^4 = x + 1
+    places = [((F.col("event_id") * s) % 1.0 * 2 * math.pi - math.pi).alias(f"k{a}") for a, s in zip(BOX, steps, strict=True)]
+    freqs = checkpointed(gated.select("frame", F.col("event_id").alias("s"), *places))
+    return truth, maps, freqs, checkpointed(framed.forward(truth, maps, freqs, BOX))
+
+
+def _errors(image: DataFrame, truth: DataFrame) -> DataFrame:
+    """Relative error of each frame."""
+    known = truth.select("frame", *BOX, F.col("re").alias("tre"), F.col("im").alias("tim"))
+    error = image.join(known, ["frame", *BOX]).groupBy("frame").agg(F.sqrt(F.sum((cplx() - cplx("t")).abs2()) / F.sum(cplx("t").abs2())).alias("e"))
+    return rounded(error, "frame", digits=2, relative_error=F.col("e"))
+
+
+#: Of the nuclear norms of blocks, against the data term: the threshold of one step.
+WEIGHT = 1e-4
 
 
 @C.query()
 def framed_reconstruction(spark, sf_dir):
-    """Gate, sample, reconstruct with a low-rank prior: relative error of each frame against the known truth (tested to be small)."""
-    truth, maps, freqs, samples, sizes = _inputs(spark, sf_dir)
-    image = reconstruct_low_rank(samples, maps, freqs, sizes["n"], 1e-4)
-    known = truth.select("frame", "n", F.col("re").alias("tre"), F.col("im").alias("tim"))
-    error = image.join(known, ["frame", "n"]).groupBy("frame").agg(F.sqrt(F.sum((cplx() - cplx("t")).abs2()) / F.sum(cplx("t").abs2())).alias("e"))
-    return rounded(error, "frame", digits=2, relative_error=F.col("e"))
+    """Gate, sample, reconstruct all frames with a local low-rank prior: errors against the known truth; tested beside numpy."""
+    truth, maps, freqs, samples = _inputs(spark, sf_dir)
+    p = framed.problem(samples, maps, freqs, BOX)
+    return _errors(framed.descend(p, framed.local_low_rank(WEIGHT * p.bound, BOX, 2)), truth)
+
+
+@C.query()
+def framed_primal_dual(spark, sf_dir):
+    """The same by the primal-dual form."""
+    truth, maps, freqs, samples = _inputs(spark, sf_dir)
+    p = framed.problem(samples, maps, freqs, BOX)
+    return _errors(framed.primal_dual(p, framed.local_low_rank(WEIGHT * p.bound, BOX, 2)), truth)
+
+
+@C.query()
+def framed_gridding(spark, sf_dir):
+    """All frames by density weights and gridding alone; tested beside numpy."""
+    truth, maps, freqs, samples = _inputs(spark, sf_dir)
+    return _errors(framed.gridded(samples, maps, freqs, BOX), truth)
 
 
 #: A label's mean vector as a small velocity image: four channels of 4 x 4 voxels.

@@ -401,24 +401,6 @@ def test_map_estimation_explains_the_samples(spark, rng):
     assert all(abs(complex(r.sre, r.sim) - want[r.coil, r.n]) < 1e-3 for r in found.collect())
 
 
-def test_reconstruction_recovers_the_truth(spark, sf_dir):
-    from tensorloom.plans.reconstruction import framed_reconstruction
-
-    errors = framed_reconstruction(spark, sf_dir).collect()
-    assert len(errors) == 3 and all(r.relative_error < 0.4 for r in errors)
-
-
-def test_reconstruction_converges_on_whole_tables(spark, sf_dir):
-    from tensorloom.plans import reconstruction
-
-    truth, maps, freqs, _, sizes = reconstruction._inputs(spark, sf_dir)
-    upper = 2 * spark.read.parquet(f"{sf_dir}/events.parquet").agg({"value": "avg"}).first()[0]
-    assert freqs.count() == spark.read.parquet(f"{sf_dir}/events.parquet").where(f"value < {upper}").count()
-    assert sizes == {"n": 32} and maps.count() == 320 and truth.count() == 96
-    errors = reconstruction.framed_reconstruction(spark, sf_dir).collect()
-    assert len(errors) == 3 and all(r.relative_error < 0.1 for r in errors)
-
-
 def test_normal_matrix_is_the_normal_operator(spark, rng):
     n, maps = 6, spark.createDataFrame([(c, i - 3, float(rng.normal()), float(rng.normal())) for c in range(2) for i in range(6)], "coil int, n int, sre double, sim double")
     freqs = spark.createDataFrame([(f, s, float(rng.uniform(-3, 3))) for f in range(2) for s in range(5 + f)], "frame int, s int, kn double")
