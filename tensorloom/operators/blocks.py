@@ -42,31 +42,70 @@ def _thresholded(columns: list[str], rows: list[str], amount: float, soft: bool)
     return run
 
 
+#: Cells of a block that one task turns into an R factor, on average, and R factors that are merged at a time.
+QR_CELLS, QR_FAN = 1 << 18, 8
+
+
+def r_factor(cube: DataFrame, block: list[str], rows: list[str]) -> DataFrame:
+    """(block..., _r, other keys..., re, im): the R factor of each block as a matrix of `rows` by its other keys.
+
+    A block's rows are dealt to as many parts as it takes for about QR_CELLS cells each; each part becomes an R factor where
+    it is, and factors are merged QR_FAN at a time until one is left. So a block of any number of rows is spread over many
+    tasks, a task holds a part or QR_FAN factors, and the condition number is not squared. The other side must fit a task.
+    """
+    cols = [c for c in cube.columns if c not in ("re", "im", *block, *rows)]
+    kinds = ", ".join(f"`{c}` {cube.schema[c].dataType.simpleString()}" for c in (*block, *cols))
+    most = cube.groupBy(*block).count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-most // QR_CELLS))
+
+    def reduced(keys: list[str]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            m, _, c = _matrix(pdf, keys, cols)
+            r = np.linalg.qr(m, mode="r")
+            names = pdf[cols].iloc[np.unique(c, return_index=True)[1]]
+            out = names.iloc[np.tile(np.arange(len(names)), len(r))].reset_index(drop=True)
+            out = out.assign(_part=pdf["_part"].iloc[0], _r=np.repeat(np.arange(len(r), dtype=np.int32), len(names)), re=r.real.ravel(), im=r.imag.ravel())
+            return out.assign(**{b: pdf[b].iloc[0] for b in block})
+
+        return run
+
+    schema = f"{kinds}, _part int, _r int, re double, im double"
+    dealt = cube.withColumn("_part", F.pmod(F.xxhash64(*rows), F.lit(parts)).cast("int"))
+    r = dealt.groupBy(*block, "_part").applyInPandas(reduced(rows), schema)
+    while parts > 1:
+        parts = -(-parts // QR_FAN)
+        merged = r.withColumns({"_from": F.col("_part"), "_part": F.floor(F.col("_part") / QR_FAN).cast("int")})
+        r = merged.groupBy(*block, "_part").applyInPandas(reduced(["_from", "_r"]), schema)
+    return r.select(*block, "_r", *cols, "re", "im")
+
+
 def _tall(marked: DataFrame, columns: list[str], block: list[str], rows: list[str], amount: float, soft: bool) -> DataFrame:
-    """`_thresholded` for any number of `rows`: no task holds a block, only the Gram matrix of its other side.
+    """`_thresholded` for any number of `rows`: no task holds a block, only factors of its other side.
 
-    The Gram matrices are grouped sums; their eigenvectors make a small matrix for each block that the rows are
-    multiplied by. Every row has all cells of its block.
+    The R factor's right singular vectors make a small matrix for each block that the rows are multiplied by. Every row has
+    all cells of its block.
     """
     cols = [c for c in columns if c not in ("re", "im", *rows)]
     to = [f"_to_{c}" for c in cols]
-    right = marked.select(*block, *rows, *[F.col(c).alias(t) for c, t in zip(cols, to, strict=True)], F.col("re").alias("_re"), F.col("im").alias("_im"))
-    z = cplx().conj() * cplx("_")
-    gram = marked.join(right, [*block, *rows]).groupBy(*block, *cols, *to).agg(F.sum(z.re).alias("re"), F.sum(z.im).alias("im"))
+    factors = r_factor(marked.select(*block, *columns), block, rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, r, c = _matrix(pdf, cols, to)
-        s2, v = np.linalg.eigh((g + g.conj().T) / 2)
-        s = np.sqrt(np.maximum(s2, 0))
+        m, _, c = _matrix(pdf, ["_r"], cols)
+        _, s, v = np.linalg.svd(m, full_matrices=False)
         if soft:
             keep = np.where(s > amount, 1 - amount / np.where(s > 0, s, 1), 0) if amount > 0 else np.ones(len(s))
         else:
-            keep = (np.arange(len(s))[::-1] < int(amount + 0.5)).astype(float)
-        w = ((v * keep) @ v.conj().T)[r, c]
-        return pdf[[*block, *cols, *to]].assign(mre=w.real, mim=w.imag)
-
-    kinds = ", ".join(f"{n} {gram.schema[n].dataType.simpleString()}" for n in (*block, *cols, *to))
-    weights = gram.groupBy(*block).applyInPandas(run, f"{kinds}, mre double, mim double")
+            keep = (np.arange(len(s)) < int(amount + 0.5)).astype(float)
+        w = (v.conj().T * keep) @ v
+        names = pdf[cols].iloc[np.unique(c, return_index=True)[1]].reset_index(drop=True)
+        n = len(names)
+        left, right = names.iloc[np.repeat(np.arange(n), n)].reset_index(drop=True), names.iloc[np.tile(np.arange(n), n)].reset_index(drop=True)
+        out = pd.concat([left, right.set_axis(to, axis=1)], axis=1).assign(mre=w.real.ravel(), mim=w.imag.ravel())
+        return out.assign(**{b: pdf[b].iloc[0] for b in block})[[*block, *cols, *to, "mre", "mim"]]
+
+    kind = lambda n, c: f"`{n}` {marked.schema[c].dataType.simpleString()}"
+    kinds = ", ".join([kind(n, n) for n in (*block, *cols)] + [kind(t, c) for t, c in zip(to, cols, strict=True)])
+    weights = factors.groupBy(*block).applyInPandas(run, f"{kinds}, mre double, mim double")
     e = cplx() * cplx("m")
     out = marked.join(weights, [*block, *cols]).groupBy(*block, *rows, *to).agg(F.sum(e.re).alias("re"), F.sum(e.im).alias("im"))
     return out.withColumnsRenamed(dict(zip(to, cols, strict=True))).select(*columns)
@@ -126,14 +165,14 @@ def svt_at(cube: DataFrame, axes: tuple[str, ...], rows: list[str], corners: lis
 
 
 def singular_values(cube: DataFrame, block: str, rows: list[str]) -> DataFrame:
-    """(block, rank, s) of each block as a matrix."""
+    """(block, rank, s) of each block as a matrix, from its R factor: a block may have any number of `rows`."""
     cols = [c for c in cube.columns if c not in ("re", "im", block, *rows)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.linalg.svd(_matrix(pdf, rows, cols)[0], compute_uv=False)
+        s = np.linalg.svd(_matrix(pdf, ["_r"], cols)[0], compute_uv=False)
         return pd.DataFrame({block: pdf[block].iloc[0], "rank": np.arange(len(s), dtype=np.int32), "s": s})
 
-    return cube.groupBy(block).applyInPandas(run, f"{block} {cube.schema[block].dataType.simpleString()}, rank int, s double")
+    return r_factor(cube, [block], rows).groupBy(block).applyInPandas(run, f"`{block}` {cube.schema[block].dataType.simpleString()}, rank int, s double")
 
 
 def order_statistics(values: DataFrame) -> DataFrame:
