@@ -140,28 +140,66 @@ def svt(cube: DataFrame, axes: tuple[str, ...], rows: list[str], extent: tuple[i
     return cube
 
 
-def random_corners(spark, n: int, size: int, extent: tuple[int, ...], seed: int = 0) -> list[tuple[int, ...]]:
-    """Corners of up to n random blocks, those that overlap an earlier one left out."""
-    rng = np.random.default_rng(seed)
-    kept: list[tuple[int, ...]] = []
-    for _ in range(n):
-        at = tuple(int(rng.integers(0, e - size + 1)) for e in extent)
-        if all(any(abs(a - b) >= size for a, b in zip(at, other, strict=True)) for other in kept):
-            kept.append(at)
-    return kept
-
-
-def svt_at(cube: DataFrame, axes: tuple[str, ...], rows: list[str], corners: list[tuple[int, ...]], size: int, amount: float, soft: bool = True, tall: bool = False) -> DataFrame:
-    """Thresholds the blocks at disjoint corners; the corners are a small table that meets the cells by an equal join."""
-    spark = cube.sparkSession
-    cells = [(k, *at) for k, at in enumerate(corners)]
-    table = spark.createDataFrame(cells, "_block int, " + ", ".join(f"_{a} int" for a in axes))
+def random_corners(spark, n: int, size: int, axes: tuple[str, ...], extent: tuple[int, ...], seed: int = 0) -> DataFrame:
+    """(_block, corner...): n random blocks within the extent, in their order; they may overlap."""
+    at = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(e - size + 1)).cast("int").alias(a) for k, (a, e) in enumerate(zip(axes, extent, strict=True))]
+    return spark.range(n).select(F.col("id").alias("_block"), *at)
+
+
+def conflicts(corners: DataFrame, axes: tuple[str, ...], size: int) -> DataFrame:
+    """(_block, _before): each block with the earlier ones that it overlaps.
+
+    Corners are hashed to places as wide as a block. Two blocks overlap only if their places are neighbours, so one side goes
+    to its neighbours, and an equal join on the place lists what is compared.
+    """
+    place = [F.floor(F.col(a) / size).cast("int").alias(f"_p{a}") for a in axes]
+    near = corners.select("_block", *axes, *place)
+    for a in axes:
+        near = near.withColumn(f"_p{a}", F.explode(F.array(*[F.col(f"_p{a}") + d for d in (-1, 0, 1)])))
+    earlier = corners.select(F.col("_block").alias("_before"), *[F.col(a).alias(f"_o{a}") for a in axes], *place)
+    both = near.hint("merge").join(earlier, [f"_p{a}" for a in axes]).where("_before < _block")
     for a in axes:
-        table = table.withColumn(a, F.explode(F.sequence(F.col(f"_{a}"), F.col(f"_{a}") + size - 1)))
-    marked = cube.join(table.select("_block", *axes), list(axes), "left")
-    inside = marked.where("_block is not null")
-    done = _tall(inside, cube.columns, ["_block"], rows, amount, soft) if tall else inside.groupBy("_block").applyInPandas(_thresholded(cube.columns, rows, amount, soft), cube.schema)
-    return done.unionByName(marked.where("_block is null").select(*cube.columns))
+        both = both.where(F.abs(F.col(a) - F.col(f"_o{a}")) < size)
+    return both.select("_block", "_before")
+
+
+def in_rounds(corners: DataFrame, axes: tuple[str, ...], size: int) -> DataFrame:
+    """`corners` with _round: one more than the largest of the earlier blocks that a block overlaps, 0 if there are none.
+
+    Blocks of a round are disjoint, and overlapping ones keep their order, so the rounds one after the other do what the blocks
+    one by one would do. Each step settles the blocks all of whose earlier ones are settled: there are as many steps as
+    rounds. What reaches the driver is a count.
+    """
+    edges = checkpointed(conflicts(corners, axes, size))
+    settled = checkpointed(corners.join(edges.select("_block").distinct(), "_block", "left_anti").select("_block", F.lit(0).alias("_round")))
+    number = 0
+    while edges.count():
+        number += 1
+        last = settled.where(F.col("_round") == number - 1).select(F.col("_block").alias("_before"))
+        done = edges.select("_block").distinct()
+        edges = checkpointed(edges.join(last, "_before", "left_anti"))
+        free = done.join(edges.select("_block").distinct(), "_block", "left_anti").select("_block", F.lit(number).alias("_round"))
+        settled = checkpointed(settled.unionByName(free))
+    return corners.join(settled, "_block")
+
+
+def svt_at(cube: DataFrame, axes: tuple[str, ...], rows: list[str], corners: DataFrame, size: int, amount: float, soft: bool = True, tall: bool = False) -> DataFrame:
+    """Thresholds the blocks at the corners (_block, axis...) in their order, each on what the earlier ones have left.
+
+    Overlapping blocks come in rounds of disjoint ones (`in_rounds`), and each round's result is kept in the shared folder. In a
+    round, each block lists its cells, which meet the cube's by an equal join.
+    """
+    ordered = checkpointed(in_rounds(corners, axes, size))
+    last = ordered.agg(F.max("_round")).first()[0]
+    for number in range(0 if last is None else last + 1):
+        table = ordered.where(F.col("_round") == number).select("_block", *axes)
+        for a in axes:
+            table = table.withColumn(a, F.explode(F.sequence(F.col(a), F.col(a) + size - 1)))
+        marked = cube.join(table.hint("merge"), list(axes), "left")
+        inside = marked.where("_block is not null")
+        done = _tall(inside, cube.columns, ["_block"], rows, amount, soft) if tall else inside.groupBy("_block").applyInPandas(_thresholded(cube.columns, rows, amount, soft), cube.schema)
+        cube = checkpointed(done.unionByName(marked.where("_block is null").select(*cube.columns)))
+    return cube
 
 
 def singular_values(cube: DataFrame, block: str, rows: list[str]) -> DataFrame:

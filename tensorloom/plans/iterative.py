@@ -241,8 +241,8 @@ def svt_shifted_passes(spark, sf_dir):
 
 @C.query()
 def svt_random_blocks(spark, sf_dir):
-    """Random blocks, those that overlap an earlier one left out; tested against numpy."""
-    corners = blocks.random_corners(spark, 10, 3, (4, 8), seed=3)
+    """Random blocks that overlap, each on what the earlier ones have left; tested against the sequential loop in numpy."""
+    corners = blocks.random_corners(spark, 10, 3, ("y", "x"), (4, 8), seed=3)
     return rounded(blocks.svt_at(_frames(spark, sf_dir), ("y", "x"), ["frame"], corners, 3, 0.1, tall=True), "frame", "y", "x", re=F.col("re"), im=F.col("im"))
 
 

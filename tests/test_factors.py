@@ -51,3 +51,34 @@ def test_query_splits_a_label(spark, sf_dir, monkeypatch):
     got = {r["rank"]: r for r in iterative.svd_order_stats(spark, sf_dir).collect()}
     assert got.keys() == want.keys() and all(abs(got[k][c] - want[k][c]) < 1e-3 for k in want for c in want[k].asDict() if c != "rank")
     assert blocks.singular_values(spark.createDataFrame([], "b int, i int, j int, re double, im double"), "b", ["i"]).count() == 0
+
+
+def plain_rounds(corners, size):
+    out = {}
+    for k, at in corners:
+        before = [out[j] for j, other in corners if j < k and all(abs(a - b) < size for a, b in zip(at, other, strict=True))]
+        out[k] = 1 + max(before) if before else 0
+    return out
+
+
+def test_rounds_keep_the_order_of_overlapping_blocks(spark):
+    corners = blocks.random_corners(spark, 1500, 4, ("x", "y", "z"), (40, 40, 40), seed=1)
+    rows = sorted((r[0], tuple(r)[1:]) for r in corners.collect())
+    got = {r["_block"]: r["_round"] for r in blocks.in_rounds(corners, ("x", "y", "z"), 4).collect()}
+    assert got == plain_rounds(rows, 4) and max(got.values()) > 3
+    assert blocks.in_rounds(corners.limit(0), ("x", "y", "z"), 4).count() == 0
+
+
+def test_overlapping_blocks_equal_the_loop(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(3, 30, 20)) + 1j * rng.normal(size=(3, 30, 20))
+    cells = [(f, y, x, float(v[f, y, x].real), float(v[f, y, x].imag)) for f, y, x in np.ndindex(v.shape)]
+    table = spark.createDataFrame(cells, "frame int, y int, x int, re double, im double")
+    corners = blocks.random_corners(spark, 60, 4, ("y", "x"), (30, 20), seed=4)
+    for _, y, x in sorted(map(tuple, corners.collect())):
+        cut = (slice(None), slice(y, y + 4), slice(x, x + 4))
+        v[cut] = blocks.threshold(v[cut].reshape(3, 16), 0.3, True).reshape(3, 4, 4)
+    got = np.zeros_like(v)
+    for r in blocks.svt_at(table, ("y", "x"), ["frame"], corners, 4, 0.3).collect():
+        got[r["frame"], r["y"], r["x"]] = complex(r["re"], r["im"])
+    assert np.allclose(got, v)
