@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import Cplx, cis, cplx
 from tensorloom.operators.linop import Linop, diagonal
-from tensorloom.operators.transforms import Sizes, fft, fft_nd, gridding, interpolate, nufft1, nufft2, nufft_normal, toeplitz_apply, toeplitz_kernel
+from tensorloom.operators.transforms import Sizes, counted_side, fft, fft_nd, gridding, interpolate, nufft1, nufft2, nufft_normal, toeplitz_apply, toeplitz_kernel
 from tensorloom.sources.storage import checkpointed
 
 Change = Callable[[DataFrame], DataFrame]
@@ -124,9 +124,9 @@ def kspace_preconditioner(maps: DataFrame, freqs: DataFrame, n: int, key: str =
     c = cplx("p") * cplx("q").conj()
     lags = pair.join(second, ["coil", "_j"]).groupBy("coil", (F.col("n") - F.col("m")).cast("int").alias("d")).agg(F.sum(c.re).alias("cre"), F.sum(c.im).alias("cim"))
     e = cplx("c") * cplx("m")
-    terms = lags.join(toeplitz_kernel(freqs, n, weight), "d").select("coil", "d", e.re.alias("re"), e.im.alias("im"))
+    terms = checkpointed(lags.join(toeplitz_kernel(freqs, n, weight), "d").select("coil", "d", e.re.alias("re"), e.im.alias("im")))
     power = maps.groupBy("coil").agg(F.sum(cplx("s").abs2()).alias("_power"))
-    at = freqs.select(key, "kn").withColumn("d", F.explode(F.sequence(F.lit(1 - n), F.lit(n - 1)))).join(terms, "d")
+    at = freqs.select(key, "kn").withColumn("d", F.explode(F.sequence(F.lit(1 - n), F.lit(n - 1)))).join(counted_side(terms), "d")
     inverse = at.groupBy("coil", key).agg(F.sum((cplx() * cis(-F.col("kn") * F.col("d"))).re).alias("_q")).join(power, "coil")
     return inverse.select("coil", key, F.coalesce(1 / F.nullif(F.abs(F.col("_q") / F.col("_power")), F.lit(0.0)), F.lit(1.0)).alias("p"))
 

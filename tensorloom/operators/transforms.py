@@ -119,7 +119,7 @@ def on_modes(df: DataFrame, sizes: Sizes) -> DataFrame:
 BROADCAST_MODES = 1 << 16
 
 
-def _met(small: DataFrame) -> DataFrame:
+def counted_side(small: DataFrame) -> DataFrame:
     """The side that an exploded one meets: broadcast if it has few rows by count, else hashed after a shuffle of both."""
     return F.broadcast(small) if small.limit(BROADCAST_MODES + 1).count() <= BROADCAST_MODES else small.hint("shuffle_hash")
 
@@ -136,7 +136,7 @@ def nufft2(modes: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s", sig
     same = [c for c in modes.columns if c in freqs.columns and c not in ("re", "im")]
     batch = [c for c in modes.columns if c not in (*axes, "re", "im")]
     z = cplx() * cis(_phase(tuple(axes), tuple(ks)) * sign)
-    both = on_modes(freqs.select(key, *same, *ks), sizes).join(_met(modes), [*same, *axes]).select(*batch, key, z.re.alias("re"), z.im.alias("im"))
+    both = on_modes(freqs.select(key, *same, *ks), sizes).join(counted_side(modes), [*same, *axes]).select(*batch, key, z.re.alias("re"), z.im.alias("im"))
     return both.groupBy(*batch, key).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
@@ -178,7 +178,7 @@ def toeplitz_normal(modes: DataFrame, kernel: DataFrame, n: int) -> DataFrame:
     same = [c for c in batch if c in kernel.columns]
     z = cplx("m") * cplx()
     lo, hi = -(n // 2), n - n // 2 - 1
-    rows = modes.withColumn("out", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("d", F.col("out") - F.col("n")).join(_met(kernel), [*same, "d"])
+    rows = modes.withColumn("out", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("d", F.col("out") - F.col("n")).join(counted_side(kernel), [*same, "d"])
     return rows.select(*batch, F.col("out").alias("n"), z.re.alias("re"), z.im.alias("im")).groupBy(*batch, "n").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
