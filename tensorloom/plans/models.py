@@ -132,6 +132,36 @@ def ldl_solve(spark, sf_dir):
     return rounded(table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "k"), "k", digits=7, **{f"x{i}": v for i, v in enumerate(x)})
 
 
+@C.query(
+    f"""WITH m AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS p, embedding[5]::DOUBLE AS q, embedding[6]::DOUBLE AS r,
+      embedding[7]::DOUBLE AS f, embedding[8]::DOUBLE AS g, embedding[9]::DOUBLE AS h FROM embeddings),
+    w AS (SELECT *, greatest(abs(a), abs(b), abs(c)) AS top, greatest(abs(p), abs(q), abs(r)) AS off FROM m),
+    v AS (SELECT *, greatest(top, off / sqrt(8.0), 1e-12) AS bound, 1e-12 * greatest(top + off, 1) AS least, CASE WHEN abs(a) = top THEN 0 WHEN abs(b) = top THEN 1 ELSE 2 END AS s FROM w),
+    t AS (SELECT vec_id, bound, least, s, CASE s WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS a, CASE s WHEN 1 THEN a ELSE b END AS b, CASE s WHEN 2 THEN a ELSE c END AS c,
+      CASE s WHEN 2 THEN r ELSE p END AS p, CASE s WHEN 1 THEN r ELSE q END AS q, CASE s WHEN 0 THEN r WHEN 1 THEN q ELSE p END AS r,
+      CASE s WHEN 0 THEN f WHEN 1 THEN g ELSE h END AS f, CASE s WHEN 1 THEN f ELSE g END AS g, CASE s WHEN 2 THEN f ELSE h END AS h FROM v),
+    d AS (SELECT *, greatest(abs(a), greatest(abs(p), abs(q)) ** 2 / bound, least) AS d1 FROM t),
+    e AS (SELECT *, b - p * p / d1 AS b2, c - q * q / d1 AS c2, r - p * q / d1 AS r2 FROM d),
+    u AS (SELECT *, abs(c2) > abs(b2) AS z FROM e),
+    x AS (SELECT vec_id, bound, least, s, z, d1, CASE WHEN z THEN c2 ELSE b2 END AS b2, CASE WHEN z THEN b2 ELSE c2 END AS c2, r2, CASE WHEN z THEN q ELSE p END / d1 AS l21, CASE WHEN z THEN p ELSE q END / d1 AS l31,
+      f, CASE WHEN z THEN h ELSE g END AS g, CASE WHEN z THEN g ELSE h END AS h FROM u),
+    y AS (SELECT *, greatest(abs(b2), r2 * r2 / bound, least) AS d2 FROM x),
+    n AS (SELECT *, r2 / d2 AS l32, greatest(abs(c2 - r2 * r2 / d2), least) AS d3 FROM y),
+    k AS (SELECT *, (h - l31 * f - l32 * (g - l21 * f)) / d3 AS x3 FROM n),
+    i AS (SELECT *, (g - l21 * f) / d2 - l32 * x3 AS x2 FROM k),
+    j AS (SELECT vec_id, s, d1, d2, d3, f / d1 - l21 * x2 - l31 * x3 AS y1, CASE WHEN z THEN x3 ELSE x2 END AS y2, CASE WHEN z THEN x2 ELSE x3 END AS y3 FROM i)
+    SELECT vec_id, {rnd('CASE s WHEN 0 THEN y1 WHEN 1 THEN y2 ELSE y3 END', 5)} AS x0, {rnd('CASE s WHEN 1 THEN y1 ELSE y2 END', 5)} AS x1, {rnd('CASE s WHEN 2 THEN y1 ELSE y3 END', 5)} AS x2,
+    {rnd('d1', 5)} AS d0, {rnd('d2', 5)} AS d1, {rnd('d3', 5)} AS d2 FROM j"""
+)
+def modified_cholesky(spark, sf_dir):
+    """Each vector's first numbers as a symmetric, mostly indefinite matrix of three and a right side, solved by the pivoted modified factor."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    places = [0, 3, 4, 3, 1, 5, 4, 5, 2]
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*[e(i) for i in places]).alias("h"), F.array(*[e(i) for i in (6, 7, 8)]).alias("b"))
+    solved = fitting.solve_rows(rows, "h", "b", "vec_id")
+    return rounded(solved, "vec_id", digits=5, **{f"{n}{i}": F.col(n)[i] for n in ("x", "d") for i in range(3)})
+
+
 def _decays(spark, sf_dir) -> DataFrame:
     """Signals of two exponentials with known parameters, one for each part."""
     p = table(spark, sf_dir, "part")
