@@ -115,6 +115,27 @@ def primal_dual(p: Problem, regulariser: prox.Prox, rounds: int = 8, tol: float
     return solvers.primal_dual_gradient(p.gradient, k, prox.convex_conjugate(regulariser), x, prox.scaled(k(x), 0.0), 1 / (p.bound / 2 + sigma), sigma, rounds, tol)
 
 
+def tilings(lam: float, sizes: Sizes, size: int) -> list[solvers.Term]:
+    """Two terms of lam / 2 each: the nuclear norms of blocks of `size` voxels on each axis, over all frames, and of the blocks half a
+    block further, so that an edge of one tiling is inside of the other. Unlike `local_low_rank` they stay where they are: a convex prior.
+    """
+
+    def at(shift: int) -> prox.Prox:
+        extent = tuple(n + 1 for n in sizes.values())
+
+        def run(x: DataFrame, alpha: float) -> DataFrame:
+            return from_zero(svt_pass(from_zero(x, sizes), tuple(sizes), ["frame"], size, size, tuple(min(shift, n % size + size - 1) for n in sizes.values()), extent, lam / 2 * alpha), sizes, -1)
+
+        return run
+
+    return [solvers.Term(at(0)), solvers.Term(at(size // 2))]
+
+
+def alternating(p: Problem, terms: list[solvers.Term], rho: float, rounds: int = 3, inner_rounds: int = 3, tol: float = 0.02) -> DataFrame:
+    """(frame, axis..., re, im): the priors by copies of the images and duals, the data term by conjugate gradients with steps for each frame."""
+    return solvers.consensus(p.normal, p.start, terms, ["frame"], rho, rounds, inner_rounds, tol)
+
+
 def gridded(samples: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, rounds: int = 5) -> DataFrame:
     """(frame, axis..., re, im): weighted by density, gridded, combined and divided by the maps' power; no iteration over images.
 

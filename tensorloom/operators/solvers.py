@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import cplx
-from tensorloom.operators.linop import Linop, identity, inner
-from tensorloom.operators.prox import Prox, combine, scaled, zero
+from tensorloom.operators.linop import Linop, identity, inner, plus
+from tensorloom.operators.prox import Prox, combine, keys_of, scaled, zero
 from tensorloom.sources.storage import checkpointed
 
 Map = Callable[[DataFrame], DataFrame]
@@ -125,6 +126,75 @@ def admm(solve_x: Callable[[DataFrame], DataFrame], prox_z: Prox, z: DataFrame,
     return x
 
 
+def batched_solve(a: Map, b: DataFrame, batch: list[str], rounds: int, x: DataFrame | None = None, tol: float = 0.0) -> DataFrame:
+    """Solves A x = b by conjugate gradients, with step lengths of its own for each value of `batch`, all at once.
+
+    A is a map of whole vectors that keeps batches apart. A batch rests where its residual is at most `tol` times its b, or
+    where p . A p is not positive; the others go on, for `rounds` at most. The scalars are grouped sums joined back, never
+    driver values, and each round keeps one table in the shared folder. Entries that A leaves out are zero.
+    """
+    keys = keys_of(b)
+    z, other, ap = cplx("r"), cplx("p"), cplx("a")
+    start = b.select(*keys, F.lit(0.0).alias("xre"), F.lit(0.0).alias("xim"), F.col("re").alias("rre"), F.col("im").alias("rim"))
+    if x is not None:
+        known = x.select(*keys, F.col("re").alias("xre"), F.col("im").alias("xim"))
+        left = combine(b, plus(scaled(b, 0.0), a(x)), 1.0, -1.0).select(*keys, F.col("re").alias("rre"), F.col("im").alias("rim"))
+        start = left.join(known, keys).select(*keys, "xre", "xim", "rre", "rim")
+    state = checkpointed(start.withColumns({"pre": F.col("rre"), "pim": F.col("rim")}))
+    sizes = checkpointed(b.groupBy(*batch).agg((F.sum(cplx().abs2()) * (tol * tol)).alias("_least")))
+    for _ in range(rounds):
+        image = a(state.select(*keys, F.col("pre").alias("re"), F.col("pim").alias("im"))).select(*keys, F.col("re").alias("are"), F.col("im").alias("aim"))
+        both = checkpointed(state.join(image, keys, "left").na.fill(0.0, ["are", "aim"]))
+        sums = both.groupBy(*batch).agg(F.sum(z.abs2()).alias("_rr"), F.sum((other.conj() * ap).re).alias("_pap"), F.sum((z.conj() * ap).re).alias("_ra"), F.sum(ap.abs2()).alias("_aa")).join(sizes, batch)
+        step = F.when((F.col("_rr") > F.col("_least")) & (F.col("_pap") > 0), F.col("_rr") / F.col("_pap")).otherwise(F.lit(0.0))
+        sums = checkpointed(sums.withColumn("_step", step))
+        if tol and not sums.where("_step > 0").head(1):
+            break
+        # the next residual's size by the same sums: what cancels is of this round's size
+        turn = F.greatest(F.lit(0.0), 1 - 2 * F.col("_step") * F.col("_ra") / F.col("_rr") + F.col("_step") * F.col("_step") * F.col("_aa") / F.col("_rr"))
+        rates = sums.select(*batch, "_step", F.when(F.col("_step") > 0, turn).otherwise(F.lit(0.0)).alias("_turn"))
+        moved = both.join(rates, batch).withColumns({f"x{c}": F.col(f"x{c}") + F.col("_step") * F.col(f"p{c}") for c in ("re", "im")} | {f"r{c}": F.col(f"r{c}") - F.col("_step") * F.col(f"a{c}") for c in ("re", "im")})
+        state = moved.select(*keys, "xre", "xim", "rre", "rim", *[(F.col(f"r{c}") + F.col("_turn") * F.col(f"p{c}")).alias(f"p{c}") for c in ("re", "im")])
+    return checkpointed(state.select(*keys, F.col("xre").alias("re"), F.col("xim").alias("im")))
+
+
+@dataclass(frozen=True)
+class Term:
+    """g(K x), by the prox of g."""
+
+    prox: Prox
+    k: Linop = identity
+
+
+def consensus(a: Map, b: DataFrame, terms: list[Term], batch: list[str], rho: float, rounds: int, inner_rounds: int, tol: float = 0.0, inner_tol: float = 0.0, after: After = None) -> DataFrame:
+    """min 1/2 <x, A x> - re <b, x> + the sum of g(K x) over the terms: each term has a copy z of K x, and a dual u, of its own.
+
+    x solves (A + rho times the sum of K^H K) x = b + rho times the sum of K^H (z - u), all batches at once (`batched_solve`,
+    from the last x on); z is the prox of K x + u at 1 / rho, and u what is left of it. Starts at x = 0. Stops when all K x are
+    within `tol` of their z, and x moves by `tol` of its norm. The copies and duals live in the shared folder.
+    """
+    x = checkpointed(scaled(b, 0.0))
+    copies = [checkpointed(term.k(x)) for term in terms]
+    duals = list(copies)
+    op = lambda v: plus(a(v), *[scaled(t.k.N(v), rho) for t in terms])
+    for n in range(rounds):
+        right = checkpointed(plus(b, *[scaled(t.k.H(combine(z, u, 1.0, -1.0)), rho) for t, z, u in zip(terms, copies, duals, strict=True)]))
+        new = _told(batched_solve(op, right, batch, inner_rounds, x, inner_tol), n, after)
+        apart = 0.0
+        for i, term in enumerate(terms):
+            there = checkpointed(term.k(new))
+            shifted = checkpointed(combine(there, duals[i]))
+            copies[i] = checkpointed(term.prox(shifted, 1 / rho))
+            duals[i] = checkpointed(combine(shifted, copies[i], 1.0, -1.0))
+            if tol:
+                apart = max(apart, norm(combine(there, copies[i], 1.0, -1.0)) / max(norm(there), 1e-300))
+        rests = tol and apart <= tol and norm(combine(new, x, 1.0, -1.0)) <= tol * norm(new)
+        x = new
+        if rests:
+            break
+    return x
+
+
 def batched_conjugate_gradient(matrices: DataFrame, rhs: DataFrame, batch: str, rounds: int, tol: float = 0.0) -> DataFrame:
     """One solve for each value of `batch`, all at once: the scalars are grouped sums joined back, not driver values.
 

@@ -196,12 +196,54 @@ def admm(spark, sf_dir):
 )
 def batched_conjugate_gradient(spark, sf_dir):
     """A system of 64 unknowns for each label."""
+    m, b = _label_systems(spark, sf_dir)
+    return rounded(solvers.batched_conjugate_gradient(m, b, "label", 3), "label", "i", x=F.col("x"))
+
+
+def _label_systems(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(label, row, col, v), the Gram matrix of each label's vectors plus the identity, and (label, i, b), their sum."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("e"))
     pairs = e.select("label", F.posexplode("e").alias("row", "v"), "e").select("label", "row", "v", F.posexplode("e").alias("col", "w"))
     one = F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0)
     m = pairs.groupBy("label", "row", "col").agg(F.sum(F.col("v").cast("double") * F.col("w").cast("double")).alias("v")).withColumn("v", F.col("v") + one)
-    b = e.select("label", F.posexplode("e").alias("i", "v")).groupBy("label", "i").agg(F.sum(F.col("v").cast("double")).alias("b"))
-    return rounded(solvers.batched_conjugate_gradient(m, b, "label", 3), "label", "i", x=F.col("x"))
+    return m, e.select("label", F.posexplode("e").alias("i", "v")).groupBy("label", "i").agg(F.sum(F.col("v").cast("double")).alias("b"))
+
+
+def _consensus_sql(rounds: int, inner: int, rho: float) -> str:
+    ctes = [
+        "e AS (SELECT label, vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)",
+        "a AS MATERIALIZED (SELECT a.label, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN 1 ELSE 0 END AS v FROM e a JOIN e b USING (label, vec_id) GROUP BY 1, 2, 3)",
+        "t0 AS MATERIALIZED (SELECT label, i, sum(v) AS b, 0.0::DOUBLE AS x, 0.0::DOUBLE AS z, 0.0::DOUBLE AS u, 0.0::DOUBLE AS y, 0.0::DOUBLE AS w FROM e GROUP BY 1, 2)",
+    ]
+    for k in range(rounds):
+        ctes.append(f"g{k} AS MATERIALIZED (SELECT t.label, t.i, any_value(t.b + {rho!r} * (t.z - t.u + 0.5 * (t.y - t.w)) - {1.25 * rho!r} * t.x) - sum(a.v * o.x) AS r, any_value(t.x) AS x FROM t{k} t JOIN a ON a.label = t.label AND a.i = t.i JOIN t{k} o ON o.label = a.label AND o.i = a.j GROUP BY 1, 2)")
+        ctes.append(f"s{k}_0 AS (SELECT label, i, x, r, r AS p FROM g{k})")
+        for n in range(inner):
+            ctes += [
+                f"m{k}_{n} AS MATERIALIZED (SELECT s.label, s.i, any_value(s.x) AS x, any_value(s.r) AS r, any_value(s.p) AS p, sum(a.v * o.p) + {1.25 * rho!r} * any_value(s.p) AS ap FROM s{k}_{n} s JOIN a ON a.label = s.label AND a.i = s.i JOIN s{k}_{n} o ON o.label = a.label AND o.i = a.j GROUP BY 1, 2)",
+                f"n{k}_{n} AS MATERIALIZED (SELECT label, i, x + al * p AS x, r - al * ap AS r, p, rr FROM m{k}_{n} JOIN (SELECT label, sum(r * r) / sum(p * ap) AS al, sum(r * r) AS rr FROM m{k}_{n} GROUP BY 1) USING (label))",
+                f"s{k}_{n + 1} AS MATERIALIZED (SELECT label, i, x, r, r + q / rr * p AS p FROM n{k}_{n} JOIN (SELECT label, sum(r * r) AS q FROM n{k}_{n} GROUP BY 1) USING (label))",
+            ]
+        ctes += [
+            f"v{k} AS MATERIALIZED (SELECT label, i, t.b, s.x, s.x + t.u AS c, 0.5 * s.x + t.w AS d FROM s{k}_{inner} s JOIN t{k} t USING (label, i))",
+            f"f{k} AS MATERIALIZED (SELECT *, sign(c) * greatest(abs(c) - {0.5 / rho!r}, 0) AS z, d / (1 + 1 / {rho!r}) AS y FROM v{k})",
+            f"t{k + 1} AS MATERIALIZED (SELECT label, i, b, x, z, c - z AS u, y, d - y AS w FROM f{k})",
+        ]
+    return f"WITH {', '.join(ctes)} SELECT label, CAST(i AS INTEGER) AS i, {rnd('x * 1e2')} AS x FROM t{rounds}"
+
+
+@C.query(_consensus_sql(2, 2, 10.0))
+def consensus(spark, sf_dir):
+    """Of each label's system: 1/2 <x, A x> - <b, x> + 1/2 |x|_1 + 1/2 |x / 2|^2, with a copy and a dual for each of the two terms."""
+    m, b = _label_systems(spark, sf_dir)
+    m = solvers.checkpointed(m)
+
+    def a(x: DataFrame) -> DataFrame:
+        return m.join(x.withColumnRenamed("i", "col"), ["label", "col"]).groupBy("label", F.col("row").alias("i")).agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in ("re", "im")])
+
+    right = solvers.checkpointed(b.select("label", "i", F.col("b").alias("re"), F.lit(0.0).alias("im")))
+    terms = [solvers.Term(prox.soft(0.5)), solvers.Term(prox.l2_regularised(prox.zero, 1.0), linop.scale(0.5))]
+    return rounded(solvers.consensus(a, right, terms, ["label"], 10.0, 2, 2), "label", "i", x=F.col("re") * 100)
 
 
 # blocks: each vector is a frame of a 4 x 8 image

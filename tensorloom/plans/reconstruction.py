@@ -62,6 +62,14 @@ def framed_primal_dual(spark, sf_dir):
     return _errors(framed.primal_dual(p, framed.local_low_rank(WEIGHT * p.bound, BOX, 2)), truth)
 
 
+@C.query()
+def framed_alternating(spark, sf_dir):
+    """The same by copies and duals of two tilings of blocks, with inner conjugate gradients; tested beside numpy."""
+    truth, maps, freqs, samples = _inputs(spark, sf_dir)
+    p = framed.problem(samples, maps, freqs, BOX)
+    return _errors(framed.alternating(p, framed.tilings(WEIGHT * p.bound, BOX, 2), 0.05 * p.bound), truth)
+
+
 @C.query()
 def framed_gridding(spark, sf_dir):
     """All frames by density weights and gridding alone; tested beside numpy."""

@@ -110,6 +110,30 @@ def test_primal_dual_takes_the_steps_of_numpy(case, solved):
     near(got, x)
 
 
+def test_alternating_takes_the_steps_of_numpy(case, solved):
+    frames, p = case[3], solved
+    lam, rho = 0.02 * p.bound, 0.1 * p.bound
+    got = dense(framed.alternating(p, framed.tilings(lam, SIZES, 2), rho, 2, 2, tol=0.0))
+    b = np.stack([a.conj().T @ y / n for a, y, _, n in frames])
+    x, none = np.zeros_like(b), np.zeros_like(b)
+    z, u = [none, none], [none, none]
+    for _ in range(2):
+        right = b + rho * sum(zk - uk for zk, uk in zip(z, u, strict=True))
+        for f, (a, _, _, n) in enumerate(frames):
+            m = a.conj().T @ a / n + 2 * rho * np.eye(a.shape[1])
+            r = right[f] - m @ x[f]
+            d = r
+            for _ in range(2):
+                step = np.vdot(r, r).real / np.vdot(d, m @ d).real
+                x[f] = x[f] + step * d
+                after = r - step * (m @ d)
+                d, r = after + np.vdot(after, after).real / np.vdot(r, r).real * d, after
+        shifted = [x + uk for uk in u]
+        z = [low_rank(s, lam / 2 / rho, 2, k) for k, s in enumerate(shifted)]
+        u = [s - zk for s, zk in zip(shifted, z, strict=True)]
+    near(got, x)
+
+
 def test_gridding_is_the_weighted_adjoint(case):
     freqs, maps, samples, frames, s = case
     got = dense(framed.gridded(samples, maps, freqs, SIZES, rounds=0))  # equal weights
@@ -117,7 +141,7 @@ def test_gridding_is_the_weighted_adjoint(case):
     near(got, want)
 
 
-@pytest.mark.parametrize("query, most", [("framed_reconstruction", 0.1), ("framed_primal_dual", 0.1), ("framed_gridding", 0.5)])
+@pytest.mark.parametrize("query, most", [("framed_reconstruction", 0.1), ("framed_primal_dual", 0.1), ("framed_alternating", 0.1), ("framed_gridding", 0.5)])
 def test_queries_recover_the_truth(spark, sf_dir, query, most):
     errors = getattr(reconstruction, query)(spark, sf_dir).collect()
     assert len(errors) == 3 and all(r.relative_error < most for r in errors), errors
