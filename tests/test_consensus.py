@@ -90,16 +90,17 @@ def test_consensus_takes_the_steps_of_numpy(systems):
         assert np.allclose(got[g], x, rtol=1e-6, atol=1e-9)
 
 
-def test_consensus_nears_the_minimum_and_stops(systems):
+def test_consensus_stops_where_the_plain_loop_does(systems):
     a, b, matrices, rights = systems
     rounds = []
-    first = b.where("g = 0")
-    got = vectors(solvers.consensus(a, first, [solvers.Term(prox.soft(0.2))], ["g"], 1.0, 7, 3, tol=0.05, after=lambda x, k: rounds.append(k)))[0]
-    assert 1 < len(rounds) < 7
-    value = lambda x: 0.5 * np.vdot(x, matrices[0] @ x).real - np.vdot(rights[0], x).real + 0.2 * np.abs(x).sum()
-    z = u = best = np.zeros(SIZES[0], complex)
-    for _ in range(3000):
-        best = np.linalg.solve(matrices[0] + 5 * np.eye(len(best)), rights[0] + 5 * (z - u))
-        z = shrink(best + u, 0.2 / 5)
-        u = u + best - z
-    assert value(best) - 1e-9 <= value(got) <= value(best) + 0.02 * abs(value(best))
+    got = vectors(solvers.consensus(a, b.where("g = 0"), [solvers.Term(prox.soft(0.2))], ["g"], 1.0, 6, 2, tol=0.3, after=lambda x, k: rounds.append(k)))[0]
+    m = matrices[0] + np.eye(SIZES[0])
+    x = z = u = np.zeros(SIZES[0], complex)
+    for n in range(6):
+        old, x = x, plain(m, rights[0] + z - u, x, 2)
+        z = shrink(x + u, 0.2)
+        u = u + x - z
+        if max(np.linalg.norm(x - z), np.linalg.norm(x - old)) <= 0.3 * np.linalg.norm(x):
+            break
+    assert rounds == list(range(n + 1)) and 0 < n < 5
+    assert np.allclose(got, x, rtol=1e-6, atol=1e-9)
