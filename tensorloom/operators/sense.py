@@ -128,7 +128,7 @@ def kspace_preconditioner(maps: DataFrame, freqs: DataFrame, n: int, key: str =
     power = maps.groupBy("coil").agg(F.sum(cplx("s").abs2()).alias("_power"))
     at = freqs.select(key, "kn").withColumn("d", F.explode(F.sequence(F.lit(1 - n), F.lit(n - 1)))).join(counted_side(terms), "d")
     inverse = at.groupBy("coil", key).agg(F.sum((cplx() * cis(-F.col("kn") * F.col("d"))).re).alias("_q")).join(power, "coil")
-    return inverse.select("coil", key, F.coalesce(1 / F.nullif(F.abs(F.col("_q") / F.col("_power")), F.lit(0.0)), F.lit(1.0)).alias("p"))
+    return inverse.select("coil", key, F.coalesce(F.col("_power") / F.nullif(F.abs("_q"), F.lit(0.0)), F.lit(1.0)).alias("p"))
 
 
 def toeplitz_normal(image: DataFrame, maps: DataFrame, spectrum: DataFrame, sizes: Sizes) -> DataFrame:

@@ -182,17 +182,23 @@ def toeplitz_normal(modes: DataFrame, kernel: DataFrame, n: int) -> DataFrame:
     return rows.select(*batch, F.col("out").alias("n"), z.re.alias("re"), z.im.alias("im")).groupBy(*batch, "n").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
+def toeplitz_lags(freqs: DataFrame, sizes: Sizes, weight: Column | None = None, oversampling: float = 2.0, width: float = 6.0, *batch: str) -> DataFrame:
+    """(batch..., axis..., re, im) on the grid of twice the modes: the sum over frequencies of w e^(i k d) at the lags d from -n on
+    each axis (at place 0) to n - 1, by the gridded type 1. Frequencies are (s, k<axis>, batch...) in radians."""
+    double = {a: 2 * n for a, n in sizes.items()}
+    w = F.lit(1.0) if weight is None else weight
+    ones = freqs.select("s", *batch, *[(F.col(f"k{a}") * (n / (2 * math.pi))).alias(f"k{a}") for a, n in double.items()], (w * math.sqrt(math.prod(double.values()))).alias("re"), F.lit(0.0).alias("im"))
+    return kb_nufft_adjoint(ones, double, oversampling, width)
+
+
 def toeplitz_spectrum(freqs: DataFrame, sizes: Sizes, weight: Column | None = None, oversampling: float = 2.0, width: float = 6.0) -> DataFrame:
     """(batch..., axis..., mre, mim) on the grid of twice the modes: the transform of the sum over frequencies of w e^(i k d).
 
     Frequencies are (s, k<axis>, batch...) in radians. The lags d, -n .. n - 1 on each axis, come from the gridded type 1.
     """
     double = {a: 2 * n for a, n in sizes.items()}
-    ks = [f"k{a}" for a in sizes]
-    batch = [c for c in freqs.columns if c not in ("s", *ks)]
-    w = F.lit(1.0) if weight is None else weight
-    ones = freqs.select("s", *batch, *[(F.col(f"k{a}") * (n / (2 * math.pi))).alias(f"k{a}") for a, n in double.items()], (w * math.sqrt(math.prod(double.values()))).alias("re"), F.lit(0.0).alias("im"))
-    lags = kb_nufft_adjoint(ones, double, oversampling, width)
+    batch = [c for c in freqs.columns if c not in ("s", *[f"k{a}" for a in sizes])]
+    lags = toeplitz_lags(freqs, sizes, weight, oversampling, width, *batch)
     return fft_nd(freqs.sparkSession, double, ortho=False)(lags).withColumnsRenamed({"re": "mre", "im": "mim"})
 
 

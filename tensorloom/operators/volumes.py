@@ -185,6 +185,40 @@ def multiplied(boxes: DataFrame, other: DataFrame) -> DataFrame:
     return both.mapInArrow(run, _boxed(boxes, keys, ("_b", T.IntegerType())))
 
 
+def power(boxes: DataFrame, *over: str) -> DataFrame:
+    """|z|^2 cell by cell, summed over the volumes that differ in the keys `over` alone; the imaginary part is zero.
+
+    A task adds up what it holds of a block before anything is sent; then one array a task and block meets the others.
+    """
+    keys = [c for c in boxes.columns if c not in (*over, "_b", "_re", "_im")]
+    names = [*keys, "_b", "_re", "_im"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list[pa.Array], np.ndarray]] = {}
+
+        def out():
+            for own, total in held.values():
+                yield pa.RecordBatch.from_arrays([*own, *_lists([total.astype(complex)])], names=names)
+            held.clear()
+
+        for batch in _each(batches):
+            z = _array(batch.column("_re")[0], batch.column("_im")[0])
+            own = [batch.column(k) for k in (*keys, "_b")]
+            name = tuple(c[0].as_py() for c in own)
+            if name not in held and len(held) * z.size >= 4 * BLOCK_CELLS:
+                yield from out()
+            own, total = held.get(name, (own, 0.0))
+            held[name] = own, total + z.real**2 + z.imag**2
+        yield from out()
+
+    def whole(group: pa.Table) -> pa.Table:
+        total = sum(np.asarray(row.values) for row in group.column("_re"))
+        return pa.table([*[group.column(k).slice(0, 1) for k in (*keys, "_b")], *_lists([total.astype(complex)])], names=names)
+
+    schema = _boxed(boxes, keys, ("_b", T.IntegerType()))
+    return boxes.mapInArrow(part, schema).groupBy(*keys, "_b").applyInArrow(whole, schema)
+
+
 class Tiles:
     """How a periodic grid is cut into tiles, each with a halo as wide as the window."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.operators import linop, sense, transforms
+from tensorloom.operators import linop, precondition, sense, transforms
 from tensorloom.plans.shared import CENT, PI, Catalogue, complex_vectors, rnd, rounded, samples, table
 
 C = Catalogue()
@@ -438,3 +438,50 @@ def kspace_preconditioner(spark, sf_dir):
     """Weights of all orders' samples for the labels' maps."""
     _, maps, freqs = _sense(spark, sf_dir)
     return rounded(sense.kspace_preconditioner(maps, freqs, 32), "coil", "s", digits=3, v=F.col("p") * 1e6)
+
+
+@C.query(
+    f"""WITH {_ONE},
+    y AS (SELECT coil, s, kn, (s % 3 + 1) / 3.0 * (coil + 1) * re AS re, (s % 3 + 1) / 3.0 * (coil + 1) * im AS im FROM freqs, (SELECT DISTINCT coil FROM maps) c),
+    b AS MATERIALIZED (SELECT coil, n, sum(re * cos(kn * n) - im * sin(kn * n)) AS re, sum(re * sin(kn * n) + im * cos(kn * n)) AS im FROM y, g GROUP BY coil, n),
+    power AS (SELECT n, nullif(sum(sre * sre + sim * sim), 0) AS p FROM maps GROUP BY n)
+    SELECT CAST(n AS INTEGER) AS n, {rnd('sum(re * sre + im * sim) / any_value(p)', 2)} AS re, {rnd('sum(im * sre - re * sim) / any_value(p)', 2)} AS im
+    FROM b JOIN maps USING (coil, n) JOIN power USING (n) GROUP BY n"""
+)
+def gridding_reconstruction(spark, sf_dir):
+    """All orders as samples of every coil, in proportion to its number, with density weights."""
+    _, maps, freqs = _sense(spark, sf_dir)
+    o = _freqs(spark, sf_dir)
+    coils = maps.select("coil").distinct().withColumn("k", F.lit(1))
+    y = o.withColumn("k", F.lit(1)).join(coils, "k").select("coil", "s", "kn", ((F.col("coil") + 1) * F.col("re")).alias("re"), ((F.col("coil") + 1) * F.col("im")).alias("im"))
+    return _out(sense.gridding_reconstruction(y, maps, freqs.select("s", ((F.col("s") % 3 + 1) / 3.0).alias("w")), {"n": 32}), "n", digits=2)
+
+
+def _box_sense(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, maps, frequencies in radians): the labels' mean volumes are the maps, all vectors the images, all line items the samples."""
+    centred = {a: F.col(a) - n // 2 for a, n in BOX.items()}
+    modes = _boxes(spark, sf_dir)[0].withColumns(centred)
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("coil"))
+    maps = modes.join(labels, "vec_id").groupBy("coil", *BOX).agg(F.avg("re").alias("sre"), F.avg("im").alias("sim"))
+    return modes, maps, samples(spark, sf_dir).select("s", "kx", "ky", "kz")
+
+
+@C.query()
+def sense_grid_normal(spark, sf_dir):
+    """The coil-weighted normal operator in three dimensions by the kernel on the doubled grid; tested against the direct sums."""
+    modes, maps, freqs = _box_sense(spark, sf_dir)
+    return _out(sense.toeplitz_normal(modes, maps, transforms.toeplitz_spectrum(freqs, BOX), BOX), "vec_id", *BOX, digits=6)
+
+
+@C.query()
+def circulant_weights_3d(spark, sf_dir):
+    """The circulant preconditioner in three dimensions; tested against the diagonal written out."""
+    _, maps, freqs = _box_sense(spark, sf_dir)
+    return rounded(precondition.circulant_weights(maps, freqs, BOX), *BOX, digits=9, v=F.col("mre") * 1e4)
+
+
+@C.query()
+def kspace_weights_3d(spark, sf_dir):
+    """Weights of all line items' samples for the labels' maps in three dimensions; tested against the sums over pairs of samples."""
+    _, maps, freqs = _box_sense(spark, sf_dir)
+    return rounded(precondition.kspace_weights(maps, freqs, BOX), "coil", "s", digits=9, v=F.col("p") * 1e6)
