@@ -17,8 +17,9 @@ from tensorloom.llm.tokens import default_path, piece_tokenizer
 
 #: Ids of a frame (the unit that has a grammar of its own), on average; a document is never split over frames.
 FRAME_IDS = 1 << 19
-#: Rows of text per shard file, on average.
-SHARD_ROWS = 4096
+#: Bytes of text in a shard file, on average: at most, and at least where the session has tasks for more shards than that makes.
+SHARD_BYTES = 256 << 20
+LEAST_BYTES = 4 << 20
 #: How often a pair must be replaced to pay for its rule: that has two symbols and a length of 8 bytes, four symbols in all.
 MIN_COUNT = 5
 _BIN_BITS = 18
@@ -172,16 +173,19 @@ def _frame(shard: int, number: int, before: int, doc_ids: list, lengths: list[in
     }
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, first_rule: int = 1 << 20, shard_rows: int = SHARD_ROWS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, first_rule: int = 1 << 20, shard_bytes: int = SHARD_BYTES, least_bytes: int = LEAST_BYTES) -> None:
     """Writes the ids of all texts, documents in ascending doc_id order, as frames of compressed ids.
 
     Range partitions by doc_id (ties: by a hash of the text) become shards, in order. Each partition is sorted and read
-    as a stream; a frame holds about FRAME_IDS ids, or one document. Null texts are empty (the end id alone), a null
+    as a stream; a frame holds about FRAME_IDS ids, or one document, so that frames, not shards, bound a task's memory. The
+    number of shards grows with the bytes of text (`shard_bytes` each); a table that makes fewer than the session shuffles
+    into is cut into as many as those, of at least `least_bytes`. Null texts are empty (the end id alone), a null
     doc_id comes first, repeated rows are each kept; an empty table makes no frame. Further columns are left out.
     The files are Parquet with binary columns, so that any store that Spark writes to will do.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    shards = max(1, -(-docs.select("doc_id").count() // shard_rows))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // least_bytes)))
     schema = docs.sparkSession.createDataFrame([], FRAME_SCHEMA).schema
     names = schema.names
 

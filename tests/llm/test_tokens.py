@@ -38,7 +38,7 @@ def test_files_round_trip(spark, tmp_path, monkeypatch, frame):
     monkeypatch.setattr(token_io, "FRAME_IDS", frame)
     rows = awkward() + many(300, random.Random(4))
     path = str(tmp_path / "out")
-    token_io.write_tokens(spark.createDataFrame(rows, SCHEMA), path, BYTE, shard_rows=50)
+    token_io.write_tokens(spark.createDataFrame(rows, SCHEMA), path, BYTE, shard_bytes=5_000)
     got = token_io.read_tokens(spark, path).orderBy("start").collect()
     assert len(got) == len(rows)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
@@ -58,7 +58,7 @@ def test_parts_of_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_io, "FRAME_IDS", 2000)
     rows = many(200, random.Random(8))
     path = str(tmp_path / "out")
-    token_io.write_tokens(spark.createDataFrame(rows, SCHEMA), path, BYTE, shard_rows=80)
+    token_io.write_tokens(spark.createDataFrame(rows, SCHEMA), path, BYTE, shard_bytes=8_000)
     for d, t, *_ in rows[::37]:
         want = encoded(BYTE, t) + [0]
         for start, stop in ((0, 1), (3, 9), (len(want) - 2, None), (0, None), (5, 5), (0, 10**6)):
@@ -172,3 +172,16 @@ def test_sum_of_squares_picks_the_least():
         full = bins.place(k, 0, size)
         assert int((bins.count[1:10] ** 2).sum()) == min(costs.values())
         assert full is None or sum(p[2] for p in full) == 10
+
+
+def test_shards_grow_with_the_bytes_of_text(spark, tmp_path):
+    rows = [(i, "word " * 200, "en", "a", 0, 0, 0.0, "") for i in range(64)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+
+    def shards(name, **sizes):
+        token_io.write_tokens(docs, str(tmp_path / name), BYTE, **sizes)
+        return spark.read.parquet(str(tmp_path / name)).select("shard").distinct().count()
+
+    assert shards("bytes", shard_bytes=8_000, least_bytes=1 << 20) == 8
+    assert shards("tasks", shard_bytes=1 << 30, least_bytes=1_000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert shards("one") == 1
