@@ -10,15 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import held_out, slices, table, with_schema
+from tensorloom.llm.common import checkpointed, held_out, slices, table, with_schema
 
-#: Rows to learn from at most (those with the smallest hashes of their ids), n-gram lengths, slots per length.
+#: Rows to learn from at most (those with the smallest hashes of their ids), languages at most (the most frequent of these
+#: rows; ties: the first in order), n-gram lengths, slots per length. The model has 8 bytes a slot and language: at most 151 MB.
 MAX_ROWS = 20_000
+MAX_LANGS = 192
 LENGTHS = (1, 2, 3)
 BITS = 15
 SLOTS = len(LENGTHS) << BITS
 #: Bytes of text turned into numpy arrays at once.
 _PIECE = 1 << 20
+#: Languages that a task counts at once.
+_HELD = 64
 
 
 def ngram_slots(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -44,12 +48,13 @@ def ngram_slots(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, offsets
 
 
-def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
     """(languages, matrix of log probabilities: SLOTS + 2 rows, the last two for nothing and for the prior).
 
     Learns from a bounded sample of the rows outside the held-out fold with text and language: the `max_rows` with the
-    smallest hashes of their ids. N-grams are counted in the tasks; sums per language and slot reach the driver, at
-    most SLOTS for each language. Without such rows there is no language.
+    smallest hashes of their ids, and of their languages the `max_langs` most frequent, so a column of stray values makes no
+    larger model. N-grams are counted in the tasks; sums per language and slot reach the driver, at most SLOTS for each
+    language that is kept. Without such rows there is no language.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -57,21 +62,30 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndar
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def out():
+            for lang, n in sums.items():
+                n[SLOTS] = 0
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "slot": pa.array(at), "n": pa.array(n[at])})
+            sums.clear()
+
         for batch in slices(batches, limit=_PIECE):
             langs = batch.column("lang").to_pylist()
             texts = batch.column("text").to_pylist()
-            for lang in set(langs):
+            for lang in sorted(set(langs)):
+                if lang not in sums and len(sums) >= _HELD:
+                    yield from out()
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 into = sums.setdefault(lang, np.zeros(SLOTS + 2, np.int64))
                 for slots in ngram_slots(own)[0]:
                     into += np.bincount(slots, minlength=SLOTS + 2)
                 into[-1] += len(own)
-        for lang, n in sums.items():
-            n[SLOTS] = 0
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "slot": pa.array(at), "n": pa.array(n[at])})
+        yield from out()
 
-    found = rows.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counted = checkpointed(rows.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
+    kept = counted.where(F.col("slot") == SLOTS + 1).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
+    found = counted.join(F.broadcast(kept), "lang").toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.zeros((SLOTS + 2, len(langs)))
     if langs:

@@ -1,4 +1,8 @@
+import random
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import fold
@@ -93,3 +97,55 @@ def test_language_posterior_against_plain_sums(spark):
     p = np.exp(total - total.max())
     row = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), (langs, logs)).first()
     assert row.lang_pred == langs[total.argmax()] and np.isclose(row.score, p.max() / p.sum())
+
+
+def _texts(n=120):
+    rng = random.Random(4)
+    words = ["Alpha", "beta", "don't", "naïve", "x", "b*d", "état", "A1", "漢字", "ÄÖ"]
+    return ["", " ", "one", *("".join(rng.choice(words) + rng.choice([" ", "  ", "\n", ", ", ". ", "\t"]) for _ in range(rng.randint(1, 40))) for _ in range(n)), "Word" * 30 + " tail"]
+
+
+def _same_parts(plain, slots):
+    """Equal groups have equal slots, and nearly all different ones have different slots."""
+    assert len(plain) == len(slots)
+    seen = {}
+    for group, slot in zip(plain, slots, strict=True):
+        assert seen.setdefault(group, slot) == slot
+    assert len(set(seen.values())) >= 0.98 * len(seen)
+
+
+def test_toxicity_features_are_the_plain_groups():
+    """Single words, neighbours and words two and three apart, spelled out: no group missing, added, or over a text's end."""
+    texts = _texts()
+    slots, row = toxicity.features(pa.array(texts))
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    words = [re.findall(r"(?:[a-z0-9'*@$-]|[^\x00-\x7f])+", lower(t)) for t in texts]
+    plain = [(d, w[i], w[i + d], r) for d in range(4) for r, w in enumerate(words) for i in range(len(w) - d)]
+    assert row.tolist() == [r for *_, r in plain]
+    _same_parts([(d, a, b) for d, a, b, _ in plain], slots.tolist())
+
+
+def test_language_slots_are_the_plain_ngrams():
+    texts = _texts()
+    parts, offsets = langid.ngram_slots(texts)
+    assert np.diff(offsets).tolist() == [len(t.lower()) for t in texts]
+    plain, slots = [], []
+    for n, part in zip(langid.LENGTHS, parts, strict=True):
+        at = [t.lower()[i : i + n] for t in texts for i in range(len(t.lower()))]
+        assert [len(g) == n for g in at] == (part != langid.SLOTS).tolist()
+        plain += [g for g in at if len(g) == n]
+        slots += part[part != langid.SLOTS].tolist()
+    _same_parts(plain, slots)
+
+
+def test_languages_are_bounded(spark):
+    """Stray values of the column make no larger model: the most frequent languages stay, ties to the first in order."""
+    rows = [(i, "the cat sat on the mat", "en") for i in range(40)] + [(100 + i, "le chat noir dort", "fr") for i in range(40)] + [(200 + i, "stray", f"x{i:03}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, _ = langid.train(docs)
+    assert len(whole) > 70
+    langs, logs = langid.train(docs, max_langs=3)
+    assert langs == ["en", "fr", min(x for x in whole if x[0] == "x")] and logs.shape == (langid.SLOTS + 2, 3)
+    few, same = langid.train(docs.where("lang in ('en', 'fr')"))
+    assert few == ["en", "fr"] and np.allclose(same[: langid.SLOTS], logs[: langid.SLOTS, :2])
+    assert {r.lang_pred for r in langid.predict(docs.where("doc_id < 40"), (langs, logs)).collect()} == {"en"}
