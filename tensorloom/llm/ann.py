@@ -135,7 +135,8 @@ class Model:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v of the rows that take part: no null, zero or non-finite vectors, of the commonest length.
+    """vec_id and v of the rows that take part: no null, zero or non-finite vectors, of the commonest length. A repeated id has
+    the smallest of its vectors (by their entries in order), so that reruns agree.
 
     Vectors of floats stay so while they are moved (the cosines are in double precision).
     """
@@ -144,7 +145,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (top["n"] if top else 0))
+    return rows.where(F.size("v") == (top["n"] if top else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

@@ -110,3 +110,12 @@ def test_clustered_vectors_visit_few_cells(spark, monkeypatch):
     assert len(model.centres) == 30 and model.probes <= 10
     share, _ = recall(ann.nearest(df, ann.F.col("vec_id") % 50 == 0), exact(ids, v, ids[ids % 50 == 0]))
     assert share >= 0.95
+
+
+def test_a_repeated_id_has_its_smallest_vector(spark):
+    rows = [(50, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [1.0, 0.1]), (7, None), (8, [1.0, 1.0]), (8, [1.0, 1.0]), (50, [2.0, 0.0])]
+    schema = "vec_id long, embedding array<float>"
+    want = [(50, 1, 8, pytest.approx(2**-0.5)), (50, 2, 7, pytest.approx(0.0))]
+    for order in (rows, rows[::-1]):
+        got = ann.nearest(spark.createDataFrame(order, schema).repartition(3), ann.F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == want
