@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import Cplx, cis, cplx
+from tensorloom.operators import direct
 from tensorloom.operators.linop import Linop, diagonal
 from tensorloom.operators.transforms import Sizes, counted_side, fft, fft_nd, gridding, interpolate, nufft1, nufft2, nufft_normal, toeplitz_apply, toeplitz_kernel
 from tensorloom.sources.storage import checkpointed
@@ -26,11 +28,11 @@ def weighted(image: DataFrame, maps: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 def combined(images: DataFrame, maps: DataFrame, sizes: Sizes) -> DataFrame:
-    """The sum over coils of conj(map) times coil image."""
+    """The sum over coils of conj(map) times coil image. An image without a coil is the same for every coil."""
     axes = list(sizes)
     z = cplx() * cplx("s").conj()
     batch = [c for c in images.columns if c not in (*axes, "coil", "re", "im")]
-    return images.join(maps, ["coil", *axes]).groupBy(*batch, *axes).agg(F.sum(z.re).alias("re"), F.sum(z.im).alias("im"))
+    return images.join(maps, [*["coil"] * ("coil" in images.columns), *axes]).groupBy(*batch, *axes).agg(F.sum(z.re).alias("re"), F.sum(z.im).alias("im"))
 
 
 def forward(image: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s") -> DataFrame:
@@ -39,13 +41,24 @@ def forward(image: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, k
 
 
 def adjoint(samples: DataFrame, maps: DataFrame, sizes: Sizes, key: str = "s") -> DataFrame:
-    """Samples (batch..., coil, key, k<axis>, re, im) to the combined image; coils by their ids, as forward."""
+    """Samples (batch..., coil, key, k<axis>, re, im) to the combined image; coils by their ids, as forward. Without a coil column
+    they are every coil's, and are summed once."""
     return combined(nufft1(samples, sizes, key), maps, sizes)
 
 
 def normal(image: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s", between: Change | None = None) -> DataFrame:
-    """The adjoint of the forward transform, with a change of the samples in between if wanted."""
+    """The adjoint of the forward transform, with a change of the samples in between if wanted.
+
+    Without one, or with a residual of data that all coils share, no sample leaves its task (on a grid of at most
+    `direct.MODES` cells): the data meet the frequencies once, whatever the number of coils.
+    """
     same = [c for c in image.columns if c in freqs.columns and c not in ("re", "im")]
+    if math.prod(sizes.values()) <= direct.MODES and (between is None or isinstance(between, Residual) and {*between.keys} <= {key, *same}):
+        known = freqs.select(key, *same, *[f"k{a}" for a in sizes])
+        if between is not None:
+            known = between.beside(known)
+        found = direct.normal(weighted(image, maps, sizes), known, sizes, key, None if between is None else ("_dre", "_dim", "_dw"))
+        return combined(found, maps, sizes)
     samples = forward(image, maps, freqs, sizes, key).join(freqs.select(key, *same, *[f"k{a}" for a in sizes]), [key, *same])
     return adjoint(between(samples) if between else samples, maps, sizes, key)
 
@@ -68,19 +81,33 @@ def normal_adjoint(samples: DataFrame, maps: DataFrame, freqs: DataFrame, sizes:
     return forward(adjoint(samples, maps, sizes, key), maps, freqs, sizes, key)
 
 
-def residual(data: DataFrame | None = None, weight: str | None = None, *keys: str) -> Change:
+@dataclass(frozen=True)
+class Residual:
     """Less the measured data, times the weights: what solvers put between the two halves."""
 
-    def change(samples: DataFrame) -> DataFrame:
+    data: DataFrame | None
+    weight: str | None
+    keys: tuple[str, ...]
+
+    def __call__(self, samples: DataFrame) -> DataFrame:
         out, value = samples, cplx()
-        if data is not None:
-            cols = [*keys, F.col("re").alias("_dre"), F.col("im").alias("_dim")] + [weight] * bool(weight)
-            out, value = out.join(data.select(*cols), list(keys)), cplx() - cplx(re="_dre", im="_dim")
-        if weight:
-            value = value.scale(F.col(weight))
-        return out.withColumns({"re": value.re, "im": value.im}).drop("_dre", "_dim", *[weight] * bool(weight))
-
-    return change
+        if self.data is not None:
+            cols = [*self.keys, F.col("re").alias("_dre"), F.col("im").alias("_dim")] + [self.weight] * bool(self.weight)
+            out, value = out.join(self.data.select(*cols), list(self.keys)), cplx() - cplx(re="_dre", im="_dim")
+        if self.weight:
+            value = value.scale(F.col(self.weight))
+        return out.withColumns({"re": value.re, "im": value.im}).drop("_dre", "_dim", *[self.weight] * bool(self.weight))
+
+    def beside(self, freqs: DataFrame) -> DataFrame:
+        """The frequencies with the data (_dre, _dim) and weights (_dw) of their samples."""
+        weight = F.col(self.weight) if self.weight else F.lit(1.0)
+        if self.data is None:
+            return freqs.withColumns({"_dre": F.lit(0.0), "_dim": F.lit(0.0), "_dw": weight})
+        return freqs.join(self.data.select(*self.keys, F.col("re").alias("_dre"), F.col("im").alias("_dim"), weight.alias("_dw")), list(self.keys))
+
+
+def residual(data: DataFrame | None = None, weight: str | None = None, *keys: str) -> Residual:
+    return Residual(data, weight, keys)
 
 
 def coil_map_normal(maps: DataFrame, image: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import cis, cplx
-from tensorloom.operators import volumes
+from tensorloom.operators import direct, volumes
 from tensorloom.operators.linop import Linop, contract, matrix
 
 Sizes = dict[str, int]  # axis -> number of cells or modes; modes are centred: -(n // 2) .. n - n // 2 - 1
@@ -125,31 +125,23 @@ def counted_side(small: DataFrame) -> DataFrame:
 
 
 def nufft2(modes: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s", sign: int = -1) -> DataFrame:
-    """Type 2: the modes' sum at each frequency (k<axis>), exactly.
+    """Type 2: the modes' sum at each frequency, exactly; rows of one key are summed.
 
-    Each frequency lists the modes it needs and meets their values by an equal join on the mode. The modes are broadcast up to
-    BROADCAST_MODES rows; beyond, both sides are shuffled (Spark's own estimate does not see what a list multiplies). Sums
-    are partial before the shuffle by frequency. Columns that both sides have are batch keys;
-    other columns of the modes (coils, say) are kept.
+    Arrays of frequencies meet arrays of their batch's modes (`direct`). Columns that both sides have are batch keys; other columns of
+    the modes (coils, say) are kept.
     """
-    ks, axes = [f"k{a}" for a in sizes], list(sizes)
-    same = [c for c in modes.columns if c in freqs.columns and c not in ("re", "im")]
-    batch = [c for c in modes.columns if c not in (*axes, "re", "im")]
-    z = cplx() * cis(_phase(tuple(axes), tuple(ks)) * sign)
-    both = on_modes(freqs.select(key, *same, *ks), sizes).join(counted_side(modes), [*same, *axes]).select(*batch, key, z.re.alias("re"), z.im.alias("im"))
-    return both.groupBy(*batch, key).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return direct.type2(modes, freqs, sizes, key, sign)
 
 
 def nufft1(samples: DataFrame, sizes: Sizes, key: str = "s", sign: int = 1) -> DataFrame:
-    """Type 1: each mode's sum over the samples (key, batch..., k<axis>, re, im), exactly; no join, and sums over a task's samples come before the shuffle."""
-    ks, axes = [f"k{a}" for a in sizes], list(sizes)
-    z = cplx() * cis(_phase(tuple(axes), tuple(ks)) * sign)
-    batch = [c for c in samples.columns if c not in (*ks, key, "re", "im")]
-    return on_modes(samples, sizes).select(*batch, *axes, z.re.alias("re"), z.im.alias("im")).groupBy(*batch, *axes).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    """Type 1: each mode's sum over the samples (key, batch..., k<axis>, re, im), exactly; no join, and a task's sums come before the shuffle."""
+    return direct.type1(samples, sizes, key, sign)
 
 
 def nufft_normal(modes: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "s", between=None) -> DataFrame:
-    """Type 1 of type 2, with a change of the samples in between if wanted."""
+    """Type 1 of type 2, with a change of the samples in between if wanted. Without one, no sample leaves its task."""
+    if between is None and math.prod(sizes.values()) <= direct.MODES:
+        return direct.normal(modes, freqs, sizes, key)
     same = [c for c in modes.columns if c in freqs.columns and c not in ("re", "im")]
     samples = nufft2(modes, freqs, sizes, key).join(freqs.select(key, *same, *[f"k{a}" for a in sizes]), [key, *same])
     return nufft1(between(samples) if between else samples, sizes, key)
@@ -163,9 +155,8 @@ def nufft_normal_adjoint(samples: DataFrame, freqs: DataFrame, sizes: Sizes, key
 def toeplitz_kernel(freqs: DataFrame, n: int, weight: Column | None = None, batch: tuple[str, ...] = ()) -> DataFrame:
     """(batch..., d, mre, mim): the sum over frequencies of w e^(i k d) for the differences d of modes, -(n - 1) .. n - 1."""
     w = F.lit(1.0) if weight is None else weight
-    rows = freqs.withColumn("d", F.explode(F.sequence(F.lit(1 - n), F.lit(n - 1))))
-    z = cis(F.col("kn") * F.col("d")).scale(w)
-    return rows.groupBy(*batch, "d").agg(F.sum(z.re).alias("mre"), F.sum(z.im).alias("mim"))
+    rows = freqs.select(*batch, F.col("kn").alias("kd"), w.alias("re"), F.lit(0.0).alias("im"))
+    return direct.type1(rows, {"d": 2 * n - 1}).withColumnsRenamed({"re": "mre", "im": "mim"})
 
 
 def toeplitz_normal(modes: DataFrame, kernel: DataFrame, n: int) -> DataFrame:
@@ -174,12 +165,7 @@ def toeplitz_normal(modes: DataFrame, kernel: DataFrame, n: int) -> DataFrame:
     Columns that modes and kernel share are batch keys: each batch has its own kernel. On one axis, by products; on grids,
     `toeplitz_spectrum` and `toeplitz_apply` do the same with transforms.
     """
-    batch = [c for c in modes.columns if c not in ("n", "re", "im")]
-    same = [c for c in batch if c in kernel.columns]
-    z = cplx("m") * cplx()
-    lo, hi = -(n // 2), n - n // 2 - 1
-    rows = modes.withColumn("out", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("d", F.col("out") - F.col("n")).join(counted_side(kernel), [*same, "d"])
-    return rows.select(*batch, F.col("out").alias("n"), z.re.alias("re"), z.im.alias("im")).groupBy(*batch, "n").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return direct.convolved(modes, kernel, "n", n)
 
 
 def toeplitz_lags(freqs: DataFrame, sizes: Sizes, weight: Column | None = None, oversampling: float = 2.0, width: float = 6.0, *batch: str) -> DataFrame:
