@@ -59,3 +59,24 @@ def test_no_mode_is_listed_for_each_sample(spark, problem):
     normal = sense.normal(image, maps, freqs, {"n": 6}, between=sense.residual(freqs.selectExpr("s", "kn AS re", "kn AS im"), None, "s"))
     for df in (transforms.nufft2(modes, freqs, {"n": 6}), transforms.nufft_normal(modes, freqs, {"n": 6}), normal, transforms.toeplitz_kernel(freqs, 6, batch=("b",))):
         assert "sequence(-" not in _plan(df)
+
+
+@pytest.mark.parametrize("nodes", [32, 1 << 20])
+def test_sums_at_any_frequency_with_and_without_fewer_points(spark, monkeypatch, nodes):
+    if nodes > 32:
+        monkeypatch.setattr(transforms, "condensed", None)
+        monkeypatch.setattr(transforms, "TURN", 1e-9)
+    rng = np.random.default_rng(5)
+    p, z, w = rng.uniform(-3, 9, 4000), rng.normal(size=(4000, 2)), rng.uniform(-4, 5, 30)
+    p[:3] = 0.0
+    points = spark.createDataFrame([(float(a), float(b), float(c)) for a, (b, c) in zip(p, z, strict=True)], "p double, re double, im double")
+    targets = spark.createDataFrame([(t, float(v)) for t, v in enumerate(w)], "t long, w double")
+    got = {r.t: complex(r.re, r.im) for r in transforms.direct_dft(points, targets, blocks=3).collect()}
+    want = np.exp(1j * np.outer(w, p)) @ (z[:, 0] + 1j * z[:, 1])
+    assert max(abs(got[t] - want[t]) for t in range(30)) < 1e-10 * np.abs(z).sum()
+
+
+def test_targets_of_a_direct_sum_do_not_go_to_a_block_of_few_points_each(spark):
+    points = spark.range(200000).selectExpr("id / 100000.0D AS p", "1.0D AS re", "0.0D AS im")
+    plan = _plan(transforms.direct_dft(points, spark.range(5).selectExpr("id AS t", "id * 1.0D AS w")))
+    assert "sequence(0, 0," in plan and "sequence(0, 48," not in plan
