@@ -202,7 +202,7 @@ def toeplitz_apply(modes: DataFrame, spectrum: DataFrame, sizes: Sizes) -> DataF
     double = {a: 2 * n for a, n in sizes.items()}
     padded = modes.withColumns({a: (F.col(a) + n).cast("int") for a, n in sizes.items()})
     kernel = spectrum if "_re" in spectrum.columns else toeplitz_blocks(spectrum, sizes)
-    product = volumes.multiplied(volumes.transform(volumes.blocks(padded, double), double, 0), kernel)
+    product = volumes.multiplied(volumes.transform(volumes.blocks(padded, double), double, 0), kernel, math.prod(double.values()))
     back = volumes.rows(volumes.transform(product, double, 1, sign=1), double, 0)
     for a, n in sizes.items():
         back = back.withColumn(a, F.col(a) - n).where((F.col(a) >= -(n // 2)) & (F.col(a) < n - n // 2))

@@ -35,6 +35,12 @@ HOT_TILES = 1 << 16
 #: Window weights that are held at once.
 _WEIGHTS = 1 << 20
 
+#: Cells of volumes that are filled, transformed or multiplied together, many to a step.
+SMALL_CELLS, STEP_CELLS = 1 << 14, 1 << 20
+
+#: Cells of a kernel that is broadcast to all volumes that share it.
+BROADCAST_CELLS = 1 << 21
+
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
@@ -82,11 +88,50 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, 1)
 
 
+def _steps(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """As many rows at a time as have STEP_CELLS cells."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, max(1, STEP_CELLS // cells)):
+            yield batch.slice(lo, max(1, STEP_CELLS // cells))
+
+
+def _matrix(m: np.ndarray) -> list[pa.Array]:
+    """A row of arrays for each row of a matrix."""
+    ends = pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part).ravel())) for part in (m.real, m.imag)]
+
+
+def _flat(batch: pa.RecordBatch, re: str = "_re", im: str = "_im") -> np.ndarray:
+    return batch.column(re).flatten().to_numpy(zero_copy_only=False) + 1j * batch.column(im).flatten().to_numpy(zero_copy_only=False)
+
+
+def _small_blocks(x: DataFrame, sizes: Sizes, keys: list[str]) -> DataFrame:
+    """`blocks` of volumes of few cells: lists of cells, filled many volumes at a time."""
+    total, place = math.prod(sizes.values()), F.lit(0).cast("long")
+    inside = F.lit(True)
+    for a, n in sizes.items():
+        place, inside = place * n + F.col(a), inside & (F.col(a) >= 0) & (F.col(a) < n)
+    cell = F.struct(place.cast("int").alias("i"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    lists = x.where(inside).groupBy(*keys, F.lit(0).alias("_b")).agg(F.collect_list(cell).alias("_cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _steps(batches, total):
+            cells = batch.column("_cells")
+            items, count = cells.flatten(), batch.num_rows
+            at = np.repeat(np.arange(count), np.diff(cells.offsets.to_numpy())) * total + items.field("i").to_numpy(zero_copy_only=False)
+            re, im = (np.bincount(at, np.nan_to_num(items.field(c).to_numpy(zero_copy_only=False)), count * total) for c in ("re", "im"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keys, "_b")), *_matrix((re + 1j * im).reshape(count, total))], names=[*keys, "_b", "_re", "_im"])
+
+    return lists.mapInArrow(run, _boxed(x, keys, ("_b", T.IntegerType())))
+
+
 def blocks(x: DataFrame, sizes: Sizes, side: int = 0) -> DataFrame:
     """(keys..., _b, _re, _im) from rows (keys..., axis..., re, im)."""
     axes, shape = list(sizes), _shape(sizes)
     keys = [c for c in x.columns if c not in (*axes, "re", "im")]
     thick = thickness(sizes)[side]
+    if keys and thick >= shape[side] and math.prod(shape) <= SMALL_CELLS:
+        return _small_blocks(x, sizes, keys)
     cut = F.floor(F.col(axes[side]) / thick).cast("int") if side < len(axes) else F.lit(0)
 
     def run(group: pa.Table) -> pa.Table:
@@ -151,8 +196,13 @@ def transform(boxes: DataFrame, sizes: Sizes, side: int, sign: int = -1, centred
             numbers = [pa.array([0], pa.int32())] if alone else [pa.array([b] * count, pa.int32()), pa.array(range(count), pa.int32())]
             yield pa.RecordBatch.from_arrays([*_same(batch, keys, [0] * count), *numbers, *_lists(cuts)], names=[*keys, *(["_b"] if alone else ["_from", "_b"]), "_re", "_im"])
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _steps(batches, math.prod(shape)):
+            m = _fft(_flat(batch).reshape(-1, *shape), tuple(k + 1 for k in first), sign, centred, ortho) if first else _flat(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keys, "_b")), *_matrix(m.reshape(batch.num_rows, -1))], names=[*keys, "_b", "_re", "_im"])
+
     if alone:
-        return boxes.mapInArrow(here, schema)
+        return boxes.mapInArrow(together, schema)
 
     def there(group: pa.Table) -> pa.Table:
         b = group.column("_b")[0].as_py()
@@ -171,16 +221,29 @@ def transform(boxes: DataFrame, sizes: Sizes, side: int, sign: int = -1, centred
     return sent.groupBy(*keys, "_b").applyInArrow(there, schema)
 
 
-def multiplied(boxes: DataFrame, other: DataFrame) -> DataFrame:
-    """Cell by cell; `other`'s keys are among those of `boxes`, and its blocks are cut alike. Arrays meet, not cells."""
+def multiplied(boxes: DataFrame, other: DataFrame, cells: int = BROADCAST_CELLS + 1) -> DataFrame:
+    """Cell by cell; `other`'s keys are among those of `boxes`, and its blocks are cut alike. Arrays meet, not cells.
+
+    If `other` is one volume for all, of `cells` cells, up to BROADCAST_CELLS are broadcast: else all volumes of a block
+    would meet it in one task.
+    """
     keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
     same = [c for c in other.columns if c in (*keys, "_b")]
-    both = boxes.join(other.withColumnsRenamed({"_re": "_mre", "_im": "_mim"}), same)
+    right = other.withColumnsRenamed({"_re": "_mre", "_im": "_mim"})
+    both = boxes.join(F.broadcast(right) if same == ["_b"] and cells <= BROADCAST_CELLS else right, same)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _each(batches):
-            z = _array(batch.column("_re")[0], batch.column("_im")[0]) * _array(batch.column("_mre")[0], batch.column("_mim")[0])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keys, "_b")), *_lists([z])], names=[*keys, "_b", "_re", "_im"])
+        for whole in batches:
+            lo = 0
+            while lo < whole.num_rows:
+                size = max(1, len(whole.column("_re")[lo].values))
+                batch = whole.slice(lo, max(1, STEP_CELLS // size))
+                z = _flat(batch) * _flat(batch, "_mre", "_mim")
+                offsets = batch.column("_re").offsets.to_numpy()
+                ends = pa.array(offsets - offsets[0], pa.int32())
+                arrays = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part))) for part in (z.real, z.imag)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keys, "_b")), *arrays], names=[*keys, "_b", "_re", "_im"])
+                lo += batch.num_rows
 
     return both.mapInArrow(run, _boxed(boxes, keys, ("_b", T.IntegerType())))
 

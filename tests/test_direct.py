@@ -80,3 +80,14 @@ def test_targets_of_a_direct_sum_do_not_go_to_a_block_of_few_points_each(spark):
     points = spark.range(200000).selectExpr("id / 100000.0D AS p", "1.0D AS re", "0.0D AS im")
     plan = _plan(transforms.direct_dft(points, spark.range(5).selectExpr("id AS t", "id * 1.0D AS w")))
     assert "sequence(0, 0," in plan and "sequence(0, 48," not in plan
+
+
+def test_all_volumes_do_not_meet_their_kernel_in_one_task(spark):
+    sizes = {"x": 4, "y": 4, "z": 2}
+    cells = spark.range(320).selectExpr("id % 10 AS v", "CAST(id / 10 AS INT) % 4 - 2 AS x", "CAST(id / 40 AS INT) % 4 - 2 AS y", "CAST(id / 160 AS INT) - 1 AS z", "1.0D * id AS re", "0.0D AS im")
+    spectrum = spark.range(256).selectExpr("CAST(id / 32 AS INT) AS x", "CAST(id / 4 AS INT) % 8 AS y", "CAST(id % 4 AS INT) AS z", "2.0D AS mre", "0.0D AS mim")
+    got = transforms.toeplitz_apply(cells, spectrum, sizes)
+    assert "strategy=broadcast" in _plan(got)
+    want = {(r.v, r.x, r.y, r.z): 2 * r.re for r in cells.collect()}
+    have = {(r.v, r.x, r.y, r.z): r.re for r in got.collect()}
+    assert have.keys() == want.keys() and max(abs(have[i] - want[i]) for i in want) < 1e-9
