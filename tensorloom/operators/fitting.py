@@ -180,7 +180,8 @@ def _objective(model: Callable[..., Dual], names: list[str], p: np.ndarray, cons
 def damped_newton(model: Callable[..., Dual], names: list[str], p: np.ndarray, consts: dict[str, np.ndarray], data: np.ndarray, lower: np.ndarray, upper: np.ndarray, rule: Damping = Damping()) -> tuple[np.ndarray, np.ndarray]:
     """(parameters, objective) of a batch, from the starts `p`: Hessian plus damping, steps kept if they gain what they promise.
 
-    Steps that are not finite count as zero; parameters are clamped to the box. A problem rests, and is computed no more,
+    Steps that are not finite count as zero; parameters are clamped to the box, and one that its gradient holds at a bound is left
+    out of the step: the others would go where it cannot follow. A problem rests, and is computed no more,
     once its projected gradient promises less than `tol` of half the squared data, or a kept step moves its parameters by
     less than `tol`; the others go on for `rounds` at most.
     """
@@ -194,10 +195,13 @@ def damped_newton(model: Callable[..., Dual], names: list[str], p: np.ndarray, c
     for _ in range(rule.rounds):
         scale = np.maximum(np.abs(np.einsum("nii->ni", h)), 1e-12)
         damped = h + lam[:, None, None] * scale[:, :, None] * eye
+        held = ((at <= lower) & (g > 0)) | ((at >= upper) & (g < 0))
+        damped = np.where(held[:, :, None] | held[:, None, :], eye * scale[:, :, None], damped)
+        pull = np.where(held, 0, g)
         ok = np.isfinite(damped).all(axis=(1, 2)) & np.isfinite(g).all(axis=1)
         step = np.zeros_like(at)
         if ok.any():
-            step[ok] = safeguarded_solve(damped[ok], g[ok])
+            step[ok] = safeguarded_solve(damped[ok], pull[ok])
         step[~np.isfinite(step)] = 0
         new = np.clip(at + step, lower, upper)
         step = new - at

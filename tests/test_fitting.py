@@ -83,3 +83,14 @@ def test_rows(spark):
     got = {r["k"]: r["x"] for r in fitting.solve_rows(df, "h", "b", "k").collect()}
     assert got == {1: [1.0, 0.5], 2: None, 3: None, 4: None, 5: [3.0], 6: None, 7: None, 8: None}
     assert fitting.solve_rows(df.limit(0), "h", "b", "k").count() == 0
+
+
+def test_parameters_held_at_a_bound_do_not_stall_the_others():
+    from tensorloom.plans.models import _BOX, biexponential
+
+    names, b = ["s0", "f", "d1", "d2"], np.array([[0.0, 0.2, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0]])
+    start, low, high = (np.array([x[n] for n in names]) for x in _BOX)
+    for truth in ([1.56, 0.35, 1.5, 0.1], [1.82, 0.3, 1.5, 0.1]):
+        s0, f, d1, d2 = truth
+        y = s0 * (f * np.exp(-b * d1) + (1 - f) * np.exp(-b * d2))
+        assert np.allclose(fitting.damped_newton(biexponential, names, start[None], {"b": b}, y, low, high)[0], truth, atol=1e-6)
