@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions.cplx import cplx
 from tensorloom.operators.linop import Linop, identity, inner, plus
 from tensorloom.operators.prox import Prox, combine, keys_of, scaled, zero
-from tensorloom.sources.storage import checkpointed
+from tensorloom.sources.storage import checkpointed, written
 
 Map = Callable[[DataFrame], DataFrame]
 After = Callable[[DataFrame, int], None] | None
@@ -77,7 +77,7 @@ def gradient_descent(gradient: Map, x: DataFrame, step: float, rounds: int, prox
     """x <- prox(z - step gradient(z)); accelerated (FISTA): z is x plus its last move times (t - 1) / t'. Stops when x moves by `tol` of its norm."""
     z, t = x, 1.0
     for k in range(rounds):
-        new = checkpointed(prox(combine(z, gradient(z), 1.0, -step), step))
+        new = written(prox(combine(z, gradient(z), 1.0, -step), step))
         t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2 if accelerated else 1.0
         pull = (t - 1) / t_next
         moved = tol and norm(combine(new, x, 1.0, -1.0)) <= tol * norm(new)
@@ -105,8 +105,8 @@ def primal_dual(k: Linop, prox_f: Prox, prox_g_conjugate: Prox, x: DataFrame, y:
 def primal_dual_gradient(gradient: Map, k: Linop, prox_g_conjugate: Prox, x: DataFrame, y: DataFrame, tau: float, sigma: float, rounds: int, tol: float = 0.0, after: After = None) -> DataFrame:
     """min f(x) + g(K x) for a smooth f, by its gradient and a dual variable; 1 / tau - sigma |K|^2 >= L / 2. Stops when x moves by `tol` of its norm."""
     for n in range(rounds):
-        new = checkpointed(combine(combine(x, gradient(x), 1.0, -tau), k.H(y), 1.0, -tau))
-        y = checkpointed(prox_g_conjugate(combine(y, k(combine(new, x, 2.0, -1.0)), 1.0, sigma), sigma))
+        new = written(combine(combine(x, gradient(x), 1.0, -tau), k.H(y), 1.0, -tau))
+        y = written(prox_g_conjugate(combine(y, k(combine(new, x, 2.0, -1.0)), 1.0, sigma), sigma))
         moved = tol and norm(combine(new, x, 1.0, -1.0)) <= tol * norm(new)
         x = _told(new, n, after)
         if moved:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed and kept there: a lost executor loses nothing, and a loop's plan stays short."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table of files there, which stay: Spark then knows its true size.
+
+    A checkpoint keeps the estimate of its plan, in which the sizes of joined tables are multiplied. In a loop whose iterates
+    are joined with each other that number's digits multiply with every round, and the driver is busy with nothing else.
+    """
+    path = f"{shared_dir(df.sparkSession)}/iterate-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

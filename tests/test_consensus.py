@@ -104,3 +104,15 @@ def test_consensus_stops_where_the_plain_loop_does(systems):
             break
     assert rounds == list(range(n + 1)) and 0 < n < 5
     assert np.allclose(got, x, rtol=1e-6, atol=1e-9)
+
+
+def test_the_estimated_size_of_iterates_does_not_grow_with_the_rounds(spark):
+    from tensorloom.operators import prox, solvers
+    from tensorloom.operators.linop import identity
+
+    b = spark.createDataFrame([(i, float(i), 0.0) for i in range(4)], "i int, re double, im double")
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    gradient = lambda x: prox.combine(x, b, 1.0, -1.0)
+    x = solvers.primal_dual_gradient(gradient, identity, prox.convex_conjugate(prox.soft(0.1)), b, prox.scaled(b, 0.0), 0.5, 0.5, 3)
+    assert bits(x) < 32
+    assert bits(solvers.gradient_descent(gradient, b, 0.5, 3, prox.soft(0.1), True)) < 32
