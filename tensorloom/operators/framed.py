@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import cplx
-from tensorloom.operators import prox, sense, solvers, transforms
+from tensorloom.operators import prox, sense, solvers, transforms, volumes
 from tensorloom.operators.blocks import svt_pass
 from tensorloom.operators.linop import Linop, identity
 from tensorloom.operators.transforms import Sizes
@@ -35,16 +35,18 @@ def from_zero(x: DataFrame, sizes: Sizes, sign: int = 1) -> DataFrame:
 
 
 def forward(image: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes) -> DataFrame:
-    """(frame, coil, s, k<axis>..., re, im): what coils measure of centred images (frame, axis..., re, im), by windows."""
+    """(frame, coil, s, k<axis>..., re, im): what coils measure of centred images (frame, axis..., re, im), by windows; a row of freqs is a sample."""
     seen = from_zero(sense.weighted(image, maps, sizes), sizes)
-    same = [c for c in image.columns if c in freqs.columns]
-    values = transforms.kb_nufft(seen, in_cycles(freqs, sizes), sizes, OVERSAMPLING, WIDTH)
-    return prox.scaled(values, math.sqrt(math.prod(sizes.values()))).join(freqs, [*same, "s"])
+    same, ks = [c for c in image.columns if c in freqs.columns], [f"k{a}" for a in sizes]
+    at = in_cycles(freqs.select(*same, *ks, F.struct("s", *ks).alias("_at")), sizes)
+    values = prox.scaled(transforms.kb_nufft(seen, at, sizes, OVERSAMPLING, WIDTH, "_at", unique=True), math.sqrt(math.prod(sizes.values())))
+    return values.select(*[c for c in values.columns if c not in ("_at", "re", "im")], *[F.col(f"_at.{c}").alias(c) for c in ("s", *ks)], "re", "im")
 
 
-def adjoint(samples: DataFrame, maps: DataFrame, sizes: Sizes) -> DataFrame:
-    """The adjoint of `forward`, coils combined."""
-    back = transforms.kb_nufft_adjoint(in_cycles(samples, sizes), sizes, OVERSAMPLING, WIDTH)
+def adjoint(samples: DataFrame, maps: DataFrame, sizes: Sizes, frames: DataFrame | None = None) -> DataFrame:
+    """The adjoint of `forward`, coils combined. `frames`: a row for each frame, if known; else the samples are read for them."""
+    some = None if frames is None else volumes.few(frames.select("frame").crossJoin(maps.select("coil").distinct()))
+    back = transforms.kb_nufft_adjoint(in_cycles(samples, sizes), sizes, OVERSAMPLING, WIDTH, some=some)
     return sense.combined(from_zero(prox.scaled(back, math.sqrt(math.prod(sizes.values()))), sizes, -1), maps, sizes)
 
 
@@ -79,7 +81,7 @@ def problem(samples: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes)
     bound = spectrum.agg(F.max(F.hypot("mre", "mim"))).first()[0] * power
     kernel = checkpointed(transforms.toeplitz_blocks(spectrum, sizes))
     normal = lambda x: sense.toeplitz_normal(x, maps, kernel, sizes)
-    start = checkpointed(shared(adjoint(samples, maps, sizes), "re", "im"))
+    start = checkpointed(shared(adjoint(samples, maps, sizes, counts), "re", "im"))
     bound = min(bound, 1.2 * solvers.power_iteration(normal, start, 4)[0])
     return Problem(normal, start, bound, sizes)
 
@@ -144,8 +146,9 @@ def gridded(samples: DataFrame, maps: DataFrame, freqs: DataFrame, sizes: Sizes,
     grid = {a: math.ceil(OVERSAMPLING * n) for a, n in sizes.items()}
     at = freqs.select("frame", "s", *[(F.col(f"k{a}") * (grid[a] / (2 * math.pi)) + grid[a] // 2).alias(f"k{a}") for a in sizes])
     w = sense.density_weights(at, grid, WIDTH, transforms.kernel_shape(OVERSAMPLING, WIDTH), rounds, "s", "frame")
-    w = w.join(w.groupBy("frame").agg(F.sum("w").alias("_all")), "frame").select("frame", "s", (F.col("w") / F.col("_all")).alias("w"))
+    frames = checkpointed(w.groupBy("frame").agg(F.sum("w").alias("_all")))
+    w = w.join(frames, "frame").select("frame", "s", (F.col("w") / F.col("_all")).alias("w"))
     dense = samples.join(w, ["frame", "s"]).withColumns({c: F.col(c) * F.col("w") for c in ("re", "im")}).drop("w")
     power = maps.groupBy(*sizes).agg(F.nullif(F.sum(cplx("s").abs2()), F.lit(0.0)).alias("_p"))
-    out = adjoint(dense, maps, sizes).join(power, list(sizes))
+    out = adjoint(dense, maps, sizes, frames).join(power, list(sizes))
     return out.withColumns({c: F.col(c) / F.col("_p") for c in ("re", "im")}).drop("_p")

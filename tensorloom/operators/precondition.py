@@ -67,12 +67,12 @@ def kspace_weights(maps: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "
     lags = _correlations(volumes.multiplied(conjugates, boxes), sizes, "_j")
     terms = volumes.rows(_with_kernel(lags, freqs.withColumnRenamed(key, "s"), sizes, weight, oversampling, width), double, 0)
     ks = [f"k{a}" for a in sizes]
-    places = freqs.select(F.struct(key, *ks).alias("_at"), *ks).distinct()
-    at = places.select("_at", *[(F.col(f"k{a}") * (n / (2 * math.pi))).alias(f"k{a}") for a, n in double.items()])
-    sums = kb_nufft(terms, at, double, oversampling, width, "_at")
+    places = freqs.select(key, *ks).distinct()
+    at = places.select(key, *[(F.col(f"k{a}") * (n / (2 * math.pi))).alias(f"k{a}") for a, n in double.items()])
+    sums = kb_nufft(terms, at, double, oversampling, width, key, unique=True)
     power = maps.groupBy("coil").agg((F.sum(cplx("s").abs2()) / math.sqrt(math.prod(double.values()))).alias("_power"))
     p = F.col("_power") / F.nullif(F.abs("re"), F.lit(0.0))
-    return sums.join(power, "coil").select("coil", F.col("_at")[key].alias(key), F.coalesce(p, F.lit(1.0)).alias("p"))
+    return sums.join(power, "coil").select("coil", key, F.coalesce(p, F.lit(1.0)).alias("p"))
 
 
 def circulant_weights(maps: DataFrame, freqs: DataFrame, sizes: Sizes, weight: Column | None = None, oversampling: float = 2.0, width: float = 6.0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cplx import Cplx, cis, cplx
-from tensorloom.operators import direct
+from tensorloom.operators import direct, volumes
 from tensorloom.operators.linop import Linop, diagonal
 from tensorloom.operators.transforms import Sizes, counted_side, fft, fft_nd, gridding, interpolate, nufft1, nufft2, nufft_normal, toeplitz_apply, toeplitz_kernel
 from tensorloom.sources.storage import checkpointed
@@ -166,15 +166,21 @@ def toeplitz_normal(image: DataFrame, maps: DataFrame, spectrum: DataFrame, size
 def density_weights(coords: DataFrame, sizes: Sizes, width: float, beta: float, rounds: int, key: str = "s", *batch: str) -> DataFrame:
     """(batch..., key, w): w divided by |G^H G w|, again and again, from w = 1; G is the window's gridding. Where that is zero, w stays.
 
-    Each round grids and interpolates; its weights are kept in the shared folder. Each batch has a grid of its own.
+    Each round grids and interpolates; its weights are kept in the shared folder. Each batch has a grid of its own, and each row
+    is a sample of its own: it carries its coordinates and weight along, and no join brings them back.
     """
-    own = [*batch, key]
-    coords = checkpointed(coords.select(*own, *[f"k{a}" for a in sizes]))
-    w = coords.withColumns({"re": F.lit(1.0), "im": F.lit(0.0)})
+    ks = [f"k{a}" for a in sizes]
+    w = coords.select(*batch, F.struct(key, *ks, F.lit(1.0).alias("re")).alias("_at"))
+    w = checkpointed(w)
+    some = not batch or volumes.few(w.select(*batch))
     for _ in range(rounds):
-        there = interpolate(gridding(w, sizes, width, beta, *batch), coords, sizes, width, beta, key).select(*own, F.nullif(cplx().abs(), F.lit(0.0)).alias("_d"))
-        w = checkpointed(w.join(there, own).withColumn("re", F.coalesce(F.col("re") / F.col("_d"), F.col("re"))).drop("_d"))
-    return w.select(*own, F.col("re").alias("w"))
+        at = w.select(*batch, "_at", *[F.col(f"_at.{c}").alias(c) for c in ks])
+        grid = gridding(at.select(*batch, *ks, F.col("_at.re").alias("re"), F.lit(0.0).alias("im")), sizes, width, beta, *batch, some=some)
+        there = interpolate(grid, at, sizes, width, beta, "_at", unique=True)
+        d = F.nullif(cplx().abs(), F.lit(0.0))
+        next_w = F.coalesce(F.col("_at.re") / d, F.col("_at.re"))
+        w = checkpointed(there.select(*batch, F.struct(F.col(f"_at.{key}").alias(key), *[F.col(f"_at.{c}").alias(c) for c in ks], next_w.alias("re")).alias("_at")))
+    return w.select(*batch, F.col(f"_at.{key}").alias(key), F.col("_at.re").alias("w"))
 
 
 def gridding_reconstruction(samples: DataFrame, maps: DataFrame, weights: DataFrame, sizes: Sizes, key: str = "s") -> DataFrame:

@@ -247,21 +247,21 @@ def tiled(sizes: Sizes, width: float, beta: float) -> volumes.Tiles:
     return volumes.Tiles(sizes, width, beta, _kernel)
 
 
-def gridding(samples: DataFrame, sizes: dict[str, int], width: float, beta: float, *batch: str) -> DataFrame:
+def gridding(samples: DataFrame, sizes: dict[str, int], width: float, beta: float, *batch: str, some: bool | None = None) -> DataFrame:
     """Scatter-add of samples (k<axis>, re, im) on a periodic grid by tiles; a real signal has im = 0.
 
-    Rows without a coordinate have no place; a null value is zero.
+    Rows without a coordinate have no place; a null value is zero. `some`: whether the batches are few (`volumes.few`), if known.
     """
-    return volumes.scatter(samples, tiled(sizes, width, beta), *batch)
+    return volumes.scatter(samples, tiled(sizes, width, beta), *batch, some=some)
 
 
-def interpolate(grid: DataFrame, coords: DataFrame, sizes: dict[str, int], width: float, beta: float, key: str = "s") -> DataFrame:
+def interpolate(grid: DataFrame, coords: DataFrame, sizes: dict[str, int], width: float, beta: float, key: str = "s", unique: bool = False) -> DataFrame:
     """The adjoint of gridding: each sample's weighted sum of its cells, by tiles; absent cells are zero.
 
-    Columns that both sides have are batch keys; others of the grid are kept. Rows of one key are summed, and rows without a
-    coordinate give none.
+    Columns that both sides have are batch keys; others of the grid are kept. Rows of one key are summed (with `unique`, each
+    row is a sample of its own), and rows without a coordinate give none.
     """
-    return volumes.gather(volumes.blocks(grid, sizes), coords, tiled(sizes, width, beta), 0, key)
+    return volumes.gather(volumes.blocks(grid, sizes), coords, tiled(sizes, width, beta), 0, key, unique)
 
 
 def apodise(grid: DataFrame, sizes: dict[str, int], width: float, beta: float, oversampling: float = 1.25) -> DataFrame:
@@ -278,12 +278,13 @@ def _grids(sizes: Sizes | int, oversampling: float) -> tuple[Sizes, Sizes]:
     return sizes, {a: math.ceil(oversampling * n) for a, n in sizes.items()}
 
 
-def kb_nufft(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s") -> DataFrame:
+def kb_nufft(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s", unique: bool = False) -> DataFrame:
     """Type 2 on a grid of one to three axes by a Kaiser-Bessel window: apodise, pad, transform, interpolate; divided by the root of the modes' number.
 
     Modes (axis from 0, re, im, batch...) are centred; coordinates k<axis> are in cycles per field of view, -n/2 .. n/2.
     A sample touches (width + 1)^axes cells, whatever the number of modes, in one numpy gather a tile. The relative error is about 1e-2 at 1.25 and 4
     (the usual choice), and below 1e-3 at 2 and 6. An int is the size of the axis x.
+    With `unique`, each row of `coords` is a sample of its own; else rows of one key are summed.
     """
     sizes, grid = _grids(sizes, oversampling)
     beta = kernel_shape(oversampling, width)
@@ -291,17 +292,17 @@ def kb_nufft(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampli
     spectrum = volumes.transform(volumes.blocks(shaped, grid), grid, 0, ortho=False)
     at = coords.withColumns({f"k{a}": F.col(f"k{a}") * (grid[a] / n) + grid[a] // 2 for a, n in sizes.items()})
     norm = width ** len(sizes) * math.sqrt(math.prod(sizes.values()))
-    return volumes.gather(spectrum, at, tiled(grid, width, beta), 1, key).withColumns({c: F.col(c) / norm for c in ("re", "im")})
+    return volumes.gather(spectrum, at, tiled(grid, width, beta), 1, key, unique).withColumns({c: F.col(c) / norm for c in ("re", "im")})
 
 
-def kb_nufft_adjoint(samples: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s") -> DataFrame:
+def kb_nufft_adjoint(samples: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s", some: bool | None = None) -> DataFrame:
     """The adjoint of `kb_nufft`: grid, transform back, crop, apodise; samples are (s, k<axis>, re, im, batch...), the modes count from 0."""
     sizes, grid = _grids(sizes, oversampling)
     beta = kernel_shape(oversampling, width)
     ks = [f"k{a}" for a in sizes]
     batch = [c for c in samples.columns if c not in (key, *ks, "re", "im")]
     at = samples.withColumns({f"k{a}": F.col(f"k{a}") * (grid[a] / n) + grid[a] // 2 for a, n in sizes.items()})
-    modes = fft_nd(samples.sparkSession, grid, centred=True, ortho=False).H(gridding(at, grid, width, beta, *batch))
+    modes = fft_nd(samples.sparkSession, grid, centred=True, ortho=False).H(gridding(at, grid, width, beta, *batch, some=some))
     for a, n in sizes.items():
         modes = modes.withColumn(a, F.col(a) - grid[a] // 2 + n // 2).where((F.col(a) >= 0) & (F.col(a) < n))
     norm = width ** len(sizes) * math.sqrt(math.prod(sizes.values()))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,12 @@ SMALL_CELLS, STEP_CELLS = 1 << 14, 1 << 20
 #: Cells of a kernel that is broadcast to all volumes that share it.
 BROADCAST_CELLS = 1 << 21
 
+#: Cells of a grid whose windows are laid out whole, and values of such windows that are held at once.
+WHOLE_CELLS, _WHOLE = 1 << 11, 1 << 21
+
+#: Batches whose grids a task sums side by side, and cells of such grids that are broadcast to all samples.
+WHOLE_BATCHES, BROADCAST_GRIDS = 1 << 9, 1 << 18
+
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
@@ -330,13 +337,27 @@ class Tiles:
     def chunk(self) -> int:
         return max(1, _WEIGHTS // math.prod(self.window))
 
+    def whole(self) -> bool:
+        """Whether the windows are laid out on the whole grid: products of small matrices then do all samples of a step."""
+        return math.prod(self.shape) <= WHOLE_CELLS
+
+    def wide(self, ks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The windows on the whole grid, a row a sample: those of the first axis, and the products of those of the others."""
+        out = []
+        for k, n in enumerate(self.shape):
+            w = np.zeros((len(ks[0]), n)) if k < len(ks) else np.ones((len(ks[0]), 1))
+            if k < len(ks):
+                lo, each = np.ceil(ks[k] - self.width / 2), np.arange(len(ks[0]))
+                first = np.mod(lo, n).astype(np.int64)
+                for j in range(self.window[k]):
+                    w[each, (first + j) % n] += self.kernel((lo + j - ks[k]) / (self.width / 2), self.beta)
+            out.append(w)
+        return out[0], (out[1][:, :, None] * out[2][:, None, :]).reshape(len(ks[0]), -1)
+
 
 def _dealt(samples: DataFrame, tiles: Tiles, batch: list[str]) -> tuple[DataFrame, DataFrame]:
     """The samples with _tile and _salt, and the fuller tiles (batch..., _tile, _parts); null and infinite coordinates go."""
-    known = F.lit(True)
-    for a in tiles.axes:
-        known = known & F.col(f"k{a}").isNotNull() & ~F.isnan(F.col(f"k{a}").cast("double")) & (F.abs(F.col(f"k{a}")) < 1e15)
-    own = samples.where(known).withColumn("_tile", tiles.number())
+    own = samples.where(_known(tiles)).withColumn("_tile", tiles.number())
     full = own.groupBy(*batch, "_tile").agg(F.ceil(F.count("*") / TILE_SAMPLES).cast("int").alias("_parts")).where("_parts > 1")
     full = checkpointed(full)
     small = full.count()
@@ -346,13 +367,22 @@ def _dealt(samples: DataFrame, tiles: Tiles, batch: list[str]) -> tuple[DataFram
     return own.join(F.broadcast(full) if small <= HOT_TILES else full.hint("merge"), [*batch, "_tile"], "left").withColumn("_salt", salt).drop("_parts"), full
 
 
-def scatter(samples: DataFrame, tiles: Tiles, *batch: str) -> DataFrame:
+def few(batches: DataFrame) -> bool:
+    """Whether a task can sum a small grid for each of these side by side."""
+    return batches.distinct().limit(WHOLE_BATCHES + 1).count() <= WHOLE_BATCHES
+
+
+def scatter(samples: DataFrame, tiles: Tiles, *batch: str, some: bool | None = None) -> DataFrame:
     """(batch..., axis..., re, im): the samples (k<axis>, re, im) times the window, summed on the periodic grid.
 
     Each sample goes to its tile once, a full tile's to several groups; a group sums in one array, and the arrays of
-    neighbours and of parts are summed cell by cell. Cells that no window touches are absent.
+    neighbours and of parts are summed cell by cell. Cells that no window touches are absent. On a small grid (`Tiles.whole`)
+    of few batches samples stay where they are: a task sums each batch's in one array, and the arrays are summed.
+    `some` says whether the batches are few; else they are counted.
     """
     ks = [f"k{a}" for a in tiles.axes]
+    if tiles.whole() and (not batch or (few(samples.select(*batch)) if some is None else some)):
+        return _scattered_whole(samples, tiles, list(batch))
     own, _ = _dealt(samples.select(*batch, *ks, "re", "im"), tiles, list(batch))
 
     def run(group: pa.Table) -> pa.Table:
@@ -378,6 +408,70 @@ def scatter(samples: DataFrame, tiles: Tiles, *batch: str) -> DataFrame:
     return parts.groupBy(*batch, *tiles.axes).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
+def _known(tiles: Tiles):
+    """Whether a sample has a place: null and infinite coordinates have none."""
+    known = F.lit(True)
+    for a in tiles.axes:
+        known = known & F.col(f"k{a}").isNotNull() & ~F.isnan(F.col(f"k{a}").cast("double")) & (F.abs(F.col(f"k{a}")) < 1e15)
+    return known
+
+
+def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[int, int]]:
+    """Where runs of rows with equal values lie."""
+    change = np.zeros(batch.num_rows, bool)
+    change[:1] = True
+    for n in names:
+        codes = batch.column(n).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        change[1:] |= codes[1:] != codes[:-1]
+    starts = np.flatnonzero(change)
+    return zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True)
+
+
+def _scattered_whole(samples: DataFrame, tiles: Tiles, batch: list[str]) -> DataFrame:
+    """`scatter` on a grid of few cells."""
+    ks, cells = [f"k{a}" for a in tiles.axes], math.prod(tiles.shape)
+    names = [*batch, "_some", "_re", "_im"]
+    step = max(1, _WHOLE // cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list[pa.Array], np.ndarray]] = {}
+
+        def out():
+            for own, total in held.values():
+                lists = [pa.ListArray.from_arrays(pa.array([0, cells], pa.int32()), pa.array(np.ascontiguousarray(v).ravel())) for v in (total[2], total[0], total[1])]
+                yield pa.RecordBatch.from_arrays([*own, *lists], names=names)
+            held.clear()
+
+        for whole in batches:
+            if batch:
+                whole = whole.sort_by([(b, "ascending") for b in batch])
+            for first, last in _runs(whole, batch):
+                own = [whole.column(b).slice(first, 1) for b in batch]
+                name = tuple(c[0].as_py() for c in own)
+                if name not in held and len(held) * cells >= 4 * BLOCK_CELLS:
+                    yield from out()
+                total = held.setdefault(name, (own, np.zeros((3, *tiles.shape[:1], cells // tiles.shape[0]))))[1]
+                for lo in range(first, last, step):
+                    cut = whole.slice(lo, min(step, last - lo))
+                    one, rest = tiles.wide([cut.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ks])
+                    values = [np.nan_to_num(cut.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in ("re", "im")]
+                    total[0] += one.T @ (rest * values[0][:, None])
+                    if values[1].any():
+                        total[1] += one.T @ (rest * values[1][:, None])
+                    total[2] += one.T @ rest
+        yield from out()
+
+    kinds = [*_fields(samples, *batch), *[T.StructField(n, _ARRAY) for n in names[-3:]]]
+    parts = samples.where(_known(tiles)).select(*batch, *[F.col(k).cast("double").alias(k) for k in ks], "re", "im").mapInArrow(run, T.StructType(kinds))
+    cell = parts.select(*batch, F.posexplode(F.arrays_zip("_some", "_re", "_im")).alias("_i", "_z")).where("_z._some != 0")
+    at, left = {}, cells
+    for k, a in enumerate(tiles.axes):
+        left //= tiles.shape[k]
+        at[a] = (F.floor(F.col("_i") / left) % tiles.shape[k]).cast("int")
+    sums = cell.groupBy(*batch, "_i").agg(F.sum("_z._re").alias("re"), F.sum("_z._im").alias("im"))
+    return sums.select(*batch, *[c.alias(a) for a, c in at.items()], "re", "im")
+
+
 def _pieces(boxes: DataFrame, tiles: Tiles, side: int) -> DataFrame:
     """(keys..., _tile, _at, _re, _im): what each block has of each tile with its halo; _at: the planes in the tile's array."""
     keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
@@ -399,14 +493,21 @@ def _pieces(boxes: DataFrame, tiles: Tiles, side: int) -> DataFrame:
     return boxes.mapInArrow(run, _boxed(boxes, keys, ("_tile", T.LongType()), ("_at", T.ArrayType(T.IntegerType()))))
 
 
-def gather(boxes: DataFrame, coords: DataFrame, tiles: Tiles, side: int, key: str = "s") -> DataFrame:
-    """(keys..., key, re, im): each sample's weighted sum of its cells, for each volume that it meets; rows of one key are summed.
+def gather(boxes: DataFrame, coords: DataFrame, tiles: Tiles, side: int, key: str = "s", unique: bool = False) -> DataFrame:
+    """(keys..., key, re, im): each sample's weighted sum of its cells, for each volume that it meets; rows of one key are
+    summed, unless each row is a sample of its own (`unique`): then no row is sent to another.
 
     A tile's cells travel as arrays, one from each block that it touches, and each sample goes to its tile once; both meet
     there. A full tile is split, and its cells are copied to each part. Columns that both sides have are batch keys; of
-    volumes with other keys (coils, say) as many share a group as fit.
+    volumes with other keys (coils, say) as many share a group as fit. Few small grids (`Tiles.whole`) are broadcast to the samples.
     """
     ks = [f"k{a}" for a in tiles.axes]
+    if tiles.whole():
+        boxes = checkpointed(boxes)
+        if boxes.limit(BROADCAST_GRIDS + 1).count() * math.prod(tiles.shape) <= BROADCAST_GRIDS:
+            values = _gathered_whole(boxes, coords, tiles, key)
+            kept = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
+            return values if unique else values.groupBy(*kept, key).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
     keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
     same, rest = [c for c in keys if c in coords.columns], [c for c in keys if c not in coords.columns]
     held = math.prod(e + w - 1 for e, w in zip(tiles.edge, tiles.window, strict=True))
@@ -453,7 +554,59 @@ def gather(boxes: DataFrame, coords: DataFrame, tiles: Tiles, side: int, key: st
         return pa.table([*columns, tags, pa.array(values.real.ravel()), pa.array(values.imag.ravel())], names=names)
 
     values = own.groupBy(*group).cogroup(pieces.groupBy(*group)).applyInArrow(run, schema)
-    return values.groupBy(*keys, key).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return values if unique else values.groupBy(*keys, key).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+def _gathered_whole(boxes: DataFrame, coords: DataFrame, tiles: Tiles, key: str) -> DataFrame:
+    """`gather` for few grids of few cells, a row for each sample: samples become rows of arrays where they are, and meet all
+    volumes of their batch there."""
+    ks, cells = [f"k{a}" for a in tiles.axes], math.prod(tiles.shape)
+    keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
+    same, rest = [c for c in keys if c in coords.columns], [c for c in keys if c not in coords.columns]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if same:
+                order = pa.compute.sort_indices(batch.select(same), sort_keys=[(c, "ascending") for c in same])
+                batch = batch.take(order)
+            runs = list(_runs(batch, same))
+            ends = pa.array([first for first, _ in runs] + [batch.num_rows], pa.int32())
+            if runs:
+                starts = pa.array([first for first, _ in runs], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(starts) for c in same], *[pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("_key", *ks)]], names=[*same, "_key", *ks])
+
+    kind = coords.schema[key].dataType
+    schema = T.StructType([*_fields(coords, *same), T.StructField("_key", T.ArrayType(kind)), *[T.StructField(k, _ARRAY) for k in ks]])
+    rows = coords.where(_known(tiles)).select(*same, F.col(key).alias("_key"), *[F.col(k).cast("double").alias(k) for k in ks]).mapInArrow(packed, schema)
+    volume = F.collect_list(F.struct(*rest, "_re", "_im")).alias("_volumes")
+    here = boxes.groupBy(*[F.col(c).alias(f"_o_{c}") for c in same]).agg(volume)
+    both = F.lit(True)
+    for c in same:
+        both = both & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    met = rows.join(F.broadcast(here), both).select(*same, "_key", *ks, "_volumes")
+    names = [*keys, key, "re", "im"]
+    out = T.StructType([*_fields(boxes, *keys), *_fields(coords, key), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _each(batches):
+            held = batch.column("_volumes").flatten()
+            count = len(held)
+            m = np.stack([held.field(c).flatten().to_numpy(zero_copy_only=False).reshape(count, tiles.shape[0], -1) for c in ("_re", "_im")])
+            m = m.transpose(2, 0, 1, 3).reshape(tiles.shape[0], -1)
+            tags = batch.column("_key").flatten()
+            at = [batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in ks]
+            step = max(1, _WHOLE // max(cells, m.shape[1]))
+            for lo in range(0, len(tags), step):
+                one, beside = tiles.wide([k[lo : lo + step] for k in at])
+                n = len(one)
+                z = np.einsum("nvj,nj->vn", (one @ m).reshape(n, 2 * count, -1), beside).reshape(2, count * n)
+                copies = pa.array(np.repeat(np.arange(count), n), pa.int64())
+                columns = {c: batch.column(c).take(pa.array(np.zeros(count * n, np.int64))) for c in same}
+                columns |= {c: held.field(c).take(copies) for c in rest}
+                own = tags.slice(lo, n).take(pa.array(np.tile(np.arange(n), count)))
+                yield pa.RecordBatch.from_arrays([*[columns[c] for c in keys], own, pa.array(z[0]), pa.array(z[1])], names=names)
+
+    return met.mapInArrow(run, out)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:

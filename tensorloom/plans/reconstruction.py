@@ -31,7 +31,8 @@ def _inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     gated = gating.gate_by_value(signal(spark, sf_dir), "value", FRAMES)
     steps = (0.8191725134, 0.6710436067, 0.5497004779)  # fixed values: powers of the inverse of the root of x^4 = x + 1
     places = [((F.col("event_id") * s) % 1.0 * 2 * math.pi - math.pi).alias(f"k{a}") for a, s in zip(BOX, steps, strict=True)]
-    freqs = checkpointed(gated.select("frame", F.col("event_id").alias("s"), *places))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # else a small file keeps few cores busy
+    freqs = checkpointed(gated.select("frame", F.col("event_id").alias("s"), *places).repartition(parts))
     return truth, maps, freqs, checkpointed(framed.forward(truth, maps, freqs, BOX))
 
 

@@ -109,3 +109,28 @@ def test_empty_tables(spark):
     assert transforms.fft_nd(spark, {"x": 4, "y": 4})(grid).count() == 0
     with pytest.raises(ValueError):
         volumes.thickness({})
+
+
+@pytest.mark.parametrize("sizes, width", [({"x": 8, "y": 6, "z": 4}, 6.0), ({"x": 64}, 4.0)])
+def test_small_grids_sum_as_tiles_do_and_send_no_sample(spark, monkeypatch, sizes, width):
+    k = [(F.rand(3 + i) * 3 * n - n).alias(f"k{a}") for i, (a, n) in enumerate(sizes.items())]
+    s = spark.range(3000).select((F.col("id") % 3).cast("int").alias("frame"), F.floor(F.col("id") / 2).alias("s"), *k, F.rand(1).alias("re"), F.rand(2).alias("im"))
+    s = s.unionByName(s.limit(2).withColumn("kx", F.lit(None).cast("double"))).localCheckpoint()
+    names, beta = list(sizes), 9.0
+    here = lambda: transforms.gridding(s, sizes, width, beta, "frame")
+    grid = here().localCheckpoint()
+    coils = grid.withColumn("coil", F.lit(0)).unionByName(grid.withColumns({"coil": F.lit(1), "re": F.col("re") * 2}))
+    there = lambda unique=False: transforms.interpolate(coils, s.select("frame", "s", *[f"k{a}" for a in sizes]), sizes, width, beta, "s", unique)
+    got, values, count = here().toPandas(), there().toPandas(), there(True).count()
+    monkeypatch.setattr(volumes, "WHOLE_CELLS", 0)
+    for one, other, by in ((got, here().toPandas(), ["frame", *names]), (values, there().toPandas(), ["frame", "coil", "s"])):
+        both = one.merge(other, on=by, suffixes=("", "_o"))
+        assert len(both) == len(one) == len(other)
+        assert np.allclose(both[["re", "im"]], both[["re_o", "im_o"]], atol=1e-9 * np.abs(both["re"]).max())
+    assert count == 6000
+
+
+def test_the_plan_of_a_small_grid_groups_no_samples(spark):
+    s = spark.range(100).select((F.col("id") / 10).alias("kx"), F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    plan = transforms.gridding(s, {"x": 64}, 4.0, 9.0)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
