@@ -94,3 +94,16 @@ def test_parameters_held_at_a_bound_do_not_stall_the_others():
         s0, f, d1, d2 = truth
         y = s0 * (f * np.exp(-b * d1) + (1 - f) * np.exp(-b * d2))
         assert np.allclose(fitting.damped_newton(biexponential, names, start[None], {"b": b}, y, low, high)[0], truth, atol=1e-6)
+
+
+def test_random_search_makes_no_row_of_a_draw_and_keeps_the_draws(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k % 4, float(k)) for k in range(5)], "k long, t double")
+    loss = lambda a, b: (a - F.col("t")) ** 2 + b * b
+    found = fitting.random_search(df, loss, {"a": 0.0, "b": -1.0}, {"a": 5.0, "b": 1.0}, 50, "k", seed=7)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    u = lambda i: F.shiftrightunsigned(F.xxhash64(F.lit(7 + i), "k", "_k"), 11) / float(1 << 53)
+    tries = df.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumns({"a": u(0) * 5.0, "b": u(1) * 2.0 - 1.0})
+    want = tries.groupBy("k").agg(F.min(F.struct(loss(F.col("a"), F.col("b")).alias("o"), "a", "b")).alias("m")).select("k", "m.a", "m.b", "m.o")
+    assert np.allclose(sorted(map(tuple, found.collect())), sorted(map(tuple, want.collect())), rtol=1e-12)
