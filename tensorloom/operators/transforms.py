@@ -278,6 +278,24 @@ def _grids(sizes: Sizes | int, oversampling: float) -> tuple[Sizes, Sizes]:
     return sizes, {a: math.ceil(oversampling * n) for a, n in sizes.items()}
 
 
+def _spectrum(modes: DataFrame, sizes: Sizes, grid: Sizes, width: float, beta: float, oversampling: float) -> DataFrame:
+    """The modes, apodised and padded, as blocks of the grid's transform."""
+    shaped = apodise(modes, sizes, width, beta, oversampling).withColumns({a: (F.col(a) - n // 2 + grid[a] // 2).cast("int") for a, n in sizes.items()})
+    return volumes.transform(volumes.blocks(shaped, grid), grid, 0, ortho=False)
+
+
+def _places(coords: DataFrame, sizes: Sizes, grid: Sizes) -> DataFrame:
+    """Coordinates in cycles per field of view as places on the grid."""
+    return coords.withColumns({f"k{a}": F.col(f"k{a}") * (grid[a] / n) + grid[a] // 2 for a, n in sizes.items()})
+
+
+def _modes(cells: DataFrame, sizes: Sizes, grid: Sizes, width: float, beta: float, oversampling: float) -> DataFrame:
+    """The modes, from 0, of the grid's transform back: cropped and apodised."""
+    for a, n in sizes.items():
+        cells = cells.withColumn(a, F.col(a) - grid[a] // 2 + n // 2).where((F.col(a) >= 0) & (F.col(a) < n))
+    return apodise(cells, sizes, width, beta, oversampling)
+
+
 def kb_nufft(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s", unique: bool = False) -> DataFrame:
     """Type 2 on a grid of one to three axes by a Kaiser-Bessel window: apodise, pad, transform, interpolate; divided by the root of the modes' number.
 
@@ -288,11 +306,9 @@ def kb_nufft(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampli
     """
     sizes, grid = _grids(sizes, oversampling)
     beta = kernel_shape(oversampling, width)
-    shaped = apodise(modes, sizes, width, beta, oversampling).withColumns({a: (F.col(a) - n // 2 + grid[a] // 2).cast("int") for a, n in sizes.items()})
-    spectrum = volumes.transform(volumes.blocks(shaped, grid), grid, 0, ortho=False)
-    at = coords.withColumns({f"k{a}": F.col(f"k{a}") * (grid[a] / n) + grid[a] // 2 for a, n in sizes.items()})
+    spectrum = _spectrum(modes, sizes, grid, width, beta, oversampling)
     norm = width ** len(sizes) * math.sqrt(math.prod(sizes.values()))
-    return volumes.gather(spectrum, at, tiled(grid, width, beta), 1, key, unique).withColumns({c: F.col(c) / norm for c in ("re", "im")})
+    return volumes.gather(spectrum, _places(coords, sizes, grid), tiled(grid, width, beta), 1, key, unique).withColumns({c: F.col(c) / norm for c in ("re", "im")})
 
 
 def kb_nufft_adjoint(samples: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s", some: bool | None = None) -> DataFrame:
@@ -301,17 +317,24 @@ def kb_nufft_adjoint(samples: DataFrame, sizes: Sizes | int, oversampling: float
     beta = kernel_shape(oversampling, width)
     ks = [f"k{a}" for a in sizes]
     batch = [c for c in samples.columns if c not in (key, *ks, "re", "im")]
-    at = samples.withColumns({f"k{a}": F.col(f"k{a}") * (grid[a] / n) + grid[a] // 2 for a, n in sizes.items()})
-    modes = fft_nd(samples.sparkSession, grid, centred=True, ortho=False).H(gridding(at, grid, width, beta, *batch, some=some))
-    for a, n in sizes.items():
-        modes = modes.withColumn(a, F.col(a) - grid[a] // 2 + n // 2).where((F.col(a) >= 0) & (F.col(a) < n))
+    at = _places(samples, sizes, grid)
+    cells = fft_nd(samples.sparkSession, grid, centred=True, ortho=False).H(gridding(at, grid, width, beta, *batch, some=some))
     norm = width ** len(sizes) * math.sqrt(math.prod(sizes.values()))
-    return apodise(modes, sizes, width, beta, oversampling).withColumns({c: F.col(c) / norm for c in ("re", "im")})
+    return _modes(cells, sizes, grid, width, beta, oversampling).withColumns({c: F.col(c) / norm for c in ("re", "im")})
 
 
 def kb_nufft_normal(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s") -> DataFrame:
-    """The adjoint of the windowed transform of the modes."""
-    sizes, _ = _grids(sizes, oversampling)
+    """The adjoint of the windowed transform of the modes. On small grids that are the batches' own, samples are read and written in one visit."""
+    sizes, grid = _grids(sizes, oversampling)
+    beta = kernel_shape(oversampling, width)
+    tiles, batch = tiled(grid, width, beta), [c for c in modes.columns if c not in (*sizes, "re", "im")]
+    spectrum = _spectrum(modes, sizes, grid, width, beta, oversampling)
+    if volumes.owned(spectrum, coords, tiles) and volumes.plain(coords.schema[key].dataType):
+        boxes, split = volumes.gather_scatter(spectrum, _places(coords, sizes, grid), tiles, key)
+        cells = volumes.rows(volumes.transform(boxes, grid, 0, sign=1, ortho=False), grid, 1)
+        norm = width ** (2 * len(sizes)) * math.prod(sizes.values())
+        back = _modes(cells, sizes, grid, width, beta, oversampling).select(*batch, *sizes, *[(F.col(c) / norm).alias(c) for c in ("re", "im")])
+        return back.groupBy(*batch, *sizes).agg(F.sum("re").alias("re"), F.sum("im").alias("im")) if split else back
     there = kb_nufft(modes, coords, sizes, oversampling, width, key)
     same = [c for c in there.columns if c in coords.columns and c not in ("re", "im")]
     return kb_nufft_adjoint(there.join(coords.select(*same, *[f"k{a}" for a in sizes]), same), sizes, oversampling, width, key)

@@ -8,7 +8,7 @@ sides, a block sends one array to each block of the other side. All axes count f
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,9 @@ WHOLE_CELLS, _WHOLE = 1 << 11, 1 << 21
 #: Batches whose grids a task sums side by side, and cells of such grids that are broadcast to all samples.
 WHOLE_BATCHES, BROADCAST_GRIDS = 1 << 9, 1 << 18
 
+#: Samples, and cells of small grids of their own, of one group of batches, about.
+GROUP_SAMPLES, GROUP_CELLS = 1 << 14, 1 << 20
+
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
@@ -499,9 +502,12 @@ def gather(boxes: DataFrame, coords: DataFrame, tiles: Tiles, side: int, key: st
 
     A tile's cells travel as arrays, one from each block that it touches, and each sample goes to its tile once; both meet
     there. A full tile is split, and its cells are copied to each part. Columns that both sides have are batch keys; of
-    volumes with other keys (coils, say) as many share a group as fit. Few small grids (`Tiles.whole`) are broadcast to the samples.
+    volumes with other keys (coils, say) as many share a group as fit. Few small grids (`Tiles.whole`) are broadcast to the samples,
+    and those that are their batch's own meet its samples many batches to a group (`owned`).
     """
     ks = [f"k{a}" for a in tiles.axes]
+    if owned(boxes, coords, tiles):
+        return _gathered_owned(boxes, coords, tiles, key, unique)
     if tiles.whole():
         boxes = checkpointed(boxes)
         if boxes.limit(BROADCAST_GRIDS + 1).count() * math.prod(tiles.shape) <= BROADCAST_GRIDS:
@@ -609,6 +615,151 @@ def _gathered_whole(boxes: DataFrame, coords: DataFrame, tiles: Tiles, key: str)
     return met.mapInArrow(run, out)
 
 
+def plain(kind: T.DataType) -> bool:
+    """Whether Arrow tells values of this type apart as Spark does."""
+    return isinstance(kind, T.IntegralType) or kind == T.StringType()
+
+
+def owned(boxes: DataFrame, coords: DataFrame, tiles: Tiles) -> bool:
+    """Whether the grids are small and each batch of samples has one of its own."""
+    keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
+    kinds = [(boxes.schema[c].dataType, coords.schema[c].dataType) for c in keys if c in coords.columns]
+    return tiles.whole() and 0 < len(keys) == len(kinds) and all(plain(one) and one == other for one, other in kinds)
+
+
+def _together(boxes: DataFrame, coords: DataFrame, tiles: Tiles, key: str, run: Callable[[_Owned], pa.Table], schema: T.StructType) -> tuple[DataFrame, bool]:
+    """What `run` makes of grids and the samples of their batches, many batches to a group, and whether a batch lies in several groups.
+
+    Groups are as many as samples and cells need, and a batch goes to one by its hash. A fuller batch is split by a hash of
+    the key, and its grid is copied to each part; rows of one key share a part.
+    """
+    ks = [f"k{a}" for a in tiles.axes]
+    keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
+    boxes = checkpointed(boxes.select(*keys, "_re", "_im"))
+    own = coords.where(_known(tiles)).select(*keys, F.col(key).alias("_key"), *[F.col(k).cast("double").alias(k) for k in ks])
+    count = checkpointed(own.groupBy(*[F.col(c).alias(f"_o_{c}") for c in keys]).agg(F.count("*").alias("_n")))
+    full = count.where(F.col("_n") > TILE_SAMPLES)
+    sizes = count.agg(F.sum("_n").alias("n"), F.count_if(F.col("_n") > TILE_SAMPLES).alias("full")).first()
+    groups = max(1, -(-(sizes["n"] or 0) // GROUP_SAMPLES), -(-boxes.count() * math.prod(tiles.shape) // GROUP_CELLS))
+    part = F.lit(0)
+    if sizes["full"]:
+        both = F.lit(True)
+        for c in keys:
+            both = both & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+        right = F.broadcast(full) if sizes["full"] <= HOT_TILES else full.hint("merge")
+        parts = F.ceil(F.coalesce("_n", F.lit(1)) / TILE_SAMPLES).cast("int")
+        own = own.join(right, both, "left").withColumn("_part", F.pmod(F.xxhash64("_key"), parts).cast("int"))
+        boxes = boxes.join(right, both, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        part = F.col("_part")
+    group = F.pmod(F.xxhash64(*keys, part), F.lit(groups)).cast("int").alias("_g")
+    own, boxes = own.select(group, part.alias("_part"), *keys, "_key", *ks), boxes.select(group, part.alias("_part"), *keys, "_re", "_im")
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], f.type) for f in _arrow(schema)], names=schema.names)
+        return run(_Owned(left, right, tiles, keys))
+
+    return own.groupBy("_g").cogroup(boxes.groupBy("_g")).applyInArrow(each, schema), bool(sizes["full"])
+
+
+class _Owned:
+    """The samples of a group, sorted by their grids: all windows of a step are laid out at once, and each batch's meet its grid in one product."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, tiles: Tiles, keys: list[str]):
+        n, code = left.num_rows, np.zeros(left.num_rows + right.num_rows, np.int64)
+        for c in (*keys, "_part"):
+            both = pa.concat_arrays([*left.column(c).chunks, *right.column(c).chunks]).dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(both.dictionary) + both.indices.to_numpy(), return_inverse=True)[1]
+        grid = np.full(code.max() + 1, -1)
+        grid[code[n:]] = np.arange(right.num_rows)
+        place = grid[code[:n]]
+        order = np.argsort(place, kind="stable")
+        order = order[np.searchsorted(place[order], 0) :]
+        has, self.row = np.unique(place[order], return_inverse=True)
+        self.ends = np.searchsorted(self.row, np.arange(len(has) + 1))
+        self.tiles, self.cells = tiles, math.prod(tiles.shape)
+        self.names = [right.column(c).take(pa.array(has)).combine_chunks() for c in keys]
+        self.tags = left.column("_key").take(pa.array(order)).combine_chunks()
+        self.at = [left.column(f"k{a}").to_numpy()[order] for a in tiles.axes]
+        m = [right.column(c).combine_chunks().flatten().to_numpy().reshape(right.num_rows, tiles.shape[0], -1)[has] for c in ("_re", "_im")]
+        self.grids = np.concatenate(m, axis=2)
+        self.last: tuple = (None, None)
+
+    def steps(self) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray], list[tuple[int, slice]]]]:
+        """Samples, their windows, and the grids among them, each with its samples' place in the step."""
+        n, step = len(self.row), max(1, _WHOLE // self.cells)
+        for lo in range(0, n, step):
+            cut = slice(lo, min(lo + step, n))
+            if self.last[0] != cut:
+                self.last = cut, self.tiles.wide([k[cut] for k in self.at])
+            rows = range(self.row[lo], self.row[cut.stop - 1] + 1)
+            yield cut, self.last[1], [(r, slice(max(self.ends[r], lo) - lo, min(self.ends[r + 1], cut.stop) - lo)) for r in rows]
+
+    def values(self) -> np.ndarray:
+        """(2, samples): each sample's weighted sum of its grid's cells, real and imaginary."""
+        out = np.empty((2, len(self.row)))
+        for cut, (one, beside), rows in self.steps():
+            held = np.empty((len(one), self.grids.shape[2]))
+            for r, own in rows:
+                np.matmul(one[own], self.grids[r], out=held[own])
+            out[:, cut] = np.einsum("nvj,nj->vn", held.reshape(len(one), 2, -1), beside)
+        return out
+
+    def alike(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The first sample of each key of a batch, and which of these each sample is; None where all differ."""
+        own = self.tags.dictionary_encode(null_encoding="encode")
+        code = self.row * len(own.dictionary) + own.indices.to_numpy()
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        return None if len(first) == len(code) else (first, which)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """(grids, cells): the samples' values times their windows, summed on the grid of each batch."""
+        total = np.zeros_like(self.grids)
+        for cut, (one, beside), rows in self.steps():
+            held = (values[:, cut].T[:, :, None] * beside[:, None, :]).reshape(len(one), -1)
+            for r, own in rows:
+                total[r] += one[own].T @ held[own]
+        z = total.reshape(len(total), self.tiles.shape[0], 2, -1)
+        return (z[:, :, 0] + 1j * z[:, :, 1]).reshape(len(total), -1)
+
+
+def _gathered_owned(boxes: DataFrame, coords: DataFrame, tiles: Tiles, key: str, unique: bool) -> DataFrame:
+    """`gather` for grids of few cells, one for each batch."""
+    keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
+    names, here = [*keys, key, "re", "im"], plain(coords.schema[key].dataType)
+    schema = T.StructType([*_fields(boxes, *keys), *_fields(coords, key), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+    def run(group: _Owned) -> pa.Table:
+        z, row, tags = group.values(), group.row, group.tags
+        same = group.alike() if here and not unique else None
+        if same:
+            z, row, tags = np.stack([np.bincount(same[1], v) for v in z]), row[same[0]], tags.take(pa.array(same[0]))
+        return pa.table([*(k.take(pa.array(row)) for k in group.names), tags, *map(pa.array, z)], names=names)
+
+    values, _ = _together(boxes, coords, tiles, key, run, schema)
+    return values if unique or here else values.groupBy(*keys, key).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+def gather_scatter(boxes: DataFrame, coords: DataFrame, tiles: Tiles, key: str = "s") -> tuple[DataFrame, bool]:
+    """`scatter` of `gather`, where `owned` and for `plain` keys: (keys..., _b, _re, _im), and whether a batch has several rows
+    that are to be summed.
+
+    Each sample is read and written where it meets its grid, and goes no further. Rows of one key each have the key's sum;
+    rows with a null key or batch have no part.
+    """
+    keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
+    names = [*keys, "_b", "_re", "_im"]
+
+    def run(group: _Owned) -> pa.Table:
+        z, same = group.values(), group.alike()
+        if same:
+            z = np.stack([np.bincount(same[1], v)[same[1]] for v in z])
+        total = group.sums(np.nan_to_num(z))
+        return pa.table([*group.names, pa.array(np.zeros(len(total), np.int32)), *_matrix(total)], names=names)
+
+    return _together(boxes, coords.dropna(subset=[*keys, key]), tiles, key, run, _boxed(boxes, keys, ("_b", T.IntegerType())))
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -134,3 +134,39 @@ def test_the_plan_of_a_small_grid_groups_no_samples(spark):
     s = spark.range(100).select((F.col("id") / 10).alias("kx"), F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
     plan = transforms.gridding(s, {"x": 64}, 4.0, 9.0)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+
+
+@pytest.mark.parametrize("split", [False, True])
+@pytest.mark.parametrize("kind", ["int", "string", "double"])
+def test_small_grids_of_their_own_meet_many_to_a_group_as_alone(spark, monkeypatch, split, kind):
+    """With repeated and null keys, null batches, coordinates without a place, batches without modes and without samples, and full batches."""
+    if split:
+        monkeypatch.setattr(volumes, "TILE_SAMPLES", 10)
+        monkeypatch.setattr(volumes, "GROUP_SAMPLES", 50)
+    sizes = {"x": 4, "y": 2}
+    none = lambda c, at: F.when(c != at, c)
+    batch = none(F.floor(F.col("id") / 2) % 41, 7).alias("vec_id")
+    k = [F.when(F.col("id") % 29 != 3, (F.rand(3 + i) - 0.5) * n).alias(f"k{a}") for i, (a, n) in enumerate(sizes.items())]
+    coords = spark.range(600).select(F.when(F.col("id") > 500, 1).otherwise(batch).cast("long").alias("vec_id"), none(F.floor(F.col("id") / 2), 20).cast(kind).alias("s"), *k).localCheckpoint()
+    cell = [F.floor(F.col("id") / 2 % 4).cast("int").alias("x"), (F.col("id") % 2).cast("int").alias("y")]
+    modes = spark.range(45 * 8).select(none(F.floor(F.col("id") / 8), 7).cast("long").alias("vec_id"), *cell, F.randn(1).alias("re"), F.randn(2).alias("im")).where("vec_id is null or vec_id != 11").localCheckpoint()
+    asked = [
+        (lambda: transforms.kb_nufft(modes, coords, sizes, 2.0, 6.0), ["vec_id", "s"]),
+        (lambda: transforms.kb_nufft(modes, coords, sizes, 2.0, 6.0, unique=True).groupBy("vec_id", "s").agg(F.count("*").alias("n"), F.sum("re").alias("re"), F.sum("im").alias("im")), ["vec_id", "s"]),
+        (lambda: transforms.kb_nufft_normal(modes, coords, sizes, 2.0, 6.0), ["vec_id", "x", "y"]),
+    ]
+    got = [run().toPandas() for run, _ in asked]
+    monkeypatch.setattr(volumes, "WHOLE_CELLS", 0)
+    for one, (run, by) in zip(got, asked, strict=True):
+        other = run().toPandas()
+        assert list(one.columns) == list(other.columns) and len(one) == len(other) > 100
+        both = one.merge(other, on=by, suffixes=("", "_o"))
+        assert len(both) == len(one)
+        assert all(np.allclose(both[c], both[f"{c}_o"], atol=1e-12) for c in one.columns if c not in by)
+
+
+def test_the_normal_operator_of_many_batches_groups_no_batch_alone(spark, sf_dir):
+    """Each sample is sent once: no group or join of samples by batch, and nothing is read twice."""
+    plan = linear.kb_nufft_normal(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroups") == 1 and "FlatMapGroups" not in plan and "Join" not in plan
+    assert "_g" in plan.split("FlatMapCoGroups")[1].split("\n")[0]
