@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions.cplx import Cplx, cis, cplx
 from tensorloom.operators import direct, volumes
 from tensorloom.operators.linop import Linop, diagonal
-from tensorloom.operators.transforms import Sizes, counted_side, fft, fft_nd, gridding, interpolate, nufft1, nufft2, nufft_normal, toeplitz_apply, toeplitz_kernel
+from tensorloom.operators.transforms import Sizes, counted_side, fft, fft_nd, gridding, interpolate, nufft1, nufft2, nufft_normal, toeplitz_apply, toeplitz_blocks, toeplitz_kernel
 from tensorloom.sources.storage import checkpointed
 
 Change = Callable[[DataFrame], DataFrame]
@@ -159,8 +159,14 @@ def kspace_preconditioner(maps: DataFrame, freqs: DataFrame, n: int, key: str =
 
 
 def toeplitz_normal(image: DataFrame, maps: DataFrame, spectrum: DataFrame, sizes: Sizes) -> DataFrame:
-    """`normal` by the frequencies' kernel on the doubled grid (`toeplitz_spectrum`), which all images and coils share."""
-    return combined(toeplitz_apply(weighted(image, maps, sizes), spectrum, sizes), maps, sizes)
+    """`normal` by the frequencies' kernel on the doubled grid (`toeplitz_spectrum`), which all images and coils share.
+
+    Small images are multiplied by the maps, transformed, and combined in one visit (`volumes.convolved`).
+    """
+    kernel = spectrum if "_re" in spectrum.columns else toeplitz_blocks(spectrum, sizes)
+    if "coil" not in image.columns and volumes.convolvable(image, kernel, sizes):
+        return volumes.convolved(image, maps, kernel, sizes)
+    return combined(toeplitz_apply(weighted(image, maps, sizes), kernel, sizes), maps, sizes)
 
 
 def density_weights(coords: DataFrame, sizes: Sizes, width: float, beta: float, rounds: int, key: str = "s", *batch: str) -> DataFrame:

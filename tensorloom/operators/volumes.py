@@ -42,6 +42,9 @@ SMALL_CELLS, STEP_CELLS = 1 << 14, 1 << 20
 #: Cells of a kernel that is broadcast to all volumes that share it.
 BROADCAST_CELLS = 1 << 21
 
+#: Cells of the maps that go to each group of small volumes, and cells that are transformed at once there.
+MAP_CELLS, VISIT_CELLS = 1 << 18, 1 << 16
+
 #: Cells of a grid whose windows are laid out whole, and values of such windows that are held at once.
 WHOLE_CELLS, _WHOLE = 1 << 11, 1 << 21
 
@@ -258,6 +261,107 @@ def multiplied(boxes: DataFrame, other: DataFrame, cells: int = BROADCAST_CELLS
     return both.mapInArrow(run, _boxed(boxes, keys, ("_b", T.IntegerType())))
 
 
+def convolvable(x: DataFrame, kernel: DataFrame, sizes: Sizes) -> bool:
+    """Whether `convolved` can do these volumes: few cells, one kernel for all, and keys that Arrow tells apart as Spark does."""
+    keys = [c for c in x.columns if c not in (*sizes, "re", "im")]
+    small = math.prod(2 * n for n in sizes.values()) <= min(SMALL_CELLS, BLOCK_CELLS)
+    return small and {*kernel.columns} == {"_b", "_re", "_im"} and all(plain(x.schema[c].dataType) for c in keys)
+
+
+def _placed(x: DataFrame, sizes: Sizes) -> DataFrame:
+    """The rows with _i, their cell on the grid of twice the sizes, in whose middle the centred axes lie; rows beside it go."""
+    place, inside = F.lit(0), F.lit(True)
+    for a, n in sizes.items():
+        at = (F.col(a) + n).cast("int")
+        place, inside = place * (2 * n) + at, inside & (at >= 0) & (at < 2 * n)
+    return x.where(inside).withColumn("_i", place.cast("int"))
+
+
+def convolved(x: DataFrame, maps: DataFrame, kernel: DataFrame, sizes: Sizes) -> DataFrame:
+    """(keys..., axis..., re, im): the sum over the coils of conj(map) times the convolution of map times volume, on centred axes:
+    padded to twice the size, transformed, times the kernel, back and cropped. For volumes that are `convolvable`.
+
+    x: (keys..., axis..., re, im), maps: (coil, axis..., sre, sim), the kernel one block. Volumes go as cells to groups of about
+    GROUP_SAMPLES cells, or GROUP_CELLS of padded arrays, and each group has a copy of the kernel and the maps: a volume's
+    products with the maps never leave their step. Maps of more than MAP_CELLS are dealt to several groups, whose sums are summed.
+    """
+    axes, double = list(sizes), {a: 2 * n for a, n in sizes.items()}
+    shape, total = _shape(double), math.prod(double.values())
+    keys = [c for c in x.columns if c not in (*axes, "re", "im")]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int") if by else F.lit(0)
+
+    known = F.col("sre").isNotNull() & F.col("sim").isNotNull()
+    sums = [F.sum(F.when(known, F.col(f"s{c}")).cast("double")).alias(c) for c in ("re", "im")]
+    cells = checkpointed(_placed(maps.where(F.col("coil").isNotNull()), sizes).groupBy("coil", "_i").agg(*sums))
+    coils = cells.agg(F.count_distinct("coil").alias("n"), F.count("*").alias("cells")).first()
+    shares = max(1, -(-coils["n"] * total // MAP_CELLS))
+    own = _placed(x, sizes).select(*keys, "_i", F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    groups = 1
+    if keys:
+        size = own.agg(F.count("*").alias("cells"), F.approx_count_distinct(F.xxhash64(*keys)).alias("n")).first()
+        groups = max(1, -(-size["cells"] // max(GROUP_SAMPLES, total + coils["cells"] // shares)), -(-size["n"] * total // GROUP_CELLS))
+    own = own.withColumn("_g", dealt(groups, *keys)).withColumn("_share", every(shares))
+    lists = cells.groupBy("coil").agg(F.collect_list(F.struct(F.col("_i").alias("i"), "re", "im")).alias("_cells"))
+    both = lists.select("_cells", *[F.lit(None).cast("array<double>").alias(c) for c in ("_re", "_im")], dealt(shares, "coil").alias("_share"))
+    shared = both.unionByName(kernel.select("_re", "_im", every(shares).alias("_share")), allowMissingColumns=True).withColumn("_g", every(groups))
+
+    turned = np.fft.ifftshift(np.arange(total).reshape(shape)).ravel()  # the cells in the order that a plain transform takes
+    place, over = np.argsort(turned), tuple(k + 1 for k in range(3) if shape[k] > 1)
+    middle = np.stack(np.meshgrid(*[np.arange(n - n // 2, 2 * n - n // 2) for n in sizes.values()], indexing="ij")).reshape(len(sizes), -1)
+    crop = place[np.ravel_multi_index(tuple(middle), tuple(double.values()))]
+    schema = T.StructType([*_fields(x, *keys), *[T.StructField(a, T.IntegerType()) for a in axes], T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = right.column("_cells").combine_chunks()
+        lists, which = lists.filter(lists.is_valid()), np.flatnonzero(right.column("_re").is_valid().to_numpy())
+        if not left.num_rows or not len(lists) or not len(which):
+            return pa.table([pa.array([], f.type) for f in _arrow(schema)], names=schema.names)
+        spectrum = _array(right.column("_re")[which[0]], right.column("_im")[which[0]])[turned].reshape(shape)
+
+        # the maps, and where they have a row and a value
+        items, count = lists.flatten(), len(lists)
+        at = np.repeat(np.arange(count), np.diff(lists.offsets.to_numpy())), place[items.field("i").to_numpy()]
+        real = items.field("re").is_valid().to_numpy(zero_copy_only=False)
+        m, has, given = (np.zeros((count, total), kind) for kind in (complex, np.float32, np.float32))
+        m.real[at], m.imag[at] = (np.where(real, items.field(c).to_numpy(zero_copy_only=False), 0) for c in ("re", "im"))
+        has[at], given[at] = 1, real
+
+        # the volumes, and where they have a row; a number with half a value is zero
+        code = np.zeros(left.num_rows, np.int64)
+        for c in keys:
+            each = left.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(each.dictionary) + each.indices.to_numpy(), return_inverse=True)[1]
+        first = np.unique(code, return_index=True)[1]
+        at = code, place[left.column("_i").to_numpy()]
+        re, im = (left.column(c).to_numpy() for c in ("re", "im"))
+        half = np.isnan(re) | np.isnan(im)
+        v, touched = np.empty((len(first), total), complex), np.zeros((len(first), total), np.float32)
+        v.real, v.imag = (np.bincount(at[0] * total + at[1], np.where(half, 0, part), v.size).reshape(v.shape) for part in (re, im))
+        touched[at] = 1
+
+        meets, out = touched @ has.T > 0, np.zeros((len(first), len(crop)), complex)
+        clean, back = np.isfinite(m).all() and np.isfinite(v).all(), m[:, crop].conj()
+        wide = max(1, VISIT_CELLS // total)
+        for lo in range(0, len(v), max(1, wide // count)):
+            some = slice(lo, lo + max(1, wide // count))
+            for c in range(0, count, wide):
+                part = slice(c, c + wide)
+                z = (v[some, None] * m[part]).reshape(-1, *shape)
+                z = np.fft.ifftn(np.fft.fftn(z if clean else np.nan_to_num(z), axes=over) * spectrum, axes=over)
+                z = z.reshape(-1, len(m[part]), total)[:, :, crop]
+                out[some] += (z * (back[part] if clean else np.where(meets[some, part, None], back[part], 0))).sum(1)
+        meets = meets.astype(np.float32)
+        row, cell = np.nonzero(meets @ has[:, crop])
+        none, out = (meets @ given[:, crop] == 0)[row, cell], out[row, cell]
+        tags = [left.column(c).take(pa.array(first[row])) for c in keys]
+        places = [pa.array((middle[k] - n)[cell], pa.int32()) for k, n in enumerate(sizes.values())]
+        return pa.table([*tags, *places, *[pa.array(np.ascontiguousarray(part), mask=none) for part in (out.real, out.imag)]], names=schema.names)
+
+    done = own.groupBy("_g", "_share").cogroup(shared.groupBy("_g", "_share")).applyInArrow(run, schema)
+    return done.groupBy(*keys, *axes).agg(F.sum("re").alias("re"), F.sum("im").alias("im")) if shares > 1 else done
+
+
 def power(boxes: DataFrame, *over: str) -> DataFrame:
     """|z|^2 cell by cell, summed over the volumes that differ in the keys `over` alone; the imaginary part is zero.
 

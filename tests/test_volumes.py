@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tensorloom.operators import transforms, volumes
+from tensorloom.operators import sense, transforms, volumes
 from tensorloom.plans import linear
 
 
@@ -170,3 +170,59 @@ def test_the_normal_operator_of_many_batches_groups_no_batch_alone(spark, sf_dir
     plan = linear.kb_nufft_normal(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapCoGroups") == 1 and "FlatMapGroups" not in plan and "Join" not in plan
     assert "_g" in plan.split("FlatMapCoGroups")[1].split("\n")[0]
+
+
+def test_products_of_images_and_maps_are_not_sent(spark, sf_dir):
+    """Images go to groups as cells, once; no join or list holds a volume for each image and coil."""
+    df = linear.sense_grid_normal(spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    top = next((i for i, line in enumerate(plan) if "FlatMapCoGroups" in line), len(plan))
+    below = plan[top + 1 :]
+    images = below[: next((i for i, line in enumerate(below) if i and line.find("- ") == below[0].find("- ")), 0)]
+    assert images and not any(word in line for line in plan[:top] + images for word in ("Join", "MapInArrow", "collect_list"))
+    assert df.count() == 32 * spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+@pytest.mark.parametrize("key", ["id", "CAST(id AS STRING)", "CAST(id AS DOUBLE)", None])
+@pytest.mark.parametrize("few", [False, True])
+def test_images_and_maps_in_one_visit_equal_joins(spark, monkeypatch, key, few):
+    """Beside the joins, for missing, repeated, null and infinite cells of images and maps; in many groups of few cells, and in one."""
+    if few:
+        monkeypatch.setattr(volumes, "MAP_CELLS", 300)
+        monkeypatch.setattr(volumes, "GROUP_SAMPLES", 8)
+        monkeypatch.setattr(volumes, "GROUP_CELLS", 500)
+        monkeypatch.setattr(volumes, "VISIT_CELLS", 400)
+    sizes = {"x": 3, "y": 4, "z": 2}
+    at, own = ["CAST(c % 3 AS INT) - 1 AS x", "CAST(c / 3 AS INT) % 4 - 2 AS y", "CAST(c / 12 AS INT) - 1 AS z"], [f"{key} AS v"] * bool(key)
+    odd = ["id = 1 AND c < 20", "id = 2 AND c > 3", "id = 5 AND c != 7"]
+    every = spark.range(9).crossJoin(spark.range(24).withColumnRenamed("id", "c"))
+    image = every.where(f"NOT ({' OR '.join(odd)})").unionByName(every.where("id = 6 AND c % 5 = 0")).unionByName(every.where("id = 3").selectExpr("CAST(NULL AS BIGINT) AS id", "c"))
+    re = "CASE WHEN id = 4 AND c = 2 THEN NULL WHEN id = 4 AND c = 3 THEN double('NaN') WHEN id = 7 AND c = 1 THEN double('Infinity') ELSE sin(1.7 * c + coalesce(id, 20)) END AS re"
+    beside = spark.sql("SELECT 1L AS id, 100 AS x, 0 AS y, 0 AS z, 1.0D AS re, 1.0D AS im").selectExpr(*own, *sizes, "re", "im")
+    image = image.selectExpr(*own, *at, re, "cos(c * coalesce(id, 11) + 0.3) AS im").unionByName(beside)
+    image = image if key else image.where("abs(re) < 9")
+    coils = spark.range(5).crossJoin(spark.range(24).withColumnRenamed("id", "c")).where("NOT (id = 2 AND c > 5) AND c != 23").selectExpr("id", "c")
+    coils = coils.unionByName(coils.where("id = 1 AND c < 9"))
+    sim = "CASE WHEN c = 4 OR id = 3 AND c < 10 THEN NULL ELSE cos(2.3 * c - id) END AS sim"
+    maps = coils.selectExpr("CASE WHEN id = 4 THEN NULL ELSE id END AS coil", *at, "sin(c + 3.1 * id) AS sre", sim)
+    freqs = spark.range(50).selectExpr("id AS s", "sin(id * 1.3) * 3 AS kx", "cos(id * 2.1) * 3 AS ky", "sin(id * 0.7) * 3 AS kz")
+    spectrum = transforms.toeplitz_spectrum(freqs, sizes).cache()
+    got = sense.toeplitz_normal(image, maps, spectrum, sizes)
+    want = sense.combined(transforms.toeplitz_apply(sense.weighted(image, maps, sizes), spectrum, sizes), maps, sizes)
+    assert got.dtypes == want.dtypes
+    key_of = ["v"] * bool(key) + list(sizes)
+    got, want = ({tuple(r[k] for k in key_of): (r.re, r.im) for r in df.collect()} for df in (got, want))
+    assert got.keys() == want.keys() and any(v[0] is None for v in want.values())
+    for i, values in want.items():
+        for one, other in zip(values, got[i], strict=True):
+            assert one == other or one is not None and other is not None and (math.isclose(one, other, rel_tol=1e-9, abs_tol=1e-9) or not math.isfinite(one) and not math.isfinite(other))
+
+
+def test_images_without_maps_kernel_or_cells(spark):
+    sizes = {"x": 3, "y": 2}
+    image = spark.sql("SELECT 1 AS v, 0 AS x, 0 AS y, 1.0D AS re, 0.0D AS im")
+    maps = spark.sql("SELECT 0 AS coil, 0 AS x, 0 AS y, 1.0D AS sre, 0.0D AS sim")
+    spectrum = spark.sql("SELECT 0 AS x, 0 AS y, 1.0D AS mre, 0.0D AS mim")
+    assert sense.toeplitz_normal(image, maps, spectrum, sizes).count() == 1
+    for none in ((image.limit(0), maps, spectrum), (image, maps.limit(0), spectrum), (image, maps, spectrum.limit(0)), (image, maps.where("x = 1"), spectrum)):
+        assert sense.toeplitz_normal(*none, sizes).count() == 0
