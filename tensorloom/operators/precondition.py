@@ -69,7 +69,7 @@ def kspace_weights(maps: DataFrame, freqs: DataFrame, sizes: Sizes, key: str = "
     ks = [f"k{a}" for a in sizes]
     places = freqs.select(key, *ks).distinct()
     at = places.select(key, *[(F.col(f"k{a}") * (n / (2 * math.pi))).alias(f"k{a}") for a, n in double.items()])
-    sums = kb_nufft(terms, at, double, oversampling, width, key, unique=True)
+    sums = kb_nufft(terms, at, double, oversampling, width, key, unique=True, most=freqs.count())
     power = maps.groupBy("coil").agg((F.sum(cplx("s").abs2()) / math.sqrt(math.prod(double.values()))).alias("_power"))
     p = F.col("_power") / F.nullif(F.abs("re"), F.lit(0.0))
     return sums.join(power, "coil").select("coil", key, F.coalesce(p, F.lit(1.0)).alias("p"))

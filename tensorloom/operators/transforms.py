@@ -296,19 +296,19 @@ def _modes(cells: DataFrame, sizes: Sizes, grid: Sizes, width: float, beta: floa
     return apodise(cells, sizes, width, beta, oversampling)
 
 
-def kb_nufft(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s", unique: bool = False) -> DataFrame:
+def kb_nufft(modes: DataFrame, coords: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s", unique: bool = False, most: int | None = None) -> DataFrame:
     """Type 2 on a grid of one to three axes by a Kaiser-Bessel window: apodise, pad, transform, interpolate; divided by the root of the modes' number.
 
     Modes (axis from 0, re, im, batch...) are centred; coordinates k<axis> are in cycles per field of view, -n/2 .. n/2.
     A sample touches (width + 1)^axes cells, whatever the number of modes, in one numpy gather a tile. The relative error is about 1e-2 at 1.25 and 4
     (the usual choice), and below 1e-3 at 2 and 6. An int is the size of the axis x.
-    With `unique`, each row of `coords` is a sample of its own; else rows of one key are summed.
+    With `unique`, each row of `coords` is a sample of its own; else rows of one key are summed. `most`: see `volumes.gather`.
     """
     sizes, grid = _grids(sizes, oversampling)
     beta = kernel_shape(oversampling, width)
     spectrum = _spectrum(modes, sizes, grid, width, beta, oversampling)
     norm = width ** len(sizes) * math.sqrt(math.prod(sizes.values()))
-    return volumes.gather(spectrum, _places(coords, sizes, grid), tiled(grid, width, beta), 1, key, unique).withColumns({c: F.col(c) / norm for c in ("re", "im")})
+    return volumes.gather(spectrum, _places(coords, sizes, grid), tiled(grid, width, beta), 1, key, unique, most).withColumns({c: F.col(c) / norm for c in ("re", "im")})
 
 
 def kb_nufft_adjoint(samples: DataFrame, sizes: Sizes | int, oversampling: float = 1.25, width: float = 4.0, key: str = "s", some: bool | None = None) -> DataFrame:

@@ -600,14 +600,15 @@ def _pieces(boxes: DataFrame, tiles: Tiles, side: int) -> DataFrame:
     return boxes.mapInArrow(run, _boxed(boxes, keys, ("_tile", T.LongType()), ("_at", T.ArrayType(T.IntegerType()))))
 
 
-def gather(boxes: DataFrame, coords: DataFrame, tiles: Tiles, side: int, key: str = "s", unique: bool = False) -> DataFrame:
+def gather(boxes: DataFrame, coords: DataFrame, tiles: Tiles, side: int, key: str = "s", unique: bool = False, most: int | None = None) -> DataFrame:
     """(keys..., key, re, im): each sample's weighted sum of its cells, for each volume that it meets; rows of one key are
     summed, unless each row is a sample of its own (`unique`): then no row is sent to another.
 
     A tile's cells travel as arrays, one from each block that it touches, and each sample goes to its tile once; both meet
     there. A full tile is split, and its cells are copied to each part. Columns that both sides have are batch keys; of
     volumes with other keys (coils, say) as many share a group as fit. Few small grids (`Tiles.whole`) are broadcast to the samples,
-    and those that are their batch's own meet its samples many batches to a group (`owned`).
+    those of several keys that all samples share are copied to groups of samples of their own, and those that are their batch's own
+    meet its samples many batches to a group (`owned`). `most`: how many the samples are at most; else they are counted.
     """
     ks = [f"k{a}" for a in tiles.axes]
     if owned(boxes, coords, tiles):
@@ -615,8 +616,10 @@ def gather(boxes: DataFrame, coords: DataFrame, tiles: Tiles, side: int, key: st
     if tiles.whole():
         boxes = checkpointed(boxes)
         if boxes.limit(BROADCAST_GRIDS + 1).count() * math.prod(tiles.shape) <= BROADCAST_GRIDS:
-            values = _gathered_whole(boxes, coords, tiles, key)
             kept = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
+            if unique and kept and not any(c in coords.columns for c in kept):
+                return _gathered_shared(boxes, coords, tiles, key, most)
+            values = _gathered_whole(boxes, coords, tiles, key)
             return values if unique else values.groupBy(*kept, key).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
     keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
     same, rest = [c for c in keys if c in coords.columns], [c for c in keys if c not in coords.columns]
@@ -667,10 +670,48 @@ def gather(boxes: DataFrame, coords: DataFrame, tiles: Tiles, side: int, key: st
     return values if unique else values.groupBy(*keys, key).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
+def _read(tiles: Tiles, grids: list[pa.Array], at: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of a step of samples the first, their number, and (2 x grids, samples): each one's weighted sums of the grids' cells, real
+    and imaginary. grids: lists of the cells' real and imaginary parts."""
+    count = len(grids[0])
+    m = np.stack([part.flatten().to_numpy(zero_copy_only=False).reshape(count, tiles.shape[0], -1) for part in grids])
+    m = m.transpose(2, 0, 1, 3).reshape(tiles.shape[0], -1)
+    step = max(1, _WHOLE // max(math.prod(tiles.shape), m.shape[1]))
+    for lo in range(0, len(at[0]), step):
+        one, beside = tiles.wide([k[lo : lo + step] for k in at])
+        yield lo, len(one), np.einsum("nvj,nj->vn", (one @ m).reshape(len(one), 2 * count, -1), beside)
+
+
+def _gathered_shared(boxes: DataFrame, coords: DataFrame, tiles: Tiles, key: str, most: int | None) -> DataFrame:
+    """`gather` for few grids of few cells that all samples share, a row for each sample and grid: samples are dealt to groups of
+    about TILE_SAMPLES, of fewer where the grids are many, and each group has a copy of the grids."""
+    ks = [f"k{a}" for a in tiles.axes]
+    keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
+    own = coords.where(_known(tiles)).select(key, *[F.col(k).cast("double").alias(k) for k in ks])
+    size = max(1, min(TILE_SAMPLES, GROUP_CELLS // max(1, boxes.count())))
+    groups = max(1, -(-(own.count() if most is None else most) // size))
+    own = own.withColumn("_g", F.pmod(F.xxhash64(key, *ks), F.lit(groups)).cast("int"))
+    copies = boxes.select(*keys, "_re", "_im", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    schema = T.StructType([*_fields(boxes, *keys), *_fields(coords, key), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], f.type) for f in _arrow(schema)], names=schema.names)
+        n, count = left.num_rows, right.num_rows
+        z = np.empty((2, count, n))
+        for lo, some, part in _read(tiles, [right.column(c).combine_chunks() for c in ("_re", "_im")], [left.column(k).to_numpy() for k in ks]):
+            z[:, :, lo : lo + some] = part.reshape(2, count, some)
+        grid = pa.array(np.repeat(np.arange(count), n))
+        tags = left.column(key).take(pa.array(np.tile(np.arange(n), count)))
+        return pa.table([*[right.column(c).take(grid) for c in keys], tags, *[pa.array(part.ravel()) for part in z]], names=schema.names)
+
+    return own.groupBy("_g").cogroup(copies.groupBy("_g")).applyInArrow(run, schema)
+
+
 def _gathered_whole(boxes: DataFrame, coords: DataFrame, tiles: Tiles, key: str) -> DataFrame:
     """`gather` for few grids of few cells, a row for each sample: samples become rows of arrays where they are, and meet all
     volumes of their batch there."""
-    ks, cells = [f"k{a}" for a in tiles.axes], math.prod(tiles.shape)
+    ks = [f"k{a}" for a in tiles.axes]
     keys = [c for c in boxes.columns if c not in ("_b", "_re", "_im")]
     same, rest = [c for c in keys if c in coords.columns], [c for c in keys if c not in coords.columns]
 
@@ -701,15 +742,10 @@ def _gathered_whole(boxes: DataFrame, coords: DataFrame, tiles: Tiles, key: str)
         for batch in _each(batches):
             held = batch.column("_volumes").flatten()
             count = len(held)
-            m = np.stack([held.field(c).flatten().to_numpy(zero_copy_only=False).reshape(count, tiles.shape[0], -1) for c in ("_re", "_im")])
-            m = m.transpose(2, 0, 1, 3).reshape(tiles.shape[0], -1)
             tags = batch.column("_key").flatten()
             at = [batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in ks]
-            step = max(1, _WHOLE // max(cells, m.shape[1]))
-            for lo in range(0, len(tags), step):
-                one, beside = tiles.wide([k[lo : lo + step] for k in at])
-                n = len(one)
-                z = np.einsum("nvj,nj->vn", (one @ m).reshape(n, 2 * count, -1), beside).reshape(2, count * n)
+            for lo, n, z in _read(tiles, [held.field(c) for c in ("_re", "_im")], at):
+                z = z.reshape(2, count * n)
                 copies = pa.array(np.repeat(np.arange(count), n), pa.int64())
                 columns = {c: batch.column(c).take(pa.array(np.zeros(count * n, np.int64))) for c in same}
                 columns |= {c: held.field(c).take(copies) for c in rest}
