@@ -166,3 +166,16 @@ def test_queries_in_three_dimensions(spark, sf_dir):
 def test_nothing_that_grows_is_broadcast(spark, sf_dir):
     plan = linear.kspace_weights_3d(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroups" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_grids_meet_samples_in_several_groups(spark, monkeypatch):
+    maps, freqs, _, _ = _problem(spark, samples=120)
+    weigh = lambda: {(r.coil, r.s): r.p for r in precondition.kspace_weights(maps, freqs, SIZES).collect()}
+    monkeypatch.setattr(volumes, "WHOLE_CELLS", 1 << 14)
+    one = weigh()
+    monkeypatch.setattr(volumes, "TILE_SAMPLES", 7)
+    several = weigh()
+    monkeypatch.setattr(volumes, "WHOLE_CELLS", 0)
+    tiles = weigh()
+    assert len(one) == 360 and one.keys() == several.keys() == tiles.keys()
+    assert all(several[x] == pytest.approx(one[x], rel=1e-9) and tiles[x] == pytest.approx(one[x], rel=1e-9) for x in one)
